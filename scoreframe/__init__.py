@@ -20,7 +20,7 @@ from scoreframe.operators.summary import (
     wide_summary,
 )
 from scoreframe.plans.evaluate import Run, evaluate
-from scoreframe.session import ship, shared_path, spread
+from scoreframe.session import shared_path, ship, spread, store
 from scoreframe.sources.datasets import (
     dataset_info,
     discover_datasets,
@@ -64,6 +64,7 @@ __all__ = [
     "ship",
     "shared_path",
     "spread",
+    "store",
     "summarize",
     "summary_document",
     "valid_datasets",

@@ -106,6 +106,7 @@ def detailed_metrics(
 
     An array covers the samples `part * part_size` up to the next part, so no row or
     task holds more than `part_size` scores; a dataset of that size or less is one row.
+    `scored` is read twice: give a stored table, not a plan that scores again.
     """
     keys = [*group_keys(scored), "metric"]
     long = long_scores(scored, metrics)
@@ -132,7 +133,8 @@ def summary_document(
 
     One row per model, as long as it has no more than `datasets_per_part` datasets;
     beyond that datasets are hashed into parts of about that size. Datasets of equal
-    name are told apart by their file path.
+    name are told apart by their file path. `summary` is read more than once: give a
+    stored table, not a plan that scores again.
     """
     per_dataset = summary.withColumn("means", metric_map(metrics))
     label = F.col("dataset")

@@ -51,16 +51,20 @@ def evaluate(
     `answer` is a function called per prompt (`how` goes to `generate`), a rule mapping
     or table, or a predictions table. Without `metrics` each dataset is scored by its
     own list. Datasets that cannot be evaluated are reported in `failures` and left out
-    of everything else. Predictions and scores are written once, below `output`, and
-    the summaries read them back, so neither generation nor scoring runs twice.
+    of everything else. Parsed datasets, predictions, scores and the summary are each
+    written once below `output` and read back, so that nothing is parsed, generated or
+    scored twice and a lost executor costs its own tasks only.
     """
     started = time.monotonic()
     ship(spark)
     run_id = run_id or uuid.uuid4().hex
     place = f"{output.rstrip('/')}/run_id={run_id}"
 
-    found = D.read_datasets(spark, path)
-    valid = D.valid_datasets(found, few_shot_count, metrics)
+    D.check_datasets(D.read_datasets(spark, path), few_shot_count, metrics).write.mode(
+        "overwrite"
+    ).parquet(f"{place}/datasets")
+    checked = spark.read.parquet(f"{place}/datasets")
+    valid = checked.filter(F.col("error").isNull())
     chosen = resolve(declared_metrics(valid) if metrics is None else metrics)
     names = tuple(m.name for m in chosen)
 
@@ -87,7 +91,7 @@ def evaluate(
     summary = S.summarize(scores, names, few_shot_count, listed)
     summary.write.mode("overwrite").parquet(f"{place}/summary")
     summary = spark.read.schema(summary.schema).parquet(f"{place}/summary")
-    failures = D.failed_datasets(found, model, few_shot_count, metrics)
+    failures = D.error_rows(checked, model)
 
     report = S.wide_summary(summary, names, elapsed)
     sinks.write_results_csv(report, f"{place}/report")

@@ -48,6 +48,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/scoreframe/{name}-{uuid.uuid4().hex}"
 
 
+def store(frame: DataFrame, name: str) -> DataFrame:
+    """Write `frame` once to the shared folder and read it back, for use more than once.
+
+    Unlike a cache the result survives a lost executor, and its lineage ends here.
+    """
+    path = shared_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def spread(frame: DataFrame, inputs: Sequence[str], *keys: str) -> DataFrame:
     """Use all cores for costly per-row work over input with few splits.
 

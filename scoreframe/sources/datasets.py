@@ -150,6 +150,22 @@ def dataset_error(few_shot_count: int = 0, metrics: Iterable[str] | None = None)
     return F.coalesce(*[F.when(failed, message) for failed, message in checks])
 
 
+def check_datasets(
+    datasets: DataFrame, few_shot_count: int = 0, metrics: Iterable[str] | None = None
+) -> DataFrame:
+    """Add `error`: why a dataset cannot be evaluated, NULL if it can."""
+    reason = dataset_error(few_shot_count, metrics)
+    if "present" in datasets.columns:
+        reason = F.coalesce(F.when(F.col("present").isNull(), "not a JSON object"), reason)
+    return datasets.withColumn("error", reason)
+
+
+def error_rows(checked: DataFrame, model: str) -> DataFrame:
+    """The report on the checked datasets that have an error."""
+    failed = checked.filter(F.col("error").isNotNull())
+    return failed.select(*source_keys(checked), F.lit(model).alias("model"), "error")
+
+
 def failed_datasets(
     datasets: DataFrame,
     model: str,
@@ -157,23 +173,12 @@ def failed_datasets(
     metrics: Iterable[str] | None = None,
 ) -> DataFrame:
     """An error row for every dataset that cannot be evaluated."""
-    return (
-        _checked(datasets, few_shot_count, metrics)
-        .filter(F.col("error").isNotNull())
-        .select(*source_keys(datasets), F.lit(model).alias("model"), "error")
-    )
+    return error_rows(check_datasets(datasets, few_shot_count, metrics), model)
 
 
 def valid_datasets(
     datasets: DataFrame, few_shot_count: int = 0, metrics: Iterable[str] | None = None
 ) -> DataFrame:
     """The datasets `failed_datasets` does not report."""
-    checked = _checked(datasets, few_shot_count, metrics)
+    checked = check_datasets(datasets, few_shot_count, metrics)
     return checked.filter(F.col("error").isNull()).drop("error")
-
-
-def _checked(datasets, few_shot_count, metrics) -> DataFrame:
-    reason = dataset_error(few_shot_count, metrics)
-    if "present" in datasets.columns:
-        reason = F.coalesce(F.when(F.col("present").isNull(), "not a JSON object"), reason)
-    return datasets.withColumn("error", reason)

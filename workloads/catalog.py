@@ -756,9 +756,8 @@ def long_scores(spark, folder):
 )
 def summary_document(spark, folder):
     """The nested document, unfolded again for comparison."""
-    document = sf.summary_document(
-        sf.summarize(_native_scores(spark, folder), NATIVE), NATIVE, timestamp="now"
-    )
+    summary = sf.store(sf.summarize(_native_scores(spark, folder), NATIVE), "summary")
+    document = sf.summary_document(summary, NATIVE, timestamp="now")
     path = sf.shared_path(spark, "document")
     sf.write_summary(document, path)
     stored = spark.read.schema(document.schema).json(path)
@@ -778,7 +777,8 @@ def summary_document(spark, folder):
     GROUP BY model, dataset, metric, sample_idx // 4000"""
 )
 def detailed_metrics(spark, folder):
-    detail = sf.detailed_metrics(_native_scores(spark, folder), NATIVE, part_size=4000)
+    scored = _native_scores(spark, folder).select("model", "dataset", "sample_idx", *NATIVE)
+    detail = sf.detailed_metrics(sf.store(scored, "scores"), NATIVE, part_size=4000)
     shown = F.transform("scores", lambda s: F.format_string("%.4f", s))
     return detail.select(
         "model",
@@ -882,9 +882,9 @@ def active_custom(spark, folder):
 
 @query(
     f"""WITH {Q.SCORE_LOG} SELECT {_STATE} FROM merged
-    WHERE is_active AND model = 'click' AND dataset = 'u3' AND sample_idx = 30
-      AND metric = 'value'"""
+    WHERE is_active AND model = 'm1' AND dataset = 'u3' AND sample_idx = 30
+      AND metric = 'click'"""
 )
 def lookup(spark, folder):
-    key = {"model": "click", "dataset": "u3", "sample_idx": 30, "metric": "value"}
+    key = {"model": "m1", "dataset": "u3", "sample_idx": 30, "metric": "click"}
     return sf.lookup(_merged(spark, folder), key)

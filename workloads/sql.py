@@ -141,8 +141,8 @@ documents_made AS (
 
 SCORE_LOG = """
 log AS (
-  SELECT event_type AS model, 'u' || (user_id % 20) AS dataset,
-         json_extract_string(props, '$.k')::BIGINT AS sample_idx, 'value' AS metric,
+  SELECT 'm' || (user_id % 2) AS model, 'u' || (user_id % 10) AS dataset,
+         json_extract_string(props, '$.k')::BIGINT AS sample_idx, event_type AS metric,
          value AS score, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS updated_at,
          event_id AS seq, value > 60 AS is_builtin
   FROM events

@@ -15,7 +15,7 @@ from scoreframe.operators.merge import merge_scores, retract
 MODEL = "echo"
 CONVERSATIONS_PER_DOCUMENT = 16
 TURNS_PER_DOCUMENT = 8
-LOG_CUT = "2024-01-16"
+LOG_CUT = "timestamp_ntz'2024-01-16 00:00:00'"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -252,13 +252,13 @@ def document_prompts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def score_log(spark: SparkSession, folder: str) -> DataFrame:
+def _score_log(events: DataFrame) -> DataFrame:
     """Events as score changes; a key recurs the more often the longer the log is."""
-    return table(spark, folder, "events").select(
-        F.col("event_type").alias("model"),
-        F.concat(F.lit("u"), F.col("user_id") % 20).alias("dataset"),
+    return events.select(
+        F.concat(F.lit("m"), F.col("user_id") % 2).alias("model"),
+        F.concat(F.lit("u"), F.col("user_id") % 10).alias("dataset"),
         F.get_json_object("props", "$.k").cast("long").alias("sample_idx"),
-        F.lit("value").alias("metric"),
+        F.col("event_type").alias("metric"),
         F.col("value").alias("score"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("updated_at"),
         F.col("event_id").alias("seq"),
@@ -267,12 +267,12 @@ def score_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_changes(spark: SparkSession, folder: str) -> DataFrame:
-    return score_log(spark, folder).filter(F.col("updated_at") >= LOG_CUT)
+    return _score_log(table(spark, folder, "events").filter(f"ts >= {LOG_CUT}"))
 
 
 def current_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The score table after the first part of the log, some keys retracted."""
-    log = score_log(spark, folder).filter(F.col("updated_at") < LOG_CUT)
+    log = _score_log(table(spark, folder, "events").filter(f"ts < {LOG_CUT}"))
     empty = spark.createDataFrame(
         [],
         "model string, dataset string, sample_idx long, metric string, score double, "
