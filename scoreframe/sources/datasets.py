@@ -29,14 +29,21 @@ REQUIRED = ("instruction", "samples", "metrics")
 
 def _files(spark: SparkSession, path: str | Sequence[str], pattern: str) -> DataFrame:
     """One row per file: location, name without suffix, and text (NULL if not UTF-8)."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    return reader.option("pathGlobFilter", pattern).text(path).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.regexp_replace(F.col("_metadata.file_name"), r"(?<=.)\.[^.]*\z", "").alias("dataset"),
+    files = spark.read.text(
+        path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern
+    )
+    return files.select(
+        _decoded("_metadata.file_path").alias("file_path"),
+        F.regexp_replace(_decoded("_metadata.file_name"), r"(?<=.)\.[^.]*\z", "").alias("dataset"),
         F.try_validate_utf8("value").alias("raw"),
     )
 
 
+def _decoded(location: str) -> Column:
+    """Spark escapes special characters in file locations, a plus sign is none of them."""
+    return F.url_decode(F.replace(F.col(location), F.lit("+"), F.lit("%2B")))
+
+
 def read_datasets(
     spark: SparkSession, path: str | Sequence[str], pattern: str = "*.json"
 ) -> DataFrame:
