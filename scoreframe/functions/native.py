@@ -15,25 +15,28 @@ from pyspark.sql import functions as F
 
 from scoreframe.functions import text
 
+Layers = tuple[dict[str, Column], dict[str, Column]]
+
 
 class Text:
     """A text column and its derived forms.
 
-    With `shared`, a derived form is recorded there under a column name and the
-    view hands out a reference to that column; without, it is written in place.
+    With `shared`, a derived form is recorded there under a column name and the view
+    hands out a reference to that column; without, it is written in place. `shared`
+    has two layers, because a form of the second one reads a form of the first.
     """
 
-    def __init__(self, raw: Column, prefix: str = "", shared: dict[str, Column] | None = None):
+    def __init__(self, raw: Column, prefix: str = "", shared: Layers | None = None):
         self.raw = raw
         self._prefix = prefix
         self._shared = shared
 
-    def _form(self, name: str, make: Callable[[], Column]) -> Column:
+    def _form(self, name: str, make: Callable[[], Column], layer: int = 0) -> Column:
         if self._shared is None:
             return make()
         column = f"__{self._prefix}_{name}"
-        if column not in self._shared:
-            self._shared[column] = make()
+        if column not in self._shared[layer]:
+            self._shared[layer][column] = make()
         return F.col(column)
 
     @property
@@ -42,7 +45,8 @@ class Text:
 
     @property
     def number(self) -> Column:
-        return self._form("number", lambda: text.to_number(self.raw))
+        stripped = self.stripped
+        return self._form("number", lambda: text.to_number(stripped), layer=1)
 
     @property
     def word_count(self) -> Column:

@@ -6,9 +6,6 @@ code generation or, for array functions, at least inside the JVM.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,23 +16,16 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# What a Python `float()` accepts after trimming, digits in ASCII.
-_DIGITS = r"\d+(_\d+)*"
+# What a Python `float()` accepts after trimming, for ASCII and full-width digits.
+_DIGITS = r"[0-9０-９]+(_[0-9０-９]+)*"
 FLOAT_PATTERN = (
     rf"(?i)\A[+-]?(({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})(e[+-]?{_DIGITS})?|inf|infinity|nan)\z"
 )
-_FULLWIDTH_DIGITS = "０１２３４５６７８９"
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode white space at both ends.
-
-    Trimming the right end walks the whole string, so it is only done where the
-    last character is white space; that test is a constant-time byte comparison.
-    """
-    ends_blank = reduce(or_, [F.endswith(text, F.lit(c)) for c in WHITESPACE])
-    blanks = F.lit(WHITESPACE)
-    return F.ltrim(F.when(ends_blank, F.rtrim(text, blanks)).otherwise(text), blanks)
+    """Remove Unicode white space at both ends."""
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def words(text: Column) -> Column:
@@ -55,17 +45,14 @@ def items(text: Column, delimiter: str) -> Column:
     # `split` takes a regular expression; a plain single character is its fast path.
     plain = len(delimiter) == 1 and (delimiter.isspace() or delimiter in ",;:/-_")
     pattern = delimiter if plain else r"\Q" + delimiter.replace(r"\E", r"\E\\E\Q") + r"\E"
-    parts = F.transform(F.split(text, pattern), lambda part: F.trim(part, F.lit(WHITESPACE)))
+    parts = F.transform(F.split(text, pattern), strip)
     return F.array_distinct(F.array_remove(parts, ""))
 
 
-def to_number(text: Column) -> Column:
-    """Double for text a Python `float()` would accept, else NULL."""
-    plain = F.translate(strip(text), _FULLWIDTH_DIGITS, "0123456789")
-    signless = F.lower(F.ltrim(plain, F.lit("+-")))
-    return F.when(
-        plain.rlike(FLOAT_PATTERN),
-        F.when(signless == "nan", F.lit(float("nan"))).otherwise(
-            F.replace(plain, F.lit("_"), F.lit("")).try_cast("double")
-        ),
-    )
+def to_number(stripped: Column) -> Column:
+    """Double for trimmed text a Python `float()` would accept, else NULL.
+
+    A signed `nan` is NULL, too; like NaN it equals nothing.
+    """
+    plain = F.translate(stripped, "０１２３４５６７８９_", "0123456789")  # drops the underscore
+    return F.when(stripped.rlike(FLOAT_PATTERN), plain.try_cast("double"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.functions.native import Text
+from scoreframe.functions.native import Layers, Text
 from scoreframe.functions.registry import Metric, list_metrics, metrics as resolve
 
 
@@ -35,7 +35,7 @@ def score(
     `metrics` names; the others stay NULL, and their Python functions get NULL inputs,
     because a UDF inside a condition would run for every row.
 
-    The plan is two projections: first the text forms several metrics share, then the
+    The plan is a few projections: first the text forms several metrics share, then the
     scores. Python metrics all read the raw text and so run in one `ArrowEvalPython`.
     """
     chosen = resolve(metrics)
@@ -58,7 +58,7 @@ def score(
         users = {m.name} | {c.name for c in chosen if any(p.name == m.name for p, _ in c.parts)}
         return F.arrays_overlap("metrics", F.array(*[F.lit(u) for u in sorted(users)]))
 
-    shared: dict[str, Column] = {}
+    shared: Layers = ({}, {})
     views = (
         Text(F.col(prediction), "prediction", shared),
         Text(F.col(reference), "reference", shared),
@@ -74,7 +74,10 @@ def score(
         return m.build(Text(raw[0]), Text(raw[1])).cast("double")
 
     scores = {name: column(m) for name, m in {**plain, **hidden}.items()}
-    scored = pairs.select("*", *[c.alias(n) for n, c in shared.items()]).select(
+    formed = pairs
+    for layer in shared:
+        formed = formed.select("*", *[c.alias(n) for n, c in layer.items()])
+    scored = formed.select(
         *[F.col(f"`{c}`") for c in pairs.columns], *[c.alias(n) for n, c in scores.items()]
     )
     if not only_declared and not parts:

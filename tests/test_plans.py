@@ -64,7 +64,7 @@ def test_state_filters_reach_the_files(plan, spark, tmp_path):
     ).write.parquet(path)
     state = spark.read.parquet(path)
     text = plan(active(state, custom_only=True), "formatted")
-    assert "EqualTo(is_active,true)" in text and "EqualTo(is_builtin,false)" in text
+    assert "EqualTo(is_active,true)" in text and "Not(EqualTo(is_builtin,true))" in text
     key = {"model": "m", "dataset": "d", "sample_idx": 1, "metric": "x"}
     assert "EqualTo(sample_idx,1)" in plan(lookup(state, key), "formatted")
 

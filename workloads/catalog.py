@@ -307,7 +307,7 @@ def document_similarity(spark, folder):
     SELECT sample_idx, round(({_JACCARD})::DOUBLE, 6) AS jaccard_similarity FROM sets"""
 )
 def jaccard_similarity(spark, folder):
-    return _scored(spark, D.document_pairs(spark, folder), "jaccard_similarity")
+    return _scored(spark, _spread(D.document_pairs(spark, folder), folder, "documents"), "jaccard_similarity")
 
 
 @query(
@@ -316,7 +316,7 @@ def jaccard_similarity(spark, folder):
     )
 )
 def word_count_similarity(spark, folder):
-    return _scored(spark, D.document_pairs(spark, folder), "word_count_similarity")
+    return _scored(spark, _spread(D.document_pairs(spark, folder), folder, "documents"), "word_count_similarity")
 
 
 @query(_metric_sql(Q.CONVERSATION_PAIRS, "length_ratio", _METRIC_VALUES["length_ratio"]))
