@@ -1,6 +1,7 @@
 """Batch evaluation of model output on Spark: prompts, predictions, scores, summaries."""
 
 from scoreframe.functions.registry import Metric, list_metrics, metric, metrics, register_metric
+from scoreframe.operators.endpoint import chat_completion
 from scoreframe.operators.merge import active, lookup, merge_scores, retract
 from scoreframe.operators.predictions import (
     attach_predictions,
@@ -14,9 +15,11 @@ from scoreframe.operators.score import declared_metrics, long_scores, score
 from scoreframe.operators.summary import (
     detailed_metrics,
     pivot_scores,
+    result_rows,
     sample_scores,
     summarize,
     summary_document,
+    unscored_datasets,
     wide_summary,
 )
 from scoreframe.plans.evaluate import Run, evaluate
@@ -37,6 +40,7 @@ __all__ = [
     "active",
     "attach_predictions",
     "build_prompts",
+    "chat_completion",
     "dataset_info",
     "declared_metrics",
     "detailed_metrics",
@@ -57,6 +61,7 @@ __all__ = [
     "read_datasets",
     "register_metric",
     "request_table",
+    "result_rows",
     "retract",
     "rule_predictions",
     "sample_scores",
@@ -67,6 +72,7 @@ __all__ = [
     "store",
     "summarize",
     "summary_document",
+    "unscored_datasets",
     "valid_datasets",
     "wide_summary",
     "write_results_csv",

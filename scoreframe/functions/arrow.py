@@ -16,18 +16,27 @@ from pyspark.sql import functions as F
 from scoreframe.functions import kernels
 
 
-def pair_udf(score: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
-    """Wrap `score(prediction, reference) -> float` as an Arrow UDF."""
+def pair_udf(
+    score: Callable[[str, str], float], null_on_error: bool = False
+) -> Callable[[Column, Column], Column]:
+    """Wrap `score(prediction, reference) -> float` as an Arrow UDF.
+
+    An exception fails the job, or with `null_on_error` leaves the score NULL.
+    """
+
+    def one(prediction: str | None, reference: str | None) -> float | None:
+        if prediction is None or reference is None:
+            return None
+        try:
+            return float(score(prediction, reference))
+        except Exception:
+            if null_on_error:
+                return None
+            raise
 
     @F.arrow_udf("double")
     def scored(prediction: pa.Array, reference: pa.Array) -> pa.Array:
-        return pa.array(
-            (
-                None if p is None or r is None else float(score(p, r))
-                for p, r in zip(prediction.to_pylist(), reference.to_pylist())
-            ),
-            pa.float64(),
-        )
+        return pa.array(map(one, prediction.to_pylist(), reference.to_pylist()), pa.float64())
 
     return scored
 

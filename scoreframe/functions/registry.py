@@ -122,22 +122,29 @@ def metrics(names: Iterable[str | Metric], **params: Any) -> list[Metric]:
 
 
 def register_metric(
-    name: str, function: Callable, *, spark: SparkSession | None = None, python: bool = False
+    name: str,
+    function: Callable,
+    *,
+    spark: SparkSession | None = None,
+    python: bool = False,
+    null_on_error: bool = False,
 ) -> Metric:
     """Register `function` under `name`, replacing an earlier metric of that name.
 
     A column builder is checked by analysing it over an empty frame, which runs no
-    job. With `python=True` the function works on two strings and returns a number.
-    With `spark` given, a Python metric is also callable by its name from SQL.
+    job. With `python=True` the function works on two strings and returns a number; an
+    exception in it fails the job, or with `null_on_error` leaves that score NULL. With
+    `spark` given, a Python metric is also callable by its name from SQL.
     """
     if not callable(function):
         raise TypeError(f"metric {name} must be a function")
-    builder = arrow.pair_udf(function) if python else function
-    session = spark or SparkSession.active()
     if not python:
-        _check_builder(session, name, builder)
+        _check_builder(spark or SparkSession.active(), name, function)
+        _ENTRIES[name] = _Entry(function, takes_text=False)
+        return metric(name)
+    builder = arrow.pair_udf(function, null_on_error)
     _ENTRIES[name] = _Entry(builder, takes_text=False)
-    if python and spark is not None:
+    if spark is not None:
         spark.udf.register(name, builder)
     return metric(name)
 

@@ -99,6 +99,39 @@ def sample_scores(scored: DataFrame, metrics: Sequence[str]) -> DataFrame:
     )
 
 
+def result_rows(
+    summary: DataFrame, metrics: Sequence[str], elapsed_time: float | None = None
+) -> DataFrame:
+    """Result document head: one row per run and dataset with maps of means and deviations."""
+    deviations = F.map_from_arrays(
+        F.array(*[F.lit(n) for n in metrics]), F.array(*[F.col(f"{n}_std") for n in metrics])
+    )
+    return summary.select(
+        *group_keys(summary),
+        "num_samples",
+        "few_shot_count",
+        metric_map(metrics).alias("metrics"),
+        F.map_filter(deviations, lambda _, value: value.isNotNull()).alias("deviations"),
+        F.lit(elapsed_time).cast("double").alias("elapsed_time"),
+    )
+
+
+def unscored_datasets(scored: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Error rows for datasets where a metric gave no score for some sample.
+
+    Needs the array column `metrics` where a dataset is only scored by its own list.
+    """
+    asked = lambda name: F.array_contains("metrics", name) if "metrics" in scored.columns else F.lit(True)
+    missing = [
+        F.bool_or(asked(name) & F.col(name).isNull()).alias(f"__{name}") for name in metrics
+    ]
+    failed = F.coalesce(
+        *[F.when(F.col(f"__{name}"), F.lit(f"no score by metric: {name}")) for name in metrics]
+    )
+    counted = scored.groupBy(*group_keys(scored)).agg(*missing)
+    return counted.select(*group_keys(scored), failed.alias("error")).filter("error IS NOT NULL")
+
+
 def detailed_metrics(
     scored: DataFrame, metrics: Sequence[str], part_size: int = PART
 ) -> DataFrame:

@@ -50,8 +50,8 @@ def evaluate(
 
     `answer` is a function called per prompt (`how` goes to `generate`), a rule mapping
     or table, or a predictions table. Without `metrics` each dataset is scored by its
-    own list. Datasets that cannot be evaluated are reported in `failures` and left out
-    of everything else. Parsed datasets, predictions, scores and the summary are each
+    own list. Datasets that cannot be evaluated, or that a metric leaves without a score,
+    are reported in `failures` and left out of all summaries. Parsed datasets, predictions, scores and the summary are each
     written once below `output` and read back, so that nothing is parsed, generated or
     scored twice and a lost executor costs its own tasks only.
     """
@@ -82,20 +82,30 @@ def evaluate(
     else:
         pairs = rule_predictions(asked, answer, **how).withColumn("model", F.lit(model))
 
-    scored = score(pairs, chosen, only_declared=metrics is None).drop("prompt", "metrics")
+    scored = score(pairs, chosen, only_declared=metrics is None).drop("prompt")
+    if metrics is not None:
+        scored = scored.drop("metrics")
     scored.write.mode("overwrite").parquet(f"{place}/scores")
     scores = spark.read.schema(scored.schema).parquet(f"{place}/scores")
     elapsed = time.monotonic() - started
 
+    failures = D.error_rows(checked, model)
     listed = valid.select(*D.source_keys(valid), F.lit(model).alias("model"))
+    if names:
+        failures = failures.unionByName(S.unscored_datasets(scores, names))
+    failures.write.mode("overwrite").json(f"{place}/failures")
+    failures = spark.read.schema(failures.schema).json(f"{place}/failures")
+    listed = listed.join(failures, S.group_keys(listed), "left_anti")
+
     summary = S.summarize(scores, names, few_shot_count, listed)
     summary.write.mode("overwrite").parquet(f"{place}/summary")
     summary = spark.read.schema(summary.schema).parquet(f"{place}/summary")
-    failures = D.error_rows(checked, model)
-
     report = S.wide_summary(summary, names, elapsed)
     sinks.write_results_csv(report, f"{place}/report")
     if names:
+        sinks.write_results_json(
+            S.result_rows(summary, names, elapsed), f"{output}/results", run_id
+        )
         sinks.write_results_json(S.sample_scores(scores, names), f"{output}/samples", run_id)
         sinks.write_summary(S.summary_document(summary, names), f"{place}/document")
     return Run(scores, summary, report, failures, names, elapsed, place)

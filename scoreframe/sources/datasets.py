@@ -135,17 +135,21 @@ def dataset_error(few_shot_count: int = 0, metrics: Iterable[str] | None = None)
     With `metrics` given the dataset's own list is not used and so not checked.
     """
     incomplete = lambda pair: pair.isNull() | pair["input"].isNull() | pair["output"].isNull()
+    prompted = F.size("samples") > 0  # prompts are built per sample
     checks = [
-        (F.col("instruction").isNull(), F.lit("instruction is null")),
         (F.col("samples").isNull(), F.lit("samples is not a list of pairs")),
+        (F.col("instruction").isNull() & prompted, F.lit("instruction is null")),
         (F.exists("samples", incomplete), F.lit("a sample lacks input or output")),
     ]
     if few_shot_count > 0:
         used = F.slice("few_shots", 1, few_shot_count)
         enough = F.size("few_shots") >= few_shot_count
         checks += [
-            (F.col("few_shots").isNull(), F.lit("few_shots is not a list of pairs")),
-            (enough & F.exists(used, incomplete), F.lit("a few-shot example lacks a side")),
+            (F.col("few_shots").isNull() & prompted, F.lit("few_shots is not a list of pairs")),
+            (
+                enough & prompted & F.exists(used, incomplete),
+                F.lit("a few-shot example lacks a side"),
+            ),
         ]
     if metrics is None:
         known = F.array(*[F.lit(name) for name in list_metrics()])

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_results_json(scores: DataFrame, path: str, run_id: str) -> None:
-    """Per-sample results as JSON lines below `run_id=/model=/dataset=`.
+def write_results_json(results: DataFrame, path: str, run_id: str) -> None:
+    """Per-sample or per-dataset results as JSON lines below `run_id=/model=/dataset=`.
 
     The rebalance hint gathers the rows of a small dataset in few files and splits a
     large one over many tasks.
     """
-    places = [name for name in ("model", "dataset") if name in scores.columns]
-    scores.hint("rebalance", *places).write.mode("overwrite").partitionBy(*places).json(
+    places = [name for name in ("model", "dataset") if name in results.columns]
+    results.hint("rebalance", *places).write.mode("overwrite").partitionBy(*places).json(
         f"{path}/run_id={run_id}"
     )
 

@@ -73,6 +73,13 @@ def test_directory_run(spark, place):
     assert len(documents) == 1 and documents[0]["num_datasets"] == 4
     assert documents[0]["metrics"]["sums"] == {"exact_match_figure": 0.5}
     assert list((place / "out").glob("samples/run_id=*/model=m/dataset=words/*.json"))
+    results = [
+        json.loads(line)
+        for f in (place / "out").glob("results/run_id=*/model=m/dataset=words/*.json")
+        for line in f.read_text().splitlines()
+    ]
+    assert sorted(r["num_samples"] for r in results) == [1, 2]
+    assert all(r["elapsed_time"] == run.elapsed_time for r in results)
 
 
 def test_chosen_metrics_and_one_file(spark, place):
@@ -98,3 +105,20 @@ def test_run_without_a_valid_dataset(spark, place):
     run = evaluate(spark, path, "m", {}, str(place / "out"))
     assert run.report.isEmpty() and run.failures.count() == 1
     assert not list((place / "out").glob("run_id=*/document"))
+
+
+def test_a_failing_metric_costs_only_its_dataset(spark, place):
+    from scoreframe import register_metric
+
+    def picky(prediction, reference):
+        return 1 / len(prediction)
+
+    register_metric("picky", picky, python=True, null_on_error=True)
+    for name, text in (("one", "x"), ("two", "")):
+        (place / "in" / f"{name}.json").write_text(document(["picky"], [("q", "r"), (text, "r")]))
+    run = evaluate(spark, str(place / "in"), "m", {"q": "yes", "x": "four"}, str(place / "out"), default="")
+    errors = {r.dataset: r.error for r in run.failures.collect()}
+    assert errors["two"] == "no score by metric: picky"
+    rows = {r.dataset: r.picky for r in run.report.collect()}
+    assert rows["one"] == pytest.approx((1 / 3 + 1 / 4) / 2)
+    assert "two" not in rows and {"sums", "words", "none"} <= rows.keys()

@@ -220,3 +220,44 @@ def test_empty_rule_key_matches_everything(spark, limit, filler):
 
 def test_no_rules(spark):
     assert rule_predictions(prompts_of(spark, ["a"]), {}, "none").first().prediction == "none"
+
+
+class Answer:
+    def __init__(self, body, status=200):
+        self.body, self.status = body, status
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+    def read(self):
+        return json.dumps(self.body).encode()
+
+
+def test_endpoint_without_a_network(monkeypatch):
+    from scoreframe import chat_completion
+
+    sent = []
+
+    def opened(body, status=200):
+        def urlopen(request, timeout):
+            sent.append((request.full_url, json.loads(request.data), timeout))
+            return Answer(body, status)
+
+        monkeypatch.setattr("urllib.request.urlopen", urlopen)
+
+    ask = chat_completion("http://x/chat", "m", temperature=0.1, timeout=5, seed=1)
+    opened({"choices": [{"message": {"content": "はい"}}]})
+    assert ask("元気?") == "はい"
+    url, body, timeout = sent[0]
+    assert (url, timeout) == ("http://x/chat", 5)
+    assert body["messages"] == [{"role": "user", "content": "元気?"}]
+    assert (body["temperature"], body["max_tokens"], body["seed"]) == (0.1, 500, 1)
+    opened({"choices": [{}]})
+    assert ask("p") == ""
+    for wrong, status in (({"choices": []}, 200), ({}, 200), ({"choices": [{}]}, 503)):
+        opened(wrong, status)
+        with pytest.raises((ValueError, ConnectionError)):
+            ask("p")

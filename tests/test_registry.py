@@ -78,3 +78,16 @@ def test_builders_are_checked(spark):
     with pytest.raises(TypeError, match="must be a function"):
         register_metric("nothing", None)
     assert not {"texty", "plain", "nothing"} & set(list_metrics())
+
+
+def test_exceptions_in_python_metrics(spark, pairs):
+    def strict(prediction, reference):
+        if prediction != reference:
+            raise ValueError("different")
+        return 1.0
+
+    register_metric("lenient", strict, python=True, null_on_error=True)
+    assert [r.lenient for r in score(pairs, ["lenient"]).collect()] == [1.0, None]
+    register_metric("strict", strict, python=True)
+    with pytest.raises(Exception, match="different"):
+        score(pairs, ["strict"]).collect()

@@ -587,10 +587,11 @@ def parse_responses(spark, folder):
 
 @query(
     f"""WITH {Q.CONVERSATION_PAIRS}
-    SELECT 'echo' AS model, dataset, sample_idx, input, reference, prediction FROM pairs
+    SELECT 'echo' AS model, dataset, sample_idx, input, reference,
+           CASE WHEN length(input) > 250 THEN '' ELSE prediction END AS prediction FROM pairs
     UNION ALL
     SELECT 'copy', dataset, sample_idx, input, reference,
-           CASE WHEN (sample_idx // 1000 + sample_idx % 1000) % 6 = 5 THEN '' ELSE reference END
+           CASE WHEN length(input) > 250 THEN '' ELSE reference END
     FROM pairs"""
 )
 def attach_predictions(spark, folder):
@@ -720,6 +721,30 @@ def results_csv(spark, folder):
     )
 
 
+@query(
+    f"""{_SCORED_SQL}
+    SELECT model, dataset, count(*) AS num_samples, 3 AS few_shot_count,
+           true AS timed, round(avg(set_f1), 6) AS mean, round(stddev_pop(set_f1), 6) AS std
+    FROM scored GROUP BY ALL"""
+)
+def results_json(spark, folder):
+    """Result documents per dataset, written as JSON and read back."""
+    summary = sf.summarize(_native_scores(spark, folder), NATIVE, few_shot_count=3)
+    results = sf.result_rows(summary, NATIVE, elapsed_time=1.5)
+    path = sf.shared_path(spark, "results")
+    sf.write_results_json(results, path, "first")
+    stored = spark.read.schema(results.schema).json(f"{path}/run_id=first")
+    return stored.select(
+        "model",
+        "dataset",
+        "num_samples",
+        "few_shot_count",
+        (F.col("elapsed_time") > 0).alias("timed"),
+        F.round(F.col("metrics")["set_f1"], 6).alias("mean"),
+        F.round(F.col("deviations")["set_f1"], 6).alias("std"),
+    )
+
+
 @query(
     f"""{_SCORED_SQL}
     SELECT model, dataset, {', '.join(f'round(avg({n}), 6) AS {n}' for n in NATIVE)}
@@ -769,16 +794,16 @@ def summary_document(spark, folder):
 
 @query(
     f"""{_LONG_SQL}
-    SELECT model, dataset, metric, sample_idx // 4000 AS part,
+    SELECT model, dataset, metric, sample_idx // 10000 AS part,
            array_to_string(list(printf('%.4f', score) ORDER BY sample_idx), ',') AS scores,
            round(any_value(mean), 6) AS mean, round(any_value(std), 6) AS std
     FROM (SELECT *, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS std
           FROM long WINDOW w AS (PARTITION BY model, dataset, metric))
-    GROUP BY model, dataset, metric, sample_idx // 4000"""
+    GROUP BY model, dataset, metric, sample_idx // 10000"""
 )
 def detailed_metrics(spark, folder):
     scored = _native_scores(spark, folder).select("model", "dataset", "sample_idx", *NATIVE)
-    detail = sf.detailed_metrics(sf.store(scored, "scores"), NATIVE, part_size=4000)
+    detail = sf.detailed_metrics(sf.store(scored, "scores"), NATIVE, part_size=10_000)
     shown = F.transform("scores", lambda s: F.format_string("%.4f", s))
     return detail.select(
         "model",

@@ -25,7 +25,7 @@ def by_presence(got: str, want: str, both: str) -> str:
 
 SAMPLES = """
 samples AS (
-  SELECT 'd' || (a.conv_id % 4) AS dataset, a.conv_id * 1000 + a.turn AS sample_idx,
+  SELECT 'd' || (a.conv_id % 4) AS dataset, a.conv_id * 1000000000 + a.turn AS sample_idx,
          a.text AS input, b.text AS reference, a.conv_id, a.turn
   FROM conversations a JOIN conversations b
     ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
