@@ -48,13 +48,20 @@ class Text:
         stripped = self.stripped
         return self._form("number", lambda: text.to_number(stripped), layer=1)
 
+    @property
+    def lower_words(self) -> Column:
+        return self._form("lower_words", lambda: text.words(F.lower(self.raw)))
+
     @property
     def word_count(self) -> Column:
-        return self._form("word_count", lambda: F.size(text.words(self.raw)))
+        # Case changes no white space, so counting shares the words of `word_set`.
+        words = self.lower_words
+        return self._form("word_count", lambda: F.size(words), layer=1)
 
     @property
     def word_set(self) -> Column:
-        return self._form("word_set", lambda: F.array_distinct(text.words(F.lower(self.raw))))
+        words = self.lower_words
+        return self._form("word_set", lambda: F.array_distinct(words), layer=1)
 
     def item_set(self, delimiter: str) -> Column:
         name = "items_" + "_".join(str(ord(c)) for c in delimiter)

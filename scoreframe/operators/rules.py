@@ -30,7 +30,7 @@ def rule_predictions(
     size of a table is measured first. Up to `broadcast_bytes` of text the rules travel
     to the tasks and the prompts are not shuffled: a few rules become one conditional
     expression, more are searched together in one pass over each prompt. A larger table
-    is joined on hashed windows of the prompts, see `_joined`.
+    is joined with pieces of the prompts, see `_joined`.
     """
     if isinstance(rules, DataFrame):
         # 16 bytes a row stand for its order, so that many empty texts count, too.
@@ -86,12 +86,14 @@ def _search(prompt: Column, rules: Mapping[str, str]) -> Column:
 
 
 def _joined(prompts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """Equi-join of hashed prompt windows with hashed rule keys, for rules of any number.
-
-    For every key length in use each prompt yields the hashes of its distinct windows
-    of that length, so a row pair only meets where the whole key matches; the text
-    comparison afterwards just rules out hash collisions. The rule side has one row per
-    key text, and a window many prompts share is a skewed join key that Spark splits.
+    """Equi-joins on pieces of the prompts, for rules of any number.
+
+    The stem of a key is its beginning of 1, 2, 4, ... characters, the longest that fits,
+    so there are few stem lengths however many key lengths there are. Every prompt window
+    of a stem length meets the stems by hash. Where one agrees, the whole text of each key
+    length known for that stem is cut out of the prompt and must equal a key. Both rule
+    sides have one row per join key, so pairs of many prompts with many rules never arise;
+    a window that many prompts share is a skewed join key, which Spark splits.
     """
     keys = sample_keys(prompts)
     unique = rules.groupBy("key").agg(
@@ -102,34 +104,38 @@ def _joined(prompts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     if always is not None:
         default = always["response"]
         unique = unique.filter(F.col("rule_order") < always["rule_order"])
-    hashed = unique.select(
-        F.char_length("key").alias("size"),
-        F.xxhash64(F.split("key", "")).alias("window"),
-        "key",
-        "rule_order",
-        "response",
-    ).filter(F.col("size") > 0)
-    sizes = [row[0] for row in hashed.select("size").distinct().collect()]
-    if not sizes:
-        return prompts.withColumn("prediction", F.lit(default))
 
-    text = prompts.select(*keys, F.split("prompt", "").alias("chars")).withColumn(
-        "size", F.explode(F.array(*[F.lit(size) for size in sizes]))
+    size = F.char_length("key")
+    stems = (
+        unique.filter(F.col("key") != "")
+        .select("key", size.alias("size"), (F.length(F.bin(size)) - 1).alias("power"))
+        .withColumn("stem_size", F.pow(F.lit(2), "power").cast("int"))
+        .withColumn("stem", F.slice(F.split("key", ""), 1, F.col("stem_size")))
+        .select("size", "stem_size", F.xxhash64("stem").alias("window"))
+        .distinct()
     )
+    stem_sizes = [row[0] for row in stems.select("stem_size").distinct().collect()]
+    if not stem_sizes:
+        return prompts.withColumn("prediction", F.lit(default))
+
     windows = F.transform(
-        F.sequence(F.lit(1), F.size("chars") - F.col("size") + 1),
-        lambda start: F.xxhash64(F.slice("chars", start, F.col("size"))),
+        F.sequence(F.lit(1), F.size("chars") - F.col("stem_size") + 1),
+        lambda start: F.xxhash64(F.slice("chars", start, F.col("stem_size"))),
     )
-    hits = (
-        text.filter(F.size("chars") >= F.col("size"))
-        .select(*keys, "size", F.explode(F.array_distinct(windows)).alias("window"))
-        .join(hashed, ["size", "window"])
-        .select(*keys, "key", "rule_order", "response")
+    places = (
+        prompts.select(*keys, F.split("prompt", "").alias("chars"))
+        .withColumn("stem_size", F.explode(F.array(*[F.lit(n) for n in sorted(stem_sizes)])))
+        .filter(F.size("chars") >= F.col("stem_size"))
+        .select(*keys, "stem_size", F.posexplode(windows).alias("start", "window"))
+        .join(stems, ["stem_size", "window"])
+        .select(*keys, "start", "size")
     )
+    piece = F.substring("prompt", F.col("start") + 1, F.col("size"))
     best = (
         prompts.select(*keys, "prompt")
-        .join(hits, keys)
-        .filter(F.contains("prompt", "key"))
+        .join(places, keys)
+        .select(*keys, piece.alias("key"))
+        .join(unique, "key")
         .groupBy(*keys)
         .agg(F.min_by("response", "rule_order").alias("prediction"))
     )

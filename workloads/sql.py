@@ -122,13 +122,16 @@ responses AS (
 
 # One row per sample of every dataset document, with the document's settings.
 DOCUMENT_SAMPLES = f"""{SAMPLES},
-numbered AS (
-  SELECT conv_id // 16 AS number, 'set_' || (conv_id // 16) || '_' || (turn // 8) AS dataset,
-         input, reference,
-         row_number() OVER (PARTITION BY conv_id // 16, turn // 8 ORDER BY sample_idx) - 1
-           AS sample_idx
+placed AS (
+  SELECT *, conv_id // (SELECT least(512, greatest(16, count(*) // 1000)) FROM conversations)
+           AS number, turn // 8 AS stretch
   FROM samples
 ),
+numbered AS (
+  SELECT number, 'set_' || number || '_' || stretch AS dataset, input, reference,
+         row_number() OVER (PARTITION BY number, stretch ORDER BY sample_idx) - 1 AS sample_idx
+  FROM placed
+),
 documents_made AS (
   SELECT dataset, any_value(number) AS number, count(*) AS sample_total,
          'Answer set ' || any_value(number) || '。' AS instruction,

@@ -14,7 +14,6 @@ from scoreframe.operators.merge import merge_scores, retract
 
 MODEL = "echo"
 TURNS_PER_CONVERSATION = 1_000_000_000  # keeps sample numbers apart and in order
-CONVERSATIONS_PER_DOCUMENT = 16
 TURNS_PER_DOCUMENT = 8
 LOG_CUT = "timestamp_ntz'2024-01-16 00:00:00'"
 
@@ -185,12 +184,14 @@ def raw_responses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dataset_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Dataset documents of at most 128 samples, built from neighbouring conversations.
+    """Dataset documents of at most 4096 samples, built from neighbouring conversations.
 
     The group key holds a range of conversations and of turns, so the number of samples
-    in a document is bounded even if one conversation holds most of the turns.
+    in a document is bounded even if one conversation holds most of the turns. Ranges
+    widen with the table, because every document becomes a file.
     """
-    number = F.floor(F.col("conv_id") / CONVERSATIONS_PER_DOCUMENT)
+    rows = table(spark, folder, "conversations").count()
+    number = F.floor(F.col("conv_id") / min(512, max(16, rows // 1000)))
     stretch = F.floor(F.col("turn") / TURNS_PER_DOCUMENT)
     ordered = F.array_sort(
         F.collect_list(F.struct("sample_idx", "input", F.col("reference").alias("output")))
