@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from scoreframe.functions.registry import Metric, metrics as resolve
 from scoreframe.operators import prompts as P
 from scoreframe.operators import summary as S
-from scoreframe.operators.predictions import attach_predictions, generate_to
+from scoreframe.operators.predictions import attach_predictions, generate_to, sample_keys
 from scoreframe.operators.rules import rule_predictions
 from scoreframe.operators.score import declared_metrics, score
-from scoreframe.session import ship
+from scoreframe.session import ship, spread
 from scoreframe.sources import datasets as D
 from scoreframe.sources import sinks
 
@@ -82,6 +82,7 @@ def evaluate(
     else:
         pairs = rule_predictions(asked, answer, **how).withColumn("model", F.lit(model))
 
+    pairs = spread(pairs, [f"{place}/datasets"], *sample_keys(pairs))
     scored = score(pairs, chosen, only_declared=metrics is None).drop("prompt")
     if metrics is not None:
         scored = scored.drop("metrics")

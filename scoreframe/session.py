@@ -26,6 +26,8 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
+    if not package.is_dir():  # already running from a shipped archive
+        return
     archive = Path(tempfile.mkdtemp(prefix="scoreframe-")) / "scoreframe.zip"
     with zipfile.ZipFile(archive, "w") as bundle:
         for source in sorted(package.rglob("*.py")):

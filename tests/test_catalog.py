@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import brute
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -49,6 +50,19 @@ def test_other_queries_give_rows(spark, folder, name):
     assert entry.queries()[name](spark, folder).count() > 0
 
 
+def test_long_texts_against_the_formulas(spark, folder):
+    from workloads.tables import conversation_pairs
+
+    texts = {r.sample_idx: r for r in conversation_pairs(spark, folder).collect()}
+    scored = entry.queries()["character_metrics"](spark, folder).collect()
+    assert len(scored) == len(texts)
+    for row in scored:
+        pair = texts[row.sample_idx]
+        for name in ("char_f1", "fuzzy_match"):
+            expected = getattr(brute, name)(pair.prediction, pair.reference)
+            assert row[name] == pytest.approx(expected, abs=1e-6), (name, row.sample_idx)
+
+
 def test_flagship(spark):
     frame = entry.entry(spark)
     assert frame.count() > 0 and "exact_match_std" in frame.columns
