@@ -49,6 +49,8 @@ def char_f1(prediction: Column, reference: Column) -> Column:
     """
 
     def score(p: str, r: str) -> float:
+        if p == r:
+            return 1.0
         return kernels.fuzzy_ratio(kernels.token_sorted(p), kernels.token_sorted(r)) / 100.0
 
     return pair_udf(score)(prediction, reference)

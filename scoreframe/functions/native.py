@@ -24,10 +24,12 @@ class Text:
     With `shared`, a derived form is recorded there under a column name and the view
     hands out a reference to that column; without, it is written in place. `shared`
     has two layers, because a form of the second one reads a form of the first.
+    `touched` collects the names of the forms asked for.
     """
 
     def __init__(self, raw: Column, prefix: str = "", shared: Layers | None = None):
         self.raw = raw
+        self.touched: set[str] = set()
         self._prefix = prefix
         self._shared = shared
 
@@ -35,6 +37,7 @@ class Text:
         if self._shared is None:
             return make()
         column = f"__{self._prefix}_{name}"
+        self.touched.add(column)
         if column not in self._shared[layer]:
             self._shared[layer][column] = make()
         return F.col(column)

@@ -17,13 +17,21 @@ KEY = ("model", "dataset", "sample_idx", "metric")
 COLUMNS = (*KEY, "score", "created_at", "updated_at", "is_builtin", "is_active")
 
 
-def merge_scores(current: DataFrame, changes: DataFrame) -> DataFrame:
+FEW_CHANGES = 200_000
+
+
+def merge_scores(
+    current: DataFrame, changes: DataFrame, few_changes: int = FEW_CHANGES
+) -> DataFrame:
     """Apply `changes` (key, score, updated_at, seq, is_builtin) to the `current` rows.
 
     The latest change by `(updated_at, seq)` gives the value; a new row is created at
     its first change. `created_at` of an existing row stays. A builtin write marks the
     row builtin for good, any other write leaves the origin as it is. Writing to a
     retracted row does not bring it back.
+
+    The changes are counted first. Up to `few_changes` of them travel to the tasks, and
+    the current table is not shuffled; more of them meet it in one full outer join.
     """
     version = F.struct("updated_at", "seq")
     latest = changes.groupBy(*KEY).agg(
@@ -32,8 +40,26 @@ def merge_scores(current: DataFrame, changes: DataFrame) -> DataFrame:
         F.max("updated_at").alias("last_at"),
         F.bool_or("is_builtin").alias("any_builtin"),
     )
+    if changes.count() > few_changes:
+        return _applied(current.join(latest, list(KEY), "full_outer"))
+    known = current.select(*KEY).join(F.broadcast(latest.select(*KEY)), list(KEY), "left_semi")
+    # There are no more known keys than changes, so this side is as small.
+    new = latest.join(F.broadcast(known), list(KEY), "left_anti")
+    return _applied(current.join(F.broadcast(latest), list(KEY), "left")).unionByName(
+        _applied(new, current)
+    )
+
+
+def _applied(joined: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """The new state of rows with their latest change, either of which may be missing.
+
+    With `like` the rows are new, and the columns of that state table are NULL in them.
+    """
+    if like is not None:
+        state = [f for f in like.schema.fields if f.name not in KEY]
+        joined = joined.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in state])
     written = F.col("last_at").isNotNull()
-    return current.join(latest, list(KEY), "full_outer").select(
+    return joined.select(
         *KEY,
         F.when(written, F.col("new_score")).otherwise(F.col("score")).alias("score"),
         F.coalesce("created_at", "first_at").alias("created_at"),

@@ -32,8 +32,9 @@ def score(
     """Add one double column per metric, named after it.
 
     With `only_declared` each row is scored by just those metrics its array column
-    `metrics` names; the others stay NULL, and their Python functions get NULL inputs,
-    because a UDF inside a condition would run for every row.
+    `metrics` names; the others stay NULL and cost nothing: shared forms are built only
+    where a metric using them is asked for, and Python functions get NULL inputs, because
+    a UDF inside a condition would run for every row.
 
     The plan is a few projections: first the text forms several metrics share, then the
     scores. Python metrics all read the raw text and so run in one `ArrowEvalPython`.
@@ -51,32 +52,36 @@ def score(
     def part_column(p: Metric) -> Column:
         return F.col(p.name if plain.get(p.name) == p else f"__part_{p.name}")
 
-    def asked(m: Metric) -> Column | None:
-        """Condition for a metric to run: declared itself, or through a composite."""
-        if not only_declared:
-            return None
-        users = {m.name} | {c.name for c in chosen if any(p.name == m.name for p, _ in c.parts)}
-        return F.arrays_overlap("metrics", F.array(*[F.lit(u) for u in sorted(users)]))
+    def users(m: Metric) -> set[str]:
+        """Names that make this metric run: its own, and those of composites over it."""
+        return {m.name} | {c.name for c in chosen if any(p.name == m.name for p, _ in c.parts)}
+
+    def asked(names: set[str]) -> Column:
+        return F.arrays_overlap("metrics", F.array(*[F.lit(n) for n in sorted(names)]))
 
     shared: Layers = ({}, {})
     views = (
         Text(F.col(prediction), "prediction", shared),
         Text(F.col(reference), "reference", shared),
     )
+    form_users: dict[str, set[str]] = {}
 
     def column(m: Metric) -> Column:
-        wanted = asked(m)
-        if wanted is None:
-            return m.build(*views).cast("double")
-        if m.takes_text:
-            return F.when(wanted, m.build(*views)).cast("double")
-        raw = [F.when(wanted, F.col(name)) for name in (prediction, reference)]
-        return m.build(Text(raw[0]), Text(raw[1])).cast("double")
+        if only_declared and not m.takes_text:
+            inputs = [F.when(asked(users(m)), F.col(c)) for c in (prediction, reference)]
+            return m.build(*map(Text, inputs)).cast("double")
+        for view in views:
+            view.touched.clear()
+        value = m.build(*views).cast("double")
+        for form in views[0].touched | views[1].touched:
+            form_users.setdefault(form, set()).update(users(m))
+        return F.when(asked(users(m)), value) if only_declared else value
 
     scores = {name: column(m) for name, m in {**plain, **hidden}.items()}
     formed = pairs
     for layer in shared:
-        formed = formed.select("*", *[c.alias(n) for n, c in layer.items()])
+        forms = {n: F.when(asked(form_users[n]), c) if only_declared else c for n, c in layer.items()}
+        formed = formed.select("*", *[c.alias(n) for n, c in forms.items()])
     scored = formed.select(
         *[F.col(f"`{c}`") for c in pairs.columns], *[c.alias(n) for n, c in scores.items()]
     )

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from scoreframe import active, lookup, merge_scores, retract
 
 STATE = (
@@ -55,13 +57,14 @@ def frame_of(spark, state):
     return spark.createDataFrame(rows, STATE)
 
 
-def test_replayed_log(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_replayed_log(spark, few):
     rng = random.Random(5)
     state, table = {}, spark.createDataFrame([], STATE)
     for step in range(3):
         changes = log(rng, 25, 100 * step)
         state = replay(state, changes)
-        table = merge_scores(table, spark.createDataFrame(changes, CHANGE))
+        table = merge_scores(table, spark.createDataFrame(changes, CHANGE), few)
         assert rows_of(table) == state
         gone = [key for key in state if rng.random() < 0.3] + [("m", "d", 999, "x")]
         keys = spark.createDataFrame(

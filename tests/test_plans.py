@@ -82,10 +82,24 @@ def test_merge_shuffles_each_side_once(plan, spark, tmp_path):
     read = lambda name: spark.read.parquet(str(tmp_path / name))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(merge_scores(read("state"), read("log")))
+        text = plan(merge_scores(read("state"), read("log"), few_changes=0))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange") == 2
+    text = plan(merge_scores(read("state"), read("log")))
+    # Only the changes are exchanged, for their aggregation and to be sent to the tasks.
+    assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") == 3
+    assert "FullOuter" not in text
+
+
+def test_undeclared_forms_are_not_built(plan, pairs):
+    names = ["exact_match", "jaccard_similarity"]
+    early = F.col("sample_idx") < 5
+    one = F.when(early, F.array(F.lit(names[0]))).otherwise(F.array(F.lit(names[1])))
+    text = plan(score(pairs.withColumn("metrics", one), names, only_declared=True))
+    for form in ("stripped", "word_set"):
+        made = text.split(f" AS __prediction_{form}")[0].rsplit("CASE WHEN arrays_overlap", 1)
+        assert len(made) == 2 and " AS __" not in made[1], form
 
 
 def test_long_form_carries_no_texts(plan, pairs):

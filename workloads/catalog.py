@@ -879,6 +879,14 @@ def _merged(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {Q.SCORE_LOG} SELECT {_STATE} FROM merged")
 def merge_scores(spark, folder):
+    """However many changes there are: one full outer join."""
+    current, changes = D.current_scores(spark, folder), D.score_changes(spark, folder)
+    return sf.merge_scores(current, changes, few_changes=0)
+
+
+@query(f"WITH {Q.SCORE_LOG} SELECT {_STATE} FROM merged")
+def merge_few_changes(spark, folder):
+    """Changes that are sent to the tasks as long as they are few."""
     return _merged(spark, folder)
 
 
