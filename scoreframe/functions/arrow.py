@@ -96,4 +96,4 @@ def json_fields(text: Column, fields: Iterable[str]) -> Column:
 def has_json_keys(text: Column, fields: Iterable[str]) -> Column:
     """True where `text` is a JSON object with all `fields`, NULL where it is no object."""
     wanted = tuple(fields)
-    return F.size(json_fields(text, wanted)) == len(wanted)
+    return F.array_size(json_fields(text, wanted)) == len(wanted)

@@ -59,7 +59,7 @@ class Text:
     def word_count(self) -> Column:
         # Case changes no white space, so counting shares the words of `word_set`.
         words = self.lower_words
-        return self._form("word_count", lambda: F.size(words), layer=1)
+        return self._form("word_count", lambda: F.array_size(words), layer=1)
 
     @property
     def word_set(self) -> Column:
@@ -100,17 +100,16 @@ def contains_answer(prediction: Text, reference: Text) -> Column:
 
 def set_f1(prediction: Text, reference: Text, delimiter: str = "\n") -> Column:
     got, want = prediction.item_set(delimiter), reference.item_set(delimiter)
-    common = F.size(F.array_intersect(got, want))
-    total = F.size(got) + F.size(want)
-    return _by_presence(_size(got), _size(want), F.lit(2.0) * common / total)
+    common = F.array_size(F.array_intersect(got, want))
+    sizes = F.array_size(got), F.array_size(want)
+    return _by_presence(*sizes, F.lit(2.0) * common / (sizes[0] + sizes[1]))
 
 
 def jaccard_similarity(prediction: Text, reference: Text) -> Column:
     got, want = prediction.word_set, reference.word_set
-    common = F.size(F.array_intersect(got, want))
-    return _by_presence(
-        _size(got), _size(want), common / (F.size(got) + F.size(want) - common)
-    )
+    common = F.array_size(F.array_intersect(got, want))
+    sizes = F.array_size(got), F.array_size(want)
+    return _by_presence(*sizes, common / (sizes[0] + sizes[1] - common))
 
 
 def word_count_similarity(prediction: Text, reference: Text) -> Column:
@@ -131,8 +130,3 @@ def weighted_match(
     if not case_sensitive:
         got, want = F.lower(got), F.lower(want)
     return F.when(got == want, F.lit(float(weight))).when(got != want, F.lit(0.0))
-
-
-def _size(values: Column) -> Column:
-    """Array size, NULL for a NULL array whatever the session's legacy setting."""
-    return F.when(values.isNotNull(), F.size(values))

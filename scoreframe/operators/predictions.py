@@ -27,7 +27,7 @@ def parse_responses(responses: DataFrame, raw: str = "raw") -> DataFrame:
     without content predicts the empty string but is no error.
     """
     choices = F.from_json(raw, RESPONSE, {"allowSingleQuotes": "false"})["choices"]
-    answered = F.coalesce(F.size(F.col("__choices")) > 0, F.lit(False))
+    answered = F.coalesce(F.array_size(F.col("__choices")) > 0, F.lit(False))
     content = F.try_element_at(F.col("__choices"), F.lit(1))["message"]["content"]
     return (
         responses.withColumn("__choices", choices)

@@ -21,7 +21,7 @@ def prompt_prefix(few_shot_count: int = 0) -> Column:
         F.slice("few_shots", 1, few_shot_count),
         lambda shot: F.concat(F.lit("\n\n"), shot["input"], F.lit("\n"), shot["output"]),
     )
-    enough = F.size("few_shots") >= few_shot_count
+    enough = F.array_size("few_shots") >= few_shot_count
     return F.concat("instruction", F.when(enough, F.array_join(shots, "")).otherwise(""))
 
 

@@ -119,13 +119,13 @@ def _joined(prompts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
         return prompts.withColumn("prediction", F.lit(default))
 
     windows = F.transform(
-        F.sequence(F.lit(1), F.size("chars") - F.col("stem_size") + 1),
+        F.sequence(F.lit(1), F.array_size("chars") - F.col("stem_size") + 1),
         lambda start: F.xxhash64(F.slice("chars", start, F.col("stem_size"))),
     )
     places = (
         prompts.select(*keys, F.split("prompt", "").alias("chars"))
         .withColumn("stem_size", F.explode(F.array(*[F.lit(n) for n in sorted(stem_sizes)])))
-        .filter(F.size("chars") >= F.col("stem_size"))
+        .filter(F.array_size("chars") >= F.col("stem_size"))
         .select(*keys, "stem_size", F.posexplode(windows).alias("start", "window"))
         .join(stems, ["stem_size", "window"])
         .select(*keys, "start", "size")

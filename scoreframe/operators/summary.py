@@ -121,14 +121,15 @@ def unscored_datasets(scored: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
     Needs the array column `metrics` where a dataset is only scored by its own list.
     """
-    asked = lambda name: F.array_contains("metrics", name) if "metrics" in scored.columns else F.lit(True)
-    missing = [
-        F.bool_or(asked(name) & F.col(name).isNull()).alias(f"__{name}") for name in metrics
-    ]
+    missing = {name: F.col(name).isNull() for name in metrics}
+    if "metrics" in scored.columns:
+        missing = {n: gap & F.array_contains("metrics", n) for n, gap in missing.items()}
     failed = F.coalesce(
         *[F.when(F.col(f"__{name}"), F.lit(f"no score by metric: {name}")) for name in metrics]
     )
-    counted = scored.groupBy(*group_keys(scored)).agg(*missing)
+    counted = scored.groupBy(*group_keys(scored)).agg(
+        *[F.bool_or(gap).alias(f"__{name}") for name, gap in missing.items()]
+    )
     return counted.select(*group_keys(scored), failed.alias("error")).filter("error IS NOT NULL")
 
 

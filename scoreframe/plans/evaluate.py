@@ -50,10 +50,12 @@ def evaluate(
 
     `answer` is a function called per prompt (`how` goes to `generate`), a rule mapping
     or table, or a predictions table. Without `metrics` each dataset is scored by its
-    own list. Datasets that cannot be evaluated, or that a metric leaves without a score,
-    are reported in `failures` and left out of all summaries. Parsed datasets, predictions, scores and the summary are each
-    written once below `output` and read back, so that nothing is parsed, generated or
-    scored twice and a lost executor costs its own tasks only.
+    own list. `partitions` spreads the samples of large files over that many tasks.
+
+    Datasets that cannot be evaluated, or that a metric leaves without a score, are
+    reported in `failures` and left out of all summaries. Parsed datasets, predictions,
+    scores and the summary are each written once below `output` and read back, so that
+    nothing is parsed, generated or scored twice and a lost executor costs its own tasks.
     """
     started = time.monotonic()
     ship(spark)

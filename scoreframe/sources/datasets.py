@@ -96,8 +96,8 @@ def dataset_info(datasets: DataFrame) -> DataFrame:
         "instruction",
         "output_length",
         "metrics",
-        F.size("few_shots").alias("few_shot_total"),
-        F.size("samples").alias("sample_total"),
+        F.array_size("few_shots").alias("few_shot_total"),
+        F.array_size("samples").alias("sample_total"),
     )
 
 
@@ -135,7 +135,7 @@ def dataset_error(few_shot_count: int = 0, metrics: Iterable[str] | None = None)
     With `metrics` given the dataset's own list is not used and so not checked.
     """
     incomplete = lambda pair: pair.isNull() | pair["input"].isNull() | pair["output"].isNull()
-    prompted = F.size("samples") > 0  # prompts are built per sample
+    prompted = F.array_size("samples") > 0  # prompts are built per sample
     checks = [
         (F.col("samples").isNull(), F.lit("samples is not a list of pairs")),
         (F.col("instruction").isNull() & prompted, F.lit("instruction is null")),
@@ -143,7 +143,7 @@ def dataset_error(few_shot_count: int = 0, metrics: Iterable[str] | None = None)
     ]
     if few_shot_count > 0:
         used = F.slice("few_shots", 1, few_shot_count)
-        enough = F.size("few_shots") >= few_shot_count
+        enough = F.array_size("few_shots") >= few_shot_count
         checks += [
             (F.col("few_shots").isNull() & prompted, F.lit("few_shots is not a list of pairs")),
             (
@@ -156,7 +156,10 @@ def dataset_error(few_shot_count: int = 0, metrics: Iterable[str] | None = None)
         unknown = F.array_except("metrics", known)
         checks += [
             (F.col("metrics").isNull(), F.lit("metrics is not a list")),
-            (F.size(unknown) > 0, F.concat(F.lit("Unsupported metric: "), F.element_at(unknown, 1))),
+            (
+                F.array_size(unknown) > 0,
+                F.concat(F.lit("Unsupported metric: "), F.try_element_at(unknown, F.lit(1))),
+            ),
         ]
     return F.coalesce(*[F.when(failed, message) for failed, message in checks])
 

@@ -24,7 +24,8 @@ def database(folder):
 
 def ordered(columns, rows):
     places = [columns.index(c) for c in sorted(columns)]
-    return sorted((tuple(r[p] for p in places) for r in rows), key=lambda r: [(v is None, str(v)) for v in r])
+    picked = (tuple(row[p] for p in places) for row in rows)
+    return sorted(picked, key=lambda row: [(value is None, str(value)) for value in row])
 
 
 def same(left, right):

@@ -116,7 +116,8 @@ def test_a_failing_metric_costs_only_its_dataset(spark, place):
     register_metric("picky", picky, python=True, null_on_error=True)
     for name, text in (("one", "x"), ("two", "")):
         (place / "in" / f"{name}.json").write_text(document(["picky"], [("q", "r"), (text, "r")]))
-    run = evaluate(spark, str(place / "in"), "m", {"q": "yes", "x": "four"}, str(place / "out"), default="")
+    rules = {"q": "yes", "x": "four"}
+    run = evaluate(spark, str(place / "in"), "m", rules, str(place / "out"), default="")
     errors = {r.dataset: r.error for r in run.failures.collect()}
     assert errors["two"] == "no score by metric: picky"
     rows = {r.dataset: r.picky for r in run.report.collect()}

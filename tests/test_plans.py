@@ -117,10 +117,10 @@ def test_spread_only_shuffles_small_input(plan, spark, folder, pairs, monkeypatc
 
 def test_scoring_works_on_a_stream(spark, tmp_path):
     source = str(tmp_path / "pairs")
-    spark.createDataFrame([("a", "a"), ("b", "a")], "prediction string, reference string").write.parquet(source)
-    stream = spark.readStream.schema("prediction string, reference string").parquet(source)
-    scored = score(stream, ["exact_match", "char_f1"])
-    writer = scored.writeStream.format("memory").queryName("streamed")
-    writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    pair = "prediction string, reference string"
+    spark.createDataFrame([("a", "a"), ("b", "a")], pair).write.parquet(source)
+    scored = score(spark.readStream.schema(pair).parquet(source), ["exact_match", "char_f1"])
+    writer = scored.writeStream.format("memory").queryName("streamed").trigger(availableNow=True)
+    writer.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
     rows = spark.sql("SELECT exact_match FROM streamed").collect()
     assert sorted(r.exact_match for r in rows) == [0.0, 1.0]

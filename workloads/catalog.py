@@ -103,7 +103,9 @@ _METRIC_VALUES = {
         "b)", f"{_word_set('reference')})"
     ),
     "word_count_similarity": Q.by_presence(
-        _WORDS_P, _WORDS_R, f"1 - abs({_WORDS_P} - {_WORDS_R})::DOUBLE / greatest({_WORDS_P}, {_WORDS_R})"
+        _WORDS_P,
+        _WORDS_R,
+        f"1 - abs({_WORDS_P} - {_WORDS_R})::DOUBLE / greatest({_WORDS_P}, {_WORDS_R})",
     ),
     "length_ratio": Q.by_presence(
         "length(prediction)",
@@ -115,7 +117,7 @@ _METRIC_VALUES = {
 }
 
 
-def _scored(spark: SparkSession, pairs: DataFrame, *metrics, keys=("sample_idx",)) -> DataFrame:
+def _scored(pairs: DataFrame, *metrics, keys=("sample_idx",)) -> DataFrame:
     chosen = sf.metrics(metrics)
     return sf.score(pairs, chosen).select(*keys, *[rounded(m.name) for m in chosen])
 
@@ -126,7 +128,7 @@ def _spread(pairs: DataFrame, folder: str, source: str) -> DataFrame:
 
 @query(_metric_sql(Q.CONVERSATION_PAIRS, "exact_match", _METRIC_VALUES["exact_match"]))
 def exact_match(spark, folder):
-    return _scored(spark, D.conversation_pairs(spark, folder), "exact_match")
+    return _scored(D.conversation_pairs(spark, folder), "exact_match")
 
 
 @query(
@@ -137,12 +139,12 @@ def exact_match(spark, folder):
            AS exact_match_figure FROM numbers"""
 )
 def exact_match_figure(spark, folder):
-    return _scored(spark, D.numeric_pairs(spark, folder), "exact_match_figure")
+    return _scored(D.numeric_pairs(spark, folder), "exact_match_figure")
 
 
 @query(_metric_sql(Q.PASSAGE_PAIRS, "contains_answer", _METRIC_VALUES["contains_answer"]))
 def contains_answer(spark, folder):
-    return _scored(spark, D.passage_pairs(spark, folder), "contains_answer")
+    return _scored(D.passage_pairs(spark, folder), "contains_answer")
 
 
 @query(
@@ -152,7 +154,7 @@ def contains_answer(spark, folder):
     SELECT sample_idx, round(({_SET_F1})::DOUBLE, 6) AS set_f1 FROM sets"""
 )
 def set_f1(spark, folder):
-    return _scored(spark, D.document_pairs(spark, folder), "set_f1")
+    return _scored(D.document_pairs(spark, folder), "set_f1")
 
 
 @query(
@@ -169,7 +171,7 @@ def set_f1(spark, folder):
 )
 def set_f1_delimiter(spark, folder):
     pairs = D.conversation_pairs(spark, folder)
-    return _scored(spark, pairs, sf.metric("set_f1", delimiter=", "))
+    return _scored(pairs, sf.metric("set_f1", delimiter=", "))
 
 
 def _lcs_sql(pairs: str, tokens_p: str, tokens_r: str, outer: str) -> str:
@@ -205,7 +207,8 @@ _PERCENT = """CASE WHEN size_a = 0 AND size_b = 0 THEN 100
     )
 )
 def char_f1(spark, folder):
-    return _scored(spark, _spread(D.part_pairs(spark, folder), folder, "part"), "char_f1")
+    pairs = _spread(D.part_pairs(spark, folder), folder, "part")
+    return _scored(pairs, "char_f1")
 
 
 @query(
@@ -220,14 +223,14 @@ def char_f1(spark, folder):
 )
 def fuzzy_match(spark, folder):
     pairs = _spread(D.part_pairs(spark, folder), folder, "part")
-    return _scored(spark, pairs, sf.metric("fuzzy_match", match_threshold=0.7))
+    return _scored(pairs, sf.metric("fuzzy_match", match_threshold=0.7))
 
 
 @query()
 def character_metrics(spark, folder):
     """Both character metrics on long texts, where a fold in SQL takes too long."""
     pairs = _spread(D.conversation_pairs(spark, folder), folder, "conversations")
-    return _scored(spark, pairs, "char_f1", "fuzzy_match")
+    return _scored(pairs, "char_f1", "fuzzy_match")
 
 
 def _bleu_tokens(text: str) -> str:
@@ -277,7 +280,8 @@ def _bleu_tokens(text: str) -> str:
     FROM tokens t LEFT JOIN logs l ON t.sample_idx = l.sample_idx"""
 )
 def bleu(spark, folder):
-    return _scored(spark, _spread(D.conversation_pairs(spark, folder), folder, "conversations"), "bleu")
+    pairs = _spread(D.conversation_pairs(spark, folder), folder, "conversations")
+    return _scored(pairs, "bleu")
 
 
 @query(
@@ -290,14 +294,15 @@ def bleu(spark, folder):
     )
 )
 def rouge_l(spark, folder):
-    return _scored(spark, _spread(D.conversation_pairs(spark, folder), folder, "conversations"), "rouge_l")
+    pairs = _spread(D.conversation_pairs(spark, folder), folder, "conversations")
+    return _scored(pairs, "rouge_l")
 
 
 @query()
 def document_similarity(spark, folder):
     """All Python metrics over whole documents, whatever their length."""
     pairs = _spread(D.document_pairs(spark, folder), folder, "documents")
-    return _scored(spark, pairs, "rouge_l", "bleu", "char_f1", keys=("dataset", "sample_idx"))
+    return _scored(pairs, "rouge_l", "bleu", "char_f1", keys=("dataset", "sample_idx"))
 
 
 @query(
@@ -307,7 +312,8 @@ def document_similarity(spark, folder):
     SELECT sample_idx, round(({_JACCARD})::DOUBLE, 6) AS jaccard_similarity FROM sets"""
 )
 def jaccard_similarity(spark, folder):
-    return _scored(spark, _spread(D.document_pairs(spark, folder), folder, "documents"), "jaccard_similarity")
+    pairs = _spread(D.document_pairs(spark, folder), folder, "documents")
+    return _scored(pairs, "jaccard_similarity")
 
 
 @query(
@@ -316,17 +322,18 @@ def jaccard_similarity(spark, folder):
     )
 )
 def word_count_similarity(spark, folder):
-    return _scored(spark, _spread(D.document_pairs(spark, folder), folder, "documents"), "word_count_similarity")
+    pairs = _spread(D.document_pairs(spark, folder), folder, "documents")
+    return _scored(pairs, "word_count_similarity")
 
 
 @query(_metric_sql(Q.CONVERSATION_PAIRS, "length_ratio", _METRIC_VALUES["length_ratio"]))
 def length_ratio(spark, folder):
-    return _scored(spark, D.conversation_pairs(spark, folder), "length_ratio")
+    return _scored(D.conversation_pairs(spark, folder), "length_ratio")
 
 
 @query(_metric_sql(Q.CONVERSATION_PAIRS, "weighted_match", _METRIC_VALUES["weighted_match"]))
 def weighted_match(spark, folder):
-    return _scored(spark, D.conversation_pairs(spark, folder), "weighted_match")
+    return _scored(D.conversation_pairs(spark, folder), "weighted_match")
 
 
 @query(
@@ -342,7 +349,8 @@ def weighted_match(spark, folder):
 )
 def composite(spark, folder):
     """One-line texts, so the set score equals the exact match in the SQL."""
-    return _scored(spark, _spread(D.part_pairs(spark, folder), folder, "part"), "composite")
+    pairs = _spread(D.part_pairs(spark, folder), folder, "part")
+    return _scored(pairs, "composite")
 
 
 @query(
@@ -362,7 +370,8 @@ def composite(spark, folder):
       END, 6)::DOUBLE AS json_validity FROM keys"""
 )
 def json_validity(spark, folder):
-    return _scored(spark, _spread(D.json_pairs(spark, folder), folder, "events"), "json_validity")
+    pairs = _spread(D.json_pairs(spark, folder), folder, "events")
+    return _scored(pairs, "json_validity")
 
 
 @query(
@@ -629,9 +638,8 @@ def generate(spark, folder):
 )
 def rule_predictions(spark, folder):
     """Benchmark passages as rules over whole documents."""
-    answered = sf.rule_predictions(
-        _spread(D.document_prompts(spark, folder), folder, "documents"), D.benchmark_rules(spark, folder), "none"
-    )
+    prompts = _spread(D.document_prompts(spark, folder), folder, "documents")
+    answered = sf.rule_predictions(prompts, D.benchmark_rules(spark, folder), "none")
     return answered.select("sample_idx", "prediction")
 
 
