@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scoreframe.session import ship
 from scoreframe.sources.datasets import source_keys
 
 RESPONSE = "choices array<struct<message:struct<content:string>>>"
@@ -91,6 +92,7 @@ def generate(
     Reading the result twice would call the model twice: use `generate_to`, or write
     it to a table, before scoring.
     """
+    ship(prompts.sparkSession)
     keys = sample_keys(prompts)
     source = prompts.select(*keys, "prompt")
     fields = [source.schema[k] for k in keys]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreframe.functions.native import Layers, Text
 from scoreframe.functions.registry import Metric, list_metrics, metrics as resolve
+from scoreframe.session import ship
 
 
 def declared_metrics(datasets: DataFrame) -> list[str]:
@@ -39,6 +40,7 @@ def score(
     The plan is a few projections: first the text forms several metrics share, then the
     scores. Python metrics all read the raw text and so run in one `ArrowEvalPython`.
     """
+    ship(pairs.sparkSession)
     chosen = resolve(metrics)
     names = [m.name for m in chosen]
     if len(set(names)) < len(names):

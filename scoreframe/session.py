@@ -20,8 +20,9 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of `spark`, once per application.
 
-    Needed for Arrow metrics unless the package is installed on every node. The archive
-    is the driver's own copy, from which Spark hands the package to every worker.
+    Reading, generating and scoring do so by themselves; a metric called as a column needs
+    it unless the package is installed on every node. The archive is the driver's own copy,
+    from which Spark hands the package to every worker.
     """
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:

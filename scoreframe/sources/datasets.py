@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from scoreframe.functions import arrow
 from scoreframe.functions.registry import list_metrics
+from scoreframe.session import ship
 
 PAIR = "struct<input:string,output:string>"
 DOCUMENT = (
@@ -29,6 +30,7 @@ REQUIRED = ("instruction", "samples", "metrics")
 
 def _files(spark: SparkSession, path: str | Sequence[str], pattern: str) -> DataFrame:
     """One row per file: location, name without suffix, and text (NULL if not UTF-8)."""
+    ship(spark)
     files = spark.read.text(
         path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern
     )
