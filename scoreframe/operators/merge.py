@@ -30,8 +30,8 @@ def merge_scores(
     row builtin for good, any other write leaves the origin as it is. Writing to a
     retracted row does not bring it back.
 
-    The changes are counted first. Up to `few_changes` of them travel to the tasks, and
-    the current table is not shuffled; more of them meet it in one full outer join.
+    The changes are counted first, unless `few_changes` is 0. Up to that many travel to the
+    tasks, and the current table is not shuffled; more meet it in one full outer join.
     """
     version = F.struct("updated_at", "seq")
     latest = changes.groupBy(*KEY).agg(
@@ -40,7 +40,7 @@ def merge_scores(
         F.max("updated_at").alias("last_at"),
         F.bool_or("is_builtin").alias("any_builtin"),
     )
-    if changes.count() > few_changes:
+    if few_changes <= 0 or changes.count() > few_changes:
         return _applied(current.join(latest, list(KEY), "full_outer"))
     known = current.select(*KEY).join(F.broadcast(latest.select(*KEY)), list(KEY), "left_semi")
     # There are no more known keys than changes, so this side is as small.
