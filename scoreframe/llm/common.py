@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +30,49 @@ def known(doc_id: str) -> Column:
 
 def documents(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def sum_blocks(frame: DataFrame, dtype: str, partitions: int) -> DataFrame:
+    """Add up packed arrays: `frame` has key string, block int, data binary of numpy `dtype`.
+
+    Rows of a block meet in one task, which holds one block at a time.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, total = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(
+                {
+                    "key": pa.array([place[0]], pa.string()),
+                    "block": pa.array([place[1]], pa.int32()),
+                    "data": [total.tobytes()],
+                }
+            )
+
+        for batch in batches:
+            for key, block, data in zip(*(column.to_pylist() for column in batch.columns)):
+                values = np.frombuffer(data, dtype)
+                if (key, block) != place:
+                    if place is not None:
+                        yield done()
+                    place, total = (key, block), values.copy()
+                else:
+                    total += values
+        if place is not None:
+            yield done()
+
+    dealt = frame.repartition(partitions, "key", "block").sortWithinPartitions("key", "block")
+    return dealt.mapInArrow(add, "key string, block int, data binary")
+
+
+def blocks(key: str, values: np.ndarray, size: int) -> pa.RecordBatch:
+    """One array as rows for `sum_blocks`, `size` values each."""
+    parts = range(0, len(values), size)
+    return pa.RecordBatch.from_pydict(
+        {
+            "key": pa.array([key] * len(parts), pa.string()),
+            "block": pa.array(range(len(parts)), pa.int32()),
+            "data": pa.array([values[i : i + size].tobytes() for i in parts], pa.binary()),
+        }
+    )

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import documents
+from scoreframe.llm.common import documents, held
 from scoreframe.llm.exact import exact_duplicates
+from scoreframe.llm.language import identify_language
 from scoreframe.llm.lines import dedup_lines
+from scoreframe.llm.lm import score_texts
+from scoreframe.llm.packing import pack
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -47,6 +52,18 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", digest)
 
 
+@query()
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = identify_language(documents(spark, folder), ~held("doc_id", 3, 1))
+    return found.select("doc_id", held("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    found = score_texts(documents(spark, folder), ~held("doc_id", 10, 0))
+    return found.withColumn("held_out", held("doc_id", 10, 0))
+
+
 @query(r"""
     WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body
                    FROM documents),
@@ -56,3 +73,8 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(documents(spark, folder))
+
+
+@query()
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(documents(spark, folder), TOKENIZER)
