@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scoreframe.llm.common import documents, held
 from scoreframe.llm.exact import exact_duplicates
 from scoreframe.llm.language import identify_language
+from scoreframe.llm.licenses import scan_licenses
 from scoreframe.llm.lines import dedup_lines
 from scoreframe.llm.lm import score_texts
 from scoreframe.llm.packing import pack
@@ -58,6 +59,13 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+# The contract's columns only: the labels and the score beyond the fixed phrases are the
+# method's own, so SQL has no counterpart of the whole result.
+@query()
+def op3_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(documents(spark, folder)).drop("spans")
+
+
 @query()
 def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     found = score_texts(documents(spark, folder), ~held("doc_id", 10, 0))
