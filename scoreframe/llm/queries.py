@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from scoreframe.llm.common import documents, held
 from scoreframe.llm.exact import exact_duplicates
+from scoreframe.llm.extract import extract_main_text
 from scoreframe.llm.language import identify_language
 from scoreframe.llm.licenses import scan_licenses
 from scoreframe.llm.lines import dedup_lines
 from scoreframe.llm.lm import score_texts
 from scoreframe.llm.packing import pack
+from scoreframe.llm.toxicity import score_toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +68,11 @@ def op3_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(documents(spark, folder)).drop("spans")
 
 
+@query()
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 @query()
 def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     found = score_texts(documents(spark, folder), ~held("doc_id", 10, 0))
@@ -86,3 +93,16 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder), TOKENIZER)
+
+
+@query()
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = score_toxicity(docs, labels, ~held("doc_id", 5, 0))
+    return found.select(
+        "doc_id",
+        held("doc_id", 5, 0).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
