@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreframe.llm.bloom import chunks_for, repeat_filter, seen
 from scoreframe.llm.common import known
-from scoreframe.llm.text import mix
 from scoreframe.session import ship, store
 
 SPACES = b" \t\n\x0b\x0c\r"
-CHUNK_BITS = 20
-PROBES = 4
-FLUSH = 1 << 19
 
 
 def line_key(line: bytes) -> bytes:
@@ -42,89 +38,9 @@ def _keys(text: bytes, least: int) -> dict[bytes, None]:
     return {k: None for k in map(line_key, text.split(b"\n")) if _long_enough(k, least)}
 
 
-def _probes(values: np.ndarray) -> np.ndarray:
-    """The bits of each hash inside its chunk of the filter, a row per probe."""
-    spread = mix(values)
-    mask = np.uint64((1 << CHUNK_BITS) - 1)
-    halves = [spread, mix(spread + np.uint64(1))]
-    return np.stack(
-        [(halves[i // 3] >> np.uint64(20 * (i % 3))) & mask for i in range(PROBES)]
-    ).astype(np.int64)
-
-
-def _chunk(values: np.ndarray, chunks: int) -> np.ndarray:
-    return (values >> np.uint64(40)).astype(np.int64) % chunks
-
-
-def repeat_filter(docs: DataFrame, least: int, chunks: int) -> np.ndarray:
-    """The bits of the twice-seen filter, one row of bytes per chunk.
-
-    Each task sends the distinct hashes of its lines, so a line that is everywhere counts
-    once per task. A chunk's once-seen and twice-seen bits are filled in one pass over
-    what the tasks sent; memory is one chunk at a time.
-    """
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, bool] = {}
-        for batch in batches:
-            for _, text in _texts(batch):
-                for key in _keys(text, least):
-                    value = xxhash.xxh3_64_intdigest(key)
-                    seen[value] = value in seen
-                if len(seen) >= FLUSH:
-                    yield packed(seen)
-                    seen = {}
-        if seen:
-            yield packed(seen)
-
-    def packed(seen: dict[int, bool]) -> pa.RecordBatch:
-        values = np.fromiter(seen, np.uint64, len(seen))
-        again = np.fromiter(seen.values(), bool, len(seen))
-        chunk = _chunk(values, chunks)
-        order = np.argsort(chunk, kind="stable")
-        values, again, chunk = values[order], again[order], chunk[order]
-        numbers, begins = np.unique(chunk, return_index=True)
-        ends = [*begins[1:], len(chunk)]
-        parts = [slice(a, b) for a, b in zip(begins, ends)]
-        return pa.RecordBatch.from_pydict(
-            {
-                "chunk": pa.array(numbers, pa.int32()),
-                "hashes": [values[p].tobytes() for p in parts],
-                "again": [again[p].tobytes() for p in parts],
-            }
-        )
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, once, twice = None, None, None
-
-        def done() -> pa.RecordBatch:
-            bits = np.packbits(twice).tobytes()
-            return pa.RecordBatch.from_pydict(
-                {"chunk": pa.array([current], pa.int32()), "bits": [bits]}
-            )
-
-        for batch in batches:
-            for chunk, hashes, again in zip(*(c.to_pylist() for c in batch.columns)):
-                if chunk != current:
-                    if current is not None:
-                        yield done()
-                    current = chunk
-                    once = np.zeros(1 << CHUNK_BITS, bool)
-                    twice = np.zeros(1 << CHUNK_BITS, bool)
-                probes = _probes(np.frombuffer(hashes, np.uint64))
-                known_before = once[probes].all(axis=0) | np.frombuffer(again, bool)
-                twice[probes[:, known_before]] = True
-                once[probes] = True
-        if current is not None:
-            yield done()
-
-    sent = docs.mapInArrow(gathered, "chunk int, hashes binary, again binary")
-    dealt = sent.repartition(chunks, "chunk").sortWithinPartitions("chunk")
-    filled = dealt.mapInArrow(merged, "chunk int, bits binary").collect()
-    bits = np.zeros((chunks, 1 << (CHUNK_BITS - 3)), np.uint8)
-    for row in filled:
-        bits[row.chunk] = np.frombuffer(row.bits, np.uint8)
-    return bits
+def _hashes(texts: list[dict[bytes, None]]) -> np.ndarray:
+    values = [xxhash.xxh3_64_intdigest(key) for keys in texts for key in keys]
+    return np.array(values, np.uint64)
 
 
 def suspected(
@@ -134,23 +50,22 @@ def suspected(
     text = F.coalesce(F.col("text"), F.lit(""))
     count = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     lines = docs.agg(F.sum(count.cast("long"))).first()[0] or 0
-    chunks = min(most_chunks, 1 + lines * bits_per_line // (1 << CHUNK_BITS))
-    filled = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs, least, chunks))
+    chunks = chunks_for(lines, bits_per_line, most_chunks)
+
+    def hashed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, text in _texts(batch):
+            yield _hashes([_keys(text, least)])
+
+    filled = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs, hashed, chunks))
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = filled.value
         for batch in batches:
-            ids, keys = [], []
+            ids, found = [], []
             for doc_id, text in _texts(batch):
-                found = _keys(text, least)
-                keys.extend(found)
-                ids.extend([doc_id] * len(found))
-            values = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-            chunk = _chunk(values, chunks)
-            seen = np.ones(len(keys), bool)
-            for probe in _probes(values):
-                seen &= (bits[chunk, probe >> 3] >> (7 - (probe & 7)).astype(np.uint8)) & 1 == 1
-            places = np.flatnonzero(seen)
+                found.append(_keys(text, least))
+                ids.extend([doc_id] * len(found[-1]))
+            keys = [key for keys in found for key in keys]
+            places = np.flatnonzero(seen(filled.value, _hashes(found)))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array([ids[i] for i in places], pa.int64()),

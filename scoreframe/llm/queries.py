@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scoreframe.llm.common import documents, held
 from scoreframe.llm.exact import exact_duplicates
 from scoreframe.llm.extract import extract_main_text
+from scoreframe.llm.jaccard import jaccard_components
 from scoreframe.llm.language import identify_language
 from scoreframe.llm.licenses import scan_licenses
 from scoreframe.llm.lines import dedup_lines
@@ -79,6 +80,11 @@ def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("held_out", held("doc_id", 10, 0))
 
 
+@query()
+def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(documents(spark, folder))
+
+
 @query(r"""
     WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body
                    FROM documents),
