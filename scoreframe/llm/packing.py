@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import os
 import zlib
 from collections.abc import Iterator, Sequence
@@ -13,17 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.llm.text import hashes, runs, words
+from scoreframe.llm.text import hashes, runs, spread_out, words
 from scoreframe.session import ship, store
 
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
+SEPARATOR = 1
 
 
 class WordTokens:
     """Token ids of words, remembered by hash; the memory is emptied when it is full.
 
     The tokenizer drops white space and never joins what it separates, so the ids of a text
-    are those of its words one after the other.
+    are those of its words one after the other. New words are encoded together, with a
+    control character of known id between them.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -31,13 +34,51 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        (self.between,) = self.tokenizer.encode(chr(SEPARATOR), add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # hashes in order
         self.begin = self.count = np.zeros(0, np.int64)
         self.pool = np.zeros(0, "<u4")
 
+    def _find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(self.known, values)
+        if not len(self.known):
+            return place, np.zeros(len(values), bool)
+        place = np.minimum(place, len(self.known) - 1)
+        return place, self.known[place] == values
+
+    def _learn(
+        self, values: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
+    ) -> None:
+        sizes = ends - starts
+        group, place = spread_out(sizes)
+        content = data[starts[group] + place]
+        odd = np.zeros(len(sizes), bool)
+        odd[group[content == SEPARATOR]] = True
+        begins = np.cumsum(sizes + 3) - sizes - 3
+        joined = np.full(int((sizes + 3).sum()), 32, np.uint8)
+        joined[begins + sizes + 1] = SEPARATOR
+        joined[begins[group] + place] = np.where(odd[group], 32, content)
+        whole = joined.tobytes().decode(errors="replace")
+        ids = np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, "<u4")
+        marks = np.flatnonzero(ids == self.between)
+        counts = np.diff(np.concatenate([[-1], marks])) - 1
+        flat = np.delete(ids, marks)
+        starting = len(self.pool) + np.cumsum(counts) - counts
+        for i in np.flatnonzero(odd):
+            word = data[starts[i] : ends[i]].tobytes().decode(errors="replace")
+            own = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4")
+            starting[i], counts[i] = len(self.pool) + len(flat), len(own)
+            flat = np.concatenate([flat, own])
+        self.pool = np.concatenate([self.pool, flat])
+        known = np.concatenate([self.known, values])
+        order = np.argsort(known)
+        self.known = known[order]
+        self.begin = np.concatenate([self.begin, starting])[order]
+        self.count = np.concatenate([self.count, counts])[order]
+
     def encode(
         self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray]:
@@ -47,26 +88,23 @@ class WordTokens:
         codes, unique = pd.factorize(hashes(data, starts, ends))
         where = np.zeros(len(unique), np.int64)
         where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        content, new = data.tobytes(), []
-        for value, at in zip(unique.tolist(), where.tolist()):
-            if value not in self.known:
-                self.known[value] = len(self.known)
-                new.append(content[starts[at] : ends[at]].decode(errors="replace"))
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            sizes = np.array([len(ids) for ids in found], np.int64)
-            flat = np.fromiter((i for ids in found for i in ids), "<u4", int(sizes.sum()))
-            begin = len(self.pool) + np.cumsum(sizes) - sizes
-            self.begin = np.concatenate([self.begin, begin])
-            self.count = np.concatenate([self.count, sizes])
-            self.pool = np.concatenate([self.pool, flat])
-        place = np.fromiter(map(self.known.get, unique.tolist()), np.int64, len(unique))[codes]
+        new = ~self._find(unique)[1]
+        if new.any():
+            at = where[new]
+            self._learn(unique[new], data, starts[at], ends[at])
+        place = self._find(unique)[0][codes]
         counts = self.count[place]
         before = np.cumsum(counts) - counts
         shift = np.repeat(self.begin[place] - before, counts)
         return self.pool[np.arange(len(shift)) + shift], counts
 
 
+@functools.cache
+def word_tokens(tokenizer_file: str) -> WordTokens:
+    """The tokens of one worker process, kept from task to task."""
+    return WordTokens(tokenizer_file)
+
+
 def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
     """Best-fit decreasing: each length goes to the fullest bin that takes it."""
     rooms: list[tuple[int, int]] = []
@@ -187,7 +225,7 @@ def cut_pieces(
     """(doc_id, piece, start, length, ids_crc32) of every text's ids and the end id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer_file)
+        tokens = word_tokens(tokenizer_file)
         for batch in batches:
             for first, last, data, offsets in runs(batch.column("text")):
                 starts, ends, bounds = words(data, offsets)

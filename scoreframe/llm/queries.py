@@ -13,6 +13,7 @@ from scoreframe.llm.exact import exact_duplicates
 from scoreframe.llm.extract import extract_main_text
 from scoreframe.llm.jaccard import jaccard_components
 from scoreframe.llm.language import identify_language
+from scoreframe.llm.latent import find_contamination
 from scoreframe.llm.licenses import scan_licenses
 from scoreframe.llm.lines import dedup_lines
 from scoreframe.llm.lm import score_texts
@@ -112,3 +113,10 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    found = find_contamination(documents(spark, folder), benchmark)
+    return found.drop("matches")
