@@ -23,14 +23,14 @@ MOST_CHUNKS = 1024
 SET = "s1 long, s2 long, n int"
 
 
-def shingle_counts(texts: DataFrame) -> np.ndarray:
+def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
     """Counts of all shingles of all texts, by the counter their hash falls into."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(P.COUNTERS, np.uint32)
         for batch in batches:
             for _, _, data, offsets in runs(batch.column("text")):
-                found, _ = P.text_shingles(data, offsets)
+                found, _ = P.text_shingles(data, offsets, size)
                 np.add.at(counts, (found >> np.uint64(42)).astype(np.int64), np.uint32(1))
         if counts.any():
             yield blocks("", counts, BLOCK)
@@ -42,12 +42,12 @@ def shingle_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-def prefix_table(rows: DataFrame, order, noise: float, percent: int) -> DataFrame:
+def prefix_table(rows: DataFrame, order, noise: float, percent: int, words: int) -> DataFrame:
     """(row, doc_id, s1, s2, n, need, prefix): every text's set by signature, and its prefix."""
 
     def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, tokens, begins in P.runs_of_sets(batch.column("text"), order.value):
+            for first, end, tokens, begins in P.runs_of_sets(batch.column("text"), order.value, words):
                 one, two = P.signatures(tokens, begins)
                 need, parts = [], []
                 for i in range(end - first):
@@ -98,14 +98,14 @@ def shared_entries(entries: DataFrame) -> DataFrame:
     return store(likely.join(lists, "token"), "shared-entries")
 
 
-def fetch_sets(texts: DataFrame, wanted: DataFrame, order, most_chunks: int = MOST_CHUNKS) -> DataFrame:
+def fetch_sets(texts: DataFrame, wanted: DataFrame, order, words: int) -> DataFrame:
     """(row, tokens): the whole sets of the rows in `wanted` (row, s1, s2, n), sorted, packed.
 
     Sets are made anew from the texts. A Bloom filter of the wanted signatures spares the
     shuffle most of the others, and of equal sets each task sends one.
     """
     size = wanted.count()
-    chunks = chunks_for(size, 16, most_chunks)
+    chunks = chunks_for(size, 16, MOST_CHUNKS)
 
     def twice(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         values = batch.column("s1").to_numpy().view(np.uint64)
@@ -119,7 +119,7 @@ def fetch_sets(texts: DataFrame, wanted: DataFrame, order, most_chunks: int = MO
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            for _, _, tokens, begins in P.runs_of_sets(batch.column("text"), order.value):
+            for _, _, tokens, begins in P.runs_of_sets(batch.column("text"), order.value, words):
                 one, two = P.signatures(tokens, begins)
                 hits = np.flatnonzero(seen(sent.value, one) & (np.diff(begins) > 0)).tolist()
                 hits = [i for i in hits if one[i] not in done and not done.add(one[i])]
@@ -185,8 +185,9 @@ def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
 def single_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     """(a, b) from lists of at most `SMALL` rows: rows of different parts with enough matches."""
     small = mixed.filter(F.col("rows") <= SMALL)
-    left = small.select("token", *[F.col(c).alias(f"{c}_a") for c in ("row", "n", "need", "part")])
-    right = small.select("token", *[F.col(c).alias(f"{c}_b") for c in ("row", "n", "need", "part")])
+    fields = ("row", "n", "need", "part")
+    left = small.select("token", *[F.col(c).alias(f"{c}_a") for c in fields])
+    right = small.select("token", *[F.col(c).alias(f"{c}_b") for c in fields])
     pairs = left.join(right, "token").filter(
         (F.col("row_a") < F.col("row_b"))
         & (F.col("part_a") != F.col("part_b"))
@@ -216,20 +217,19 @@ def block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     slot = F.pmod(F.xxhash64("row"), F.ceil(F.col("home.rows") / ROWS))
     homes = homes.withColumn("block", F.xxhash64("home.token", slot)).drop("home")
     homes = store(homes, "homes")
-    touched = store(
-        large.select("row", "token").join(homes.select("row", "block"), "row")
-        .select("token", "block").distinct(),
-        "touched",
-    )
+    touched = large.select("row", "token").join(homes.select("row", "block"), "row")
+    touched = store(touched.select("token", "block").distinct(), "touched")
     other = touched.select("token", F.col("block").alias("second"))
     met = touched.select("token", F.col("block").alias("first")).join(other, "token")
     met = store(met.filter("first <= second").select("first", "second").distinct(), "met")
     rows = store(homes.join(sets, "row"), "block-rows")
     pair = F.xxhash64("first", "second").alias("pair")
     side = ["row", "part", "need", "list", "tokens"]
-    one = met.join(rows, F.col("first") == F.col("block")).select(pair, F.lit(0).alias("side"), *side)
+    one = met.join(rows, F.col("first") == F.col("block"))
     two = met.filter("first <> second").join(rows, F.col("second") == F.col("block"))
-    both = one.unionByName(two.select(pair, F.lit(1).alias("side"), *side))
+    both = one.select(pair, F.lit(0).alias("side"), *side).unionByName(
+        two.select(pair, F.lit(1).alias("side"), *side)
+    )
 
     def compared(table: pa.Table) -> pa.Table:
         sides = table["side"].to_numpy()
@@ -249,7 +249,8 @@ def block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             rest = np.arange(split if split < len(rows) else i + 1, len(rows))
             shared = held[rest] @ held[i]
             near = shared >= np.minimum(need[i], need[rest])
-            near &= 100 * np.minimum(sizes[i], sizes[rest]) >= percent * np.maximum(sizes[i], sizes[rest])
+            least, most = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
+            near &= 100 * least >= percent * most
             for j in rest[near & (root[rest] != root[i])]:
                 if root[j] != root[i] and P.linked(sets[i], sets[j], percent):
                     root[root == root[j]] = root[i]
@@ -265,11 +266,15 @@ def block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    percent: int = 85,
+    words: int = 4,
 ) -> DataFrame:
     """The connected component of every row of `docs` under Jaccard links of its shingles.
 
-    A text's set holds its distinct runs of four lower-cased words, or all its words as one
+    A text's set holds its distinct runs of `words` lower-cased words, or all its words as one
     if they are fewer; two rows link when 100 |intersection| >= `percent` |union|. Returns
     doc_id, n_shingles, component_id (the smallest id reachable). A text without words, null
     or empty, has an empty set and links with nothing. Rows with equal sets link, also if
@@ -290,10 +295,11 @@ def jaccard_components(
         F.col(doc_id).alias("doc_id"),
         F.col(text).cast("string").alias("text"),
     )
-    counts = shingle_counts(rows.select("text"))
+    counts = shingle_counts(rows.select("text"), words)
     chance = float(counts.mean())
     order = context.broadcast(P.frequency_classes(counts))
-    table = store(prefix_table(rows, order, chance + 3 * chance**0.5, percent), "prefixes")
+    noise = chance + 3 * chance**0.5
+    table = store(prefix_table(rows, order, noise, percent, words), "prefixes")
 
     filled = table.filter("n > 0")
     sets_of = ["s1", "s2", "n"]
@@ -304,7 +310,7 @@ def jaccard_components(
     )
     shared = shared_entries(entries.select("token", "row", "n", "need"))
     wanted = store(shared.select("row").distinct().join(groups, "row"), "wanted")
-    sets = fetch_sets(rows.select("text"), wanted, order)
+    sets = fetch_sets(rows.select("text"), wanted, order, words)
 
     stars = store(verified_pairs(star_pairs(shared, percent), sets, percent), "star-links")
     parts = components(stars).select(F.col("node").alias("row"), F.col("label").alias("part"))

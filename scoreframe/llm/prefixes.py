@@ -5,20 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from scoreframe.llm.text import hashes, lower, mix, runs, shingles, words
 
-SHINGLE = 4
 COUNTERS = 1 << 22
 SCALE = 4  # classes of frequency per doubling
 MOST_MATCHES = 8
 VERIFY = 4.0  # cost of verifying a candidate, in list entries read
 
 
-def text_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def text_shingles(
+    data: np.ndarray, offsets: np.ndarray, size: int
+) -> tuple[np.ndarray, np.ndarray]:
     low = lower(data)
     starts, ends, bounds = words(low, offsets)
-    return shingles(hashes(low, starts, ends), bounds, SHINGLE)
+    return shingles(hashes(low, starts, ends), bounds, size)
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
@@ -27,14 +29,14 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
 
 
 def sorted_sets(
-    data: np.ndarray, offsets: np.ndarray, classes: np.ndarray
+    data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, size: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct tokens, rare ones first, end to end, and where each text's begin.
 
     A token is the frequency class of a shingle's counter in the upper byte and 56 bits of
     its hash, so that numeric order is the global order of tokens.
     """
-    found, begins = text_shingles(data, offsets)
+    found, begins = text_shingles(data, offsets, size)
     common = classes[(found >> np.uint64(42)).astype(np.int64)].astype(np.uint64)
     tokens = common << np.uint64(56) | found & np.uint64((1 << 56) - 1)
     for begin, end in zip(begins[:-1].tolist(), begins[1:].tolist()):
@@ -79,14 +81,16 @@ def prefix_length(size: int, matches: int, percent: int) -> int:
 
 
 def linked(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
-    """Whether two sets, sorted, are similar enough."""
-    size = len(left) + len(right)
-    union = len(np.union1d(left, right)) if 100 * min(len(left), len(right)) >= percent * max(
-        len(left), len(right)
-    ) else size
-    return size > 0 and 100 * (size - union) >= percent * union
+    """Whether two sets, sorted, are similar enough; an empty set is similar to none."""
+    least, most = sorted((len(left), len(right)))
+    if not least or 100 * least < percent * most:
+        return False
+    shared = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * shared >= percent * (least + most - shared)
 
 
-def runs_of_sets(texts, classes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs_of_sets(
+    texts: pa.Array, classes: np.ndarray, size: int
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for first, end, data, offsets in runs(texts):
-        yield first, end, *sorted_sets(data, offsets, classes)
+        yield first, end, *sorted_sets(data, offsets, classes, size)
