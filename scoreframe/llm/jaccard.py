@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scoreframe.llm import prefixes as P
 from scoreframe.llm.bloom import chunks_for, repeat_filter, seen
-from scoreframe.llm.common import blocks, sum_blocks
+from scoreframe.llm.common import blocks, sum_blocks, unpacked
 from scoreframe.llm.components import components
 from scoreframe.llm.text import runs
 from scoreframe.session import ship, store
@@ -38,7 +38,7 @@ def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
     sent = texts.mapInArrow(counted, "key string, block int, data binary")
     counts = np.zeros(P.COUNTERS, np.uint32)
     for row in sum_blocks(sent, "uint32", P.COUNTERS // BLOCK).collect():
-        counts[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.data, np.uint32)
+        counts[row.block * BLOCK : (row.block + 1) * BLOCK] = unpacked(row.data, "uint32")
     return counts
 
 
@@ -74,25 +74,28 @@ def prefix_table(rows: DataFrame, order, noise: float, percent: int, words: int)
     return rows.mapInArrow(prepared, schema)
 
 
-def shared_entries(entries: DataFrame) -> DataFrame:
-    """Of (token, row, n, need), those whose token other rows have too, with `rows` and `leader`.
+def shared_entries(table: DataFrame, single: DataFrame) -> DataFrame:
+    """(token, row, n, need) of the prefixes of the rows in `single` whose token others have too.
 
-    A Bloom filter of tokens seen twice keeps most others out of the shuffle.
+    `rows` is how many have it and `leader` the first of them. A Bloom filter of tokens seen
+    twice keeps most others out of the shuffle.
     """
-    spark = entries.sparkSession
 
     def tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield batch.column("token").to_numpy().view(np.uint64)
+        yield batch.column("prefix").flatten().to_numpy().view(np.uint64)
 
-    size = entries.count()
-    bits = repeat_filter(entries, tokens, chunks_for(size, 16, MOST_CHUNKS))
-    sent = spark.sparkContext.broadcast(bits)
+    size = table.agg(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
+    chunks = chunks_for(size, 16, MOST_CHUNKS)
+    bits = repeat_filter(table.select("prefix"), tokens, chunks)
+    sent = table.sparkSession.sparkContext.broadcast(bits)
 
     @F.arrow_udf("boolean")
     def repeated(column: pa.Array) -> pa.Array:
         return pa.array(seen(sent.value, column.to_numpy().view(np.uint64)))
 
-    likely = store(entries.filter(repeated("token")), "likely-entries")
+    entries = table.select("row", "n", "need", F.explode("prefix").alias("token"))
+    likely = entries.filter(repeated("token")).join(single, "row", "left_semi")
+    likely = store(likely, "likely-entries")
     lists = likely.groupBy("token").agg(F.count("*").alias("rows"), F.min("row").alias("leader"))
     lists = store(lists.filter("rows > 1"), "lists")
     return store(likely.join(lists, "token"), "shared-entries")
@@ -182,16 +185,14 @@ def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
     return pairs.filter("found >= asked").select("a", "b")
 
 
-def single_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from lists of at most `SMALL` rows: rows of different parts with enough matches."""
-    small = mixed.filter(F.col("rows") <= SMALL)
-    fields = ("row", "n", "need", "part")
+def single_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b) from lists of at most `SMALL` rows: pairs with enough matches in such lists."""
+    small = shared.filter(F.col("rows") <= SMALL)
+    fields = ("row", "n", "need")
     left = small.select("token", *[F.col(c).alias(f"{c}_a") for c in fields])
     right = small.select("token", *[F.col(c).alias(f"{c}_b") for c in fields])
     pairs = left.join(right, "token").filter(
-        (F.col("row_a") < F.col("row_b"))
-        & (F.col("part_a") != F.col("part_b"))
-        & _similar_size("n_a", "n_b", percent)
+        (F.col("row_a") < F.col("row_b")) & _similar_size("n_a", "n_b", percent)
     )
     pairs = pairs.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b")).agg(
         F.count("*").alias("found"), F.min(F.least("need_a", "need_b")).alias("asked")
@@ -199,6 +200,15 @@ def single_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     return pairs.filter("found >= asked").select("a", "b")
 
 
+def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs whose rows are not in the same part yet."""
+    one = parts.select(F.col("row").alias("a"), F.col("part").alias("part_a"))
+    two = parts.select(F.col("row").alias("b"), F.col("part").alias("part_b"))
+    known = pairs.join(one, "a", "left").join(two, "b", "left")
+    same = F.coalesce("part_a", "a") == F.coalesce("part_b", "b")
+    return known.filter(~same).select("a", "b")
+
+
 def block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between rows of different parts that meet in lists of over `SMALL` rows.
 
@@ -207,8 +217,7 @@ def block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tokens of all their rows, compares whole sets where they suffice, and returns only
     links that join what it had not joined before: rows in its result, not pairs.
     """
-    large = mixed.filter(F.col("rows") > SMALL)
-    homes = large.groupBy("row").agg(
+    homes = mixed.groupBy("row").agg(
         F.max(F.struct("rows", "token")).alias("home"),
         F.collect_list("token").alias("list"),
         F.first("part").alias("part"),
@@ -217,7 +226,7 @@ def block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     slot = F.pmod(F.xxhash64("row"), F.ceil(F.col("home.rows") / ROWS))
     homes = homes.withColumn("block", F.xxhash64("home.token", slot)).drop("home")
     homes = store(homes, "homes")
-    touched = large.select("row", "token").join(homes.select("row", "block"), "row")
+    touched = mixed.select("row", "token").join(homes.select("row", "block"), "row")
     touched = store(touched.select("token", "block").distinct(), "touched")
     other = touched.select("token", F.col("block").alias("second"))
     met = touched.select("token", F.col("block").alias("first")).join(other, "token")
@@ -304,24 +313,24 @@ def jaccard_components(
     filled = table.filter("n > 0")
     sets_of = ["s1", "s2", "n"]
     groups = store(filled.groupBy(sets_of).agg(F.min("row").alias("row")), "set-groups")
-    single = filled.join(groups.select("row"), "row", "left_semi")
-    entries = store(
-        single.select("row", "n", "need", F.explode("prefix").alias("token")), "entries"
-    )
-    shared = shared_entries(entries.select("token", "row", "n", "need"))
-    wanted = store(shared.select("row").distinct().join(groups, "row"), "wanted")
+    shared = shared_entries(filled, groups.select("row"))
+    near = store(star_pairs(shared, percent), "star-pairs")
+    single = store(single_pairs(shared, percent), "single-pairs")
+    asked = near.unionByName(single)
+    wanted = asked.select(F.col("a").alias("row")).union(asked.select("b"))
+    wanted = wanted.union(shared.filter(F.col("rows") > SMALL).select("row")).distinct()
+    wanted = store(wanted.join(groups, "row"), "wanted")
     sets = fetch_sets(rows.select("text"), wanted, order, words)
 
-    stars = store(verified_pairs(star_pairs(shared, percent), sets, percent), "star-links")
+    stars = store(verified_pairs(near, sets, percent), "star-links")
     parts = components(stars).select(F.col("node").alias("row"), F.col("label").alias("part"))
-    parted = store(
-        shared.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row")), "parted"
-    )
+    large = shared.filter(F.col("rows") > SMALL).join(parts, "row", "left")
+    parted = store(large.withColumn("part", F.coalesce("part", "row")), "parted")
     spans = parted.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     spans = store(spans.filter("low <> high").select("token"), "mixed-lists")
     mixed = store(parted.join(spans, "token"), "mixed")
     links = stars.unionByName(
-        verified_pairs(single_pairs(mixed, percent), sets, percent)
+        verified_pairs(apart(single, parts), sets, percent)
     ).unionByName(block_links(mixed, sets, percent))
     found = components(links).select(F.col("node").alias("rep"), "label")
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import blocks, sum_blocks
+from scoreframe.llm.common import blocks, sum_blocks, unpacked
 from scoreframe.llm.text import runs
 from scoreframe.session import ship
 
@@ -82,7 +82,7 @@ def ngram_counts(docs: DataFrame) -> dict[str, np.ndarray]:
     found: dict[str, np.ndarray] = {}
     for row in sum_blocks(sent, "int64", 64).collect():
         counts = found.setdefault(row.key, np.zeros(BUCKETS, np.int64))
-        counts[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.data, np.int64)
+        counts[row.block * BLOCK : (row.block + 1) * BLOCK] = unpacked(row.data, "int64")
     return found
 
 

@@ -6,11 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.llm.common import blocks, sum_blocks
-from scoreframe.llm.text import ALNUM, hashes, lower, runs, spread_out, words
+from scoreframe.llm.common import blocks, sum_blocks, unpacked
+from scoreframe.llm.text import ALNUM, hashes, runs, spread_out, words
 from scoreframe.session import ship, store
 
 HALF = 32  # words from one passage to the next; a passage has twice as many
@@ -22,10 +23,10 @@ FOUND = pa.list_(pa.struct({"item_id": pa.int64(), "share": pa.float64()}))
 
 def text_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts as hashes of their lower-cased words of letters and digits."""
-    for first, end, data, offsets in runs(texts):
-        low = lower(data)
-        starts, ends, bounds = words(low, offsets, ALNUM)
-        yield first, end, hashes(low, starts, ends), bounds
+    folded = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    for first, end, data, offsets in runs(folded):
+        starts, ends, bounds = words(data, offsets, ALNUM)
+        yield first, end, hashes(data, starts, ends), bounds
 
 
 def coded(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
@@ -105,7 +106,7 @@ def document_frequencies(table: DataFrame, vocabulary: np.ndarray) -> tuple[np.n
 def _gathered(sent: DataFrame, size: int, kind: str) -> np.ndarray:
     total = np.zeros(size, kind)
     for row in sum_blocks(sent, kind, 1 + size // BLOCK).collect():
-        part = np.frombuffer(row.data, kind)
+        part = unpacked(row.data, kind)
         total[row.block * BLOCK : row.block * BLOCK + len(part)] = part
     return total
 
@@ -265,9 +266,9 @@ def find_contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     rank: int = 256,
-    cosine: float = 0.4,
-    least: float = 0.75,
-    answer: float = 0.5,
+    cosine: float = 0.35,
+    least: float = 0.6,
+    answer: float = 0.4,
     tail: float = 0.25,
     most_items: int = 256,
     largest: int = 100_000,

@@ -14,13 +14,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.llm.text import hashes, runs, spread_out, words
+from scoreframe.llm.text import hashes, lower, runs, spread_out, words
 from scoreframe.session import ship, store
 
 REMEMBERED = 1 << 20
+LONGEST_STOP = 3
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
 SEPARATOR = 1
 
 
+def token_spans(
+    data: np.ndarray, offsets: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that the tokenizer treats alone: lower-cased data, starts, ends, texts' limits.
+
+    Beside white space it separates letters from the punctuation after them, so that a word
+    is the same at the end of a sentence. It ignores case, but for its special tokens, all
+    of which have a `<`: words with one stay as they are.
+    """
+    starts, ends, bounds = words(data, offsets)
+    low = lower(data)
+    for at in np.unique(np.searchsorted(starts, np.flatnonzero(data == ord("<")), "right") - 1):
+        low[starts[at] : ends[at]] = data[starts[at] : ends[at]]
+    stops = ends.copy()
+    for _ in range(LONGEST_STOP):
+        stops -= _STOP[low[np.maximum(stops - 1, 0)]] & (stops > starts)
+    split = (stops < ends) & (stops > starts)
+    split &= _LETTER[low[np.maximum(stops - 1, 0)]]
+    at = np.flatnonzero(split)
+    starts = np.insert(starts, at + 1, stops[at])
+    ends = np.insert(ends, at, stops[at])
+    before = np.concatenate([[0], np.cumsum(split)])
+    return low, starts, ends, bounds + before[bounds]
+
+
 class WordTokens:
     """Token ids of words, remembered by hash; the memory is emptied when it is full.
 
@@ -228,8 +258,8 @@ def cut_pieces(
         tokens = word_tokens(tokenizer_file)
         for batch in batches:
             for first, last, data, offsets in runs(batch.column("text")):
-                starts, ends, bounds = words(data, offsets)
-                ids, counts = tokens.encode(data, starts, ends)
+                low, starts, ends, bounds = token_spans(data, offsets)
+                ids, counts = tokens.encode(low, starts, ends)
                 limits = np.concatenate([[0], np.cumsum(counts)])[bounds].tolist()
                 row, piece, start, length, crc = [], [], [], [], []
                 for i in range(last - first):
