@@ -12,7 +12,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attributes>(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>"""
     r"|</?(?P<odd>[a-zA-Z][^\s/<>]*+)[^<>]*+>"
-    r"|<[!?/][^<>]*>",
+    r"|<[!?/][^<>]*>"
+    r"|</?[a-zA-Z][^<>]*+\Z",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)

@@ -266,7 +266,7 @@ def find_contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     rank: int = 256,
-    cosine: float = 0.35,
+    cosine: float = 0.25,
     least: float = 0.6,
     answer: float = 0.4,
     tail: float = 0.25,
