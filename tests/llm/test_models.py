@@ -229,7 +229,7 @@ def test_odd_pages(spark):
         (3, "<article><p>One &amp; two\n\t three.<p>Four<br>five <b>six</p></article"),
         (4, "<nav><a href=x>Menu</a></nav><script>var a = '<p>no</p>';"),
         (4, "<nav><a href=x>Menu</a></nav><script>var a = '<p>no</p>';"),
-        (None, "<article>" + "<div>" * 3000 + "<p>Deep down here.</p>"),
+        (None, "<article><h1>Deep down</h1>" + "<div>" * 3000 + "<p>Here it goes on, with words.</p>"),
         (6, '<article><p title="a > b">Quoted &lt;tag&gt; stays.</p><!-- <p>no</p> --></article>'),
         (7, "<article><p>" + "Long and longer. " * 60000),
         (8, "< <a <" * 20000),
@@ -240,7 +240,7 @@ def test_odd_pages(spark):
     assert len(found) == len(rows) and all(r.n_chars == len(r.text) for r in found)
     assert texts[1] == texts[2] == texts[4] == ""
     assert texts[3] == "One & two three.\nFour five six"
-    assert texts[None] == "Deep down here."
+    assert texts[None] == "Deep down\nHere it goes on, with words."
     assert texts[6] == "Quoted <tag> stays."
     assert texts[7] == ("Long and longer. " * 60000).strip()
     assert main_text(field, "") == ""
