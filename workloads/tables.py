@@ -82,9 +82,14 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 def numeric_pairs(spark: SparkSession, folder: str) -> DataFrame:
     shown = F.col("value").cast("string")
-    kind = F.col("event_id") % 6
+    kind = F.col("event_id") % 11
+    loops = F.concat(F.lit("1"), F.repeat(F.lit("_1"), 2500))
     prediction = (
-        F.when(kind == 1, F.concat(shown, F.lit("0")))
+        F.when(kind == 6, F.translate(shown, "0123456789", "٠١٢٣٤٥٦٧٨٩"))
+        .when(kind == 7, F.concat(F.repeat(F.lit("7"), 20_000), F.lit("x")))
+        .when(kind == 8, F.concat(loops, F.lit("_")))
+        .when(kind == 9, F.concat(F.lit("0."), loops))
+        .when(kind == 1, F.concat(shown, F.lit("0")))
         .when(kind == 2, F.concat(F.lit("　 "), shown, F.lit("\n")))
         .when(kind == 3, F.concat(F.lit("1_0"), shown))
         .when(kind == 4, F.concat(shown, F.lit("d")))
@@ -94,6 +99,8 @@ def numeric_pairs(spark: SparkSession, folder: str) -> DataFrame:
     reference = (
         F.when(kind == 3, F.concat(F.lit("10"), shown, F.lit("e0")))
         .when(kind == 5, F.lit("NaN"))
+        .when(kind == 8, F.replace(loops, F.lit("_"), F.lit("")))
+        .when(kind == 9, F.concat(F.lit("."), F.repeat(F.lit("1"), 2501)))
         .otherwise(shown)
     )
     return table(spark, folder, "events").select(
