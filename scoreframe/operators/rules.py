@@ -2,143 +2,171 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from functools import reduce
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.operators.predictions import sample_keys
+from scoreframe.session import ship, store
 
 # Fixed value: the answer where no rule applies.
 DEFAULT_RESPONSE = "モックレスポンス"
 
-CHAIN_RULES = 16
-BROADCAST_BYTES = 4 * 1024 * 1024
+GROUP_BYTES = 32 * 1024 * 1024
+RUN_BYTES = 1 << 20
+STEMS = (8, 4, 2, 1)
+
+
+class RuleSearch:
+    """A group of rules, searched for together in the bytes of many texts.
+
+    The stem of a key is its first 8, 4, 2 or 1 bytes, the most it has. Every window of
+    these sizes is compared to the stems as a number; where one is met, the text from
+    there is looked up among the keys of that stem, once for each length they have.
+    """
+
+    def __init__(self, keys: list[bytes]):
+        none = len(keys)
+        self.always = keys.index(b"") if b"" in keys else none
+        self.longer: dict[int, dict[int, dict[int, dict[bytes, int]]]] = {}
+        whole: dict[int, dict[int, int]] = defaultdict(dict)
+        for order, key in enumerate(keys[: self.always]):
+            size = next(s for s in STEMS if s <= len(key))
+            stem = int.from_bytes(key[:size], "big")
+            if len(key) == size:
+                whole[size].setdefault(stem, order)
+            else:
+                lengths = self.longer.setdefault(size, {}).setdefault(stem, defaultdict(dict))
+                lengths[len(key)].setdefault(key, order)
+        # Per size: the stems in order, the rule whose whole key a stem is, and the first of
+        # the rules with longer keys.
+        self.stems: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in {*whole, *self.longer}:
+            longer = self.longer.get(size, {})
+            stems = sorted({*whole[size], *longer})
+            firsts = (
+                min((o for keys in longer[s].values() for o in keys.values()), default=none)
+                if s in longer
+                else none
+                for s in stems
+            )
+            self.stems[size] = (
+                np.array(stems, np.uint64),
+                np.array([whole[size].get(s, none) for s in stems]),
+                np.array(list(firsts)),
+            )
+
+    def first(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The first rule met in each text laid end to end in `data`, or the number of rules."""
+        best = np.full(len(offsets) - 1, self.always)
+        content, windows, size = data.tobytes(), data.astype(np.uint64), 1
+        while size <= max(self.stems, default=0) and len(windows):
+            if size in self.stems:
+                stems, whole, firsts = self.stems[size]
+                place = np.minimum(np.searchsorted(stems, windows), len(stems) - 1)
+                spots = np.flatnonzero(stems[place] == windows)
+                texts = np.searchsorted(offsets, spots, "right") - 1
+                inside = spots + size <= offsets[texts + 1]
+                spots, texts = spots[inside], texts[inside]
+                np.minimum.at(best, texts, whole[place[spots]])
+                open_ = firsts[place[spots]] < best[texts]
+                for spot, text in zip(spots[open_].tolist(), texts[open_].tolist()):
+                    for length, keys in self.longer[size][int(windows[spot])].items():
+                        if spot + length <= offsets[text + 1]:
+                            order = keys.get(content[spot : spot + length])
+                            if order is not None and order < best[text]:
+                                best[text] = order
+            windows = (windows[:-size] << np.uint64(8 * size)) | windows[size:]
+            size *= 2
+        return best
+
+    def answers(self, texts: pa.Array) -> np.ndarray:
+        """The first rule of each text of a column without nulls."""
+        texts = texts.cast(pa.large_string())
+        found = np.full(len(texts), self.always)
+        if not len(texts):
+            return found
+        _, bounds, content = texts.buffers()
+        offsets = np.frombuffer(bounds, np.int64, len(texts) + 1, 8 * texts.offset)
+        data = np.frombuffer(content, np.uint8) if content else np.zeros(0, np.uint8)
+        row = 0
+        while row < len(texts):
+            end = int(np.searchsorted(offsets, offsets[row] + RUN_BYTES, "right")) - 1
+            end = min(max(end, row + 1), len(texts))
+            part = data[offsets[row] : offsets[end]]
+            found[row:end] = self.first(part, offsets[row : end + 1] - offsets[row])
+            row = end
+        return found
 
 
 def rule_predictions(
     prompts: DataFrame,
     rules: Mapping[str, str] | DataFrame,
     default: str = DEFAULT_RESPONSE,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """Add `prediction` from the first rule, in rule order, whose key the prompt contains.
 
-    `rules` is a mapping in rule order or a table `(rule_order, key, response)`. The
-    size of a table is measured first. Up to `broadcast_bytes` of text the rules travel
-    to the tasks and the prompts are not shuffled: a few rules become one conditional
-    expression, more are searched together in one pass over each prompt. A larger table
-    is joined with pieces of the prompts, see `_joined`.
+    `rules` is a mapping in rule order or a table `(rule_order, key, response)`; of rules of
+    equal order any may come first, a null key or prompt meets nothing. Rules are taken in
+    order, in groups of at most `group_bytes` of text (one rule at least). Every group goes
+    to the tasks, which search the prompts that no group before it has answered, each on
+    its own row: prompts are not shuffled, and a table of rules of any size means the same
+    as a mapping. With more than one group, the answers so far are stored in between.
     """
+    ship(prompts.sparkSession)
     if isinstance(rules, DataFrame):
-        # 16 bytes a row stand for its order, so that many empty texts count, too.
-        row_size = F.octet_length("key") + F.octet_length("response") + 16
-        size = F.coalesce(F.sum(row_size), F.lit(0))
-        if rules.agg(size).first()[0] > broadcast_bytes:
-            return _joined(prompts, rules, default)
-        ordered = rules.orderBy("rule_order").select("key", "response").collect()
+        ordered = rules.filter(F.col("key").isNotNull()).orderBy("rule_order")
+        pairs = ((r.key, r.response) for r in ordered.select("key", "response").toLocalIterator())
     else:
-        ordered = list(rules.items())
-
-    known: dict[str, str] = {}
-    for key, response in ordered:
-        known.setdefault(key, response)
+        pairs = iter(rules.items())
+    pairs = ((key, default if response is None else response) for key, response in pairs)
+    result = prompts.withColumn("prediction", F.lit(None).cast("string"))
+    for number, group in enumerate(_groups(pairs, group_bytes)):
+        if number:
+            result = store(result, "rule-predictions")
+        result = _answered(result, group)
+        if group[-1][0] == "":
+            break
+    return result.withColumn("prediction", F.coalesce("prediction", F.lit(default)))
+
+
+def _groups(
+    rules: Iterable[tuple[str, str]], most: int
+) -> Iterator[list[tuple[str, str]]]:
+    """Rules in order, cut where a group gets too large; an empty key ends them all."""
+    group: list[tuple[str, str]] = []
+    size = 0
+    for key, response in rules:
+        # 64 bytes a rule stand for what the search keeps beside the texts.
+        own = 64 + len(key.encode()) + len(response.encode())
+        if group and size + own > most:
+            yield group
+            group, size = [], 0
+        group.append((key, response))
+        size += own
         if key == "":  # occurs in every prompt, so later rules never apply
             break
-    build = _chain if len(known) <= CHAIN_RULES else _search
-    found = build(F.col("prompt"), known) if known else F.lit(None).cast("string")
-    return prompts.withColumn("prediction", F.coalesce(found, F.lit(default)))
-
+    if group:
+        yield group
 
-def _chain(prompt: Column, rules: Mapping[str, str]) -> Column:
-    (key, response), *others = rules.items()
-    first = F.when(F.contains(prompt, F.lit(key)), response)
-    return reduce(lambda c, r: c.when(F.contains(prompt, F.lit(r[0])), r[1]), others, first)
 
-
-def _search(prompt: Column, rules: Mapping[str, str]) -> Column:
-    """All keys at once with an Aho-Corasick automaton, built once per task."""
-    keys, responses = list(rules), list(rules.values())
+def _answered(prompts: DataFrame, group: list[tuple[str, str]]) -> DataFrame:
+    sent = prompts.sparkSession.sparkContext.broadcast(group)
 
     @F.arrow_udf("string")
     def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for order, key in enumerate(keys):
-            if key:
-                automaton.add_word(key, order)
-        automaton.make_automaton()
-        always = len(keys) - 1 if keys[-1] == "" else None
-
-        def first(text: str | None) -> str | None:
-            if text is None:
-                return None
-            order = min((order for _, order in automaton.iter(text)), default=always)
-            return None if order is None else responses[order]
-
+        keys = [key.encode() for key, _ in sent.value]
+        responses = pa.array([response for _, response in sent.value] + [None], pa.string())
+        search = RuleSearch(keys)
         for batch in batches:
-            yield pa.array(map(first, batch.to_pylist()), pa.string())
+            found = search.answers(pc.fill_null(batch, ""))
+            found = np.where(batch.is_null().to_numpy(zero_copy_only=False), len(keys), found)
+            yield responses.take(pa.array(found))
 
-    return answer(prompt)
-
-
-def _joined(prompts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """Equi-joins on pieces of the prompts, for rules of any number.
-
-    The stem of a key is its beginning of 1, 2, 4, ... characters, the longest that fits,
-    so there are few stem lengths however many key lengths there are. Every prompt window
-    of a stem length meets the stems by hash. Where one agrees, the whole text of each key
-    length known for that stem is cut out of the prompt and must equal a key. Both rule
-    sides have one row per join key, so pairs of many prompts with many rules never arise;
-    a window that many prompts share is a skewed join key, which Spark splits.
-    """
-    keys = sample_keys(prompts)
-    unique = rules.groupBy("key").agg(
-        F.min("rule_order").alias("rule_order"),
-        F.min_by("response", "rule_order").alias("response"),
-    )
-    always = unique.filter(F.col("key") == "").select("rule_order", "response").first()
-    if always is not None:
-        default = always["response"]
-        unique = unique.filter(F.col("rule_order") < always["rule_order"])
-
-    size = F.char_length("key")
-    stems = (
-        unique.filter(F.col("key") != "")
-        .select("key", size.alias("size"), (F.length(F.bin(size)) - 1).alias("power"))
-        .withColumn("stem_size", F.pow(F.lit(2), "power").cast("int"))
-        .withColumn("stem", F.slice(F.split("key", ""), 1, F.col("stem_size")))
-        .select("size", "stem_size", F.xxhash64("stem").alias("window"))
-        .distinct()
-    )
-    stem_sizes = [row[0] for row in stems.select("stem_size").distinct().collect()]
-    if not stem_sizes:
-        return prompts.withColumn("prediction", F.lit(default))
-
-    windows = F.transform(
-        F.sequence(F.lit(1), F.array_size("chars") - F.col("stem_size") + 1),
-        lambda start: F.xxhash64(F.slice("chars", start, F.col("stem_size"))),
-    )
-    places = (
-        prompts.select(*keys, F.split("prompt", "").alias("chars"))
-        .withColumn("stem_size", F.explode(F.array(*[F.lit(n) for n in sorted(stem_sizes)])))
-        .filter(F.array_size("chars") >= F.col("stem_size"))
-        .select(*keys, "stem_size", F.posexplode(windows).alias("start", "window"))
-        .join(stems, ["stem_size", "window"])
-        .select(*keys, "start", "size")
-    )
-    piece = F.substring("prompt", F.col("start") + 1, F.col("size"))
-    best = (
-        prompts.select(*keys, "prompt")
-        .join(places, keys)
-        .select(*keys, piece.alias("key"))
-        .join(unique, "key")
-        .groupBy(*keys)
-        .agg(F.min_by("response", "rule_order").alias("prediction"))
-    )
-    return prompts.join(best, keys, "left").withColumn(
-        "prediction", F.coalesce("prediction", F.lit(default))
-    )
+    open_prompt = F.when(F.col("prediction").isNull(), F.col("prompt"))
+    return prompts.withColumn("prediction", F.coalesce("prediction", answer(open_prompt)))

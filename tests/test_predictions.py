@@ -199,14 +199,14 @@ def test_rules_agree_whichever_way_they_are_matched(spark, count):
         return [r.prediction for r in rows]
 
     assert answers() == expected
-    assert answers(broadcast_bytes=0) == expected
+    assert answers(group_bytes=count * 25) == expected
     as_mapping = dict(reversed(rules))  # for a repeated key the first response counts
     ordered = {key: as_mapping[key] for key, _ in rules}
     rows = rule_predictions(frame, ordered).orderBy("sample_idx").collect()
     assert [r.prediction for r in rows] == expected
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("limit", [1000, 1 << 20])
 @pytest.mark.parametrize("filler", [0, 30])
 def test_empty_rule_key_matches_everything(spark, limit, filler):
     rules = [("zz", "first"), *[(f"q{n}", "no") for n in range(filler)], ("", "any"), ("a", "late")]
@@ -214,10 +214,32 @@ def test_empty_rule_key_matches_everything(spark, limit, filler):
         [(n, k, r) for n, (k, r) in enumerate(rules)], "rule_order long, key string, response string"
     )
     frame = prompts_of(spark, ["a", "zz", ""])
-    rows = rule_predictions(frame, table, broadcast_bytes=limit).orderBy("sample_idx").collect()
+    rows = rule_predictions(frame, table, group_bytes=limit).orderBy("sample_idx").collect()
     assert [r.prediction for r in rows] == ["any", "first", "any"]
 
 
+def test_rules_answer_each_row_of_equal_sample_keys(spark):
+    schema = "model string, dataset string, sample_idx long, prompt string"
+    rows = [("m1", "d", 0, "an apple"), ("m2", "d", 0, "a pear"), ("m2", "d", 0, None)]
+    frame = spark.createDataFrame(rows, schema)
+    for limit in (80, 1 << 20):
+        answered = rule_predictions(frame, {"apple": "A", "pear": "B", "a": None}, "none", limit)
+        assert sorted(r.prediction for r in answered.collect()) == ["A", "B", "none"]
+
+
+def test_rules_of_all_key_lengths(spark):
+    text = "0123456789abcdefghijklmnopqrstuvwxyz" * 40
+    rng = random.Random(7)
+    spans = [(rng.randrange(len(text)), size) for size in (1, 2, 3, 4, 7, 8, 9, 15, 16, 33, 900)]
+    for start, size in spans:
+        key = text[start : start + size]
+        rules = {key + "!": "no", key: "yes"}
+        frame = prompts_of(spark, [text[:start], text[start : start + size], "x" + text, key[:-1]])
+        rows = rule_predictions(frame, rules, "none").orderBy("sample_idx").collect()
+        expected = [first_rule(r.prompt, rules.items(), "none") for r in rows]
+        assert [r.prediction for r in rows] == expected
+
+
 def test_no_rules(spark):
     assert rule_predictions(prompts_of(spark, ["a"]), {}, "none").first().prediction == "none"
 

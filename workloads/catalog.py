@@ -643,6 +643,24 @@ def rule_predictions(spark, folder):
     return answered.select("sample_idx", "prediction")
 
 
+@query(
+    """WITH lines AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem),
+    asked AS (
+      SELECT 'm1' AS model, o_orderkey AS sample_idx, o_orderkey AS k, 1 AS n FROM orders
+      UNION ALL SELECT 'm2', o_orderkey, o_orderkey + 1, 1 FROM orders
+      UNION ALL SELECT 'm2', o_orderkey, o_orderkey, 2 FROM orders)
+    SELECT a.model, 'orders' AS dataset, a.sample_idx,
+      coalesce(arg_min('line ' || l.n || ' of order ' || l.k, l.k * 16 + l.n), 'none') AS prediction
+    FROM asked a LEFT JOIN lines l ON a.k = l.k AND a.n = l.n GROUP BY ALL"""
+)
+def rule_predictions_large(spark, folder):
+    """A rule for every order line, over prompts of two models with the same sample keys."""
+    answered = sf.rule_predictions(
+        D.order_prompts(spark, folder), D.order_rules(spark, folder), "none"
+    )
+    return answered.select("model", "dataset", "sample_idx", "prediction")
+
+
 @query(
     """SELECT doc_id AS sample_idx,
          CASE WHEN contains(text, 'license') THEN 'legal' WHEN contains(text, '@') THEN 'mail'

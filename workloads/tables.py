@@ -253,6 +253,41 @@ def benchmark_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def order_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule for every order line: a table of many megabytes."""
+    key = F.concat(
+        F.lit("[order "), "l_orderkey", F.lit(" line "), "l_linenumber", F.lit(" of the open list]")
+    )
+    response = F.concat(F.lit("line "), "l_linenumber", F.lit(" of order "), "l_orderkey")
+    return table(spark, folder, "lineitem").select(
+        (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("rule_order"),
+        key.alias("key"),
+        response.alias("response"),
+    )
+
+
+def order_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Two models asked about an order under the same sample key, in different words."""
+
+    def line(order: Column, number: int) -> Column:
+        return F.concat(F.lit("[order "), order, F.lit(f" line {number} of the open list]"))
+
+    order = F.col("o_orderkey")
+    asked = F.array(
+        F.struct(
+            F.lit("m1").alias("model"),
+            F.concat(F.lit("Where is "), line(order, 1), F.lit("?")).alias("prompt"),
+        ),
+        F.struct(
+            F.lit("m2").alias("model"),
+            F.concat(line(order + 1, 1), F.lit(", then "), line(order, 2)).alias("prompt"),
+        ),
+    )
+    return table(spark, folder, "orders").select(
+        F.lit("orders").alias("dataset"), order.alias("sample_idx"), F.inline(asked)
+    )
+
+
 def document_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(
         F.col("lang").alias("dataset"),
