@@ -23,7 +23,7 @@ from scoreframe.operators.summary import (
     wide_summary,
 )
 from scoreframe.plans.evaluate import Run, evaluate
-from scoreframe.session import shared_path, ship, spread, store
+from scoreframe.session import remove_stored, shared_path, ship, spread, store
 from scoreframe.sources.datasets import (
     dataset_info,
     discover_datasets,
@@ -60,6 +60,7 @@ __all__ = [
     "pivot_scores",
     "read_datasets",
     "register_metric",
+    "remove_stored",
     "request_table",
     "result_rows",
     "retract",

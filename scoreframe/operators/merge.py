@@ -13,15 +13,18 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreframe.session import store_sized, stored_bytes
+
 KEY = ("model", "dataset", "sample_idx", "metric")
 COLUMNS = (*KEY, "score", "created_at", "updated_at", "is_builtin", "is_active")
 
 
-FEW_CHANGES = 200_000
+# A collapsed log up to this size in storage goes to the tasks.
+SMALL_BYTES = 64 * 1024 * 1024
 
 
 def merge_scores(
-    current: DataFrame, changes: DataFrame, few_changes: int = FEW_CHANGES
+    current: DataFrame, changes: DataFrame, small_bytes: int = SMALL_BYTES
 ) -> DataFrame:
     """Apply `changes` (key, score, updated_at, seq, is_builtin) to the `current` rows.
 
@@ -30,8 +33,10 @@ def merge_scores(
     row builtin for good, any other write leaves the origin as it is. Writing to a
     retracted row does not bring it back.
 
-    The changes are counted first, unless `few_changes` is 0. Up to that many travel to the
-    tasks, and the current table is not shuffled; more meet it in one full outer join.
+    The log is read once: collapsed to a row per key, it meets the current table in one
+    full outer join. With `small_bytes` above 0 the collapsed log is stored in the shared
+    folder first, and if it takes no more than that, it is sent to the tasks instead, and
+    the current table is not shuffled. Rows are the same either way.
     """
     version = F.struct("updated_at", "seq")
     latest = changes.groupBy(*KEY).agg(
@@ -40,7 +45,10 @@ def merge_scores(
         F.max("updated_at").alias("last_at"),
         F.bool_or("is_builtin").alias("any_builtin"),
     )
-    if few_changes <= 0 or changes.count() > few_changes:
+    if small_bytes <= 0:
+        return _applied(current.join(latest, list(KEY), "full_outer"))
+    latest, path = store_sized(latest, "latest-changes")
+    if stored_bytes(current.sparkSession, path) > small_bytes:
         return _applied(current.join(latest, list(KEY), "full_outer"))
     known = current.select(*KEY).join(F.broadcast(latest.select(*KEY)), list(KEY), "left_semi")
     # There are no more known keys than changes, so this side is as small.

@@ -84,7 +84,7 @@ def evaluate(
     else:
         pairs = rule_predictions(asked, answer, **how).withColumn("model", F.lit(model))
 
-    pairs = spread(pairs, [f"{place}/datasets"], *sample_keys(pairs))
+    pairs = spread(pairs, *sample_keys(pairs))
     scored = score(pairs, chosen, only_declared=metrics is None).drop("prompt")
     if metrics is not None:
         scored = scored.drop("metrics")

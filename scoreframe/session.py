@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Spark's default size of a file split.
-SPLIT_BYTES = 128 * 1024 * 1024
-
 _SHIPPED: set[str] = set()
 
 
@@ -48,7 +45,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all nodes share")
-        root = tempfile.mkdtemp(prefix="scoreframe-")
+        root = _local_root()
     return f"{root.rstrip('/')}/scoreframe/{name}-{uuid.uuid4().hex}"
 
 
@@ -57,21 +54,49 @@ def store(frame: DataFrame, name: str) -> DataFrame:
 
     Unlike a cache the result survives a lost executor, and its lineage ends here.
     """
+    return store_sized(frame, name)[0]
+
+
+def store_sized(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`store`, and the path it wrote to, for `stored_bytes`."""
     path = shared_path(frame.sparkSession, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path), path
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files at `path`; their content is not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="scoreframe-")
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Delete all that this package has written below `spark.checkpoint.dir`.
+
+    For the end of an application: tables that still read from there are lost.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local"):
+        root = _local_root()
+    if root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/scoreframe")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread(frame: DataFrame, inputs: Sequence[str], *keys: str) -> DataFrame:
-    """Use all cores for costly per-row work over input with few splits.
+def spread(frame: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """Shuffle rows by `keys`, so that costly per-row work uses all cores.
 
-    Files too small to be split leave most cores idle. Where the files `frame` was read
-    from hold less than one scan split per core, rows are spread by `keys`; a larger
-    input already has enough tasks and is returned as it is, without a shuffle. Only
-    file sizes are looked up, no content.
+    Rows of few files, or of files too small to be split, leave most cores idle; whole
+    texts are shuffled, so it is left to the caller. `partitions` defaults to four per
+    core, or to `spark.sql.shuffle.partitions` if that is more.
     """
     spark = frame.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = spark.read.format("binaryFile").load(list(inputs))
-    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    return frame.repartition(4 * cores, *keys) if size < cores * SPLIT_BYTES else frame
+    if partitions is None:
+        planned = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(4 * spark.sparkContext.defaultParallelism, planned)
+    return frame.repartition(partitions, *keys)

@@ -82,12 +82,13 @@ def test_merge_shuffles_each_side_once(plan, spark, tmp_path):
     read = lambda name: spark.read.parquet(str(tmp_path / name))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(merge_scores(read("state"), read("log"), few_changes=0))
+        text = plan(merge_scores(read("state"), read("log"), small_bytes=0))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange") == 2
     text = plan(merge_scores(read("state"), read("log")))
-    # Only the changes are exchanged, for their aggregation and to be sent to the tasks.
+    # The collapsed log is stored, so the log itself is no part of the plan any more.
+    assert "/log" not in text and "Aggregate" not in text
     assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") == 3
     assert "FullOuter" not in text
 
@@ -108,11 +109,9 @@ def test_long_form_carries_no_texts(plan, pairs):
     assert "prediction" not in expand and "reference" not in expand
 
 
-def test_spread_only_shuffles_small_input(plan, spark, folder, pairs, monkeypatch):
-    source = [f"{folder}/documents.parquet"]
-    assert "Exchange" in plan(spread(pairs, source, "sample_idx"))
-    monkeypatch.setattr("scoreframe.session.SPLIT_BYTES", 1)
-    assert "Exchange" not in plan(spread(pairs, source, "sample_idx"))
+def test_spread_shuffles_once(plan, pairs):
+    assert plan(spread(pairs, "sample_idx", partitions=7)).count("Exchange") == 1
+    assert spread(pairs, "sample_idx", partitions=7).rdd.getNumPartitions() == 7
 
 
 def test_scoring_works_on_a_stream(spark, tmp_path):

@@ -4,6 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
+from scoreframe import session as session_module
 from scoreframe import shared_path, store
 
 
@@ -24,6 +25,17 @@ def test_no_machine_local_folder_on_a_cluster():
     assert shared_path(session("local[2]"), "t") != shared_path(session("local[2]"), "t")
 
 
+def test_stored_tables_can_be_removed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session_module, "shared_path", lambda *_: f"{tmp_path}/scoreframe/t")
+    stored, path = session_module.store_sized(spark.range(100).toDF("id"), "t")
+    assert stored.count() == 100 and session_module.stored_bytes(spark, path) > 100
+    fake = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *_: str(tmp_path)), _jvm=spark._jvm, _jsc=spark._jsc
+    )
+    session_module.remove_stored(fake)
+    assert not (tmp_path / "scoreframe").exists()
+
+
 def test_stored_tables_end_their_lineage(spark, capsys):
     frame = store(spark.range(10).selectExpr("id", "id % 3 AS k").groupBy("k").count(), "counts")
     assert {(r.k, r["count"]) for r in frame.collect()} == {(0, 4), (1, 3), (2, 3)}

@@ -122,10 +122,6 @@ def _scored(pairs: DataFrame, *metrics, keys=("sample_idx",)) -> DataFrame:
     return sf.score(pairs, chosen).select(*keys, *[rounded(m.name) for m in chosen])
 
 
-def _spread(pairs: DataFrame, folder: str, source: str) -> DataFrame:
-    return sf.spread(pairs, [f"{folder}/{source}.parquet"], "sample_idx")
-
-
 @query(_metric_sql(Q.CONVERSATION_PAIRS, "exact_match", _METRIC_VALUES["exact_match"]))
 def exact_match(spark, folder):
     return _scored(D.conversation_pairs(spark, folder), "exact_match")
@@ -207,7 +203,7 @@ _PERCENT = """CASE WHEN size_a = 0 AND size_b = 0 THEN 100
     )
 )
 def char_f1(spark, folder):
-    pairs = _spread(D.part_pairs(spark, folder), folder, "part")
+    pairs = sf.spread(D.part_pairs(spark, folder), "sample_idx")
     return _scored(pairs, "char_f1")
 
 
@@ -222,14 +218,14 @@ def char_f1(spark, folder):
     )
 )
 def fuzzy_match(spark, folder):
-    pairs = _spread(D.part_pairs(spark, folder), folder, "part")
+    pairs = sf.spread(D.part_pairs(spark, folder), "sample_idx")
     return _scored(pairs, sf.metric("fuzzy_match", match_threshold=0.7))
 
 
 @query()
 def character_metrics(spark, folder):
     """Both character metrics on long texts, where a fold in SQL takes too long."""
-    pairs = _spread(D.conversation_pairs(spark, folder), folder, "conversations")
+    pairs = sf.spread(D.conversation_pairs(spark, folder), "sample_idx")
     return _scored(pairs, "char_f1", "fuzzy_match")
 
 
@@ -280,7 +276,7 @@ def _bleu_tokens(text: str) -> str:
     FROM tokens t LEFT JOIN logs l ON t.sample_idx = l.sample_idx"""
 )
 def bleu(spark, folder):
-    pairs = _spread(D.conversation_pairs(spark, folder), folder, "conversations")
+    pairs = sf.spread(D.conversation_pairs(spark, folder), "sample_idx")
     return _scored(pairs, "bleu")
 
 
@@ -294,14 +290,14 @@ def bleu(spark, folder):
     )
 )
 def rouge_l(spark, folder):
-    pairs = _spread(D.conversation_pairs(spark, folder), folder, "conversations")
+    pairs = sf.spread(D.conversation_pairs(spark, folder), "sample_idx")
     return _scored(pairs, "rouge_l")
 
 
 @query()
 def document_similarity(spark, folder):
     """All Python metrics over whole documents, whatever their length."""
-    pairs = _spread(D.document_pairs(spark, folder), folder, "documents")
+    pairs = sf.spread(D.document_pairs(spark, folder), "sample_idx")
     return _scored(pairs, "rouge_l", "bleu", "char_f1", keys=("dataset", "sample_idx"))
 
 
@@ -312,7 +308,7 @@ def document_similarity(spark, folder):
     SELECT sample_idx, round(({_JACCARD})::DOUBLE, 6) AS jaccard_similarity FROM sets"""
 )
 def jaccard_similarity(spark, folder):
-    pairs = _spread(D.document_pairs(spark, folder), folder, "documents")
+    pairs = sf.spread(D.document_pairs(spark, folder), "sample_idx")
     return _scored(pairs, "jaccard_similarity")
 
 
@@ -322,7 +318,7 @@ def jaccard_similarity(spark, folder):
     )
 )
 def word_count_similarity(spark, folder):
-    pairs = _spread(D.document_pairs(spark, folder), folder, "documents")
+    pairs = sf.spread(D.document_pairs(spark, folder), "sample_idx")
     return _scored(pairs, "word_count_similarity")
 
 
@@ -349,7 +345,7 @@ def weighted_match(spark, folder):
 )
 def composite(spark, folder):
     """One-line texts, so the set score equals the exact match in the SQL."""
-    pairs = _spread(D.part_pairs(spark, folder), folder, "part")
+    pairs = sf.spread(D.part_pairs(spark, folder), "sample_idx")
     return _scored(pairs, "composite")
 
 
@@ -370,7 +366,7 @@ def composite(spark, folder):
       END, 6)::DOUBLE AS json_validity FROM keys"""
 )
 def json_validity(spark, folder):
-    pairs = _spread(D.json_pairs(spark, folder), folder, "events")
+    pairs = sf.spread(D.json_pairs(spark, folder), "sample_idx")
     return _scored(pairs, "json_validity")
 
 
@@ -638,7 +634,7 @@ def generate(spark, folder):
 )
 def rule_predictions(spark, folder):
     """Benchmark passages as rules over whole documents."""
-    prompts = _spread(D.document_prompts(spark, folder), folder, "documents")
+    prompts = sf.spread(D.document_prompts(spark, folder), "sample_idx")
     answered = sf.rule_predictions(prompts, D.benchmark_rules(spark, folder), "none")
     return answered.select("sample_idx", "prediction")
 
@@ -720,7 +716,7 @@ def evaluate_all_metrics(spark, folder):
         D.samples(spark, folder), D.predictions(spark, folder), D.MODEL
     )
     names = [n for n in sf.list_metrics() if n in BUILT_IN]
-    summary = sf.summarize(sf.score(_spread(pairs, folder, "conversations"), names), names)
+    summary = sf.summarize(sf.score(sf.spread(pairs, "sample_idx"), names), names)
     return summary.select(
         "model", "dataset", "num_samples", *[rounded(n) for n in names]
     )
@@ -907,7 +903,7 @@ def _merged(spark: SparkSession, folder: str) -> DataFrame:
 def merge_scores(spark, folder):
     """However many changes there are: one full outer join."""
     current, changes = D.current_scores(spark, folder), D.score_changes(spark, folder)
-    return sf.merge_scores(current, changes, few_changes=0)
+    return sf.merge_scores(current, changes, small_bytes=0)
 
 
 @query(f"WITH {Q.SCORE_LOG} SELECT {_STATE} FROM merged")
