@@ -93,6 +93,16 @@ def json_fields(text: Column, fields: Iterable[str]) -> Column:
     return found(text)
 
 
+def text_outputs(text: Column) -> Column:
+    """Whether the outputs of a dataset document are texts; other JSON types cannot be scored."""
+
+    @F.arrow_udf("boolean")
+    def plain(texts: pa.Array) -> pa.Array:
+        return pa.array((t is None or kernels.text_outputs(t) for t in texts.to_pylist()))
+
+    return plain(text)
+
+
 def has_json_keys(text: Column, fields: Iterable[str]) -> Column:
     """True where `text` is a JSON object with all `fields`, NULL where it is no object."""
     wanted = tuple(fields)

@@ -8,6 +8,23 @@ from collections.abc import Callable
 from typing import Any
 
 
+def response_text(raw: str | bytes) -> str:
+    """The answer in a chat-completion response document.
+
+    Raises ValueError where there is no first choice, or it is no object, its message is
+    none, its content is no text, or `raw` is not one JSON document. A missing message or
+    content, and a null content, is the empty string.
+    """
+    try:
+        document = json.loads(raw)
+        content = document["choices"][0].get("message", {}).get("content")
+    except (ValueError, TypeError, LookupError, AttributeError, RecursionError) as problem:
+        raise ValueError("unexpected response") from problem
+    if content is not None and not isinstance(content, str):
+        raise ValueError("unexpected response")
+    return content or ""
+
+
 def chat_completion(
     api_url: str,
     model: str,
@@ -36,9 +53,6 @@ def chat_completion(
         with urllib.request.urlopen(request, timeout=timeout) as response:
             if response.status != 200:
                 raise ConnectionError(f"status {response.status}")
-            choices = json.load(response).get("choices")
-        if not choices:
-            raise ValueError("unexpected response")
-        return choices[0].get("message", {}).get("content") or ""
+            return response_text(response.read())
 
     return answer

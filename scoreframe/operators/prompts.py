@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -54,7 +55,8 @@ def request_table(
 ) -> DataFrame:
     """Add `request`: the chat-completion body of each prompt as JSON text.
 
-    `extra` settings are appended unless the body already has a field of that name.
+    `extra` settings are appended unless the body already has a field of that name. They
+    may be anything JSON can state, `None` included, or a column.
     """
     message = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))
     body = {
@@ -63,8 +65,12 @@ def request_table(
         "temperature": F.lit(float(temperature)),
         "max_tokens": F.lit(int(max_tokens)),
     }
-    for name, value in extra.items():
-        body.setdefault(name, F.lit(value))
-    return prompts.withColumn(
-        "request", F.to_json(F.struct(*[value.alias(name) for name, value in body.items()]))
-    )
+    columns = {n: v for n, v in extra.items() if isinstance(v, Column) and n not in body}
+    body |= columns
+    plain = {n: v for n, v in extra.items() if n not in body}
+    request = F.to_json(F.struct(*[value.alias(name) for name, value in body.items()]))
+    if plain:
+        # The object goes on where it ended.
+        more = json.dumps(plain, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+        request = F.concat(F.left(request, F.char_length(request) - 1), F.lit("," + more[1:]))
+    return prompts.withColumn("request", request)

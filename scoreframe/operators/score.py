@@ -52,7 +52,7 @@ def score(
     hidden = {f"__part_{p.name}": p for p in parts if plain.get(p.name) != p}
 
     def part_column(p: Metric) -> Column:
-        return F.col(p.name if plain.get(p.name) == p else f"__part_{p.name}")
+        return F.col(quoted(p.name if plain.get(p.name) == p else f"__part_{p.name}"))
 
     def users(m: Metric) -> set[str]:
         """Names that make this metric run: its own, and those of composites over it."""
@@ -85,18 +85,18 @@ def score(
         forms = {n: F.when(asked(form_users[n]), c) if only_declared else c for n, c in layer.items()}
         formed = formed.select("*", *[c.alias(n) for n, c in forms.items()])
     scored = formed.select(
-        *[F.col(f"`{c}`") for c in pairs.columns], *[c.alias(n) for n, c in scores.items()]
+        *[F.col(quoted(c)) for c in pairs.columns], *[c.alias(n) for n, c in scores.items()]
     )
     if not only_declared and not parts:
         return scored
 
     def final(m: Metric) -> Column:
-        value = m.combine(part_column) if m.parts else F.col(m.name)
+        value = m.combine(part_column) if m.parts else F.col(quoted(m.name))
         if only_declared:
             value = F.when(F.array_contains("metrics", m.name), value)
         return value.alias(m.name)
 
-    return scored.select(*[F.col(f"`{c}`") for c in pairs.columns], *[final(m) for m in chosen])
+    return scored.select(*[F.col(quoted(c)) for c in pairs.columns], *[final(m) for m in chosen])
 
 
 def long_scores(scored: DataFrame, metrics: Iterable[str]) -> DataFrame:
@@ -104,7 +104,12 @@ def long_scores(scored: DataFrame, metrics: Iterable[str]) -> DataFrame:
     names = list(metrics)
     keys = [k for k in ("model", "dataset", "file_path", "sample_idx") if k in scored.columns]
     return (
-        scored.select(*keys, *names)
-        .unpivot(keys, names, "metric", "score")
+        scored.select(*keys, *[quoted(n) for n in names])
+        .unpivot(keys, [F.col(quoted(n)) for n in names], "metric", "score")
         .filter(F.col("score").isNotNull())
     )
+
+
+def quoted(name: str) -> str:
+    """A column name as Spark reads it whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"

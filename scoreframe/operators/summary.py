@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.operators.score import long_scores
+from scoreframe.operators.score import long_scores, quoted
 from scoreframe.sources.datasets import source_keys
 
 PART = 10_000
@@ -41,8 +41,8 @@ def summarize(
         statistic
         for name in metrics
         for statistic in (
-            F.avg(name).alias(name),
-            F.stddev_pop(name).alias(f"{name}_std"),
+            F.avg(quoted(name)).alias(name),
+            F.stddev_pop(quoted(name)).alias(f"{name}_std"),
         )
     ]
     summary = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_samples"), *statistics)
@@ -52,7 +52,7 @@ def summarize(
         *keys,
         F.coalesce("num_samples", F.lit(0)).alias("num_samples"),
         F.lit(few_shot_count).alias("few_shot_count"),
-        *[c for name in metrics for c in (name, f"{name}_std")],
+        *[quoted(c) for name in metrics for c in (name, f"{name}_std")],
     )
 
 
@@ -65,12 +65,13 @@ def wide_summary(
         "model",
         "num_samples",
         "few_shot_count",
-        *metrics,
+        *[quoted(name) for name in metrics],
+        *(["elapsed_time"] if "elapsed_time" in summary.columns else []),
     ]
     report = summary.select(*columns)
-    if elapsed_time is None:
-        return report
-    return report.withColumn("elapsed_time", F.lit(float(elapsed_time)))
+    if elapsed_time is not None:
+        return report.withColumn("elapsed_time", F.lit(float(elapsed_time)))
+    return report
 
 
 def pivot_scores(long: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -82,7 +83,7 @@ def metric_map(metrics: Iterable[str]) -> Column:
     """Map of metric name to value, without the metrics a row has no value for."""
     names = list(metrics)
     filled = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names])
+        F.array(*[F.lit(n) for n in names]), F.array(*[F.col(quoted(n)) for n in names])
     )
     return F.map_filter(filled, lambda _, value: value.isNotNull())
 
@@ -104,15 +105,17 @@ def result_rows(
 ) -> DataFrame:
     """Result document head: one row per run and dataset with maps of means and deviations."""
     deviations = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in metrics]), F.array(*[F.col(f"{n}_std") for n in metrics])
+        F.array(*[F.lit(n) for n in metrics]), F.array(*[F.col(quoted(f"{n}_std")) for n in metrics])
     )
+    known = elapsed_time is None and "elapsed_time" in summary.columns
+    time = F.col("elapsed_time") if known else F.lit(elapsed_time)
     return summary.select(
         *group_keys(summary),
         "num_samples",
         "few_shot_count",
         metric_map(metrics).alias("metrics"),
         F.map_filter(deviations, lambda _, value: value.isNotNull()).alias("deviations"),
-        F.lit(elapsed_time).cast("double").alias("elapsed_time"),
+        time.cast("double").alias("elapsed_time"),
     )
 
 
@@ -121,11 +124,11 @@ def unscored_datasets(scored: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
     Needs the array column `metrics` where a dataset is only scored by its own list.
     """
-    missing = {name: F.col(name).isNull() for name in metrics}
+    missing = {name: F.col(quoted(name)).isNull() for name in metrics}
     if "metrics" in scored.columns:
         missing = {n: gap & F.array_contains("metrics", n) for n, gap in missing.items()}
     failed = F.coalesce(
-        *[F.when(F.col(f"__{name}"), F.lit(f"no score by metric: {name}")) for name in metrics]
+        *[F.when(F.col(quoted(f"__{name}")), F.lit(f"no score by metric: {name}")) for name in metrics]
     )
     counted = scored.groupBy(*group_keys(scored)).agg(
         *[F.bool_or(gap).alias(f"__{name}") for name, gap in missing.items()]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from scoreframe.operators import summary as S
 from scoreframe.operators.predictions import attach_predictions, generate_to, sample_keys
 from scoreframe.operators.rules import rule_predictions
 from scoreframe.operators.score import declared_metrics, score
-from scoreframe.session import ship, spread
+from scoreframe.session import remove, ship, spread
 from scoreframe.sources import datasets as D
 from scoreframe.sources import sinks
 
@@ -50,49 +52,63 @@ def evaluate(
 
     `answer` is a function called per prompt (`how` goes to `generate`), a rule mapping
     or table, or a predictions table. Without `metrics` each dataset is scored by its
-    own list. `partitions` spreads the samples of large files over that many tasks.
+    own list. Files are exploded into sample rows as they are read, and the samples are
+    spread by key over `partitions` tasks before the model is called and scores are made,
+    by default four per core, so that one large file uses all cores.
+
+    `run_id` names the run's folder below `output`. By default it follows from the model,
+    the settings and the samples themselves: the same call made again after an abort
+    finds the predictions it already has and asks only for the others.
 
     Datasets that cannot be evaluated, or that a metric leaves without a score, are
-    reported in `failures` and left out of all summaries. Parsed datasets, predictions,
-    scores and the summary are each written once below `output` and read back, so that
-    nothing is parsed, generated or scored twice and a lost executor costs its own tasks.
+    reported in `failures` and left out of all summaries; an error in a column of a metric
+    counts as no score. Samples, predictions, scores and the summary are each written once
+    below `output` and read back, so that nothing is parsed, generated or scored twice and
+    a lost executor costs its own tasks. The time of a dataset is that of its calls, added
+    up, and its share by samples of the time scoring took.
     """
     started = time.monotonic()
     ship(spark)
-    run_id = run_id or uuid.uuid4().hex
+    staged = f"{output.rstrip('/')}/inputs-{uuid.uuid4().hex}"
+    rows = _sample_rows(spark, path, few_shot_count, metrics)
+    rows.write.parquet(staged)
+    rows = spark.read.schema(rows.schema).parquet(staged)
+    run_id = run_id or _run_id(rows, model, few_shot_count, metrics)
     place = f"{output.rstrip('/')}/run_id={run_id}"
 
-    D.check_datasets(D.read_datasets(spark, path), few_shot_count, metrics).write.mode(
-        "overwrite"
-    ).parquet(f"{place}/datasets")
-    checked = spark.read.parquet(f"{place}/datasets")
-    valid = checked.filter(F.col("error").isNull())
+    datasets = rows.filter(F.coalesce("sample_idx", F.lit(0)) == 0)
+    valid = datasets.filter(F.col("error").isNull())
     chosen = resolve(declared_metrics(valid) if metrics is None else metrics)
     names = tuple(m.name for m in chosen)
 
-    prefixed = valid.withColumn("prefix", P.prompt_prefix(few_shot_count))
-    asked = (
-        D.explode_samples(prefixed, ["prefix", "metrics"], partitions)
-        .withColumn("prompt", F.concat("prefix", F.lit("\n\n"), "input"))
-        .drop("prefix")
+    asked = rows.filter(F.col("error").isNull() & F.col("sample_idx").isNotNull()).select(
+        *D.source_keys(rows),
+        "sample_idx",
+        "input",
+        "reference",
+        "metrics",
+        F.concat("prefix", F.lit("\n\n"), "input").alias("prompt"),
     )
+    asked = spread(asked, *sample_keys(asked), partitions=partitions)
+    calls = None
     if callable(answer):
-        predictions = generate_to(spark, asked, answer, model, f"{place}/predictions", **how)
-        pairs = attach_predictions(asked, predictions, model)
+        calls = generate_to(spark, asked, answer, model, f"{place}/predictions", **how)
+        pairs = attach_predictions(asked, calls, model)
     elif isinstance(answer, DataFrame) and "prediction" in answer.columns:
         pairs = attach_predictions(asked, answer, model)
     else:
         pairs = rule_predictions(asked, answer, **how).withColumn("model", F.lit(model))
 
-    pairs = spread(pairs, *sample_keys(pairs))
-    scored = score(pairs, chosen, only_declared=metrics is None).drop("prompt")
+    scoring = time.monotonic()
+    with _errors_as_null(spark):
+        scored = score(pairs, chosen, only_declared=metrics is None).drop("prompt")
     if metrics is not None:
         scored = scored.drop("metrics")
     scored.write.mode("overwrite").parquet(f"{place}/scores")
     scores = spark.read.schema(scored.schema).parquet(f"{place}/scores")
-    elapsed = time.monotonic() - started
+    scoring = time.monotonic() - scoring
 
-    failures = D.error_rows(checked, model)
+    failures = D.error_rows(datasets, model)
     listed = valid.select(*D.source_keys(valid), F.lit(model).alias("model"))
     if names:
         failures = failures.unionByName(S.unscored_datasets(scores, names))
@@ -101,14 +117,78 @@ def evaluate(
     listed = listed.join(failures, S.group_keys(listed), "left_anti")
 
     summary = S.summarize(scores, names, few_shot_count, listed)
+    summary = _timed(summary, calls, scoring)
     summary.write.mode("overwrite").parquet(f"{place}/summary")
     summary = spark.read.schema(summary.schema).parquet(f"{place}/summary")
-    report = S.wide_summary(summary, names, elapsed)
+    report = S.wide_summary(summary, names)
     sinks.write_results_csv(report, f"{place}/report")
     if names:
-        sinks.write_results_json(
-            S.result_rows(summary, names, elapsed), f"{output}/results", run_id
-        )
+        sinks.write_results_json(S.result_rows(summary, names), f"{output}/results", run_id)
         sinks.write_results_json(S.sample_scores(scores, names), f"{output}/samples", run_id)
+        detailed = S.detailed_metrics(scores, names)
+        sinks.write_results_json(detailed, f"{output}/detailed", run_id)
         sinks.write_summary(S.summary_document(summary, names), f"{place}/document")
+    remove(spark, staged)
+    elapsed = time.monotonic() - started
     return Run(scores, summary, report, failures, names, elapsed, place)
+
+
+def _sample_rows(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    few_shot_count: int,
+    metrics: Sequence[str | Metric] | None,
+) -> DataFrame:
+    """One row per sample, and one without `sample_idx` for a dataset that has none to ask."""
+    checked = D.check_datasets(D.read_datasets(spark, path), few_shot_count, metrics)
+    usable = F.when(F.col("error").isNull(), F.col("samples"))
+    return checked.select(
+        *D.source_keys(checked),
+        "metrics",
+        "error",
+        F.when(F.col("error").isNull(), P.prompt_prefix(few_shot_count)).alias("prefix"),
+        F.posexplode_outer(usable).alias("place", "sample"),
+    ).select(
+        *D.source_keys(checked),
+        "metrics",
+        "error",
+        "prefix",
+        F.col("place").cast("long").alias("sample_idx"),
+        F.col("sample.input").alias("input"),
+        F.col("sample.output").alias("reference"),
+    )
+
+
+def _run_id(
+    rows: DataFrame, model: str, few_shot_count: int, metrics: Sequence[str | Metric] | None
+) -> str:
+    """A name that follows from the settings and from the content of all samples."""
+    content = F.xxhash64(*[c for c in rows.columns if c != "error"]).cast("decimal(38,0)")
+    total = rows.agg(F.sum(content), F.count(F.lit(1))).first()
+    asked = None if metrics is None else [str(m) for m in resolve(metrics)]
+    settings = repr((model, few_shot_count, asked, str(total[0]), total[1]))
+    return hashlib.sha256(settings.encode()).hexdigest()[:32]
+
+
+@contextmanager
+def _errors_as_null(spark: SparkSession) -> Iterator[None]:
+    """Columns built meanwhile give NULL instead of failing the job, as without ANSI mode."""
+    setting = "spark.sql.ansi.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _timed(summary: DataFrame, calls: DataFrame | None, scoring: float) -> DataFrame:
+    """Add `elapsed_time` per dataset."""
+    total = max(1, summary.agg(F.sum("num_samples")).first()[0] or 0)
+    share = F.col("num_samples") / total * scoring
+    if calls is None:
+        return summary.withColumn("elapsed_time", share)
+    keys = [k for k in S.group_keys(summary) if k in calls.columns]
+    spent = calls.groupBy(*keys).agg(F.sum("seconds").alias("spent"))
+    timed = summary.join(spent, keys, "left")
+    return timed.withColumn("elapsed_time", share + F.coalesce("spent", F.lit(0.0))).drop("spent")

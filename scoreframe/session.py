@@ -84,8 +84,13 @@ def remove_stored(spark: SparkSession) -> None:
     if not root and spark.sparkContext.master.startswith("local"):
         root = _local_root()
     if root:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/scoreframe")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, f"{root.rstrip('/')}/scoreframe")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever Spark can write."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(frame: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:

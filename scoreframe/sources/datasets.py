@@ -59,6 +59,7 @@ def read_datasets(
     return (
         _files(spark, path, pattern)
         .withColumn("present", arrow.json_fields(F.col("raw"), FIELDS))
+        .withColumn("text_outputs", arrow.text_outputs(F.col("raw")))
         .withColumn("document", F.when(F.col("present").isNotNull(), document))
         .select(
             "dataset",
@@ -74,6 +75,7 @@ def read_datasets(
                 for name, kind in (("metrics", "string"), ("few_shots", PAIR), ("samples", PAIR))
             ],
             "present",
+            "text_outputs",
         )
     )
 
@@ -160,7 +162,10 @@ def dataset_error(few_shot_count: int = 0, metrics: Iterable[str] | None = None)
             (F.col("metrics").isNull(), F.lit("metrics is not a list")),
             (
                 F.array_size(unknown) > 0,
-                F.concat(F.lit("Unsupported metric: "), F.try_element_at(unknown, F.lit(1))),
+                F.concat(
+                    F.lit("Unsupported metric: "),
+                    F.coalesce(F.try_element_at(unknown, F.lit(1)), F.lit("null")),
+                ),
             ),
         ]
     return F.coalesce(*[F.when(failed, message) for failed, message in checks])
@@ -173,6 +178,8 @@ def check_datasets(
     reason = dataset_error(few_shot_count, metrics)
     if "present" in datasets.columns:
         reason = F.coalesce(F.when(F.col("present").isNull(), "not a JSON object"), reason)
+    if "text_outputs" in datasets.columns:
+        reason = F.coalesce(reason, F.when(~F.col("text_outputs"), "an output is not text"))
     return datasets.withColumn("error", reason)
 
 

@@ -79,7 +79,91 @@ def test_directory_run(spark, place):
         for line in f.read_text().splitlines()
     ]
     assert sorted(r["num_samples"] for r in results) == [1, 2]
-    assert all(r["elapsed_time"] == run.elapsed_time for r in results)
+    spent = {(r.file_path, r.elapsed_time) for r in run.report.collect() if r.dataset == "words"}
+    assert len(spent) == 2 and all(0 < t < run.elapsed_time for _, t in spent)
+    detailed = [
+        json.loads(line)
+        for f in (place / "out").glob("detailed/run_id=*/model=m/dataset=sums/*.json")
+        for line in f.read_text().splitlines()
+    ]
+    assert [(d["metric"], d["scores"], d["mean"]) for d in detailed] == [
+        ("exact_match_figure", [1.0, 0.0], 0.5)
+    ]
+    assert not list((place / "out").glob("inputs-*"))
+
+
+def test_one_file_uses_all_cores_and_a_second_call_resumes(spark, tmp_path):
+    samples = [(f"q{n}", f"a{n}") for n in range(400)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "big.json").write_text(document(["exact_match"], samples))
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def answer(prompt):
+        from pathlib import Path
+
+        from pyspark import TaskContext
+
+        place = Path(seen) / f"{TaskContext.get().partitionId()}"
+        with place.open("a") as log:
+            log.write(prompt[-4:] + "\n")
+        if prompt.endswith("q7") and not (Path(seen) / "again").exists():
+            raise ConnectionError("down")
+        return "a" + prompt.rsplit("q", 1)[1]
+
+    how = {"retries": 0, "delay": 0.0}
+    run = evaluate(spark, str(tmp_path / "in"), "m", answer, str(tmp_path / "out"), **how)
+    assert len(list(seen.iterdir())) >= 8
+    assert run.report.first().exact_match == pytest.approx(399 / 400)
+    asked = sum(len(p.read_text().split()) for p in seen.iterdir())
+    (seen / "again").write_text("")
+    again = evaluate(spark, str(tmp_path / "in"), "m", answer, str(tmp_path / "out"), **how)
+    assert again.output == run.output
+    assert sum(len(p.read_text().split()) for p in seen.iterdir()) == asked
+    assert again.report.first().exact_match == pytest.approx(399 / 400)
+    other = evaluate(
+        spark, str(tmp_path / "in"), "m", answer, str(tmp_path / "out"), metrics=["bleu"], **how
+    )
+    assert other.output != run.output
+
+
+def test_errors_in_column_metrics_cost_only_their_dataset(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from scoreframe import register_metric
+
+    register_metric("inverse.size", lambda p, r: F.lit(1.0) / F.length(p), spark=spark)
+    (tmp_path / "in").mkdir()
+    for name, text in (("full", "x"), ("empty", "")):
+        body = document(["inverse.size"], [("q", "r"), (text or "none", "r")])
+        (tmp_path / "in" / f"{name}.json").write_text(body)
+    rules = {"none": "", "x": "four", "q": "yes"}
+    run = evaluate(spark, str(tmp_path / "in"), "m", rules, str(tmp_path / "out"))
+    assert {r.dataset: r.error for r in run.failures.collect()} == {
+        "empty": "no score by metric: inverse.size"
+    }
+    assert [(r.dataset, r["inverse.size"]) for r in run.report.collect()] == [
+        ("full", pytest.approx((1 / 3 + 1 / 4) / 2))
+    ]
+
+
+def test_outputs_that_are_no_text_and_null_metrics(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    bodies = {
+        "number": '{"instruction":"","metrics":["exact_match"],"samples":[{"input":"a","output":5}]}',
+        "object": '{"instruction":"","metrics":["exact_match"],"samples":[{"input":"a","output":{"x":1}}]}',
+        "null": '{"instruction":"","metrics":[null],"samples":[{"input":"a","output":"b"}]}',
+        "fine": '{"instruction":"","metrics":["exact_match"],"samples":[{"input":5,"output":"b"}]}',
+    }
+    for name, body in bodies.items():
+        (tmp_path / "in" / f"{name}.json").write_text(body)
+    run = evaluate(spark, str(tmp_path / "in"), "m", {"5": "b"}, str(tmp_path / "out"))
+    assert {r.dataset: r.error for r in run.failures.collect()} == {
+        "number": "an output is not text",
+        "object": "an output is not text",
+        "null": "Unsupported metric: null",
+    }
+    assert [(r.dataset, r.exact_match) for r in run.report.collect()] == [("fine", 1.0)]
 
 
 def test_chosen_metrics_and_one_file(spark, place):
