@@ -467,9 +467,9 @@ def discover_datasets(spark, folder):
         .otherwise(body)
     )
     path = sf.shared_path(spark, "mixed")
-    D.dataset_documents(spark, folder).select(
-        kind.alias("kind"), F.col("number").alias("copy"), text.alias("value")
-    ).write.partitionBy("kind", "copy").text(path)
+    D.dataset_documents(spark, folder).select(kind.alias("kind"), text.alias("value")).write.option(
+        "maxRecordsPerFile", 1
+    ).partitionBy("kind").text(path)
     found = sf.discover_datasets(spark, path, "*.txt")
     kind_of = F.regexp_extract("file_path", "kind=([0-9]+)", 1).cast("long")
     return found.groupBy(kind_of.alias("kind")).agg(F.count(F.lit(1)).alias("found"))
@@ -562,13 +562,22 @@ def select_metrics(spark, folder):
     f"""WITH {Q.SAMPLES}
     SELECT dataset, sample_idx,
       '{{"model":"echo","messages":[{{"role":"user","content":' || to_json(input) ||
-      '}}],"temperature":0.2,"max_tokens":64,"seed":7,"stop":["END","###"]}}' AS request
+      '}}],"temperature":0.2,"max_tokens":64,"seed":7,"stop":["END","###"],' ||
+      '"response_format":{{"type":"json_object"}},"user":null}}' AS request
     FROM samples"""
 )
 def request_table(spark, folder):
     prompts = D.samples(spark, folder).withColumn("prompt", F.col("input"))
     asked = sf.request_table(
-        prompts, D.MODEL, temperature=0.2, max_tokens=64, seed=7, stop=["END", "###"], messages="x"
+        prompts,
+        D.MODEL,
+        temperature=0.2,
+        max_tokens=64,
+        seed=7,
+        stop=["END", "###"],
+        messages="x",
+        response_format={"type": "json_object"},
+        user=None,
     )
     return asked.select("dataset", "sample_idx", "request")
 
@@ -581,6 +590,8 @@ def request_table(spark, folder):
            ELSE '' END AS prediction,
       CASE WHEN json_valid(raw) THEN
         CASE WHEN coalesce(json_array_length(raw, '$.choices'), 0) = 0
+               OR json_type(raw, '$.choices[0]') = 'NULL'
+               OR json_type(raw, '$.choices[0].message') = 'NULL'
              THEN 'unexpected response' END
         ELSE 'unexpected response' END AS error
     FROM responses"""
@@ -593,10 +604,10 @@ def parse_responses(spark, folder):
 @query(
     f"""WITH {Q.CONVERSATION_PAIRS}
     SELECT 'echo' AS model, dataset, sample_idx, input, reference,
-           CASE WHEN length(input) > 250 THEN '' ELSE prediction END AS prediction FROM pairs
+           CASE WHEN failed THEN '' ELSE prediction END AS prediction FROM pairs
     UNION ALL
     SELECT 'copy', dataset, sample_idx, input, reference,
-           CASE WHEN length(input) > 250 THEN '' ELSE reference END
+           CASE WHEN failed THEN '' ELSE reference END
     FROM pairs"""
 )
 def attach_predictions(spark, folder):
@@ -623,7 +634,7 @@ def generate(spark, folder):
         return prompt.replace("e", "3")
 
     prompts = D.samples(spark, folder).withColumn("prompt", F.col("input"))
-    return sf.generate(prompts, answer, D.MODEL, retries=2, delay=0.0)
+    return sf.generate(prompts, answer, D.MODEL, retries=2, delay=0.0).drop("seconds")
 
 
 @query(
@@ -711,10 +722,8 @@ def summarize(spark, folder):
 
 @query()
 def evaluate_all_metrics(spark, folder):
-    """Every metric in one pass over the joined predictions, then summarised."""
-    pairs = sf.attach_predictions(
-        D.samples(spark, folder), D.predictions(spark, folder), D.MODEL
-    )
+    """Every metric in one pass over all pairs, then summarised."""
+    pairs = D.conversation_pairs(spark, folder)
     names = [n for n in sf.list_metrics() if n in BUILT_IN]
     summary = sf.summarize(sf.score(sf.spread(pairs, "sample_idx"), names), names)
     return summary.select(
@@ -745,9 +754,10 @@ def results_csv(spark, folder):
 
 @query(
     f"""{_SCORED_SQL}
-    SELECT model, dataset, count(*) AS num_samples, 3 AS few_shot_count,
-           true AS timed, round(avg(set_f1), 6) AS mean, round(stddev_pop(set_f1), 6) AS std
-    FROM scored GROUP BY ALL"""
+    SELECT model, dataset, count(*) AS num_samples, 3 AS few_shot_count, true AS timed, metric,
+           round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std
+    FROM (UNPIVOT scored ON {', '.join(NATIVE)} INTO NAME metric VALUE score)
+    GROUP BY model, dataset, metric"""
 )
 def results_json(spark, folder):
     """Result documents per dataset, written as JSON and read back."""
@@ -762,8 +772,17 @@ def results_json(spark, folder):
         "num_samples",
         "few_shot_count",
         (F.col("elapsed_time") > 0).alias("timed"),
-        F.round(F.col("metrics")["set_f1"], 6).alias("mean"),
-        F.round(F.col("deviations")["set_f1"], 6).alias("std"),
+        "deviations",
+        F.explode("metrics").alias("metric", "mean"),
+    ).select(
+        "model",
+        "dataset",
+        "num_samples",
+        "few_shot_count",
+        "timed",
+        "metric",
+        rounded("mean"),
+        F.round(F.col("deviations")[F.col("metric")], 6).alias("std"),
     )
 
 
@@ -815,20 +834,25 @@ def summary_document(spark, folder):
 
 
 @query(
-    f"""{_LONG_SQL}
-    SELECT model, dataset, metric, sample_idx // 10000 AS part,
+    f"""WITH {Q.DOCUMENT_PAIRS},
+    scored AS (
+      SELECT dataset, sample_idx, {_METRIC_VALUES['exact_match']}::DOUBLE AS exact_match,
+             ({_METRIC_VALUES['length_ratio']})::DOUBLE AS length_ratio FROM pairs),
+    long AS (UNPIVOT scored ON exact_match, length_ratio INTO NAME metric VALUE score)
+    SELECT dataset, metric, sample_idx // 300 AS part,
            array_to_string(list(printf('%.4f', score) ORDER BY sample_idx), ',') AS scores,
            round(any_value(mean), 6) AS mean, round(any_value(std), 6) AS std
     FROM (SELECT *, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS std
-          FROM long WINDOW w AS (PARTITION BY model, dataset, metric))
-    GROUP BY model, dataset, metric, sample_idx // 10000"""
+          FROM long WINDOW w AS (PARTITION BY dataset, metric))
+    GROUP BY dataset, metric, sample_idx // 300"""
 )
 def detailed_metrics(spark, folder):
-    scored = _native_scores(spark, folder).select("model", "dataset", "sample_idx", *NATIVE)
-    detail = sf.detailed_metrics(sf.store(scored, "scores"), NATIVE, part_size=10_000)
+    """Documents are numbered from 0, so a part holds the scores of many."""
+    names = ["exact_match", "length_ratio"]
+    scored = sf.score(D.document_pairs(spark, folder), names).select("dataset", "sample_idx", *names)
+    detail = sf.detailed_metrics(sf.store(scored, "scores"), names, part_size=300)
     shown = F.transform("scores", lambda s: F.format_string("%.4f", s))
     return detail.select(
-        "model",
         "dataset",
         "metric",
         "part",

@@ -45,7 +45,8 @@ pairs AS (
            WHEN 2 THEN {_HALF}
            WHEN 3 THEN replace(reference, 'e', 'E')
            WHEN 4 THEN input || ' ' || reference
-           ELSE '' END AS prediction
+           ELSE '' END AS prediction,
+         (conv_id + turn) % 6 = 2 AS failed
   FROM samples
 )"""
 
@@ -115,7 +116,11 @@ pairs AS (
 RAW_RESPONSES = """
 responses AS (
   SELECT event_id,
-         CASE event_id % 5
+         CASE event_id % 9
+           WHEN 5 THEN '{"choices":[{"message":null}]}'
+           WHEN 6 THEN '{"choices":[null]}'
+           WHEN 7 THEN '{"choices":[{"message":{}}]} ' || event_type || ' ' || value
+           WHEN 8 THEN '{"choices":[{"message":{"content":null}}]}'
            WHEN 1 THEN '{"choices":[{}]}'
            WHEN 2 THEN '{"choices":[]}'
            WHEN 3 THEN '{"error":"' || event_type || ' ' || value || '"}'
@@ -128,8 +133,7 @@ responses AS (
 # One row per sample of every dataset document, with the document's settings.
 DOCUMENT_SAMPLES = f"""{SAMPLES},
 placed AS (
-  SELECT *, conv_id // (SELECT least(512, greatest(16, count(*) // 1000)) FROM conversations)
-           AS number, turn // 8 AS stretch
+  SELECT *, conv_id // 16 AS number, turn // 8 AS stretch
   FROM samples
 ),
 numbered AS (

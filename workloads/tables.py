@@ -14,6 +14,7 @@ from scoreframe.operators.merge import merge_scores, retract
 
 MODEL = "echo"
 TURNS_PER_CONVERSATION = 1_000_000_000  # keeps sample numbers apart and in order
+CONVERSATIONS_PER_DOCUMENT = 16
 TURNS_PER_DOCUMENT = 8
 LOG_CUT = "timestamp_ntz'2024-01-16 00:00:00'"
 
@@ -71,8 +72,8 @@ def conversation_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions of two models; calls with a long input failed and have no row."""
-    made = samples(spark, folder).filter(F.char_length("input") <= 250)
+    """Predictions of two models; one call in six failed and has no row."""
+    made = samples(spark, folder).filter(_variant() != 2)
     answers = F.array(
         F.struct(F.lit(MODEL).alias("model"), _prediction().alias("prediction")),
         F.struct(F.lit("copy").alias("model"), F.col("reference").alias("prediction")),
@@ -176,13 +177,17 @@ def json_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_responses(spark: SparkSession, folder: str) -> DataFrame:
     """Response documents around the event type, some without an answer."""
-    kind = F.col("event_id") % 5
+    kind = F.col("event_id") % 9
     content = F.concat("event_type", F.lit(" "), F.col("value").cast("string"))
     raw = (
         F.when(kind == 1, F.lit('{"choices":[{}]}'))
         .when(kind == 2, F.lit('{"choices":[]}'))
         .when(kind == 3, F.concat(F.lit('{"error":"'), content, F.lit('"}')))
         .when(kind == 4, F.concat(F.lit('{"choices":[{"message":{"content":"'), content))
+        .when(kind == 5, F.lit('{"choices":[{"message":null}]}'))
+        .when(kind == 6, F.lit('{"choices":[null]}'))
+        .when(kind == 7, F.concat(F.lit('{"choices":[{"message":{}}]} '), content))
+        .when(kind == 8, F.lit('{"choices":[{"message":{"content":null}}]}'))
         .otherwise(
             F.concat(F.lit('{"choices":[{"message":{"content":"'), content, F.lit('"}}]}'))
         )
@@ -191,14 +196,12 @@ def raw_responses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dataset_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Dataset documents of at most 4096 samples, built from neighbouring conversations.
+    """Dataset documents of at most 128 samples, built from neighbouring conversations.
 
     The group key holds a range of conversations and of turns, so the number of samples
-    in a document is bounded even if one conversation holds most of the turns. Ranges
-    widen with the table, because every document becomes a file.
+    in a document is bounded even if one conversation holds most of the turns.
     """
-    rows = table(spark, folder, "conversations").count()
-    number = F.floor(F.col("conv_id") / min(512, max(16, rows // 1000)))
+    number = F.floor(F.col("conv_id") / CONVERSATIONS_PER_DOCUMENT)
     stretch = F.floor(F.col("turn") / TURNS_PER_DOCUMENT)
     ordered = F.array_sort(
         F.collect_list(F.struct("sample_idx", "input", F.col("reference").alias("output")))
