@@ -244,8 +244,7 @@ def _bleu_tokens(text: str) -> str:
     return Q.words(text)
 
 
-@query(
-    f"""WITH {Q.CONVERSATION_PAIRS},
+_BLEU = f"""
     tokens AS (
       SELECT sample_idx, {_bleu_tokens(_STRIP_P)} AS p, {_bleu_tokens(_STRIP_R)} AS r FROM pairs),
     sizes AS (SELECT unnest(range(1, 5)) AS n),
@@ -270,11 +269,14 @@ def _bleu_tokens(text: str) -> str:
     logs AS (
       SELECT sample_idx, count(*) AS orders, max(m) AS best,
              sum(CASE WHEN m = 0 THEN -ln(pow(2, zeros) * total) ELSE ln(m / total) END) AS l
-      FROM smooth GROUP BY sample_idx)
-    SELECT t.sample_idx, round(CASE WHEN l.orders = 4 AND l.best > 0
-      THEN exp(least(0, 1 - len(r) / len(p)::DOUBLE) + l.l / 4) ELSE 0 END, 6)::DOUBLE AS bleu
-    FROM tokens t LEFT JOIN logs l ON t.sample_idx = l.sample_idx"""
-)
+      FROM smooth GROUP BY sample_idx),
+    bleu_scores AS (
+  SELECT t.sample_idx, round(CASE WHEN l.orders = 4 AND l.best > 0
+        THEN exp(least(0, 1 - len(r) / len(p)::DOUBLE) + l.l / 4) ELSE 0 END, 6)::DOUBLE AS bleu
+      FROM tokens t LEFT JOIN logs l ON t.sample_idx = l.sample_idx)"""
+
+
+@query(f"WITH {Q.CONVERSATION_PAIRS}, {_BLEU} SELECT sample_idx, bleu FROM bleu_scores")
 def bleu(spark, folder):
     pairs = sf.spread(D.conversation_pairs(spark, folder), "sample_idx")
     return _scored(pairs, "bleu")
@@ -334,18 +336,18 @@ def weighted_match(spark, folder):
 
 @query(
     _lcs_sql(
-        Q.PART_PAIRS,
+        Q.LISTED_PAIRS,
         _characters(_token_sorted("prediction")),
         _characters(_token_sorted("reference")),
         f"""SELECT id AS sample_idx, round(
               0.3 * ({_METRIC_VALUES['exact_match']}) + 0.4 * ({_PERCENT}) / 100.0
-              + 0.3 * ({_METRIC_VALUES['exact_match']}), 6)::DOUBLE AS composite
+              + 0.3 * ({_METRIC_VALUES['set_f1']}), 6)::DOUBLE AS composite
             FROM lcs JOIN pairs ON id = sample_idx""",
     )
 )
 def composite(spark, folder):
-    """One-line texts, so the set score equals the exact match in the SQL."""
-    pairs = sf.spread(D.part_pairs(spark, folder), "sample_idx")
+    """Texts of several lines, so that exact match, characters and sets all differ."""
+    pairs = sf.spread(D.listed_pairs(spark, folder), "sample_idx")
     return _scored(pairs, "composite")
 
 
@@ -731,6 +733,49 @@ def evaluate_all_metrics(spark, folder):
     )
 
 
+SQL_METRICS = (*NATIVE, "bleu", "exact_match_figure", "json_validity", "rouge_l")
+
+
+def _json_keys(text: str) -> str:
+    return (
+        f"CASE WHEN json_valid({text}) THEN CASE WHEN json_type({text}) = 'OBJECT' "
+        f"THEN list_distinct(json_keys({text})) END END"
+    )
+
+
+@query(
+    _lcs_sql(
+        Q.CONVERSATION_PAIRS,
+        Q.words("lower(prediction)"),
+        Q.words("lower(reference)"),
+        f""",{_BLEU},
+        numbers AS (
+          SELECT sample_idx AS id, {_number('prediction')} AS p, {_number('reference')} AS r,
+                 {_json_keys('prediction')} AS got, {_json_keys('reference')} AS want FROM pairs),
+        scored AS (
+          SELECT model, dataset, {', '.join(f'({_METRIC_VALUES[n]})::DOUBLE AS {n}' for n in NATIVE)},
+            bleu, (p IS NOT NULL AND r IS NOT NULL AND p = r AND NOT isnan(p))::INT::DOUBLE
+              AS exact_match_figure,
+            CASE WHEN got IS NULL OR want IS NULL THEN 0
+                 WHEN len(want) = 0 THEN (len(got) = 0)::INT
+                 ELSE len(list_intersect(got, want))::DOUBLE
+                      / (len(got) + len(want) - len(list_intersect(got, want))) END AS json_validity,
+            CASE WHEN common = 0 THEN 0 ELSE 2.0::DOUBLE * common / (size_a + size_b) END AS rouge_l
+          FROM pairs JOIN lcs ON pairs.sample_idx = lcs.id JOIN numbers ON pairs.sample_idx = numbers.id
+            JOIN bleu_scores ON pairs.sample_idx = bleu_scores.sample_idx)
+        SELECT model, dataset, count(*) AS num_samples,
+          {', '.join(f'round(avg({n}), 5) AS {n}' for n in SQL_METRICS)}
+        FROM scored GROUP BY ALL""",
+    )
+)
+def evaluate_sql_metrics(spark, folder):
+    """All metrics SQL can state, in one pass and summarised."""
+    pairs = sf.spread(D.conversation_pairs(spark, folder), "sample_idx")
+    summary = sf.summarize(sf.score(pairs, SQL_METRICS), SQL_METRICS)
+    means = [F.round(n, 5).alias(n) for n in SQL_METRICS]
+    return summary.select("model", "dataset", "num_samples", *means)
+
+
 BUILT_IN = frozenset(sf.list_metrics())
 
 
@@ -880,36 +925,78 @@ def sample_scores(spark, folder):
     )
 
 
+_ANSWERED = f"""{Q.DOCUMENT_SAMPLES},
+pairs AS (
+  SELECT n.dataset, n.sample_idx AS place, n.input, n.reference,
+         d.instruction || chr(10) || chr(10) || input AS prediction,
+         list_contains(d.metrics, 'contains_answer') AS odd,
+         row_number() OVER (ORDER BY n.dataset, n.sample_idx) AS sample_idx
+  FROM numbered n JOIN documents_made d ON n.dataset = d.dataset
+)"""
+
+
+def _answered_sql(outer: str) -> str:
+    return _lcs_sql(
+        _ANSWERED,
+        Q.words("lower(prediction)"),
+        Q.words("lower(reference)"),
+        f""",scored AS (
+          SELECT pairs.*,
+            CASE WHEN odd THEN ({_METRIC_VALUES['contains_answer']})::DOUBLE END AS contains_answer,
+            CASE WHEN NOT odd THEN ({_METRIC_VALUES['exact_match']})::DOUBLE END AS exact_match,
+            CASE WHEN NOT odd THEN CASE WHEN common = 0 THEN 0
+              ELSE 2.0::DOUBLE * common / (size_a + size_b) END END AS rouge_l,
+            CASE WHEN odd THEN ({_METRIC_VALUES['word_count_similarity']})::DOUBLE END
+              AS word_count_similarity
+          FROM pairs JOIN lcs ON pairs.sample_idx = lcs.id)
+        {outer}""",
+    )
+
+
+_ANSWERED_METRICS = ("contains_answer", "exact_match", "rouge_l", "word_count_similarity")
+
+
+def _directory_run(spark: SparkSession, folder: str) -> sf.Run:
+    path = _stored_documents(spark, folder, D.dataset_documents(spark, folder))
+    return sf.evaluate(
+        spark, path, D.MODEL, lambda prompt: prompt, sf.shared_path(spark, "run"), delay=0.0
+    )
+
+
 @query(
-    f"""WITH {Q.DOCUMENT_SAMPLES},
-    answered AS (
-      SELECT n.dataset, d.instruction || chr(10) || chr(10) || input AS prediction, reference,
-             list_contains(d.metrics, 'contains_answer') AS odd
-      FROM numbered n JOIN documents_made d ON n.dataset = d.dataset),
-    scored AS (
-      SELECT dataset, odd, {_METRIC_VALUES['contains_answer']} AS c,
-             {_METRIC_VALUES['exact_match']} AS e, {_METRIC_VALUES['word_count_similarity']} AS w
-      FROM answered)
-    SELECT count(*) AS num_samples, 0 AS few_shot_count, true AS timed,
-           round(CASE WHEN odd THEN avg(c) END, 6) AS contains_answer,
-           round(CASE WHEN NOT odd THEN avg(e) END, 6) AS exact_match,
-           round(CASE WHEN odd THEN avg(w) END, 6) AS word_count_similarity
-    FROM scored GROUP BY dataset, odd"""
+    _answered_sql(
+        f"""SELECT count(*) AS num_samples, 0 AS few_shot_count, true AS timed,
+          {', '.join(f'round(avg({n}), 6) AS {n}' for n in _ANSWERED_METRICS)}
+        FROM scored GROUP BY dataset"""
+    )
 )
 def evaluate_directory(spark, folder):
     """A whole run over dataset files: prompts, calls, scores and the report."""
-    path = _stored_documents(spark, folder, D.dataset_documents(spark, folder))
-    run = sf.evaluate(
-        spark, path, D.MODEL, lambda prompt: prompt, sf.shared_path(spark, "run"), delay=0.0
-    )
-    return run.report.select(
+    return _directory_run(spark, folder).report.select(
         "num_samples",
         "few_shot_count",
         (F.col("elapsed_time") > 0).alias("timed"),
-        rounded("contains_answer"),
-        rounded("exact_match"),
-        rounded("word_count_similarity"),
+        *[rounded(n) for n in _ANSWERED_METRICS],
+    )
+
+
+@query(
+    _answered_sql(
+        f"""SELECT place AS sample_idx, input, reference, prediction, metric, round(score, 10) AS score
+        FROM (UNPIVOT scored ON {', '.join(_ANSWERED_METRICS)} INTO NAME metric VALUE score)"""
     )
+)
+def evaluate_samples(spark, folder):
+    """The sample scores a run over dataset files has written, read back."""
+    run = _directory_run(spark, folder)
+    place, run_id = run.output.rsplit("/run_id=", 1)
+    schema = (
+        "sample_idx long, input string, reference string, prediction string, scores map<string,double>"
+    )
+    stored = spark.read.schema(schema).json(f"{place}/samples/run_id={run_id}")
+    return stored.select(
+        "sample_idx", "input", "reference", "prediction", F.explode("scores").alias("metric", "score")
+    ).withColumn("score", F.round("score", 10))
 
 
 # ---------------------------------------------------------------- keyed score tables

@@ -99,6 +99,18 @@ pairs AS (
   FROM part
 )"""
 
+LISTED_PAIRS = """
+pairs AS (
+  SELECT p_partkey AS sample_idx,
+         CASE p_partkey % 4
+           WHEN 0 THEN p_type || chr(10) || p_name || chr(10) || p_brand
+           WHEN 1 THEN p_name || chr(10) || ' ' || p_brand || chr(10) || ' ' || p_brand
+           WHEN 2 THEN ' ' || p_name || chr(10) || p_brand || chr(10) || p_type || chr(10)
+           ELSE lower(p_name) || chr(10) || chr(10) || p_type END AS prediction,
+         p_name || chr(10) || p_brand || chr(10) || p_type AS reference
+  FROM part
+)"""
+
 JSON_PAIRS = """
 pairs AS (
   SELECT event_id AS sample_idx, props AS reference,

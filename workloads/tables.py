@@ -155,6 +155,23 @@ def part_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def listed_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of a few short lines, some of them in another order, missing or repeated."""
+    kind = F.col("p_partkey") % 4
+    reference = F.concat_ws("\n", "p_name", "p_brand", "p_type")
+    prediction = (
+        F.when(kind == 0, F.concat_ws("\n", "p_type", "p_name", "p_brand"))
+        .when(kind == 1, F.concat_ws("\n ", "p_name", "p_brand", "p_brand"))
+        .when(kind == 2, F.concat(F.lit(" "), reference, F.lit("\n")))
+        .otherwise(F.concat_ws("\n\n", F.lower("p_name"), "p_type"))
+    )
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").alias("sample_idx"),
+        prediction.alias("prediction"),
+        reference.alias("reference"),
+    )
+
+
 def json_pairs(spark: SparkSession, folder: str) -> DataFrame:
     props = F.col("props")
     kind = F.col("event_id") % 8
