@@ -20,29 +20,29 @@ from scoreframe import (
 from scoreframe.operators.predictions import MOCK_ON_ERROR
 from scoreframe.operators.rules import DEFAULT_RESPONSE
 
-SHOTS = [("テスト入力1", "テスト出力1"), ("テスト入力2", "テスト出力2")]
+SHOTS = [("eins", "1"), ("zwölf", "12")]
 
 
 def dataset(spark):
     return spark.createDataFrame(
-        [("d", "テスト指示", SHOTS)],
+        [("d", "Schreibe als Zahl.", SHOTS)],
         "dataset string, instruction string, few_shots array<struct<input:string,output:string>>",
     )
 
 
 PROMPTS = {
-    0: "テスト指示\n\nテスト入力",
-    1: "テスト指示\n\nテスト入力1\nテスト出力1\n\nテスト入力",
-    2: "テスト指示\n\nテスト入力1\nテスト出力1\n\nテスト入力2\nテスト出力2\n\nテスト入力",
-    3: "テスト指示\n\nテスト入力",
-    -1: "テスト指示\n\nテスト入力",
+    0: "Schreibe als Zahl.\n\nsieben",
+    1: "Schreibe als Zahl.\n\neins\n1\n\nsieben",
+    2: "Schreibe als Zahl.\n\neins\n1\n\nzwölf\n12\n\nsieben",
+    3: "Schreibe als Zahl.\n\nsieben",
+    -1: "Schreibe als Zahl.\n\nsieben",
 }
 
 
 @pytest.mark.parametrize("shots", PROMPTS)
 def test_prompts(spark, shots):
     settings = dataset(spark)
-    carried = settings.withColumn("input", F.lit("テスト入力"))
+    carried = settings.withColumn("input", F.lit("sieben"))
     apart = carried.select("dataset", "input")
     assert build_prompts(carried, shots).first().prompt == PROMPTS[shots]
     assert build_prompts(apart, shots, settings).first().prompt == PROMPTS[shots]
@@ -64,7 +64,7 @@ def test_requests(spark):
 @pytest.mark.parametrize(
     ("raw", "prediction", "failed"),
     [
-        ('{"choices":[{"message":{"content":"生成されたテキスト"}}]}', "生成されたテキスト", False),
+        ('{"choices":[{"message":{"content":"Antwort ✓ 七"}}]}', "Antwort ✓ 七", False),
         ('{"choices":[{"message":{"content":"a"}},{"message":{"content":"b"}}]}', "a", False),
         ('{"choices":[{}]}', "", False),
         ('{"choices":[{"message":{}}]}', "", False),
