@@ -136,10 +136,12 @@ def gradients(p: dict, word, trigrams, char_sizes, ids, sizes, target):
     g["attend"] = np.einsum("tbh,tba->ha", hidden, before)
     d_hidden = weight[..., None] * inner + before @ p["attend"].T
     d_inputs = np.zeros_like(inputs)
+    by_word = np.argsort(ids.T.reshape(-1), kind="stable")
+    where, firsts = np.unique(ids.T.reshape(-1)[by_word], return_index=True)
     for d, order in ((0, range(steps - 1, -1, -1)), (1, range(steps))):
         part = slice(d * HIDDEN, (d + 1) * HIDDEN)
         carried = np.zeros((batch, HIDDEN), np.float32)
-        d_gates = np.zeros((len(inputs), 3 * HIDDEN), np.float32)
+        given = np.empty((steps, batch, 3 * HIDDEN), np.float32)
         for t in order:
             update, reset, fresh, own, earlier = kept[d][t]
             total = carried + d_hidden[t][:, part]
@@ -148,11 +150,12 @@ def gradients(p: dict, word, trigrams, char_sizes, ids, sizes, target):
             d_own = d_fresh * reset
             d_update = on * (earlier - fresh) * update * (1 - update)
             d_reset = d_fresh * own * reset * (1 - reset)
-            given = np.concatenate([d_update, d_reset, d_fresh], axis=1)
+            given[t] = np.concatenate([d_update, d_reset, d_fresh], axis=1)
             through = np.concatenate([d_update, d_reset, d_own], axis=1)
-            np.add.at(d_gates, ids[:, t], given)
             g["state"][d] += earlier.T @ through
             carried = through @ p["state"][d].T + on * update + (total - on)
+        d_gates = np.zeros((len(inputs), 3 * HIDDEN), np.float32)
+        d_gates[where] = np.add.reduceat(given.reshape(steps * batch, -1)[by_word], firsts)
         g["input"][d] = inputs.T @ d_gates
         g["bias"][d] = d_gates.sum(axis=0)
         d_inputs += d_gates @ p["input"][d].T

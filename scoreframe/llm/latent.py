@@ -14,6 +14,7 @@ from scoreframe.llm.common import blocks, sum_blocks, unpacked
 from scoreframe.llm.text import ALNUM, hashes, runs, spread_out, words
 from scoreframe.session import ship, store
 
+PIECE = 128  # rows of a matrix that are multiplied at a time
 HALF = 32  # words from one passage to the next; a passage has twice as many
 BLOCK = 1 << 15
 OVERSAMPLE = 32
@@ -55,7 +56,7 @@ def code_type(vocabulary: np.ndarray) -> str:
 
 
 def chunks(
-    column: pa.Array, kind: str, size: int = 1 << 16
+    column: pa.Array, kind: str, size: int = 1 << 14
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of packed texts: first row, end row, codes, and where each text's begin."""
     if not len(column):
@@ -116,19 +117,45 @@ def weighted(
 ) -> np.ndarray:
     """TF-IDF weights of the entries, each passage of length one."""
     weight = count * idf[word]
+    if not len(word):
+        return np.zeros(0, np.float32)
     norm = np.bincount(passage, weight**2)
     return (weight / np.sqrt(np.maximum(norm, 1e-12))[passage]).astype(np.float32)
 
 
-def multiplied(passage: np.ndarray, word: np.ndarray, weight: np.ndarray, basis: np.ndarray):
-    """AᵀA·basis for these entries, as the words that occur and their rows."""
-    begins = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-    rows = np.add.reduceat(basis[word] * weight[:, None], begins)
-    owner = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(passage))))
-    order = np.argsort(word, kind="stable")
-    back = rows[owner[order]] * weight[order, None]
-    first = np.flatnonzero(np.concatenate([[True], np.diff(word[order]) != 0]))
-    return word[order][first], np.add.reduceat(back, first)
+def pieces(
+    row: np.ndarray, word: np.ndarray, value: np.ndarray, rows: int, vocabulary: int
+) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """A sparse matrix, given by entries in order of row, as small dense ones.
+
+    Each has `PIECE` rows and a column per word that occurs in them, so that products with
+    it stay in the processor's caches and in bounded memory.
+    """
+    place = np.zeros(vocabulary, np.int64)
+    for start in range(0, rows, PIECE):
+        end = min(start + PIECE, rows)
+        here = slice(*np.searchsorted(row, [start, end]))
+        used = np.zeros(vocabulary, bool)
+        used[word[here]] = True
+        columns = np.flatnonzero(used)
+        place[columns] = np.arange(len(columns))
+        dense = np.zeros((end - start) * len(columns), np.float32)
+        np.add.at(dense, (row[here] - start) * len(columns) + place[word[here]], value[here])
+        yield slice(start, end), dense.reshape(end - start, -1), columns
+
+
+def add_product(
+    total: np.ndarray,
+    basis: np.ndarray,
+    passage: np.ndarray,
+    word: np.ndarray,
+    weight: np.ndarray,
+    factor: float = 1.0,
+) -> None:
+    """Add factor·AᵀA·basis of these entries to `total`."""
+    rows = int(passage[-1]) + 1 if len(passage) else 0
+    for _, dense, columns in pieces(passage, word, weight, rows, len(basis)):
+        total[columns] += factor * (dense.T @ (dense @ basis[columns]))
 
 
 def gram_product(
@@ -143,10 +170,8 @@ def gram_product(
         for batch in batches:
             for _, _, codes, bounds in chunks(batch.column("words"), kind):
                 passage, word, count, _ = entries(codes, bounds, size, 2 * HALF)
-                if len(word):
-                    weight = weighted(word, count, passage, idf)
-                    place, rows = multiplied(passage, word, weight, sent.value)
-                    total[place] += rows
+                weight = weighted(word, count, passage, idf)
+                add_product(total, sent.value, passage, word, weight)
         yield blocks("", total.reshape(-1).astype(np.float32), BLOCK)
 
     products = table.mapInArrow(summed, "key string, block int, data binary")
@@ -233,11 +258,11 @@ def contaminated(
     begins = np.concatenate([[0], np.cumsum(many)])
     half = begins[owner] + place // HALF
     inside = np.flatnonzero(codes)
-    sums = np.zeros((int(begins[-1]), projection.shape[1]), np.float32)
-    if len(inside):
-        held = half[inside]
-        first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-        sums[held[first]] = np.add.reduceat(projection[codes[inside] - 1], first)
+    word, size = codes[inside].astype(np.int64) - 1, int(begins[-1])
+    sums = np.zeros((size, projection.shape[1]), np.float32)
+    ones = np.ones(len(inside), np.float32)
+    for part, dense, columns in pieces(half[inside], word, ones, size, len(projection)):
+        sums[part] = dense @ projection[columns]
     text = np.repeat(np.arange(len(many)), many)
     joined = sums.copy()
     same = np.flatnonzero(text[1:] == text[:-1])
@@ -376,8 +401,7 @@ def latent_model(
     key, count = np.unique(owner * size + codes - 1, return_counts=True)
     passage, word = key // size, key % size
     weight = weighted(word, count, passage, idf)
-    place, own = multiplied(passage, word, weight, basis)
-    np.add.at(product, place, own * (max(1.0, passages / len(items))))
+    add_product(product, basis, passage, word, weight, max(1.0, passages / len(items)))
     vectors, values = singular_basis(product, basis, rank)
     projection = (idf[:, None] * vectors / values).astype(np.float32)
     queries = np.zeros((len(items), projection.shape[1]), np.float32)

@@ -14,7 +14,7 @@ from scoreframe.llm.text import runs
 from scoreframe.session import ship
 
 WIDTH, STRIDE = 32, 24
-TRUSTED = 2  # rounds in which every label is believed
+LEAST_ROUNDS, LEAST_STEPS = 6, 400
 PRIOR = 5  # texts of either class that a word is taken to be in beforehand
 
 
@@ -67,35 +67,32 @@ def labelled_sample(
 def train(
     sample: list[tuple[int, list[str]]],
     vocabulary_size: int = 1 << 14,
-    rounds: int = 6,
     batch: int = 64,
     rate: float = 0.01,
     seed: int = 1,
 ) -> dict:
     """Fit the network to labelled texts given as windows.
 
-    A label holds for a text, not for its windows: in each round a text is represented by
-    the window the network finds most toxic, and clean texts by another at random as well.
-    After two rounds toxic texts in which nothing looks toxic are taken for mislabelled and
-    left out. The word embedding starts from how much more often a word is in toxic texts; words are
-    hidden at random, so that their characters count too. At the end the largest logit of
-    a text is mapped to a probability by logistic regression.
+    A label holds for a text, not for its windows: a text is represented by the window the
+    network finds most toxic, looked for again six times, and clean texts by another at
+    random as well. There are six rounds, or as many as make 400 steps.
+    In the second half of the rounds toxic texts in which nothing looks toxic are taken for
+    mislabelled and left out. The word embedding starts from how much more often a word is
+    in toxic texts; words are hidden at random, so that their characters count too. At the
+    end the largest logit of a text is mapped to a probability by logistic regression.
     """
     rng = np.random.default_rng(seed)
     texts = [(label, w) for label, w in sample if w]
     if not texts:
-        return {"parameters": gru.initial(0), "vocabulary": np.zeros(0, np.uint64), "scale": (0.0, 0.0)}
+        nothing = np.zeros(0, np.uint64)
+        return {"parameters": gru.initial(0), "vocabulary": nothing, "scale": (0.0, 0.0)}
     target = np.array([label for label, _ in texts], np.float32)
     column = pa.array([w for _, group in texts for w in group])
     owner = np.repeat(np.arange(len(texts)), [len(w) for _, w in texts])
-    ids, sizes, words = [], [], []
-    for _, _, data, offsets in runs(column, 1 << 40):
-        data, starts, ends, bounds, value = gru.tokens(data, offsets)
-        codes, unique, trigrams, char_sizes = gru.distinct(data, starts, ends, value)
-        sizes = np.diff(bounds)
-        ids = gru.grid(codes, bounds[:-1], sizes, WIDTH)
+    ids, sizes, unique, trigrams, char_sizes = _numbered(column)
     # In how many toxic and clean texts each word is.
-    pairs = np.unique(np.stack([np.repeat(owner, WIDTH), ids.reshape(-1)]), axis=1)
+    pairs = np.unique(np.repeat(owner, WIDTH) * len(unique) + ids.reshape(-1))
+    pairs = pairs // len(unique), pairs % len(unique)
     with_word = np.bincount(pairs[1], minlength=len(unique))
     toxic = np.bincount(pairs[1], target[pairs[0]], len(unique))
     odds = np.log((toxic + PRIOR) / (target.sum() + 2 * PRIOR)) - np.log(
@@ -120,16 +117,18 @@ def train(
         return order[np.searchsorted(owner[order], np.arange(len(texts)))]
 
     clean = np.flatnonzero(target[owner] == 0)
+    rounds = max(LEAST_ROUNDS, -(-LEAST_STEPS * batch // len(texts)))
+    logit = p["word"][place, 0][ids].max(axis=1)
     for turn in range(rounds):
-        logit = logits() if turn else p["word"][place, 0][ids].max(axis=1)
+        if turn and turn % (rounds // LEAST_ROUNDS) == 0:
+            logit = logits()
         picked = leading(logit)
-        if turn >= TRUSTED:
-            picked = picked[(target == 0) | (logit[picked] > 0)]
+        if 2 * turn >= rounds:
+            picked = picked[_believed(logit[picked], target)]
         if len(clean):
             picked = np.concatenate([picked, rng.choice(clean, min(len(clean), len(texts)) // 2)])
+        picked = rng.permutation(picked)
         for start in range(0, len(picked), batch):
-            if not start:
-                picked = rng.permutation(picked)
             part = picked[start : start + batch]
             used, inverse = np.unique(ids[part], return_inverse=True)
             group, at = gru.spread_out(char_sizes[used])
@@ -145,12 +144,46 @@ def train(
                     target[owner[part]],
                 )
             )
-        adam.rate *= 0.7
+        adam.rate *= 0.12 ** (1 / rounds)
     logit = logits()
     best = logit[leading(logit)]
-    used = (target == 0) | (best > 0)
-    scale = _scale(best[used], target[used]) if used.any() else (0.0, 0.0)
-    return {"parameters": p, "vocabulary": vocabulary, "scale": scale}
+    used = _believed(best, target)
+    return {"parameters": p, "vocabulary": vocabulary, "scale": _scale(best[used], target[used])}
+
+
+def _believed(best: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """All texts but toxic ones that look no more toxic than most clean ones, a fifth at most."""
+    toxic = np.flatnonzero(target == 1)
+    believed = np.ones(len(target), bool)
+    if len(toxic) and len(toxic) < len(target):
+        weakest = toxic[np.argsort(best[toxic])][: len(toxic) // 5]
+        believed[weakest] = best[weakest] > np.quantile(best[target == 0], 0.9)
+    return believed
+
+
+def _numbered(windows: pa.Array) -> tuple[np.ndarray, ...]:
+    """Words of all windows by number, and of each distinct word its hash and trigrams."""
+    known: dict[int, int] = {}
+    ids, sizes, trigrams = [], [], []
+    for _, _, data, offsets in runs(windows):
+        data, starts, ends, bounds, value = gru.tokens(data, offsets)
+        codes, unique, grams, grams_each = gru.distinct(data, starts, ends, value)
+        numbers = np.empty(len(unique), np.int32)
+        parts = np.split(grams, np.cumsum(grams_each)[:-1])
+        for place, (word, part) in enumerate(zip(unique.tolist(), parts)):
+            if word not in known:
+                known[word] = len(known)
+                trigrams.append(part)
+            numbers[place] = known[word]
+        sizes.append(np.diff(bounds))
+        ids.append(numbers[gru.grid(codes, bounds[:-1], sizes[-1], WIDTH)])
+    return (
+        np.concatenate(ids),
+        np.concatenate(sizes),
+        np.fromiter(known, np.uint64, len(known)),
+        np.concatenate(trigrams),
+        np.array([len(part) for part in trigrams]),
+    )
 
 
 def _scale(logit: np.ndarray, target: np.ndarray) -> tuple[float, float]:

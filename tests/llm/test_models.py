@@ -326,7 +326,7 @@ def test_toxicity_of_odd_rows(odd, nothing, spark):
 
 
 def test_scores_do_not_depend_on_the_neighbours():
-    model = toxicity.train([(r[2], [r[1]]) for r in toxic_rows(60, 3, 10, 30)], rounds=2)
+    model = toxicity.train([(r[2], [r[1]]) for r in toxic_rows(60, 3, 10, 30)])
     values = [r[1] for r in toxic_rows(30, 4)]
     together = toxicity.scores(model, pa.array(values))
     alone = [toxicity.scores(model, pa.array([v]))[0] for v in values]
