@@ -164,14 +164,15 @@ def summary_document(
     summary: DataFrame,
     metrics: Sequence[str],
     timestamp: str | None = None,
-    datasets_per_part: int = PART,
+    parts: int = 1,
 ) -> DataFrame:
     """Nested `{dataset: {metric: mean}}` per model with the number of datasets.
 
-    One row per model, as long as it has no more than `datasets_per_part` datasets;
-    beyond that datasets are hashed into parts of about that size. Datasets of equal
-    name are told apart by their file path. `summary` is read more than once: give a
-    stored table, not a plan that scores again.
+    One row per model, or one for each of `parts` parts that datasets are hashed into: a
+    row holds the means of all its datasets, so give more parts where there are very many.
+    The layout follows from this number alone. Datasets of equal name are told apart by
+    their file path. `summary` is read more than once: give a stored table, not a plan
+    that scores again.
     """
     per_dataset = summary.withColumn("means", metric_map(metrics))
     label = F.col("dataset")
@@ -180,11 +181,10 @@ def summary_document(
         per_dataset = per_dataset.join(names, ["model", "dataset"])
         label = F.when(F.col("same_name") > 1, F.col("file_path")).otherwise(label)
     counts = summary.groupBy("model").agg(F.count(F.lit(1)).alias("num_datasets"))
-    part_total = F.ceil(F.col("num_datasets") / datasets_per_part)
     return (
         per_dataset.select("model", label.alias("label"), "means")
         .join(counts, "model")
-        .withColumn("part", F.pmod(F.xxhash64("label"), part_total))
+        .withColumn("part", F.pmod(F.xxhash64("label"), F.lit(parts).cast("long")))
         .groupBy("model", "num_datasets", "part")
         .agg(F.map_from_entries(F.collect_list(F.struct("label", "means"))).alias("metrics"))
         .withColumn("timestamp", F.lit(timestamp) if timestamp else F.current_timestamp().cast("string"))

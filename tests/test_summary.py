@@ -138,7 +138,7 @@ def test_summary_document(scored):
         "word_count_similarity": 1.0,
         "rouge_l": 1.0,
     }
-    split = summary_document(summary, METRICS, "now", datasets_per_part=1).collect()
+    split = summary_document(summary, METRICS, "now", parts=50).collect()
     merged = {name for r in split if r.model == "m" for name in r.metrics}
     assert merged == {"a", "b"} and all(r.num_datasets in (1, 2) for r in split)
 
