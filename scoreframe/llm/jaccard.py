@@ -209,7 +209,9 @@ def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return known.filter(~same).select("a", "b")
 
 
-def block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def block_links(
+    mixed: DataFrame, shared: DataFrame, sets: DataFrame, percent: int
+) -> DataFrame:
     """(a, b): links between rows of different parts that meet in lists of over `SMALL` rows.
 
     A row lives in a block of about `ROWS` rows with the same longest list. Of every list,
@@ -219,12 +221,14 @@ def block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     homes = mixed.groupBy("row").agg(
         F.max(F.struct("rows", "token")).alias("home"),
-        F.collect_list("token").alias("list"),
         F.first("part").alias("part"),
         F.first("need").alias("need"),
     )
     slot = F.pmod(F.xxhash64("row"), F.ceil(F.col("home.rows") / ROWS))
     homes = homes.withColumn("block", F.xxhash64("home.token", slot)).drop("home")
+    # All tokens a row shares with any other count, also those of small lists.
+    lists = shared.join(homes.select("row"), "row", "left_semi")
+    homes = homes.join(lists.groupBy("row").agg(F.collect_list("token").alias("list")), "row")
     homes = store(homes, "homes")
     touched = mixed.select("row", "token").join(homes.select("row", "block"), "row")
     touched = store(touched.select("token", "block").distinct(), "touched")
@@ -331,7 +335,7 @@ def jaccard_components(
     mixed = store(parted.join(spans, "token"), "mixed")
     links = stars.unionByName(
         verified_pairs(apart(single, parts), sets, percent)
-    ).unionByName(block_links(mixed, sets, percent))
+    ).unionByName(block_links(mixed, shared, sets, percent))
     found = components(links).select(F.col("node").alias("rep"), "label")
 
     members = table.select("row", "doc_id", "n", "s1", "s2").join(

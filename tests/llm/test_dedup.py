@@ -150,8 +150,12 @@ def variants():
     return rows
 
 
-def test_jaccard_components_of_dense_groups(spark, monkeypatch):
+@pytest.mark.parametrize("small", [2, 9, 16, 30])
+def test_jaccard_components_of_dense_groups(spark, monkeypatch, small):
+    """Links must be found whichever of their tokens are in short and in long lists."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
     rows = variants()
+    rows = [(i * 7919 % 10007, text) for i, text in rows]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     expected = by_force(rows, 85, 4)
     assert 10 < len({c for _, c in expected.values()}) < 190
