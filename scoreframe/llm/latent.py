@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreframe.llm.common import blocks, sum_blocks, unpacked
-from scoreframe.llm.text import ALNUM, hashes, runs, spread_out, words
+from scoreframe.llm.text import ALNUM, hashes, runs, sequence_hash, spread_out, words
 from scoreframe.session import ship, store
 
 PIECE = 128  # rows of a matrix that are multiplied at a time
 HALF = 32  # words from one passage to the next; a passage has twice as many
 BLOCK = 1 << 15
 OVERSAMPLE = 32
+GRAM = 5  # words of the runs by which verbatim items are found
 IDS = pa.list_(pa.int64())
 FOUND = pa.list_(pa.struct({"item_id": pa.int64(), "share": pa.float64()}))
 
@@ -158,17 +159,35 @@ def add_product(
         total[columns] += factor * (dense.T @ (dense @ basis[columns]))
 
 
+def narrowed(codes: np.ndarray, own: np.ndarray | None, vocabulary: int) -> np.ndarray:
+    """Codes counted within the words `own` alone, with 0 for others; as they are without."""
+    if own is None:
+        return codes
+    place = np.zeros(vocabulary + 1, np.int64)
+    place[own + 1] = np.arange(1, len(own) + 1)
+    return place[codes]
+
+
 def gram_product(
-    table: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray
+    table: DataFrame,
+    vocabulary: np.ndarray,
+    idf: np.ndarray,
+    basis: np.ndarray,
+    own: np.ndarray | None = None,
 ) -> np.ndarray:
-    """AᵀA·basis over the TF-IDF matrix A of all passages of the corpus."""
-    size, kind = len(vocabulary), code_type(vocabulary)
+    """AᵀA·basis over the TF-IDF matrix A of all passages of the corpus.
+
+    With `own`, places in the vocabulary, A has only the columns of these words; `idf` and
+    `basis` have only theirs.
+    """
+    size, whole, kind = len(basis), len(vocabulary), code_type(vocabulary)
     sent = table.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(basis.shape)
         for batch in batches:
             for _, _, codes, bounds in chunks(batch.column("words"), kind):
+                codes = narrowed(codes, own, whole)
                 passage, word, count, _ = entries(codes, bounds, size, 2 * HALF)
                 weight = weighted(word, count, passage, idf)
                 add_product(total, sent.value, passage, word, weight)
@@ -210,11 +229,37 @@ def common_subsequence(left: Sequence[int], masks: dict[int, int], size: int) ->
     return size - row.bit_count()
 
 
+def rarest_grams(items: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each item, the hashes of those of its runs of `GRAM` words that fewest items have.
+
+    An item of fewer words has one run, that of all its words. Who holds an item word for
+    word holds all these runs.
+    """
+    grams = [np.unique(sequence_hash(c.astype(np.uint64), min(GRAM, len(c)))) for c in items]
+    known, place, count = np.unique(
+        np.concatenate(grams), return_inverse=True, return_counts=True
+    )
+    shared = np.split(count[place], np.cumsum([len(g) for g in grams])[:-1])
+    return [g[n == n.min()] for g, n in zip(grams, shared)]
+
+
 class Items:
-    """Benchmark items as word codes, with what the checks of a candidate need."""
+    """Benchmark items as word codes, with what the checks of a candidate need.
+
+    `grams` are hashes of runs of words by which items are found beside their similarity.
+    """
 
-    def __init__(self, ids: list[int], codes: list[np.ndarray], tail: float):
+    def __init__(
+        self, ids: list[int], codes: list[np.ndarray], tail: float, grams: list[np.ndarray]
+    ):
         self.ids, self.codes = ids, [c.tolist() for c in codes]
+        self.grams = {}
+        for size in {min(GRAM, len(c)) for c in codes}:
+            own = [i for i, c in enumerate(codes) if min(GRAM, len(c)) == size]
+            value = np.concatenate([grams[i] for i in own])
+            owner = np.repeat(own, [len(grams[i]) for i in own])
+            order = np.argsort(value, kind="stable")
+            self.grams[size] = value[order], owner[order]
         self.masks = [self._mask(c) for c in self.codes]
         self.answers = [c[len(c) - max(1, round(tail * len(c))) :] for c in self.codes]
         self.answer_masks = [self._mask(c) for c in self.answers]
@@ -227,6 +272,21 @@ class Items:
             masks[code] = masks.get(code, 0) | 1 << place
         return masks
 
+    def verbatim(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item): where in the texts' codes a run of words of an item begins."""
+        places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        for size, (value, owner) in self.grams.items():
+            seen = sequence_hash(codes.astype(np.uint64), size)
+            low = np.searchsorted(value, seen, "left")
+            at = np.flatnonzero(value[np.minimum(low, len(value) - 1)] == seen)
+            at = at[text[at] == text[at + size - 1]]
+            many = np.searchsorted(value, seen[at], "right") - low[at]
+            group, step = spread_out(many)
+            places.append(at[group])
+            found.append(owner[low[at][group] + step])
+        return np.concatenate(places), np.concatenate(found)
+
     def share(self, item: int, region: list[int], least: float, answer: float) -> float:
         """The share of the item's words the region has in order; 0 if a check fails."""
         size = len(self.codes[item])
@@ -251,14 +311,20 @@ def contaminated(
     least: float,
     answer: float,
     counter: list[int] | None = None,
+    own: np.ndarray | None = None,
+    vocabulary: int = 0,
 ) -> list[dict[int, float]]:
-    """Per text, the items it holds and the best share of each."""
+    """Per text, the items it holds and the best share of each.
+
+    Codes count in a vocabulary of that size, rows of `projection` in its words `own`.
+    """
     many = -(-np.diff(bounds) // HALF)
     owner, place = spread_out(np.diff(bounds))
     begins = np.concatenate([[0], np.cumsum(many)])
     half = begins[owner] + place // HALF
-    inside = np.flatnonzero(codes)
-    word, size = codes[inside].astype(np.int64) - 1, int(begins[-1])
+    local = narrowed(codes, own, vocabulary)
+    inside = np.flatnonzero(local)
+    word, size = local[inside].astype(np.int64) - 1, int(begins[-1])
     sums = np.zeros((size, projection.shape[1]), np.float32)
     ones = np.ones(len(inside), np.float32)
     for part, dense, columns in pieces(half[inside], word, ones, size, len(projection)):
@@ -269,6 +335,9 @@ def contaminated(
     joined[same] += sums[same + 1]
     joined /= np.maximum(np.linalg.norm(joined, axis=1, keepdims=True), 1e-12)
     rows, hits = np.nonzero(joined @ queries.T >= cosine)
+    exact, whose = items.verbatim(codes, bounds)
+    key = np.concatenate([rows * len(items.codes) + hits, half[exact] * len(items.codes) + whose])
+    rows, hits = np.divmod(np.unique(key), len(items.codes))
     if counter is not None:
         counter[0] += len(rows)
     found: list[dict[int, float]] = [{} for _ in range(len(many))]
@@ -314,9 +383,12 @@ def find_contamination(
     compared to all items by the cosine of their folded-in coordinates, in which all
     directions weigh the same. For those over `cosine` the longest common subsequence of
     words in the passage's surroundings must hold `least` of the item, and `answer` of its
-    last `tail`, where the answer stands. Items are taken `most_items` at a time, so that
-    their directions fit the rank; each such block goes over the numbers of all texts. The
-    benchmark is held by every task: more than `largest` items are an error.
+    last `tail`, where the answer stands. The same is checked around every run of five
+    words that is among an item's rarest, whatever the cosine, so that an item held word
+    for word is always found. Items are taken `most_items` at a time, so that their
+    directions fit the rank; each such block has a space of its own items' words and goes
+    over the numbers of all texts. The benchmark is held by every task: more than `largest`
+    items are an error.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -337,26 +409,31 @@ def find_contamination(
     if worded:
         frequency, passages = document_frequencies(table, vocabulary)
         idf = np.log((passages + 1) / (frequency + 1)) + 1e-3
+        places = [np.searchsorted(vocabulary, parts[j]) + 1 for j in worded]
+        grams = rarest_grams(places)
         for i in range(0, len(worded), most_items):
-            block = worded[i : i + most_items]
-            codes = [np.searchsorted(vocabulary, parts[j]) + 1 for j in block]
+            block = slice(i, i + most_items)
+            codes = places[block]
+            own = np.unique(np.concatenate(codes)) - 1
             models.append(
                 (
-                    *latent_model(table, vocabulary, idf, passages, codes, rank),
-                    Items([ids[j] for j in block], codes, tail),
+                    *latent_model(table, vocabulary, idf, passages, codes, rank, own),
+                    Items([ids[j] for j in worded[block]], codes, tail, grams[block]),
+                    own,
                 )
             )
-    kind = code_type(vocabulary)
+    whole, kind = len(vocabulary), code_type(vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, codes, bounds in chunks(batch.column("words"), kind):
                 best: list[dict[int, float]] = [{} for _ in range(end - first)]
-                for projection, queries, items in sent.value:
+                for projection, queries, items, own in sent.value:
                     found = contaminated(
-                        codes, bounds, projection, queries, items, cosine, least, answer
-                    )
+                        codes, bounds, projection, queries, items, cosine, least, answer,
+                        own=own, vocabulary=whole,
+                    )
                     for own, new in zip(best, found):
                         for item, share in new.items():
                             number = items.ids[item]
@@ -388,14 +465,18 @@ def latent_model(
     passages: int,
     items: list[np.ndarray],
     rank: int,
+    own: np.ndarray,
     seed: int = 1,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Projection of words into the latent space, and the items' unit coordinates in it."""
-    size = len(vocabulary)
+    """Projection of words into the latent space, and the items' unit coordinates in it.
+
+    The space is that of the words `own` of the items, as places in the vocabulary.
+    """
+    size, idf = len(own), idf[own]
     width = min(size, rank + OVERSAMPLE)
     basis = np.random.default_rng(seed).standard_normal((size, width))
-    product = gram_product(table, vocabulary, idf, basis)
-    codes = np.concatenate(items)
+    product = gram_product(table, vocabulary, idf, basis, own)
+    codes = narrowed(np.concatenate(items), own, len(vocabulary))
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in items])])
     owner = np.repeat(np.arange(len(items)), np.diff(bounds))
     key, count = np.unique(owner * size + codes - 1, return_counts=True)
