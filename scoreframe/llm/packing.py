@@ -136,19 +136,26 @@ def word_tokens(tokenizer_file: str) -> WordTokens:
 
 
 def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing: each length goes to the fullest bin that takes it."""
+    """Best-fit decreasing: each length goes to the fullest bin that takes it.
+
+    That bin stays the fullest for further copies of the length, which go in together.
+    """
     rooms: list[tuple[int, int]] = []
     bins: list[list[int]] = []
-    for length in sorted(lengths, reverse=True):
-        at = bisect.bisect_left(rooms, (length, -1))
-        if at < len(rooms):
-            room, number = rooms.pop(at)
-        else:
-            room, number = capacity, len(bins)
-            bins.append([])
-        bins[number].append(length)
-        if room > length:
-            bisect.insort(rooms, (room - length, number))
+    sizes, counts = np.unique(np.asarray(lengths, np.int64), return_counts=True)
+    for length, count in zip(sizes[::-1].tolist(), counts[::-1].tolist()):
+        while count:
+            at = bisect.bisect_left(rooms, (length, -1))
+            if at < len(rooms):
+                room, number = rooms.pop(at)
+            else:
+                room, number = capacity, len(bins)
+                bins.append([])
+            copies = min(count, room // length)
+            bins[number].extend([length] * copies)
+            count -= copies
+            if room > length * copies:
+                bisect.insort(rooms, (room - length * copies, number))
     return bins
 
 
@@ -167,82 +174,173 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return int((half + np.maximum(0, -(-(small - room) // capacity))).max())
 
 
-def fillings(counts: np.ndarray, room: int, width: int) -> list[tuple[int, tuple[int, ...]]]:
+def sums(
+    sizes: list[int],
+    copies: list[int],
+    reach: list[int],
+    tries: list[int],
+    i: int,
+    left: int,
+    many: int,
+) -> Iterator[tuple[int, ...]]:
+    """All ways to make `left` of `many` lengths of sizes[i:], the most even ones first.
+
+    `sizes` descend; the bits of reach[i] are the sums that sizes[i:] can make in any number.
+    Every step takes one of `tries`, and there are no more ways once these are used up.
+    """
+    tries[0] -= 1
+    if not many:
+        yield ()
+        return
+    low = bisect.bisect_left(sizes, -left, i, key=lambda x: -x)
+    high = bisect.bisect_right(sizes, left // -many, i, key=lambda x: -x)
+    for j in range(high - 1, low - 1, -1):
+        for taken in range(1, min(copies[j], many, left // sizes[j]) + 1):
+            rest, more = left - taken * sizes[j], many - taken
+            if tries[0] <= 0:
+                return
+            if more * sizes[-1] > rest or (rest > 0) != (more > 0):
+                continue
+            if reach[j + 1] >> rest & 1:
+                for ending in sums(sizes, copies, reach, tries, j + 1, rest, more):
+                    yield (sizes[j],) * taken + ending
+
+
+def dominated(chosen: tuple[int, ...], unused: int, waste: int) -> bool:
+    """Whether an unused length fits beside the chosen ones, or in place of one smaller or two.
+
+    `unused` has a bit for every length of which a copy is left. What the longer length
+    replaces fits where that would have gone, so that other filling is never worse.
+    """
+    if unused & ((2 << waste) - 2):
+        return True
+    larger, same = (1 << waste) - 1, (2 << waste) - 1
+    if waste and any(unused >> (x + 1) & larger for x in set(chosen)):
+        return True
+    pairs = {x + y for i, x in enumerate(chosen) for y in chosen[i + 1 :]}
+    return any(unused >> pair & same for pair in pairs)
+
+
+def fillings(
+    counts: np.ndarray,
+    room: int,
+    width: int,
+    most: int | None = None,
+    tries: list[int] | None = None,
+) -> list[tuple[int, tuple[int, ...]]]:
     """(waste, lengths): the `width` least wasteful undominated ways to fill `room`.
 
-    For every largest length, the largest next ones that fit follow, until nothing fits:
-    a filling that leaves room for a remaining length, or takes a smaller one where a
-    larger fits, is dominated and not listed.
+    All ways are gone through in order of their waste, up to `most`, and of their number of
+    lengths. Those `dominated` are left out, and no others unless `tries` are used up.
     """
-    present = counts[: room + 1] > 0
-    first = np.flatnonzero(present)
-    first = first[first > 0]
-    if not len(first):
-        return [(room, ())]
-    below = np.maximum.accumulate(np.where(present, np.arange(room + 1), 0))
-    second = below[np.minimum(room - first, first)]
-    spent = (second == first) & (counts[first] < 2)
-    second = np.where(spent, below[first - 1], second)
-    third = below[np.minimum(room - first - second, second)]
-    uses = 1 + (third == second).astype(int) + ((third == second) & (second == first))
-    third = np.where(counts[third] < uses, below[np.maximum(third - 1, 0)], third)
-    waste = room - first - second - third
-    found = {}
-    for i in np.argsort(waste, kind="stable")[:width]:
-        chosen = [int(x) for x in (first[i], second[i], third[i]) if x]
-        left = int(waste[i])
-        while left > 0 and (size := int(below[left])) > 0:
-            while size and counts[size] <= chosen.count(size):
-                size = int(below[size - 1])
-            if not size:
-                break
-            chosen.append(size)
-            left -= size
-        found[tuple(sorted(chosen, reverse=True))] = left
-    return sorted((w, c) for c, w in found.items())
+    tries = [1 << 62] if tries is None else tries
+    most = room if most is None else min(most, room)
+    sizes = np.flatnonzero(counts[: room + 1])
+    sizes = sizes[sizes > 0][::-1]
+    number = counts[sizes].tolist()
+    small = np.cumsum((counts * np.arange(len(counts)))[: room + 1])
+    sizes = sizes.tolist()
+    copies = [min(n, room // size) for n, size in zip(number, sizes)]
+    reach, whole = [1], (2 << room) - 1
+    for size, count in zip(reversed(sizes), reversed(copies)):
+        bits, step = reach[-1], 1
+        while count:
+            step = min(step, count)
+            bits |= bits << size * step
+            count -= step
+            step *= 2
+        reach.append(bits & whole)
+    reach.reverse()
+    present = sum(1 << size for size in sizes)
+    found = []
+    for waste in range(most + 1):
+        if small[waste] > room - waste:  # what fits beside a filling must be in it
+            break
+        if not reach[0] >> (room - waste) & 1:
+            continue
+        for chosen in _by_number(sizes, copies, reach, tries, room - waste):
+            unused = present
+            for size in set(chosen):
+                if chosen.count(size) == counts[size]:
+                    unused ^= 1 << size
+            if not dominated(chosen, unused, waste):
+                found.append((waste, chosen))
+            if len(found) == width:
+                return found
+        if tries[0] <= 0:
+            break
+    return found
+
+
+def _by_number(
+    sizes: list[int], copies: list[int], reach: list[int], tries: list[int], total: int
+) -> Iterator[tuple[int, ...]]:
+    """All ways to make `total`, those of few lengths first."""
+    if not total:
+        yield ()
+        return
+    for many in range(-(-total // sizes[0]), min(sum(copies), total // sizes[-1]) + 1):
+        yield from sums(sizes, copies, reach, tries, 0, total, many)
 
 
 def bin_completion(
-    lengths: Sequence[int], capacity: int, width: int = 3, effort: int = 4
+    lengths: Sequence[int],
+    capacity: int,
+    width: int = 1,
+    effort: int = 32,
+    least: int = 10_000,
 ) -> list[list[int]]:
     """Pack lengths into few bins by branch and bound, starting from best-fit decreasing.
 
-    Bins are completed around the largest remaining length, least wasteful filling first. A
+    Bins are completed around the largest remaining length, least wasteful filling first;
+    fillings are listed `width` at a time, then twice as many, until all have been tried. A
     branch ends when its waste exceeds what one bin less than the best packing so far
-    allows; the search ends when the lower bound is met, or after `effort` bins tried per
-    bin of the incumbent.
+    allows. The search ends when the lower bound is met, when nothing is left to try (the
+    packing is then optimal), or after `effort` steps per bin of the incumbent, `least` at
+    least.
     """
     best = best_fit(lengths, capacity)
     counts = np.bincount(np.asarray(lengths, np.int64), minlength=capacity + 1)
     bound, total = lower_bound(counts, capacity), int(sum(lengths))
-    tries = effort * len(best)
-    path: list[list] = []  # largest, options still untried, filling in use, waste before it
+    tries = [max(least, effort * len(best))]
+    path: list[list] = []  # largest, fillings, how many tried, asked for, in use, waste before
     waste, remaining = 0, len(lengths)
-    while len(best) > bound and tries > 0:
+    while len(best) > bound and tries[0] > 0:
+        allowed = (len(best) - 1) * capacity - total
         if remaining:
             largest = int(np.flatnonzero(counts)[-1])
             counts[largest] -= 1
-            path.append([largest, fillings(counts, capacity - largest, width), None, waste])
-            tries -= 1
+            tries[0] -= 1
+            options = fillings(counts, capacity - largest, width, allowed - waste, tries)
+            path.append([largest, options, 0, width, None, waste])
         else:
-            best = [[step[0], *step[2]] for step in path]
-        allowed = (len(best) - 1) * capacity - total
+            best = [[step[0], *step[4]] for step in path]
+            allowed = (len(best) - 1) * capacity - total
         while path:
             step = path[-1]
-            if step[2] is not None:
-                for size in step[2]:
+            largest, options, tried, asked, used, before = step
+            if used is not None:
+                for size in used:
                     counts[size] += 1
-                remaining += 1 + len(step[2])
-                waste = step[3]
-                step[2] = None
-            if step[1] and step[3] + step[1][0][0] <= allowed and len(path) < len(best):
-                lost, step[2] = step[1].pop(0)
-                for size in step[2]:
+                remaining += 1 + len(used)
+                waste, step[4] = before, None
+            if tried == asked and before + options[-1][0] <= allowed and tries[0] > 0:
+                step[3] = asked = 2 * asked
+                room = capacity - largest
+                step[1] = options = fillings(counts, room, asked, allowed - before, tries)
+            if (
+                tried < len(options)
+                and before + options[tried][0] <= allowed
+                and len(path) < len(best)
+            ):
+                lost, step[4] = options[tried]
+                step[2] += 1
+                for size in step[4]:
                     counts[size] -= 1
-                remaining -= 1 + len(step[2])
-                waste = step[3] + lost
+                remaining -= 1 + len(step[4])
+                waste = before + lost
                 break
-            counts[step[0]] += 1
+            counts[largest] += 1
             path.pop()
         if not path:
             break
@@ -305,13 +403,14 @@ def pack(
     the end id alone. Repeated rows and null ids are packed like others. An empty table
     gives an empty result; other columns are not looked at.
 
-    Pieces are dealt evenly into groups of about `group` sequences, each packed in one task
-    by `bin_completion`; a group wastes at most part of its last sequences.
+    Pieces are dealt evenly into groups of about `group` sequences, by their tokens alone,
+    each packed in one task by `bin_completion`; a group wastes at most part of its last
+    sequences.
     """
     ship(docs.sparkSession)
     pieces = store(cut_pieces(docs, tokenizer_file, doc_id, text, capacity, end), "pieces")
-    size = pieces.agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).first()
-    groups = 1 + max((size.tokens or 0) // (capacity * group), size.n // (16 * group))
+    tokens = pieces.agg(F.sum("length").alias("tokens")).first().tokens or 0
+    groups = 1 + tokens // (capacity * group)
     dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("number")
 
     def packed(table: pa.Table) -> pa.Table:

@@ -163,6 +163,49 @@ def test_bin_completion():
     assert bin_completion([], 10) == []
 
 
+def test_bin_completion_as_queries_use_it():
+    r = random.Random(6)
+    for _ in range(150):
+        lengths = r.choices(range(1, 30), k=r.randint(1, 9))
+        assert len(bin_completion(lengths, 30)) == fewest(lengths, 30)
+    # Best fit needs 3 % more bins than the bound here.
+    lengths = np.random.default_rng(1).integers(600, 1500, 4000).tolist()
+    bins = bin_completion(lengths, 4096)
+    assert sorted(x for b in bins for x in b) == sorted(lengths) and max(map(sum, bins)) <= 4096
+    assert len(bins) <= 1.005 * lower_bound(np.bincount(lengths, minlength=4097), 4096)
+
+
+def test_fillings_are_all_undominated_ones():
+    counts = np.bincount([1000, 700, 600, 496], minlength=4097)
+    assert packing.fillings(counts, 2096, 1) == [(0, (1000, 600, 496))]
+    r = random.Random(7)
+    for _ in range(200):
+        lengths, room = r.choices(range(1, 25), k=r.randint(1, 8)), r.randint(1, 40)
+        counts = np.bincount(lengths, minlength=41)
+        ways = set()
+        for mask in range(1 << len(lengths)):
+            chosen = tuple(sorted((x for i, x in enumerate(lengths) if mask >> i & 1), reverse=True))
+            if sum(chosen) <= room:
+                ways.add(chosen)
+        expected = set()
+        for chosen in ways:
+            unused = [x for x in set(lengths) if counts[x] > chosen.count(x)]
+            spare = room - sum(chosen)
+            # A larger length for none or one, or as large a one for two.
+            least = [x + 1 for x in (0, *chosen)]
+            least += [a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :]]
+            if not any(x <= y <= x + spare - (i <= len(chosen)) for y in unused for i, x in enumerate(least)):
+                expected.add((spare, chosen))
+        found = packing.fillings(counts, room, 1 << 20)
+        assert len(found) == len(set(found)) and [w for w, _ in found] == sorted(w for w, _ in found)
+        assert expected == set(found)
+
+
+def test_short_pieces_share_their_sequences(spark):
+    frame = spark.range(200).selectExpr("id AS doc_id", "'' AS text").repartition(3)
+    assert check_sequences(pack(frame, TOKENIZER, capacity=100, group=2).collect(), 100) <= 3
+
+
 def longest_common(a, b):
     rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
