@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreframe.llm.audit import audit_filters
 from scoreframe.llm.common import documents, held
 from scoreframe.llm.exact import exact_duplicates
 from scoreframe.llm.extract import extract_main_text
@@ -120,3 +121,48 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
     found = find_contamination(documents(spark, folder), benchmark)
     return found.drop("matches")
+
+
+@query(r"""
+    WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+    worded AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words FROM texts),
+    firsts AS (SELECT body, min(coalesce(doc_id, 9223372036854775807)) AS first FROM texts GROUP BY body),
+    marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS bad
+              FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    failed AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+                      [len(words) < 200,
+                       100 * len(list_distinct(words)) < 50 * len(words),
+                       100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 2 * length(body),
+                       regexp_matches(body, '[#$%&*|]'),
+                       coalesce(doc_id, 9223372036854775807) > first] AS fails
+               FROM worded JOIN firsts USING (body) LEFT JOIN marks USING (doc_id)),
+    cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM failed GROUP BY ALL),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+    orders AS (SELECT concat(a.letter, b.letter, c.letter, d.letter, e.letter) AS filter_order
+               FROM letters a, letters b, letters c, letters d, letters e
+               WHERE len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5),
+    steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter,
+                     ascii(substr(filter_order, step, 1)) - 64 AS place,
+                     [ascii(x) - 64 for x in string_split(substr(filter_order, 1, step - 1), '') if x <> ''] AS earlier
+              FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+    ran AS (SELECT part, filter_order, step, letter, n, good, bad, fails[place] AS fail,
+                   len([i for i in earlier if fails[i]]) > 0 AS gone, len([x for x in fails if x]) = 1 AS alone
+            FROM cells, steps),
+    counted AS (SELECT part, filter_order, step, letter,
+                       sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END) AS kept,
+                       sum(CASE WHEN fail AND NOT gone THEN n ELSE 0 END) AS removed,
+                       sum(CASE WHEN fail AND gone THEN n ELSE 0 END) AS redundant,
+                       sum(CASE WHEN fail AND alone THEN n ELSE 0 END) AS unique_fails,
+                       sum(CASE WHEN fail AND NOT gone THEN good ELSE 0 END) AS good_lost,
+                       sum(CASE WHEN fail AND NOT gone THEN bad ELSE 0 END) AS toxic_lost
+                FROM ran GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept,
+           CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+           CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+    FROM counted
+""")
+def op11_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return audit_filters(documents(spark, folder), labels)
