@@ -20,6 +20,7 @@ from scoreframe.llm.lines import dedup_lines
 from scoreframe.llm.lm import score_texts
 from scoreframe.llm.packing import pack
 from scoreframe.llm.toxicity import score_toxicity
+from scoreframe.llm.trie import prefix_trie, rebuilt_conversations
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +167,43 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op11_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     return audit_filters(documents(spark, folder), labels)
+
+
+@query(r"""
+    WITH turns AS (SELECT conv_id, turn, length(coalesce(text, '')) AS points,
+                          substr(sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''),
+                                               coalesce(text, ''))), 1, 32) AS id
+                   FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list({'id': id, 'points': points} ORDER BY turn NULLS FIRST, id) AS t,
+                   -- crc32 of the decimal id, bit by bit
+                   xor(4294967295, list_reduce(
+                       [CAST(ascii(c) AS BIGINT) for c in string_split(CAST(conv_id AS VARCHAR), '')],
+                       lambda a, c: list_reduce(range(8),
+                           lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END,
+                           xor(a, c)), 4294967295)) % 6 AS h
+            FROM turns GROUP BY conv_id),
+    rebuilt AS (SELECT a.conv_id, list_concat(coalesce(b.t[1:a.h], []), a.t[a.h + 1:]) AS t
+                FROM own a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+    depths AS (SELECT *, unnest(range(0, len(t) + 1)) AS depth FROM rebuilt),
+    met AS (SELECT conv_id, depth, array_to_string([x.id for x in t[1:depth]], '') AS node,
+                   array_to_string([x.id for x in t[1:depth - 1]], '') AS above,
+                   coalesce(t[depth].points, 0) AS points, len(t) = depth AS ending
+            FROM depths),
+    nodes AS (SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, min(above) AS above,
+                     count(*) AS n_convs, (count(*) - 1) * min(points) AS saved,
+                     sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                                     FILTER (ending), '')) AS ends_sha256
+              FROM met GROUP BY node),
+    below AS (SELECT a.node, count(*) FILTER (b.depth = a.depth + 1) AS n_children,
+                     count(*) FILTER (NOT EXISTS (SELECT 1 FROM nodes c
+                                                  WHERE c.depth > 0 AND c.above = b.node)) AS n_leaves,
+                     sum(b.saved) AS saved_tokens
+              FROM nodes a JOIN nodes b ON starts_with(b.node, a.node) GROUP BY a.node)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves,
+           CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN below USING (node) LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.above
+""")
+def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{folder}/conversations.parquet")
+    heads = F.crc32(F.col("conv_id").cast("string")) % 6
+    return prefix_trie(rebuilt_conversations(conversations, heads))
