@@ -11,7 +11,10 @@ from scoreframe.llm import radix
 from scoreframe.llm.trie import WIDTH, prefix_trie, rebuilt_conversations
 
 COLUMNS = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
-HEADS = F.crc32(F.col("conv_id").cast("string")) % 6
+
+
+def heads():
+    return F.crc32(F.col("conv_id").cast("string")) % 6
 
 
 def sha(text):
@@ -50,7 +53,7 @@ def by_force(rows):
 
 
 def trie(frame, **how):
-    found = prefix_trie(rebuilt_conversations(frame, HEADS), **how)
+    found = prefix_trie(rebuilt_conversations(frame, heads()), **how)
     assert found.columns == list(COLUMNS)
     return sorted((tuple(r) for r in found.collect()), key=repr)
 
