@@ -18,6 +18,7 @@ from scoreframe.llm.latent import find_contamination
 from scoreframe.llm.licenses import scan_licenses
 from scoreframe.llm.lines import dedup_lines
 from scoreframe.llm.lm import score_texts
+from scoreframe.llm.mix import mix_sources
 from scoreframe.llm.packing import pack
 from scoreframe.llm.toxicity import score_toxicity
 from scoreframe.llm.trie import prefix_trie, rebuilt_conversations
@@ -207,3 +208,52 @@ def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame
     conversations = spark.read.parquet(f"{folder}/conversations.parquet")
     heads = F.crc32(F.col("conv_id").cast("string")) % 6
     return prefix_trie(rebuilt_conversations(conversations, heads))
+
+
+@query(r"""
+    WITH docs AS (SELECT doc_id, coalesce(concat('0', source), '1') AS key,
+                         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                         CAST(concat('0x', substr(md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''), ':',
+                                                             coalesce(text, ''))), 1, 15)) AS BIGINT) AS ord
+                  FROM documents),
+    sources AS (SELECT key, CAST(sum(size) AS BIGINT) AS words, count(*) AS n,
+                       row_number() OVER (ORDER BY key) AS place FROM docs GROUP BY key),
+    weighed AS (SELECT *, 2 * words AS bound, CAST([3, 1, 2][(place - 1) % 3 + 1] AS DOUBLE) AS weight,
+                       CAST(sum(words) OVER () AS BIGINT) AS whole FROM sources),
+    levels AS (SELECT *, bound / weight AS ratio,
+                      (150 * whole / 100 - CAST(sum(bound) OVER w AS BIGINT) + bound)
+                      / (sum(weight) OVER () - sum(weight) OVER w + weight) AS level
+               FROM weighed WINDOW w AS (ORDER BY bound / weight, place ROWS UNBOUNDED PRECEDING)),
+    free AS (SELECT arg_min(level, (ratio, place)) AS level FROM levels WHERE bound > weight * level),
+    targets AS (SELECT l.key, l.words, l.n, l.place, CAST(floor(150 * whole / 100 / 32 + 0.5) AS BIGINT) AS seats,
+                       coalesce(least(CAST(bound AS DOUBLE), weight * f.level), CAST(bound AS DOUBLE)) AS target
+                FROM levels l, free f),
+    ranked AS (SELECT place, k, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, place, k) AS rank
+               FROM (SELECT *, unnest(range(0, seats)) AS k FROM targets)),
+    quotas AS (SELECT t.*, CAST(ceil(n / 65536) AS BIGINT) AS shards, coalesce(q.quota, 0) AS quota
+               FROM targets t LEFT JOIN (SELECT place, count(*) AS quota FROM ranked WHERE rank <= seats
+                                         GROUP BY place) q USING (place)),
+    dealt AS (SELECT d.*, q.words AS source_size, target, quota, ord % shards AS shard
+              FROM docs d JOIN quotas q USING (key)),
+    cells AS (SELECT key, shard, min(quota) AS quota, CAST(sum(size) AS BIGINT) AS words FROM dealt GROUP BY key, shard),
+    won AS (SELECT key, shard, k, quota,
+                   row_number() OVER (PARTITION BY key ORDER BY words / (2 * k + 1) DESC, shard, k) AS rank
+            FROM (SELECT *, unnest(range(0, quota)) AS k FROM cells)),
+    shares AS (SELECT c.key, c.shard, greatest(1, (words + 31) // 32) AS blocks,
+                      least(coalesce(s.quota, 0), 2 * ((words + 31) // 32)) AS quota,
+                      CAST(concat('0x', substr(md5(concat_ws(':', 'mix', c.key, c.shard)), 1, 15)) AS BIGINT) AS seeded
+               FROM cells c LEFT JOIN (SELECT key, shard, count(*) AS quota FROM won WHERE rank <= quota
+                                       GROUP BY key, shard) s ON s.key = c.key AND s.shard = c.shard),
+    placed AS (SELECT d.doc_id, d.size, d.source_size, d.target, s.blocks, s.quota, seeded % blocks AS start,
+                      CAST(sum(size) OVER (PARTITION BY d.key, d.shard ORDER BY ord, doc_id NULLS FIRST, size
+                                           ROWS UNBOUNDED PRECEDING) AS BIGINT) AS p
+               FROM dealt d JOIN shares s ON s.key = d.key AND s.shard = d.shard),
+    edges AS (SELECT *, [p, p - size] AS ends FROM placed),
+    upto AS (SELECT *, [(quota // blocks) * e + 32 * (((e // 32) * (quota % blocks) + start) // blocks)
+                        + (e % 32) * ((((e // 32 + 1) * (quota % blocks) + start) // blocks)
+                                      - (((e // 32) * (quota % blocks) + start) // blocks)) for e in ends] AS g
+             FROM edges)
+    SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN g[1] - g[2] ELSE 0 END AS taken FROM upto
+""")
+def op13_mix_to_targets(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(documents(spark, folder))
