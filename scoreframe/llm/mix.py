@@ -19,7 +19,7 @@ def mix_sources(
     weights: Sequence[float] = (3, 1, 2),
     percent: int = 150,
     most: int = 2,
-    block: int = 32,
+    block: int = 16,
     rows_per_shard: int = 65_536,
     seed: str = "mix",
 ) -> DataFrame:

@@ -225,7 +225,7 @@ def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame
                       / (sum(weight) OVER () - sum(weight) OVER w + weight) AS level
                FROM weighed WINDOW w AS (ORDER BY bound / weight, place ROWS UNBOUNDED PRECEDING)),
     free AS (SELECT arg_min(level, (ratio, place)) AS level FROM levels WHERE bound > weight * level),
-    targets AS (SELECT l.key, l.words, l.n, l.place, CAST(floor(150 * whole / 100 / 32 + 0.5) AS BIGINT) AS seats,
+    targets AS (SELECT l.key, l.words, l.n, l.place, CAST(floor(150 * whole / 100 / 16 + 0.5) AS BIGINT) AS seats,
                        coalesce(least(CAST(bound AS DOUBLE), weight * f.level), CAST(bound AS DOUBLE)) AS target
                 FROM levels l, free f),
     ranked AS (SELECT place, k, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, place, k) AS rank
@@ -239,8 +239,8 @@ def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame
     won AS (SELECT key, shard, k, quota,
                    row_number() OVER (PARTITION BY key ORDER BY words / (2 * k + 1) DESC, shard, k) AS rank
             FROM (SELECT *, unnest(range(0, quota)) AS k FROM cells)),
-    shares AS (SELECT c.key, c.shard, greatest(1, (words + 31) // 32) AS blocks,
-                      least(coalesce(s.quota, 0), 2 * ((words + 31) // 32)) AS quota,
+    shares AS (SELECT c.key, c.shard, greatest(1, (words + 15) // 16) AS blocks,
+                      least(coalesce(s.quota, 0), 2 * ((words + 15) // 16)) AS quota,
                       CAST(concat('0x', substr(md5(concat_ws(':', 'mix', c.key, c.shard)), 1, 15)) AS BIGINT) AS seeded
                FROM cells c LEFT JOIN (SELECT key, shard, count(*) AS quota FROM won WHERE rank <= quota
                                        GROUP BY key, shard) s ON s.key = c.key AND s.shard = c.shard),
@@ -249,9 +249,9 @@ def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame
                                            ROWS UNBOUNDED PRECEDING) AS BIGINT) AS p
                FROM dealt d JOIN shares s ON s.key = d.key AND s.shard = d.shard),
     edges AS (SELECT *, [p, p - size] AS ends FROM placed),
-    upto AS (SELECT *, [(quota // blocks) * e + 32 * (((e // 32) * (quota % blocks) + start) // blocks)
-                        + (e % 32) * ((((e // 32 + 1) * (quota % blocks) + start) // blocks)
-                                      - (((e // 32) * (quota % blocks) + start) // blocks)) for e in ends] AS g
+    upto AS (SELECT *, [(quota // blocks) * e + 16 * (((e // 16) * (quota % blocks) + start) // blocks)
+                        + (e % 16) * ((((e // 16 + 1) * (quota % blocks) + start) // blocks)
+                                      - (((e // 16) * (quota % blocks) + start) // blocks)) for e in ends] AS g
              FROM edges)
     SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN g[1] - g[2] ELSE 0 END AS taken FROM upto
 """)
