@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreframe.llm.dom import Block, blocks
-from scoreframe.llm.pages import labelled_page
+from scoreframe.llm.pages import bare_page, labelled_page
 from scoreframe.session import ship
 
 PAGES = 400
@@ -32,7 +32,8 @@ def text_features(block: Block, place: int, count: int) -> list[str]:
         f"sentence={text[-1] in '.!?…:;\"”»'}",
         f"comma={',' in text}",
         f"space={' ' in text}",
-        f"sign={'©' in text or '|' in text}",
+        f"sign={'©' in text}",
+        f"bar={'|' in text}",
         f"place={5 * place // count}",
         f"first={place == 0}",
         f"last={place == count - 1}",
@@ -148,10 +149,11 @@ class ChainField:
 
 
 def main_text_model(pages: int = PAGES) -> ChainField:
-    """The field trained on labelled pages of random layouts."""
+    """The field trained on labelled pages of random layouts, one in ten an article alone."""
     examples = []
-    for seed in range(pages):
-        page, labels = labelled_page(seed)
+    made = [labelled_page(seed) for seed in range(pages)]
+    made += [bare_page(seed) for seed in range(pages // 10)]
+    for page, labels in made:
         examples.append((list(blocks(page)), labels))
     return ChainField().fit(examples)
 

@@ -31,6 +31,7 @@ _OTHERS = {
 class _Page:
     def __init__(self, seed: int):
         self.random = random.Random(seed)
+        self.table = seed % 8 == 7
         self.parts: list[str] = []
         self.labels: list[int] = []
 
@@ -41,6 +42,9 @@ class _Page:
         return text.capitalize()
 
     def sentences(self, low: int, high: int) -> str:
+        if self.table:  # the rows of a table as text
+            low, high = 2 * low, 3 * high
+            return " | ".join(self.words(1, 3) for _ in range(self.random.randint(low, high)))
         return " ".join(self.words(2, 18) + "." for _ in range(self.random.randint(low, high)))
 
     def add(self, label: int, tag: str, text: str) -> None:
@@ -106,6 +110,16 @@ class _Page:
             self.other("comments")
         self.parts.extend(f"</{tag.split()[0]}>" for tag in reversed(outer))
 
+    def bare(self) -> None:
+        """An article with nothing around it, often of a single paragraph."""
+        r = self.random
+        tag = r.choice(_ARTICLE)
+        self.parts.append(f"<{tag}>")
+        for _ in range(r.choice((1, 1, 2, 4))):
+            attributes = r.choice(("", "", ' title="a > b"', " class=text"))
+            self.add(1, r.choice(("p", "p", "p", "h1", "div")) + attributes, self.sentences(1, 3))
+        self.parts.append(f"</{tag.split()[0]}>" * (r.random() < 0.8))
+
 
 def labelled_page(seed: int) -> tuple[str, list[int]]:
     """A page and, for each of its leaf blocks, whether it belongs to the main text."""
@@ -123,3 +137,10 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
             page.other(kind)
     page.parts.append("</div>" * wrapped + "</body></html>")
     return "".join(page.parts), page.labels
+
+
+def bare_page(seed: int) -> tuple[str, list[int]]:
+    """An article that stands alone, and its labels."""
+    page = _Page(seed)
+    page.bare()
+    return "".join(page.parts), page.labels
