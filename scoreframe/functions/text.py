@@ -61,6 +61,10 @@ def to_number(stripped: Column) -> Column:
 
     A signed `nan` is NULL, too; like NaN it equals nothing.
     """
-    digits = F.translate(stripped, "".join(_DIGITS), _ASCII)
-    plain = F.regexp_replace(digits, "(?<=[0-9])_(?=[0-9])", "")
+    # Digits beyond ASCII, and underscores, are looked for where there are any: a long text
+    # that is no number is read once.
+    ascii_only = F.octet_length(stripped) == F.char_length(stripped)
+    digits = F.when(ascii_only, stripped).otherwise(F.translate(stripped, "".join(_DIGITS), _ASCII))
+    joined = F.regexp_replace(digits, "(?<=[0-9])_(?=[0-9])", "")
+    plain = F.when(F.contains(digits, F.lit("_")), joined).otherwise(digits)
     return F.when(plain.rlike(FLOAT_PATTERN), plain.try_cast("double"))
