@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scoreframe.functions import text as X
 from scoreframe.operators.merge import merge_scores, retract
+from scoreframe.session import spread
 
 MODEL = "echo"
 TURNS_PER_CONVERSATION = 1_000_000_000  # keeps sample numbers apart and in order
@@ -104,7 +105,9 @@ def numeric_pairs(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == 9, F.concat(F.lit("."), F.repeat(F.lit("1"), 2501)))
         .otherwise(shown)
     )
-    return table(spark, folder, "events").select(
+    # Spread while rows are narrow: the texts are made, and read, by all cores.
+    events = spread(table(spark, folder, "events").select("event_id", "value"), "event_id")
+    return events.select(
         F.col("event_id").alias("sample_idx"),
         prediction.alias("prediction"),
         reference.alias("reference"),
@@ -185,7 +188,9 @@ def json_pairs(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == 7, F.concat(props, F.lit(" trailing")))
         .otherwise(props)
     )
-    return table(spark, folder, "events").select(
+    # Spread while rows are narrow: the texts are made, and read, by all cores.
+    events = spread(table(spark, folder, "events").select("event_id", "value"), "event_id")
+    return events.select(
         F.col("event_id").alias("sample_idx"),
         prediction.alias("prediction"),
         props.alias("reference"),
