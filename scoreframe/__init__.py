@@ -2,13 +2,10 @@
 
 from scoreframe.functions.registry import Metric, list_metrics, metric, metrics, register_metric
 from scoreframe.operators.endpoint import chat_completion
+from scoreframe.operators.fingerprint import function_fingerprint
+from scoreframe.operators.ledger import attempts, current_answers, generate_to
 from scoreframe.operators.merge import active, lookup, merge_scores, retract
-from scoreframe.operators.predictions import (
-    attach_predictions,
-    generate,
-    generate_to,
-    parse_responses,
-)
+from scoreframe.operators.predictions import attach_predictions, generate, parse_responses
 from scoreframe.operators.prompts import build_prompts, request_table
 from scoreframe.operators.rules import rule_predictions
 from scoreframe.operators.score import declared_metrics, long_scores, score
@@ -39,8 +36,10 @@ __all__ = [
     "Run",
     "active",
     "attach_predictions",
+    "attempts",
     "build_prompts",
     "chat_completion",
+    "current_answers",
     "dataset_info",
     "declared_metrics",
     "detailed_metrics",
@@ -48,6 +47,7 @@ __all__ = [
     "evaluate",
     "explode_samples",
     "failed_datasets",
+    "function_fingerprint",
     "generate",
     "generate_to",
     "list_metrics",

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from scoreframe.functions import kernels
 
+CHECKED = pa.struct({"score": pa.float64(), "error": pa.string()})
+
 
 def pair_udf(
     score: Callable[[str, str], float], null_on_error: bool = False
@@ -41,6 +43,24 @@ def pair_udf(
     return scored
 
 
+def checked_udf(score: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
+    """`pair_udf` with errors as values: struct(score, error), one of them NULL."""
+
+    def one(prediction: str | None, reference: str | None) -> dict[str, float | str] | None:
+        if prediction is None or reference is None:
+            return None
+        try:
+            return {"score": float(score(prediction, reference))}
+        except Exception as problem:
+            return {"error": f"{type(problem).__name__}: {problem}"}
+
+    @F.arrow_udf("struct<score: double, error: string>")
+    def scored(prediction: pa.Array, reference: pa.Array) -> pa.Array:
+        return pa.array(map(one, prediction.to_pylist(), reference.to_pylist()), CHECKED)
+
+    return scored
+
+
 def char_f1(prediction: Column, reference: Column) -> Column:
     """Similarity of the alphabetically sorted words, in whole percent.
 

@@ -31,13 +31,17 @@ COMPOSITE_WEIGHTS = {"exact_match": 0.3, "char_f1": 0.4, "set_f1": 0.3}
 
 @dataclass(frozen=True)
 class Metric:
-    """A named metric with bound parameters; call it on two columns to score them."""
+    """A named metric with bound parameters; call it on two columns to score them.
+
+    `function` is that of a Python metric whose exceptions `score` can keep as values.
+    """
 
     name: str
     builder: Builder | None
     params: Mapping[str, Any] = field(default_factory=dict)
     takes_text: bool = False
     parts: tuple[tuple[Metric, float], ...] = ()
+    function: Callable[[str, str], float] | None = None
 
     def build(self, prediction: Text, reference: Text) -> Column:
         """Score expression over two text views; not for composites."""
@@ -60,6 +64,7 @@ class Metric:
 class _Entry:
     builder: Builder
     takes_text: bool
+    function: Callable[[str, str], float] | None = None
 
 
 def _composite(weights: Mapping[str, float] | None = None) -> Metric:
@@ -113,7 +118,7 @@ def metric(name: str, **params: Any) -> Metric:
         raise ValueError(f"Unsupported metric: {name}")
     entry = _ENTRIES[name]
     inspect.signature(entry.builder).bind(None, None, **params)
-    return Metric(name, entry.builder, params, entry.takes_text)
+    return Metric(name, entry.builder, params, entry.takes_text, function=entry.function)
 
 
 def metrics(names: Iterable[str | Metric], **params: Any) -> list[Metric]:
@@ -133,8 +138,8 @@ def register_metric(
 
     A column builder is checked by analysing it over an empty frame, which runs no
     job. With `python=True` the function works on two strings and returns a number; an
-    exception in it fails the job, or with `null_on_error` leaves that score NULL. With
-    `spark` given, a Python metric is also callable by its name from SQL.
+    exception in it fails the job unless `score` is told to keep `errors` (as `evaluate`
+    does), or with `null_on_error` just leaves that score NULL. With `spark` given, a Python metric is also callable by its name from SQL.
     """
     if not callable(function):
         raise TypeError(f"metric {name} must be a function")
@@ -143,7 +148,8 @@ def register_metric(
         _ENTRIES[name] = _Entry(function, takes_text=False)
         return metric(name)
     builder = arrow.pair_udf(function, null_on_error)
-    _ENTRIES[name] = _Entry(builder, takes_text=False)
+    kept = None if null_on_error else function
+    _ENTRIES[name] = _Entry(builder, takes_text=False, function=kept)
     if spark is not None:
         spark.udf.register(name, builder)
     return metric(name)

@@ -8,8 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +18,15 @@ from scoreframe.sources.datasets import source_keys
 
 PARSED = pa.struct({"prediction": pa.string(), "error": pa.string()})
 
+ANSWER = T.StructType(
+    [
+        T.StructField("prediction", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("attempts", T.IntegerType()),
+        T.StructField("seconds", T.DoubleType()),
+    ]
+)
+
 # Fixed value: the text a failed call yields when mocking is asked for.
 MOCK_ON_ERROR = "APIエラーによるモックレスポンス"
 
@@ -123,65 +131,32 @@ def generate(
     Reading the result twice would call the model twice: use `generate_to`, or write
     it to a table, before scoring.
     """
-    ship(prompts.sparkSession)
     keys = sample_keys(prompts)
+    called = _called(prompts, keys, fn, concurrency, retries, delay, mock_on_error)
+    return called.select(F.lit(model).alias("model"), "*")
+
+
+def _called(
+    prompts: DataFrame,
+    keys: Sequence[str],
+    fn: Callable[[str], str],
+    concurrency: int = 5,
+    retries: int = 3,
+    delay: float = 1.0,
+    mock_on_error: bool = False,
+) -> DataFrame:
+    """`keys`, and what calling `fn(prompt)` gave."""
+    ship(prompts.sparkSession)
+    keys = list(keys)
     source = prompts.select(*keys, "prompt")
-    fields = [source.schema[k] for k in keys]
-    schema = T.StructType(
-        [
-            *fields,
-            T.StructField("prediction", T.StringType()),
-            T.StructField("error", T.StringType()),
-            T.StructField("attempts", T.IntegerType()),
-            T.StructField("seconds", T.DoubleType()),
-        ]
-    )
+    schema = T.StructType([*[source.schema[k] for k in keys], *ANSWER.fields])
     fallback = MOCK_ON_ERROR if mock_on_error else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
                 calls = pool.map(lambda p: _call(p, fn, retries, delay, fallback), batch["prompt"])
-                answers = pd.DataFrame(
-                    calls, columns=["prediction", "error", "attempts", "seconds"], index=batch.index
-                )
+                answers = pd.DataFrame(calls, columns=ANSWER.names, index=batch.index)
                 yield pd.concat([batch[keys], answers], axis=1)
 
-    return source.mapInPandas(run, schema).select(F.lit(model).alias("model"), "*")
-
-
-def generate_to(
-    spark: SparkSession,
-    prompts: DataFrame,
-    fn: Callable[[str], str],
-    model: str,
-    path: str,
-    rounds: int = 1,
-    **how,
-) -> DataFrame:
-    """Generate into a Parquet table at `path` and return the model's rows.
-
-    Samples the table already holds for this model are skipped. A job commits its rows
-    as a whole, so `rounds` splits a long run into that many commits by sample key: after
-    an abort only the rows of the unfinished round are asked for again.
-    """
-    keys = sample_keys(prompts)
-    columns = ", ".join(
-        f"{f.name} {f.dataType.simpleString()}"
-        for f in generate(prompts, fn, model, **how).schema.fields
-    )
-
-    def stored() -> DataFrame:
-        return spark.read.schema(columns).parquet(path).filter(F.col("model") == model)
-
-    try:
-        done = stored().select(keys)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        done = None
-    todo = prompts if done is None else prompts.join(done, keys, "left_anti")
-    for turn in range(rounds):
-        share = todo.filter(F.pmod(F.xxhash64(*keys), F.lit(rounds)) == turn) if rounds > 1 else todo
-        generate(share, fn, model, **how).write.mode("append").partitionBy("model").parquet(path)
-    return stored()
+    return source.mapInPandas(run, schema)

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreframe.functions.arrow import checked_udf
 from scoreframe.functions.native import Layers, Text
 from scoreframe.functions.registry import Metric, list_metrics, metrics as resolve
 from scoreframe.session import ship
@@ -29,6 +30,7 @@ def score(
     only_declared: bool = False,
     prediction: str = "prediction",
     reference: str = "reference",
+    errors: str | None = None,
 ) -> DataFrame:
     """Add one double column per metric, named after it.
 
@@ -37,6 +39,9 @@ def score(
     where a metric using them is asked for, and Python functions get NULL inputs, because
     a UDF inside a condition would run for every row.
 
+    With `errors` a column of that name maps the Python metrics that raised on a row to
+    their messages, and their scores there are NULL; without it an exception fails the job.
+
     The plan is a few projections: first the text forms several metrics share, then the
     scores. Python metrics all read the raw text and so run in one `ArrowEvalPython`.
     """
@@ -51,8 +56,12 @@ def score(
     # parameters; its other parts get a column of their own, dropped at the end.
     hidden = {f"__part_{p.name}": p for p in parts if plain.get(p.name) != p}
 
+    def scored_column(name: str, m: Metric) -> Column:
+        value = F.col(quoted(name))
+        return value["score"] if errors and m.function else value
+
     def part_column(p: Metric) -> Column:
-        return F.col(quoted(p.name if plain.get(p.name) == p else f"__part_{p.name}"))
+        return scored_column(p.name if plain.get(p.name) == p else f"__part_{p.name}", p)
 
     def users(m: Metric) -> set[str]:
         """Names that make this metric run: its own, and those of composites over it."""
@@ -69,8 +78,12 @@ def score(
     form_users: dict[str, set[str]] = {}
 
     def column(m: Metric) -> Column:
-        if only_declared and not m.takes_text:
-            inputs = [F.when(asked(users(m)), F.col(c)) for c in (prediction, reference)]
+        if not m.takes_text:
+            inputs = [F.col(prediction), F.col(reference)]
+            if only_declared:
+                inputs = [F.when(asked(users(m)), c) for c in inputs]
+            if errors and m.function:
+                return checked_udf(m.function)(*inputs)
             return m.build(*map(Text, inputs)).cast("double")
         for view in views:
             view.touched.clear()
@@ -87,16 +100,36 @@ def score(
     scored = formed.select(
         *[F.col(quoted(c)) for c in pairs.columns], *[c.alias(n) for n, c in scores.items()]
     )
-    if not only_declared and not parts:
+    if not only_declared and not parts and not errors:
         return scored
 
     def final(m: Metric) -> Column:
-        value = m.combine(part_column) if m.parts else F.col(quoted(m.name))
+        value = m.combine(part_column) if m.parts else scored_column(m.name, m)
         if only_declared:
             value = F.when(F.array_contains("metrics", m.name), value)
         return value.alias(m.name)
 
-    return scored.select(*[F.col(quoted(c)) for c in pairs.columns], *[final(m) for m in chosen])
+    found = [final(m) for m in chosen]
+    if errors:
+        python = {n: m for n, m in {**plain, **hidden}.items() if m.function}
+        found.append(_raised(python).alias(errors))
+    return scored.select(*[F.col(quoted(c)) for c in pairs.columns], *found)
+
+
+def _raised(metrics: dict[str, Metric]) -> Column:
+    """The errors among columns of struct(score, error), by the name of the metric.
+
+    A metric scored on its own and as a part of another is one entry.
+    """
+    found: dict[str, list[Column]] = {}
+    for column, m in metrics.items():
+        found.setdefault(m.name, []).append(F.col(quoted(column))["error"])
+    none = F.create_map().cast("map<string,string>")
+    pairs = [F.struct(F.lit(n), F.coalesce(*errors)) for n, errors in found.items()]
+    if not pairs:
+        return none
+    raised = F.filter(F.array(*pairs), lambda pair: pair["col2"].isNotNull())
+    return F.map_from_entries(raised)
 
 
 def long_scores(scored: DataFrame, metrics: Iterable[str]) -> DataFrame:

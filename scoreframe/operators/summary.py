@@ -119,19 +119,34 @@ def result_rows(
     )
 
 
-def unscored_datasets(scored: DataFrame, metrics: Sequence[str]) -> DataFrame:
+def unscored_datasets(
+    scored: DataFrame, metrics: Sequence[str], errors: str | None = None
+) -> DataFrame:
     """Error rows for datasets where a metric gave no score for some sample.
 
-    Needs the array column `metrics` where a dataset is only scored by its own list.
+    Needs the array column `metrics` where a dataset is only scored by its own list. With
+    `errors`, the column of that name `score` made, the report on a metric that raised has
+    the smallest of its messages.
     """
     missing = {name: F.col(quoted(name)).isNull() for name in metrics}
     if "metrics" in scored.columns:
         missing = {n: gap & F.array_contains("metrics", n) for n, gap in missing.items()}
+    raised = {n: F.col(errors)[n] if errors else F.lit(None).cast("string") for n in metrics}
     failed = F.coalesce(
-        *[F.when(F.col(quoted(f"__{name}")), F.lit(f"no score by metric: {name}")) for name in metrics]
+        *[
+            F.when(
+                F.col(quoted(f"__{name}")),
+                F.coalesce(
+                    F.concat(F.lit(f"metric {name}: "), F.col(quoted(f"__raised_{name}"))),
+                    F.lit(f"no score by metric: {name}"),
+                ),
+            )
+            for name in metrics
+        ]
     )
     counted = scored.groupBy(*group_keys(scored)).agg(
-        *[F.bool_or(gap).alias(f"__{name}") for name, gap in missing.items()]
+        *[F.bool_or(gap).alias(f"__{name}") for name, gap in missing.items()],
+        *[F.min(message).alias(f"__raised_{name}") for name, message in raised.items()],
     )
     return counted.select(*group_keys(scored), failed.alias("error")).filter("error IS NOT NULL")
 

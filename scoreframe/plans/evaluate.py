@@ -15,13 +15,22 @@ from pyspark.sql import functions as F
 from scoreframe.functions.registry import Metric, metrics as resolve
 from scoreframe.operators import prompts as P
 from scoreframe.operators import summary as S
-from scoreframe.operators.predictions import attach_predictions, generate_to, sample_keys
+from scoreframe.operators.fingerprint import (
+    function_fingerprint,
+    mapping_fingerprint,
+    table_fingerprint,
+)
+from scoreframe.operators.ledger import generate_to
+from scoreframe.operators.predictions import attach_predictions, sample_keys
 from scoreframe.operators.rules import rule_predictions
 from scoreframe.operators.score import declared_metrics, score
 from scoreframe.session import remove, ship, spread
 from scoreframe.sources import datasets as D
 from scoreframe.sources import sinks
 
+ERRORS = "metric_errors"
+PACE = ("concurrency", "retries", "delay", "rounds", "group_bytes")
+
 
 @dataclass(frozen=True)
 class Run:
@@ -46,6 +55,7 @@ def evaluate(
     few_shot_count: int = 0,
     partitions: int | None = None,
     run_id: str | None = None,
+    fingerprint: str | None = None,
     **how,
 ) -> Run:
     """Evaluate one dataset file, or every file below a directory, as one set of jobs.
@@ -57,12 +67,16 @@ def evaluate(
     by default four per core, so that one large file uses all cores.
 
     `run_id` names the run's folder below `output`. By default it follows from the model,
-    the settings and the samples themselves: the same call made again after an abort
-    finds the predictions it already has and asks only for the others.
+    the answer, the settings and the samples themselves. Answers of a function are kept in
+    a ledger in `output`, see `generate_to`: the same call made again, after an abort or an
+    outage, asks only for those it has no answer to, while another function, or the same
+    with other settings, starts anew. `fingerprint` tells functions apart where their code
+    cannot, and names those that cannot be compared.
 
     Datasets that cannot be evaluated, or that a metric leaves without a score, are
-    reported in `failures` and left out of all summaries; an error in a column of a metric
-    counts as no score. Samples, predictions, scores and the summary are each written once
+    reported in `failures` and left out of all summaries. A Python metric that raises costs
+    only the datasets it raises on, which are reported with its message; an error in a
+    column of a metric counts as no score. Samples, predictions, scores and the summary are each written once
     below `output` and read back, so that nothing is parsed, generated or scored twice and
     a lost executor costs its own tasks. The time of a dataset is that of its calls, added
     up, and its share by samples of the time scoring took.
@@ -73,7 +87,8 @@ def evaluate(
     rows = _sample_rows(spark, path, few_shot_count, metrics)
     rows.write.parquet(staged)
     rows = spark.read.schema(rows.schema).parquet(staged)
-    run_id = run_id or _run_id(rows, model, few_shot_count, metrics)
+    fingerprint = fingerprint or _answer_fingerprint(answer)
+    run_id = run_id or _run_id(rows, model, fingerprint, few_shot_count, metrics, how)
     place = f"{output.rstrip('/')}/run_id={run_id}"
 
     datasets = rows.filter(F.coalesce("sample_idx", F.lit(0)) == 0)
@@ -92,7 +107,8 @@ def evaluate(
     asked = spread(asked, *sample_keys(asked), partitions=partitions)
     calls = None
     if callable(answer):
-        calls = generate_to(spark, asked, answer, model, f"{place}/predictions", **how)
+        ledger = f"{output.rstrip('/')}/ledger"
+        calls = generate_to(spark, asked, answer, model, ledger, fingerprint=fingerprint, **how)
         pairs = attach_predictions(asked, calls, model)
     elif isinstance(answer, DataFrame) and "prediction" in answer.columns:
         pairs = attach_predictions(asked, answer, model)
@@ -101,7 +117,7 @@ def evaluate(
 
     scoring = time.monotonic()
     with _errors_as_null(spark):
-        scored = score(pairs, chosen, only_declared=metrics is None).drop("prompt")
+        scored = score(pairs, chosen, only_declared=metrics is None, errors=ERRORS).drop("prompt")
     if metrics is not None:
         scored = scored.drop("metrics")
     scored.write.mode("overwrite").parquet(f"{place}/scores")
@@ -111,7 +127,7 @@ def evaluate(
     failures = D.error_rows(datasets, model)
     listed = valid.select(*D.source_keys(valid), F.lit(model).alias("model"))
     if names:
-        failures = failures.unionByName(S.unscored_datasets(scores, names))
+        failures = failures.unionByName(S.unscored_datasets(scores, names, ERRORS))
     failures.write.mode("overwrite").json(f"{place}/failures")
     failures = spark.read.schema(failures.schema).json(f"{place}/failures")
     listed = listed.join(failures, S.group_keys(listed), "left_anti")
@@ -159,17 +175,39 @@ def _sample_rows(
     )
 
 
+def _answer_fingerprint(answer: Callable[[str], str] | Mapping[str, str] | DataFrame) -> str:
+    if isinstance(answer, DataFrame):
+        return table_fingerprint(answer)
+    return function_fingerprint(answer) if callable(answer) else mapping_fingerprint(answer)
+
+
 def _run_id(
-    rows: DataFrame, model: str, few_shot_count: int, metrics: Sequence[str | Metric] | None
+    rows: DataFrame,
+    model: str,
+    fingerprint: str,
+    few_shot_count: int,
+    metrics: Sequence[str | Metric] | None,
+    how: Mapping[str, object],
 ) -> str:
-    """A name that follows from the settings and from the content of all samples."""
+    """A name that follows from the settings, the answer and the content of all samples."""
     content = F.xxhash64(*[c for c in rows.columns if c != "error"]).cast("decimal(38,0)")
     total = rows.agg(F.sum(content), F.count(F.lit(1))).first()
-    asked = None if metrics is None else [str(m) for m in resolve(metrics)]
-    settings = repr((model, few_shot_count, asked, str(total[0]), total[1]))
+    asked = None if metrics is None else [_metric_name(m) for m in resolve(metrics)]
+    # How fast it runs is no part of what it is.
+    result = sorted((k, v) for k, v in how.items() if k not in PACE)
+    settings = repr((model, fingerprint, few_shot_count, asked, result, str(total[0]), total[1]))
     return hashlib.sha256(settings.encode()).hexdigest()[:32]
 
 
+def _metric_name(m: Metric) -> str:
+    try:
+        built = function_fingerprint(m.function or m.builder) if m.builder else ""
+    except ValueError:  # what it holds cannot be compared; scores are made anew in any case
+        built = ""
+    parts = [(_metric_name(part), weight) for part, weight in m.parts]
+    return repr((m.name, built, sorted(m.params.items()), parts))
+
+
 @contextmanager
 def _errors_as_null(spark: SparkSession) -> Iterator[None]:
     """Columns built meanwhile give NULL instead of failing the job, as without ANSI mode."""

@@ -119,8 +119,8 @@ def test_one_file_uses_all_cores_and_a_second_call_resumes(spark, tmp_path):
     (seen / "again").write_text("")
     again = evaluate(spark, str(tmp_path / "in"), "m", answer, str(tmp_path / "out"), **how)
     assert again.output == run.output
-    assert sum(len(p.read_text().split()) for p in seen.iterdir()) == asked
-    assert again.report.first().exact_match == pytest.approx(399 / 400)
+    assert sum(len(p.read_text().split()) for p in seen.iterdir()) == asked + 1
+    assert again.report.first().exact_match == 1.0
     other = evaluate(
         spark, str(tmp_path / "in"), "m", answer, str(tmp_path / "out"), metrics=["bleu"], **how
     )
@@ -207,3 +207,54 @@ def test_a_failing_metric_costs_only_its_dataset(spark, place):
     rows = {r.dataset: r.picky for r in run.report.collect()}
     assert rows["one"] == pytest.approx((1 / 3 + 1 / 4) / 2)
     assert "two" not in rows and {"sums", "words", "none"} <= rows.keys()
+
+
+def test_another_answer_function_never_sees_the_answers_of_the_first(spark, place):
+    def make(text):
+        return lambda prompt: text
+
+    path, out = str(place / "in" / "sums.json"), str(place / "out")
+    first = evaluate(spark, path, "m", make("2"), out)
+    second = evaluate(spark, path, "m", make("4"), out)
+    assert first.output != second.output
+    for run, texts in ((first, ["2", "2"]), (second, ["4", "4"])):
+        assert [r.prediction for r in run.scores.orderBy("sample_idx").collect()] == texts
+    rules = [evaluate(spark, path, "m", {"+": text}, out) for text in ("2", "4")]
+    assert [sorted({r.prediction for r in run.scores.collect()}) for run in rules] == [["2"], ["4"]]
+    assert len({run.output for run in (first, second, *rules)}) == 4
+
+
+def test_an_exception_in_a_metric_costs_only_its_dataset(spark, place):
+    from scoreframe import metric, register_metric, score
+
+    def fussy(prediction, reference):
+        if prediction == "four":
+            raise LookupError(f"no {prediction}")
+        return len(prediction)
+
+    register_metric("fussy", fussy, python=True)
+    for name, text in (("one", "y"), ("two", "x")):
+        (place / "in" / f"{name}.json").write_text(document(["fussy", "bleu"], [("q", "r"), (text, "r")]))
+    rules = {"q": "yes", "x": "four", "y": ""}
+    run = evaluate(spark, str(place / "in"), "m", rules, str(place / "out"), default="")
+    errors = {r.dataset: r.error for r in run.failures.collect()}
+    assert errors["two"] == "metric fussy: LookupError: no four"
+    rows = {r.dataset: r.fussy for r in run.report.collect()}
+    assert rows["one"] == 1.5 and "two" not in rows and {"sums", "words", "none"} <= rows.keys()
+    chosen = evaluate(
+        spark, str(place / "in"), "m", rules, str(place / "chosen"), metrics=["fussy", "exact_match"], default=""
+    )
+    assert {r.dataset for r in chosen.failures.collect()} == {"two", "bad"}
+
+    pairs = spark.createDataFrame([("four", "r"), ("ab", "ab"), (None, "r")], "prediction string, reference string")
+    both = ["fussy", metric("composite", weights={"fussy": 0.5, "exact_match": 1.0}), "char_f1"]
+    found = score(pairs, both, errors="problems").collect()
+    assert [(r.fussy, r.composite, r.problems) for r in found] == [
+        (None, None, {"fussy": "LookupError: no four"}),
+        (2.0, 2.0, {}),
+        (None, None, {}),
+    ]
+    found = score(pairs, ["exact_match", both[1]], errors="problems").collect()
+    assert [(r.composite, r.problems) for r in found][:2] == [(None, {"fussy": "LookupError: no four"}), (2.0, {})]
+    with pytest.raises(Exception, match="no four"):
+        score(pairs, ["fussy"]).collect()

@@ -12,7 +12,6 @@ from scoreframe import (
     attach_predictions,
     build_prompts,
     generate,
-    generate_to,
     parse_responses,
     request_table,
     rule_predictions,
@@ -196,22 +195,6 @@ def test_generation_bounds_concurrency_and_keeps_rows_apart(spark):
     assert 1 < max(int(r.prediction.split(":")[1]) for r in rows) <= 4
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_generation_skips_finished_rows(spark, tmp_path, rounds):
-    path = str(tmp_path / "predictions")
-
-    def make(tag):
-        return lambda prompt: f"{tag} {prompt}"
-
-    first = prompts_of(spark, ["a", "b"])
-    generate_to(spark, first, make("one"), "m", path)
-    both = prompts_of(spark, ["a", "b", "c", "d", "e"])
-    rows = generate_to(spark, both, make("two"), "m", path, rounds=rounds).collect()
-    assert sorted(r.prediction for r in rows) == ["one a", "one b", "two c", "two d", "two e"]
-    other = generate_to(spark, first, make("three"), "n", path)
-    assert sorted(r.prediction for r in other.collect()) == ["three a", "three b"]
-
-
 def first_rule(prompt, rules, default):
     return next((response for key, response in rules if key in prompt), default)
 
