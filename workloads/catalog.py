@@ -639,6 +639,41 @@ def generate(spark, folder):
     return sf.generate(prompts, answer, D.MODEL, retries=2, delay=0.0).drop("seconds")
 
 
+@query(
+    f"""WITH {Q.SAMPLES},
+    echoed AS (SELECT *, length(input) % 3 = 0 AS first_lost FROM samples),
+    shouted AS (SELECT *, length(input) % 7 = 0 AS lost FROM samples)
+    SELECT 'echo' AS fingerprint, dataset, sample_idx, 'e ' || input AS prediction,
+           NULL AS error, CASE WHEN first_lost THEN 3 ELSE 1 END AS attempts FROM echoed
+    UNION ALL
+    SELECT 'shout', dataset, sample_idx, CASE WHEN lost THEN '' ELSE 's ' || input END,
+           CASE WHEN lost THEN 'ValueError: no answer' END, CASE WHEN lost THEN 4 ELSE 1 END
+    FROM shouted"""
+)
+def answer_ledger(spark, folder):
+    """Two answer functions, each called twice; the outage of the first ends in between."""
+
+    def make(tag, share):
+        def answer(prompt: str) -> str:
+            if share and len(prompt) % share == 0:
+                raise ValueError("no answer")
+            return f"{tag} {prompt}"
+
+        return answer
+
+    prompts = D.samples(spark, folder).withColumn("prompt", F.col("input"))
+    path = sf.shared_path(spark, "ledger")
+
+    def ask(name, answer):
+        how = {"fingerprint": name, "retries": 1, "delay": 0.0}
+        return sf.generate_to(spark, prompts, answer, D.MODEL, path, **how)
+
+    ask("echo", make("e", 3))
+    ask("shout", make("s", 7))
+    found = ask("echo", make("e", 0)).unionByName(ask("shout", make("s", 7)))
+    return found.select("fingerprint", "dataset", "sample_idx", "prediction", "error", "attempts")
+
+
 @query(
     """SELECT d.doc_id AS sample_idx,
          coalesce(arg_min('item ' || b.item_id, b.item_id), 'none') AS prediction
@@ -999,6 +1034,39 @@ def evaluate_samples(spark, folder):
     ).withColumn("score", F.round("score", 10))
 
 
+@query(
+    f"""WITH {Q.DOCUMENT_SAMPLES},
+    answered AS (
+      SELECT n.dataset, n.number, length(d.instruction) + 2 + length(n.input) AS size
+      FROM numbered n JOIN documents_made d ON n.dataset = d.dataset)
+    SELECT count(*) AS num_samples, round(avg(size), 6) AS picky, NULL AS error
+    FROM answered WHERE number % 3 <> 0 GROUP BY dataset
+    UNION ALL
+    SELECT NULL, NULL, 'metric picky: LookupError: set ' || number
+    FROM answered WHERE number % 3 = 0 GROUP BY dataset, number"""
+)
+def isolated_failures(spark, folder):
+    """A metric that raises on some datasets: they are reported, the others are scored."""
+
+    def picky(prediction: str, reference: str) -> float:
+        number = int(prediction.split("。")[0].rsplit(" ", 1)[1])
+        if number % 3 == 0:
+            raise LookupError(f"set {number}")
+        return len(prediction)
+
+    chosen = sf.register_metric("picky", picky, python=True)
+    path = _stored_documents(spark, folder, D.dataset_documents(spark, folder))
+    place = sf.shared_path(spark, "run")
+    run = sf.evaluate(spark, path, D.MODEL, lambda prompt: prompt, place, metrics=["exact_match", chosen])
+    error = F.lit(None).cast("string").alias("error")
+    scored = run.report.select("num_samples", rounded("picky"), error)
+    none = F.lit(None)
+    failed = run.failures.select(
+        none.cast("long").alias("num_samples"), none.cast("double").alias("picky"), "error"
+    )
+    return scored.unionByName(failed)
+
+
 # ---------------------------------------------------------------- keyed score tables
 
 _STATE = (
