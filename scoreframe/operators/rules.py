@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -11,18 +11,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.session import ship, store
+from scoreframe.operators.anchors import joined_rules
+from scoreframe.session import ship
 
 # Fixed value: the answer where no rule applies.
 DEFAULT_RESPONSE = "モックレスポンス"
 
-GROUP_BYTES = 32 * 1024 * 1024
+# Rules of at most this many bytes of text are sent to the tasks; a rule counts as some more
+# for what the search keeps beside its texts.
+SMALL_BYTES = 16 * 1024 * 1024
+OVERHEAD = 64
 RUN_BYTES = 1 << 20
 STEMS = (8, 4, 2, 1)
 
 
 class RuleSearch:
-    """A group of rules, searched for together in the bytes of many texts.
+    """Rules, searched for together in the bytes of many texts.
 
     The stem of a key is its first 8, 4, 2 or 1 bytes, the most it has. Every window of
     these sizes is compared to the stems as a number; where one is met, the text from
@@ -107,56 +111,39 @@ def rule_predictions(
     prompts: DataFrame,
     rules: Mapping[str, str] | DataFrame,
     default: str = DEFAULT_RESPONSE,
-    group_bytes: int = GROUP_BYTES,
+    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Add `prediction` from the first rule, in rule order, whose key the prompt contains.
 
     `rules` is a mapping in rule order or a table `(rule_order, key, response)`; of rules of
-    equal order any may come first, a null key or prompt meets nothing. Rules are taken in
-    order, in groups of at most `group_bytes` of text (one rule at least). Every group goes
-    to the tasks, which search the prompts that no group before it has answered, each on
-    its own row: prompts are not shuffled, and a table of rules of any size means the same
-    as a mapping. With more than one group, the answers so far are stored in between.
+    equal order any may come first, a null key or prompt meets nothing. Rules of at most
+    `small_bytes` of text go to the tasks, which search each prompt on its own row: prompts
+    are not shuffled. Any more stay a table that prompts are joined with, see
+    `joined_rules`. Both give the same rows, also of prompts with equal sample keys.
     """
-    ship(prompts.sparkSession)
+    spark = prompts.sparkSession
+    ship(spark)
     if isinstance(rules, DataFrame):
-        ordered = rules.filter(F.col("key").isNotNull()).orderBy("rule_order")
-        pairs = ((r.key, r.response) for r in ordered.select("key", "response").toLocalIterator())
+        texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("key", "response")]
+        rules = rules.select("rule_order", "key", "response")
+        size = rules.agg(F.sum(texts[0] + texts[1] + OVERHEAD)).first()[0] or 0
+        if size > small_bytes:
+            return joined_rules(prompts, rules, default)
+        ordered = rules.filter(F.col("key").isNotNull()).orderBy("rule_order").collect()
+        pairs = [(row["key"], row["response"]) for row in ordered]
     else:
-        pairs = iter(rules.items())
-    pairs = ((key, default if response is None else response) for key, response in pairs)
-    result = prompts.withColumn("prediction", F.lit(None).cast("string"))
-    for number, group in enumerate(_groups(pairs, group_bytes)):
-        if number:
-            result = store(result, "rule-predictions")
-        result = _answered(result, group)
-        if group[-1][0] == "":
-            break
-    return result.withColumn("prediction", F.coalesce("prediction", F.lit(default)))
-
-
-def _groups(
-    rules: Iterable[tuple[str, str]], most: int
-) -> Iterator[list[tuple[str, str]]]:
-    """Rules in order, cut where a group gets too large; an empty key ends them all."""
-    group: list[tuple[str, str]] = []
-    size = 0
-    for key, response in rules:
-        # 64 bytes a rule stand for what the search keeps beside the texts.
-        own = 64 + len(key.encode()) + len(response.encode())
-        if group and size + own > most:
-            yield group
-            group, size = [], 0
-        group.append((key, response))
-        size += own
-        if key == "":  # occurs in every prompt, so later rules never apply
-            break
-    if group:
-        yield group
-
-
-def _answered(prompts: DataFrame, group: list[tuple[str, str]]) -> DataFrame:
-    sent = prompts.sparkSession.sparkContext.broadcast(group)
+        pairs = list(rules.items())
+        texts = [t for pair in pairs for t in pair if t is not None]
+        if sum(len(t.encode()) for t in texts) + OVERHEAD * len(pairs) > small_bytes:
+            numbered = [(n, *pair) for n, pair in enumerate(pairs)]
+            kind = "rule_order long, key string, response string"
+            return joined_rules(prompts, spark.createDataFrame(numbered, kind), default)
+    pairs = [(key, default if response is None else response) for key, response in pairs]
+    return _answered(prompts, pairs, default)
+
+
+def _answered(prompts: DataFrame, rules: list[tuple[str, str]], default: str) -> DataFrame:
+    sent = prompts.sparkSession.sparkContext.broadcast(rules)
 
     @F.arrow_udf("string")
     def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -168,5 +155,4 @@ def _answered(prompts: DataFrame, group: list[tuple[str, str]]) -> DataFrame:
             found = np.where(batch.is_null().to_numpy(zero_copy_only=False), len(keys), found)
             yield responses.take(pa.array(found))
 
-    open_prompt = F.when(F.col("prediction").isNull(), F.col("prompt"))
-    return prompts.withColumn("prediction", F.coalesce("prediction", answer(open_prompt)))
+    return prompts.withColumn("prediction", F.coalesce(answer("prompt"), F.lit(default)))

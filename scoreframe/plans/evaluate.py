@@ -29,7 +29,7 @@ from scoreframe.sources import datasets as D
 from scoreframe.sources import sinks
 
 ERRORS = "metric_errors"
-PACE = ("concurrency", "retries", "delay", "rounds", "group_bytes")
+PACE = ("concurrency", "retries", "delay", "rounds", "small_bytes")
 
 
 @dataclass(frozen=True)

@@ -218,14 +218,14 @@ def test_rules_agree_whichever_way_they_are_matched(spark, count):
         return [r.prediction for r in rows]
 
     assert answers() == expected
-    assert answers(group_bytes=count * 25) == expected
+    assert answers(small_bytes=0) == expected
     as_mapping = dict(reversed(rules))  # for a repeated key the first response counts
     ordered = {key: as_mapping[key] for key, _ in rules}
     rows = rule_predictions(frame, ordered).orderBy("sample_idx").collect()
     assert [r.prediction for r in rows] == expected
 
 
-@pytest.mark.parametrize("limit", [1000, 1 << 20])
+@pytest.mark.parametrize("limit", [0, 1 << 20])
 @pytest.mark.parametrize("filler", [0, 30])
 def test_empty_rule_key_matches_everything(spark, limit, filler):
     rules = [("zz", "first"), *[(f"q{n}", "no") for n in range(filler)], ("", "any"), ("a", "late")]
@@ -233,7 +233,7 @@ def test_empty_rule_key_matches_everything(spark, limit, filler):
         [(n, k, r) for n, (k, r) in enumerate(rules)], "rule_order long, key string, response string"
     )
     frame = prompts_of(spark, ["a", "zz", ""])
-    rows = rule_predictions(frame, table, group_bytes=limit).orderBy("sample_idx").collect()
+    rows = rule_predictions(frame, table, small_bytes=limit).orderBy("sample_idx").collect()
     assert [r.prediction for r in rows] == ["any", "first", "any"]
 
 
@@ -241,7 +241,7 @@ def test_rules_answer_each_row_of_equal_sample_keys(spark):
     schema = "model string, dataset string, sample_idx long, prompt string"
     rows = [("m1", "d", 0, "an apple"), ("m2", "d", 0, "a pear"), ("m2", "d", 0, None)]
     frame = spark.createDataFrame(rows, schema)
-    for limit in (80, 1 << 20):
+    for limit in (0, 1 << 20):
         answered = rule_predictions(frame, {"apple": "A", "pear": "B", "a": None}, "none", limit)
         assert sorted(r.prediction for r in answered.collect()) == ["A", "B", "none"]
 
@@ -254,13 +254,31 @@ def test_rules_of_all_key_lengths(spark):
         key = text[start : start + size]
         rules = {key + "!": "no", key: "yes"}
         frame = prompts_of(spark, [text[:start], text[start : start + size], "x" + text, key[:-1]])
-        rows = rule_predictions(frame, rules, "none").orderBy("sample_idx").collect()
-        expected = [first_rule(r.prompt, rules.items(), "none") for r in rows]
-        assert [r.prediction for r in rows] == expected
+        for limit in (0, 1 << 20):
+            rows = rule_predictions(frame, rules, "none", limit).orderBy("sample_idx").collect()
+            expected = [first_rule(r.prompt, rules.items(), "none") for r in rows]
+            assert [r.prediction for r in rows] == expected
 
 
 def test_no_rules(spark):
     assert rule_predictions(prompts_of(spark, ["a"]), {}, "none").first().prediction == "none"
+    none = spark.createDataFrame([], "rule_order long, key string, response string")
+    assert rule_predictions(prompts_of(spark, ["a"]), none, "none", -1).first().prediction == "none"
+
+
+def test_many_rules_and_prompts_of_equal_text(spark):
+    rng = random.Random(5)
+    keys = [f"[{n % 500} {'é' * (n % 3)} of {n}]" for n in range(3000)] + ["e", "of 1", None]
+    rules = list(enumerate(rng.sample(keys, len(keys))))
+    table = spark.createDataFrame([(n, k, f"r{n}") for n, k in rules], "rule_order long, key string, response string")
+    texts = [" ".join(str(rng.choice(keys)) for _ in range(rng.randrange(4))) + "x" for _ in range(300)]
+    texts += ["the same for all"] * 200 + [None, "", "e"]
+    frame = prompts_of(spark, texts).selectExpr("*", "1 AS key", "2 AS rule_order", "3 AS response", "4 AS asked")
+    known = [(k, f"r{n}") for n, k in rules if k is not None]
+    expected = [first_rule(t or "", known, "none") if t is not None else "none" for t in texts]
+    for limit in (0, 1 << 20):
+        rows = rule_predictions(frame, table, "none", limit).orderBy("sample_idx").collect()
+        assert [r.prediction for r in rows] == expected
 
 
 class Answer:
