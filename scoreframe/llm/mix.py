@@ -20,7 +20,7 @@ def mix_sources(
     percent: int = 150,
     most: int = 2,
     block: int = 16,
-    rows_per_shard: int = 65_536,
+    rows_per_shard: int = 8_192,
     seed: str = "mix",
 ) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row: words, and words the mix takes.

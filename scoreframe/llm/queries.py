@@ -230,7 +230,7 @@ def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame
                 FROM levels l, free f),
     ranked AS (SELECT place, k, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, place, k) AS rank
                FROM (SELECT *, unnest(range(0, seats)) AS k FROM targets)),
-    quotas AS (SELECT t.*, CAST(ceil(n / 65536) AS BIGINT) AS shards, coalesce(q.quota, 0) AS quota
+    quotas AS (SELECT t.*, CAST(ceil(n / 8192) AS BIGINT) AS shards, coalesce(q.quota, 0) AS quota
                FROM targets t LEFT JOIN (SELECT place, count(*) AS quota FROM ranked WHERE rank <= seats
                                          GROUP BY place) q USING (place)),
     dealt AS (SELECT d.*, q.words AS source_size, target, quota, ord % shards AS shard

@@ -93,7 +93,7 @@ def check(found, expected):
         assert got[3] == pytest.approx(wanted[3], rel=1e-9, abs=1e-9)
 
 
-@pytest.mark.parametrize("rows_per_shard", [65_536, 3])
+@pytest.mark.parametrize("rows_per_shard", [8_192, 3])
 def test_test_data(spark, folder, rows_per_shard):
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [(r.doc_id, r.text, r.source) for r in documents.collect()]
@@ -118,7 +118,7 @@ def test_skewed_and_odd_rows(spark, odd, nothing):
     rows += [(3000, "x " * 50, ""), (3001, "é" * 10, "Z"), (3002, "é " * 10, "a"), (3003, "😀 " * 9, "é")]
     documents = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     documents = documents.selectExpr("*", "1 AS key", "2 AS size", "3 AS shard", "4 AS quota", "5 AS n")
-    for rows_per_shard in (65_536, 20):
+    for rows_per_shard in (8_192, 20):
         found = [tuple(r) for r in mix_sources(documents, rows_per_shard=rows_per_shard).collect()]
         check(found, by_force(rows, rows_per_shard))
     assert mix_sources(nothing).count() == 0
