@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scoreframe.llm import prefixes as P
 from scoreframe.llm.bloom import chunks_for, repeat_filter, seen
-from scoreframe.llm.common import blocks, sum_blocks, unpacked
+from scoreframe.llm.common import blocks, packed, sum_blocks, unpacked
 from scoreframe.llm.components import components
 from scoreframe.llm.text import runs
 from scoreframe.session import ship, store
@@ -19,6 +19,8 @@ from scoreframe.session import ship, store
 BLOCK = 1 << 16
 SMALL = 16  # rows in a list whose pairs are formed one by one
 ROWS = 256  # rows of a block where longer lists are compared block by block
+TOKENS = 1 << 20  # tokens of their whole sets, which bound a block as well
+PARTNERS = 64  # rows compared to the same row in one group
 MOST_CHUNKS = 1024
 SET = "s1 long, s2 long, n int"
 
@@ -102,7 +104,7 @@ def shared_entries(table: DataFrame, single: DataFrame) -> DataFrame:
 
 
 def fetch_sets(texts: DataFrame, wanted: DataFrame, order, words: int) -> DataFrame:
-    """(row, tokens): the whole sets of the rows in `wanted` (row, s1, s2, n), sorted, packed.
+    """(row, n, tokens): the whole sets of the rows in `wanted` (row, s1, s2, n), see `_packed`.
 
     Sets are made anew from the texts. A Bloom filter of the wanted signatures spares the
     shuffle most of the others, and of equal sets each task sends one.
@@ -132,35 +134,65 @@ def fetch_sets(texts: DataFrame, wanted: DataFrame, order, words: int) -> DataFr
                             "s1": pa.array(one[hits].view(np.int64)),
                             "s2": pa.array(two[hits].view(np.int64)),
                             "n": pa.array(np.diff(begins)[hits].astype(np.int32)),
-                            "tokens": [tokens[begins[i] : begins[i + 1]].tobytes() for i in hits],
+                            "tokens": [_packed(tokens[begins[i] : begins[i + 1]]) for i in hits],
                         }
                     )
 
     sets = texts.mapInArrow(found, f"{SET}, tokens binary")
-    joined = wanted.join(sets, ["s1", "s2", "n"]).select("row", "tokens")
+    joined = wanted.join(sets, ["s1", "s2", "n"]).select("row", "n", "tokens")
     return store(joined.dropDuplicates(["row"]), "sets")
 
 
-def _values(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.uint64)
+def _packed(tokens: np.ndarray) -> bytes:
+    """48 bits of the hashes in order, as differences: the upper of their bytes are mostly 0."""
+    hashed = np.sort(tokens & np.uint64((1 << 48) - 1))
+    return packed(np.diff(hashed, prepend=np.uint64(0)))
+
+
+def _values(tokens: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(tokens, "uint64"), dtype=np.uint64)
 
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets are similar enough."""
+    """Of the pairs (a, b), those whose sets are similar enough.
+
+    Of each pair, the row with more pairs is the centre, and its set is sent once for up to
+    `PARTNERS` of them; a task holds the sets of one centre and of one partner at a time.
+    """
+    pairs = store(pairs, "asked-pairs")
+    ends = pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b"))
+    degrees = store(ends.groupBy("row").agg(F.count(F.lit(1)).alias("links")), "degrees")
+    one = degrees.select(F.col("row").alias("a"), F.col("links").alias("links_a"))
+    two = degrees.select(F.col("row").alias("b"), F.col("links").alias("links_b"))
+    known = pairs.join(one, "a").join(two, "b")
+    first = F.col("links_a") >= F.col("links_b")
+    centre = F.when(first, F.col("a")).otherwise(F.col("b"))
+    other = F.when(first, F.col("b")).otherwise(F.col("a"))
+    part = F.pmod(F.xxhash64(other), F.ceil(F.greatest("links_a", "links_b") / PARTNERS))
+    known = store(known.select(centre.alias("centre"), part.alias("part"), other.alias("row")), "groups")
+    centres = known.select("centre", "part", F.col("centre").alias("row")).distinct()
+    asked = known.select("*", F.lit(1).alias("side")).unionByName(
+        centres.select("*", F.lit(0).alias("side"))
+    )
+    sent = asked.join(sets.select("row", "tokens"), "row")
+    sent = sent.repartition("centre", "part").sortWithinPartitions("centre", "part", "side")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, centre = None, np.zeros(0, np.uint64)
         for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            good = [
-                P.linked(_values(x.as_buffer()), _values(y.as_buffer()), percent)
-                for x, y in zip(left, right)
-            ]
+            good = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("centre", "part", "side")))
+            for key, tokens in zip(keys, batch.column("tokens")):
+                values = _values(tokens.as_buffer())
+                if key[2] == 0:
+                    own, centre = key[:2], values
+                    good.append(False)
+                else:
+                    good.append(own == key[:2] and P.linked(centre, values, percent))
             kept = batch.filter(pa.array(good, pa.bool_()))
-            yield kept.select(["a", "b"])
+            yield kept.select(["centre", "row"]).rename_columns(["a", "b"])
 
-    joined = pairs.join(sets.select(F.col("row").alias("a"), F.col("tokens").alias("left")), "a")
-    joined = joined.join(sets.select(F.col("row").alias("b"), F.col("tokens").alias("right")), "b")
-    return joined.select("a", "b", "left", "right").mapInArrow(compared, "a long, b long")
+    return sent.select("centre", "part", "side", "row", "tokens").mapInArrow(compared, "a long, b long")
 
 
 def _similar_size(a: str, b: str, percent: int):
@@ -214,18 +246,24 @@ def block_links(
 ) -> DataFrame:
     """(a, b): links between rows of different parts that meet in lists of over `SMALL` rows.
 
-    A row lives in a block of about `ROWS` rows with the same longest list. Of every list,
-    the pairs of blocks it touches are compared in one task each, which counts the shared
-    tokens of all their rows, compares whole sets where they suffice, and returns only
-    links that join what it had not joined before: rows in its result, not pairs.
+    A row lives in a block of about `ROWS` rows with the same longest list, or fewer if
+    their sets hold over `TOKENS` tokens. Of every list, the pairs of blocks it touches are
+    compared in one task each, which counts the shared tokens of all their rows, compares
+    whole sets where they suffice, and returns only links that join what it had not joined
+    before: rows in its result, not pairs.
     """
     homes = mixed.groupBy("row").agg(
-        F.max(F.struct("rows", "token")).alias("home"),
+        F.max(F.struct("rows", "token"))["token"].alias("home"),
         F.first("part").alias("part"),
         F.first("need").alias("need"),
+        F.first("n").alias("n"),
     )
-    slot = F.pmod(F.xxhash64("row"), F.ceil(F.col("home.rows") / ROWS))
-    homes = homes.withColumn("block", F.xxhash64("home.token", slot)).drop("home")
+    homes = store(homes, "home-lists")
+    loads = homes.groupBy("home").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("load"))
+    slots = F.ceil(F.greatest(F.col("held") / ROWS, F.col("load") / TOKENS))
+    homes = homes.drop("n").join(loads.select("home", slots.alias("slots")), "home")
+    slot = F.pmod(F.xxhash64("row"), F.col("slots"))
+    homes = homes.withColumn("block", F.xxhash64("home", slot)).drop("home", "slots")
     # All tokens a row shares with any other count, also those of small lists.
     lists = shared.join(homes.select("row"), "row", "left_semi")
     homes = homes.join(lists.groupBy("row").agg(F.collect_list("token").alias("list")), "row")
@@ -235,7 +273,7 @@ def block_links(
     other = touched.select("token", F.col("block").alias("second"))
     met = touched.select("token", F.col("block").alias("first")).join(other, "token")
     met = store(met.filter("first <= second").select("first", "second").distinct(), "met")
-    rows = store(homes.join(sets, "row"), "block-rows")
+    rows = store(homes.join(sets.select("row", "tokens"), "row"), "block-rows")
     pair = F.xxhash64("first", "second").alias("pair")
     side = ["row", "part", "need", "list", "tokens"]
     one = met.join(rows, F.col("first") == F.col("block"))
@@ -253,14 +291,17 @@ def block_links(
         root = np.unique(table["part"].to_numpy(), return_inverse=True)[1]
         lists = table["list"].combine_chunks()
         owner = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
-        names, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        held = np.zeros((len(rows), len(names)), np.float32)
-        held[owner, place] = 1
+        # The rows that hold each token, one token after the other.
+        place = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        holders = owner[np.argsort(place, kind="stable")]
+        ends = np.cumsum(np.bincount(place))
+        mine = np.split(place, np.cumsum(np.bincount(owner, minlength=len(rows)))[:-1])
         split = int((sides == 0).sum())
         found: list[tuple[int, int]] = []
         for i in range(split if split < len(rows) else len(rows) - 1):
             rest = np.arange(split if split < len(rows) else i + 1, len(rows))
-            shared = held[rest] @ held[i]
+            met = [holders[ends[t - 1] if t else 0 : ends[t]] for t in mine[i].tolist()]
+            shared = np.bincount(np.concatenate(met), minlength=len(rows))[rest]
             near = shared >= np.minimum(need[i], need[rest])
             least, most = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
             near &= 100 * least >= percent * most
