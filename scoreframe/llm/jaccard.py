@@ -18,7 +18,7 @@ from scoreframe.session import ship, store
 
 BLOCK = 1 << 16
 SMALL = 16  # rows in a list whose pairs are formed one by one
-ROWS = 256  # rows of a block where longer lists are compared block by block
+ROWS = 2048  # rows of a block where longer lists are compared block by block
 TOKENS = 1 << 20  # tokens of their whole sets, which bound a block as well
 PARTNERS = 64  # rows compared to the same row in one group
 MOST_CHUNKS = 1024
@@ -246,24 +246,25 @@ def block_links(
 ) -> DataFrame:
     """(a, b): links between rows of different parts that meet in lists of over `SMALL` rows.
 
-    A row lives in a block of about `ROWS` rows with the same longest list, or fewer if
-    their sets hold over `TOKENS` tokens. Of every list, the pairs of blocks it touches are
-    compared in one task each, which counts the shared tokens of all their rows, compares
-    whole sets where they suffice, and returns only links that join what it had not joined
-    before: rows in its result, not pairs.
+    Rows that meet in such lists, over any number of steps, are a cloud, and a cloud of up
+    to `ROWS` rows and `TOKENS` tokens of their sets is a block, whose sets are sent once.
+    Larger clouds are dealt into several blocks, and all pairs of blocks that a list
+    touches are compared. Each is one task's work, which counts the shared tokens of all
+    its rows, compares whole sets where they suffice, and returns only links that join what
+    it had not joined before: rows in its result, not pairs.
     """
+    first = mixed.groupBy("token").agg(F.min("row").alias("a"))
+    clouds = components(mixed.join(first, "token").select("a", F.col("row").alias("b")))
     homes = mixed.groupBy("row").agg(
-        F.max(F.struct("rows", "token"))["token"].alias("home"),
-        F.first("part").alias("part"),
-        F.first("need").alias("need"),
-        F.first("n").alias("n"),
+        F.first("part").alias("part"), F.first("need").alias("need"), F.first("n").alias("n")
     )
-    homes = store(homes, "home-lists")
-    loads = homes.groupBy("home").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("load"))
+    homes = homes.join(clouds.select(F.col("node").alias("row"), F.col("label").alias("cloud")), "row")
+    homes = store(homes, "clouds")
+    loads = homes.groupBy("cloud").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("load"))
     slots = F.ceil(F.greatest(F.col("held") / ROWS, F.col("load") / TOKENS))
-    homes = homes.drop("n").join(loads.select("home", slots.alias("slots")), "home")
+    homes = homes.drop("n").join(loads.select("cloud", slots.alias("slots")), "cloud")
     slot = F.pmod(F.xxhash64("row"), F.col("slots"))
-    homes = homes.withColumn("block", F.xxhash64("home", slot)).drop("home", "slots")
+    homes = homes.withColumn("block", F.xxhash64("cloud", slot)).drop("cloud", "slots")
     # All tokens a row shares with any other count, also those of small lists.
     lists = shared.join(homes.select("row"), "row", "left_semi")
     homes = homes.join(lists.groupBy("row").agg(F.collect_list("token").alias("list")), "row")
