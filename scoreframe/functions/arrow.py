@@ -64,8 +64,8 @@ def checked_udf(score: Callable[[str, str], float]) -> Callable[[Column, Column]
 def char_f1(prediction: Column, reference: Column) -> Column:
     """Similarity of the alphabetically sorted words, in whole percent.
 
-    The cost grows with the product of both lengths, bit-parallel: a pair of very long
-    texts holds one task. Outer white space never survives the word split, so no trimming is needed;
+    The cost of a long pair grows with the number of its differences, at most with the
+    product of both lengths, bit-parallel. Outer white space never survives the word split, so no trimming is needed;
     two texts without any word count as equal.
     """
 
@@ -94,8 +94,8 @@ def bleu(prediction: Column, reference: Column) -> Column:
 def rouge_l(prediction: Column, reference: Column) -> Column:
     """F measure of the longest common subsequence of words.
 
-    The cost grows with the product of both word counts: a pair of very long texts holds
-    one task.
+    The cost of a long pair grows with the number of its differences, at most with the
+    product of both word counts, bit-parallel.
     """
     return pair_udf(kernels.rouge_l)(prediction, reference)
 
