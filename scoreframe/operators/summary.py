@@ -14,6 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreframe.operators.ranks import running_totals
 from scoreframe.operators.score import long_scores, quoted
 from scoreframe.sources.datasets import source_keys
 
@@ -156,23 +157,30 @@ def detailed_metrics(
 ) -> DataFrame:
     """Score arrays in sample order with mean and deviation, per dataset and metric.
 
-    An array covers the samples `part * part_size` up to the next part, so no row or
-    task holds more than `part_size` scores; a dataset of that size or less is one row.
-    `scored` is read twice: give a stored table, not a plan that scores again.
+    An array covers the next `part_size` samples that have a score, whatever their numbers
+    are, so all parts but the last are full and no row or task holds more; a dataset of that
+    size or less is one row. Samples are placed by `running_totals`, by ranges of all keys:
+    a dataset that holds most of the scores is ranked by many tasks.
     """
     keys = [*group_keys(scored), "metric"]
-    long = long_scores(scored, metrics)
-    part = F.floor(F.col("sample_idx") / part_size).cast("long")
-    entries = F.array_sort(F.collect_list(F.struct("sample_idx", "score")))
-    parts = (
-        long.withColumn("part", part)
-        .groupBy(*keys, "part")
-        .agg(F.transform(entries, lambda entry: entry["score"]).alias("scores"))
+    order = [F.col(c) for c in (*keys, "sample_idx")]
+    placed = running_totals(long_scores(scored, metrics), order, {"__place": F.lit(1)})
+    totals = placed.groupBy(*keys).agg(
+        F.avg("score").alias("mean"),
+        F.stddev_pop("score").alias("std"),
+        F.min("__place").alias("__first"),
     )
-    totals = long.groupBy(*keys).agg(
-        F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")
+    part = F.floor((F.col("__place") - F.col("__first")) / part_size).cast("long")
+    entries = F.array_sort(F.collect_list(F.struct("__place", "score")))
+    return (
+        placed.join(totals, keys)
+        .groupBy(*keys, part.alias("part"))
+        .agg(
+            F.transform(entries, lambda entry: entry["score"]).alias("scores"),
+            F.first("mean").alias("mean"),
+            F.first("std").alias("std"),
+        )
     )
-    return parts.join(totals, keys)
 
 
 def summary_document(

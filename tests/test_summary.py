@@ -80,6 +80,16 @@ def test_score_arrays_are_ordered_and_bounded(scored, part_size):
     assert mine[0].std == pytest.approx(np.std([1, 0, 0]))
 
 
+def test_parts_of_sparse_numbers_are_full(spark):
+    rows = [("m", "a", n * n * 1000, float(n % 7)) for n in range(250)] + [("m", "b", 5, 1.0), ("m", "b", 9, None)]
+    scored = spark.createDataFrame(rows, "model string, dataset string, sample_idx long, bleu double")
+    found = sorted(detailed_metrics(scored.repartition(6), ["bleu"], 100).collect(), key=lambda r: (r.dataset, r.part))
+    assert [(r.dataset, r.part, len(r.scores)) for r in found] == [("a", 0, 100), ("a", 1, 100), ("a", 2, 50), ("b", 0, 1)]
+    assert [s for r in found[:3] for s in r.scores] == [float(n % 7) for n in range(250)]
+    assert found[0]["mean"] == found[2]["mean"] == pytest.approx(np.mean([n % 7 for n in range(250)]))
+    assert detailed_metrics(scored.limit(0), ["bleu"]).count() == 0
+
+
 def test_only_declared_metrics(spark):
     rows = [
         ("a", ["exact_match"], "x", "x"),

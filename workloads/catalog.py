@@ -919,18 +919,19 @@ def summary_document(spark, folder):
       SELECT dataset, sample_idx, {_METRIC_VALUES['exact_match']}::DOUBLE AS exact_match,
              ({_METRIC_VALUES['length_ratio']})::DOUBLE AS length_ratio FROM pairs),
     long AS (UNPIVOT scored ON exact_match, length_ratio INTO NAME metric VALUE score)
-    SELECT dataset, metric, sample_idx // 300 AS part,
+    SELECT dataset, metric, part,
            array_to_string(list(printf('%.4f', score) ORDER BY sample_idx), ',') AS scores,
            round(any_value(mean), 6) AS mean, round(any_value(std), 6) AS std
-    FROM (SELECT *, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS std
+    FROM (SELECT *, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS std,
+                 (row_number() OVER (PARTITION BY dataset, metric ORDER BY sample_idx) - 1) // 30 AS part
           FROM long WINDOW w AS (PARTITION BY dataset, metric))
-    GROUP BY dataset, metric, sample_idx // 300"""
+    GROUP BY dataset, metric, part"""
 )
 def detailed_metrics(spark, folder):
-    """Documents are numbered from 0, so a part holds the scores of many."""
+    """A language has only some of the document numbers; its parts are full all the same."""
     names = ["exact_match", "length_ratio"]
     scored = sf.score(D.document_pairs(spark, folder), names).select("dataset", "sample_idx", *names)
-    detail = sf.detailed_metrics(sf.store(scored, "scores"), names, part_size=300)
+    detail = sf.detailed_metrics(sf.store(scored, "scores"), names, part_size=30)
     shown = F.transform("scores", lambda s: F.format_string("%.4f", s))
     return detail.select(
         "dataset",
