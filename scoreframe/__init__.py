@@ -7,8 +7,10 @@ from scoreframe.operators.ledger import attempts, current_answers, generate_to
 from scoreframe.operators.merge import active, lookup, merge_scores, retract
 from scoreframe.operators.predictions import attach_predictions, generate, parse_responses
 from scoreframe.operators.prompts import build_prompts, request_table
+from scoreframe.operators.ranks import running_totals
 from scoreframe.operators.rules import rule_predictions
 from scoreframe.operators.score import declared_metrics, long_scores, score
+from scoreframe.operators.score_table import ScoreTable
 from scoreframe.operators.summary import (
     detailed_metrics,
     pivot_scores,
@@ -34,6 +36,7 @@ from scoreframe.sources.sinks import write_results_csv, write_results_json, writ
 __all__ = [
     "Metric",
     "Run",
+    "ScoreTable",
     "active",
     "attach_predictions",
     "attempts",
@@ -65,6 +68,7 @@ __all__ = [
     "result_rows",
     "retract",
     "rule_predictions",
+    "running_totals",
     "sample_scores",
     "score",
     "ship",

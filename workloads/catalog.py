@@ -1123,3 +1123,28 @@ def active_custom(spark, folder):
 def lookup(spark, folder):
     key = {"model": "m1", "dataset": "u3", "sample_idx": 30, "metric": "click"}
     return sf.lookup(_merged(spark, folder), key)
+
+
+def _stored_scores(spark: SparkSession, folder: str) -> sf.ScoreTable:
+    """The score table as stored partitions, after the changes."""
+    current, changes = D.current_scores(spark, folder), D.score_changes(spark, folder)
+    table = sf.ScoreTable(spark, sf.shared_path(spark, "scores"), current.schema, buckets=16)
+    table.write(current)
+    table.merge(changes)
+    return table
+
+
+@query(f"WITH {Q.SCORE_LOG} SELECT {_STATE} FROM merged")
+def merge_stored(spark, folder):
+    """The state table written, merged partition by partition and read back."""
+    return _stored_scores(spark, folder).rows()
+
+
+@query(
+    f"""WITH {Q.SCORE_LOG} SELECT {_STATE} FROM merged
+    WHERE is_active AND model = 'm1' AND dataset = 'u3' AND sample_idx = 30
+      AND metric = 'click'"""
+)
+def lookup_stored(spark, folder):
+    key = {"model": "m1", "dataset": "u3", "sample_idx": 30, "metric": "click"}
+    return _stored_scores(spark, folder).lookup(key)
