@@ -64,6 +64,23 @@ def store_sized(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
     return frame.sparkSession.read.schema(frame.schema).parquet(path), path
 
 
+def store_bucketed(frame: DataFrame, key: str, name: str) -> DataFrame:
+    """`store`, dealt into buckets by `key`: later joins on it do not shuffle this side.
+
+    There are as many buckets as shuffle partitions. The table's entry in the catalogue is
+    needed for writing alone and goes again; its files are those of a stored table.
+    """
+    spark = frame.sparkSession
+    path = shared_path(spark, name)
+    table = f"stored_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = frame.repartition(buckets, key).write.format("parquet").option("path", path)
+    dealt.bucketBy(buckets, key).saveAsTable(table)
+    stored = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return stored
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of the files at `path`; their content is not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)

@@ -41,3 +41,21 @@ def test_stored_tables_end_their_lineage(spark, capsys):
     assert {(r.k, r["count"]) for r in frame.collect()} == {(0, 4), (1, 3), (2, 3)}
     frame.explain()
     assert "Exchange" not in capsys.readouterr().out
+
+
+def test_a_bucketed_table_is_not_shuffled_again(spark):
+    from scoreframe.session import store_bucketed
+
+    frame = spark.range(2000).selectExpr("id % 1000 AS key", "id AS value")
+    stored = store_bucketed(frame, "key", "bucketed")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = stored.join(spark.range(500).withColumnRenamed("id", "key"), "key")
+        assert joined.count() == 1000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(key") <= 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(stored.collect()) == sorted(frame.collect())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stored_")]
