@@ -14,7 +14,7 @@ from scoreframe.llm.bloom import chunks_for, repeat_filter, seen
 from scoreframe.llm.common import blocks, packed, sum_blocks, unpacked
 from scoreframe.llm.components import components
 from scoreframe.llm.text import runs
-from scoreframe.session import ship, store
+from scoreframe.session import ship, store, store_bucketed
 
 BLOCK = 1 << 16
 SMALL = 16  # rows in a list whose pairs are formed one by one
@@ -106,6 +106,8 @@ def shared_entries(table: DataFrame, single: DataFrame) -> DataFrame:
 def fetch_sets(texts: DataFrame, wanted: DataFrame, order, words: int) -> DataFrame:
     """(row, n, tokens): the whole sets of the rows in `wanted` (row, s1, s2, n), see `_packed`.
 
+    They are stored in buckets by row, so that they stay where they are in later joins.
+
     Sets are made anew from the texts. A Bloom filter of the wanted signatures spares the
     shuffle most of the others, and of equal sets each task sends one.
     """
@@ -140,7 +142,7 @@ def fetch_sets(texts: DataFrame, wanted: DataFrame, order, words: int) -> DataFr
 
     sets = texts.mapInArrow(found, f"{SET}, tokens binary")
     joined = wanted.join(sets, ["s1", "s2", "n"]).select("row", "n", "tokens")
-    return store(joined.dropDuplicates(["row"]), "sets")
+    return store_bucketed(joined.dropDuplicates(["row"]), "row", "sets")
 
 
 def _packed(tokens: np.ndarray) -> bytes:
