@@ -226,8 +226,10 @@ def score_toxicity(
     """All columns of `docs` and toxicity, the probability that its whole text is toxic.
 
     The network learns from documents with a row in `labels` (doc_id, toxic) where
-    `train_on` holds for the label's id, at most `rows_per_class` of each class. Every
-    overlapping window of 32 words of a text is scored and the highest counts; a null text,
+    `train_on` holds for the label's id, at most `rows_per_class` of each class. A text is
+    scored whole by windows of 32 words that overlap: one begins at every 24th word, the last
+    ends with the text, and the highest score counts (windows at every word take 24 times
+    as long and rank held-out documents no better, see README). A null text,
     an empty one or one without words scores 0. Repeated rows and rows of null id are scored
     like others. A null label teaches nothing, of several labels of a document the highest
     holds; without labels every text with words scores 0.5. A column named toxicity is

@@ -313,6 +313,54 @@ def test_toxicity_of_held_out_documents(spark):
     assert all(0 <= r.toxicity <= 1 for r in scored)
 
 
+def plain_logit(p, inputs):
+    """One window's logit, a step and a unit at a time."""
+    size = gru.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    states = []
+    for d in (0, 1):
+        hidden, found = np.zeros(size), []
+        for x in inputs if d == 0 else inputs[::-1]:
+            given, own = x @ p["input"][d] + p["bias"][d], hidden @ p["state"][d]
+            update, reset = (sigmoid(given[k : k + size] + own[k : k + size]) for k in (0, size))
+            fresh = np.tanh(given[2 * size :] + reset * own[2 * size :])
+            hidden = (1 - update) * fresh + update * hidden
+            found.append(hidden)
+        states.append(found if d == 0 else found[::-1])
+    both = [np.concatenate(pair) for pair in zip(*states)]
+    weights = np.array([np.exp((np.tanh(h @ p["attend"]) @ p["weigh"])[0]) for h in both])
+    pooled = sum(w * h for w, h in zip(weights / weights.sum(), both))
+    return float((pooled @ p["out"])[0] + p["base"][0])
+
+
+def test_scores_are_those_of_a_plain_network_over_all_windows():
+    model = toxicity.train([(r[2], [r[1]]) for r in toxic_rows(60, 5, 10, 30)])
+    p, vocabulary = model["parameters"], model["vocabulary"]
+    texts = [r[1] for r in toxic_rows(12, 6, 1, 120)] + ["One", "", "  two\nWORDS "]
+    expected = []
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        data, starts, ends, _, value = gru.tokens(data, np.array([0, len(data)]))
+        if not len(value):
+            expected.append(float("nan"))
+            continue
+        inputs = []
+        for start, end, hashed in zip(starts, ends, value):
+            word = bytes(data[start:end])
+            padded = b"\0" + word + b"\0"
+            codes = [int.from_bytes(padded[i : i + 3], "big") + 1 for i in range(len(word))]
+            grams = [(c * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - gru.TRIGRAM_BITS) for c in codes]
+            place = np.searchsorted(vocabulary, hashed)
+            known = place < len(vocabulary) and vocabulary[place] == hashed
+            own = p["word"][place + 1 if known else 0]
+            inputs.append(np.concatenate([own, p["char"][grams].mean(axis=0)]).astype(np.float64))
+        last = max(0, len(inputs) - toxicity.WIDTH)
+        begins = sorted({*range(0, last, toxicity.STRIDE), last})
+        expected.append(max(plain_logit(p, inputs[b : b + toxicity.WIDTH]) for b in begins))
+    found = gru.text_logits(model, pa.array(texts), toxicity.WIDTH, toxicity.STRIDE)
+    assert found == pytest.approx(expected, abs=1e-4, nan_ok=True)
+
+
 def test_toxicity_of_odd_rows(odd, nothing, spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (8, None)], "doc_id long, toxic int")
     rows = score_toxicity(odd, labels, F.lit(True))
