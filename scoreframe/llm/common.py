@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,3 +88,19 @@ def blocks(key: str, values: np.ndarray, size: int) -> pa.RecordBatch:
             "data": pa.array([packed(values[i : i + size]) for i in parts], pa.binary()),
         }
     )
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over a partition, which then gives the memory it has freed back to the system.
+
+    Idle Python workers are kept for later tasks, and with them what their allocators hold.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return tidied

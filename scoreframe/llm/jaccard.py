@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scoreframe.llm import prefixes as P
 from scoreframe.llm.bloom import chunks_for, repeat_filter, seen
-from scoreframe.llm.common import blocks, packed, sum_blocks, unpacked
+from scoreframe.llm.common import blocks, packed, sum_blocks, tidy, unpacked
 from scoreframe.llm.components import components
 from scoreframe.llm.text import runs
 from scoreframe.session import ship, store, store_bucketed
@@ -37,7 +37,7 @@ def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
         if counts.any():
             yield blocks("", counts, BLOCK)
 
-    sent = texts.mapInArrow(counted, "key string, block int, data binary")
+    sent = texts.mapInArrow(tidy(counted), "key string, block int, data binary")
     counts = np.zeros(P.COUNTERS, np.uint32)
     for row in sum_blocks(sent, "uint32", P.COUNTERS // BLOCK).collect():
         counts[row.block * BLOCK : (row.block + 1) * BLOCK] = unpacked(row.data, "uint32")
@@ -73,7 +73,7 @@ def prefix_table(rows: DataFrame, order, noise: float, percent: int, words: int)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, {SET}, need int, prefix array<long>"
-    return rows.mapInArrow(prepared, schema)
+    return rows.mapInArrow(tidy(prepared), schema)
 
 
 def shared_entries(table: DataFrame, single: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def fetch_sets(texts: DataFrame, wanted: DataFrame, order, words: int) -> DataFr
                         }
                     )
 
-    sets = texts.mapInArrow(found, f"{SET}, tokens binary")
+    sets = texts.mapInArrow(tidy(found), f"{SET}, tokens binary")
     joined = wanted.join(sets, ["s1", "s2", "n"]).select("row", "n", "tokens")
     return store_bucketed(joined.dropDuplicates(["row"]), "row", "sets")
 
@@ -194,7 +194,8 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield kept.select(["centre", "row"]).rename_columns(["a", "b"])
 
-    return sent.select("centre", "part", "side", "row", "tokens").mapInArrow(compared, "a long, b long")
+    sent = sent.select("centre", "part", "side", "row", "tokens")
+    return sent.mapInArrow(tidy(compared), "a long, b long")
 
 
 def _similar_size(a: str, b: str, percent: int):

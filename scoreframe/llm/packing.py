@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreframe.llm.common import tidy
 from scoreframe.llm.text import hashes, lower, runs, spread_out, words
 from scoreframe.session import ship, store
 
@@ -383,7 +384,7 @@ def cut_pieces(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(tidy(cut), schema)
 
 
 def pack(
