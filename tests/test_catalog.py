@@ -42,7 +42,7 @@ def test_query_equals_sql(spark, folder, database, name):
     want = ordered(relation.columns, relation.fetchall())
     assert sorted(frame.columns) == sorted(relation.columns)
     assert len(got) == len(want)
-    assert got or name == "lookup"
+    assert got or name.startswith("lookup")
     assert all(same(a, b) for g, w in zip(got, want) for a, b in zip(g, w))
 
 
