@@ -1,11 +1,19 @@
-"""Language-model scoring: context-tree weighting over bytes, beside a smoothed word unigram."""
+"""Language-model scoring: context-tree weighting over bytes, beside a smoothed word unigram.
+
+Grams of six bytes are counted as rows, over the whole corpus. The context trees are fitted
+from these rows, a subtree at a time, and every gram gets the log probability of its last
+byte; a text's score is the sum over its grams. Grams of texts that are only scored are
+counted too, with no weight, so that each has its place in the tree.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +25,17 @@ WORD, GRAM = 0, 1
 END_WORD = 0x656E64  # the key of the end token
 FLUSH = 1 << 20
 ADD = 0.1
+CHUNK = 1 << 20
 
 
 class _Counter:
-    """Counts of 64-bit keys; what was gathered is handed out when it grows too large."""
+    """Counts of 64-bit keys, in training texts and in all; handed out when they grow too many."""
 
     def __init__(self, kind: int):
         self.kind, self.parts, self.size = kind, [], 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((keys, counts))
+    def add(self, keys: np.ndarray, counts: np.ndarray, taught: bool) -> Iterator[pa.RecordBatch]:
+        self.parts.append((keys, counts * taught, counts))
         self.size += len(keys)
         if self.size > 2 * FLUSH:
             self._combine()
@@ -34,105 +43,155 @@ class _Counter:
                 yield from self.flush()
 
     def _combine(self) -> None:
-        keys = np.concatenate([k for k, _ in self.parts])
-        counts = np.concatenate([c for _, c in self.parts])
+        keys, *counts = (np.concatenate(column) for column in zip(*self.parts))
         order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
+        keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        self.parts = [(keys[first], np.add.reduceat(counts, first))]
+        self.parts = [(keys[first], *(np.add.reduceat(c[order], first) for c in counts))]
         self.size = len(first)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
         self._combine()
-        ((keys, counts),) = self.parts
+        ((keys, taught, counts),) = self.parts
         for i in range(0, len(keys), 1 << 16):
-            part = keys[i : i + (1 << 16)].astype(np.uint64).view(np.int64)
+            part = slice(i, i + (1 << 16))
+            many = len(keys[part])
             yield pa.RecordBatch.from_pydict(
                 {
-                    "kind": pa.array(np.full(len(part), self.kind, np.int32)),
-                    "key": pa.array(part),
-                    "n": pa.array(counts[i : i + (1 << 16)].astype(np.int64)),
+                    "kind": pa.array(np.full(many, self.kind, np.int32)),
+                    "key": pa.array(keys[part].astype(np.uint64).view(np.int64)),
+                    "n": pa.array(taught[part].astype(np.int64)),
+                    "m": pa.array(counts[part].astype(np.int64)),
                 }
             )
         self.parts, self.size = [], 0
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Four bytes ending at each position as one number, and those of each text's end."""
-    key, last = data.astype(np.uint32), np.full(len(offsets) - 1, C.END, np.uint32)
-    for distance in (1, 2, 3):
-        shift = np.uint32(8 * distance)
-        key |= C.previous(data, offsets, distance, C.START).astype(np.uint32) << shift
-        last |= C.tails(data, offsets, distance, C.START).astype(np.uint32) << shift
-    return np.concatenate([key, last])
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes, distinct = pd.factorize(values)
+    return distinct, np.bincount(codes, minlength=len(distinct))
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n): counts of words, by hash, and of byte 4-grams of all texts of `docs`.
+    """(kind, key, n, m): how often words, by hash, and byte grams are in the rows of `docs`
+    with `train` (n) and in all rows (m). `docs` has text and train.
 
-    Words are lower-cased; byte 4-grams are of the text as it is. Each task sums up its own.
+    Words are lower-cased, and only those of training rows are counted; byte grams are of the
+    text as it is. Each task sums up its own.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, gram = _Counter(WORD), _Counter(GRAM)
         for batch in batches:
-            for first, end, data, offsets in runs(batch.column("text")):
-                yield from gram.add(*np.unique(_grams(data, offsets), return_counts=True))
-                low = lower(data)
-                starts, ends, _ = words(low, offsets)
-                yield from word.add(*np.unique(hashes(low, starts, ends), return_counts=True))
-                yield from word.add(np.array([END_WORD], np.uint64), np.array([end - first]))
+            for taught in (True, False):
+                texts = batch.column("text").filter(pc.equal(batch.column("train"), taught))
+                for first, end, data, offsets in runs(texts):
+                    yield from gram.add(*_counted(C.grams(data, offsets)), taught)
+                    if not taught:
+                        continue
+                    low = lower(data)
+                    starts, ends, _ = words(low, offsets)
+                    yield from word.add(*_counted(hashes(low, starts, ends)), True)
+                    yield from word.add(np.array([END_WORD], np.uint64), np.array([end - first]), True)
         yield from gram.flush()
         yield from word.flush()
 
-    sent = docs.mapInArrow(counted, "kind int, key long, n long")
-    return sent.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    sent = docs.mapInArrow(counted, "kind int, key long, n long, m long")
+    return sent.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, n, m) of batches sorted by key, cut where a subtree ends, about CHUNK rows each."""
+    shift = np.uint64(8 * (C.DEPTH - C.SPLIT + 1))
+    kept: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        columns = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("key", "n", "m"))
+        key, *counts = columns
+        kept.append((key.view(np.uint64), *counts))
+        size += len(key)
+        if size < CHUNK:
+            continue
+        whole = tuple(np.concatenate(column) for column in zip(*kept))
+        place = whole[0] >> shift
+        end = int(np.searchsorted(place, place[-1]))
+        if end:
+            yield tuple(column[:end] for column in whole)
+        kept = [tuple(column[end:] for column in whole)]
+        size = len(kept[0][0])
+    if size:
+        yield tuple(np.concatenate(column) for column in zip(*kept))
+
+
+def gram_scores(grams: DataFrame) -> DataFrame:
+    """(key, m, value): the log10 probability of the last byte of every gram after the others.
+
+    Subtrees meet whole in a task, sorted, which holds one or about a million grams at a time
+    (a subtree has 2^24 grams at most). The sums of subtrees below the same two bytes of
+    context, again 2^24 at most, come to the driver, which fits the tree above them.
+    """
+    context = grams.sparkSession.sparkContext
+    subtree = F.shiftright("key", 8 * (C.DEPTH - C.SPLIT + 1))
+    dealt = grams.select("key", "n", "m").repartition(subtree).sortWithinPartitions("key")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, _ in _subtrees(batches):
+            ids, zeros, ones, inner = C.subtrees(key, n)
+            yield pa.RecordBatch.from_pydict(
+                {"id": ids.view(np.int64), "zeros": zeros, "ones": ones, "inner": inner}
+            )
 
+    found = dealt.mapInArrow(sums, "id long, zeros double, ones double, inner double")
+    found = found.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "inner")]).toArrow()
+    ids = found["id"].to_numpy().view(np.uint64)
+    order = np.argsort(ids)
+    columns = [ids[order], *(found[c].to_numpy()[order] for c in ("zeros", "ones", "inner"))]
+    sent = context.broadcast((columns[0], *(C.crown(*columns) if len(ids) else columns[1:3])))
 
-def byte_model(grams: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte classes, log10 table of symbols [c1, c2, c3, symbol], log10 table of escaped bytes.
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, m in _subtrees(batches):
+            value = C.log_probabilities(key, n, sent.value)
+            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "m": m, "value": value})
 
-    Only counts by class come to the driver, 2^24 at most, however large the corpus.
-    """
-    byte = lambda place: F.shiftright("key", 8 * place).bitwiseAND(F.lit(255)).cast("int")
-    histogram = np.zeros(256, np.int64)
-    for row in grams.groupBy(byte(0).alias("byte")).agg(F.sum("n").alias("n")).collect():
-        histogram[row.byte] = row.n
-    classes = C.symbol_classes(histogram)
-    lookup = F.array(*[F.lit(int(c)) for c in classes])
-    code = lambda place: F.element_at(lookup, byte(place) + 1)
-    symbol = (((code(1) * 64 + code(2)) * 64 + code(3)) * 64 + code(0)).alias("symbol")
-    counts = np.zeros(C.SYMBOLS**4, np.float32)
-    found = grams.groupBy(symbol).agg(F.sum("n").alias("n")).toArrow()
-    counts[found["symbol"].to_numpy()] = found["n"].to_numpy()
-    escaped = np.zeros((C.SYMBOLS, 1, 1, 256), np.int64)
-    spelled = grams.filter(code(0) == C.ESCAPE).groupBy(code(1).alias("c"), byte(0).alias("b"))
-    for row in spelled.agg(F.sum("n").alias("n")).collect():
-        escaped[row.c, 0, 0, row.b] = row.n
-    del found
-    table = C.fit(counts.reshape((C.SYMBOLS,) * 4))
-    return classes, table.reshape(-1), C.fit(escaped).reshape(C.SYMBOLS, 256)
-
-
-def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words of the highest counts, `most` at most, in order of key, and their counts.
-
-    The bound lies at a power of two of the count; words below it are joined instead.
+    return dealt.mapInArrow(valued, "key long, m long, value double")
+
+
+def frequent(counts: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the highest counts `m`, `most` at most, in order, and their `value`.
+
+    The bound lies at a power of two of the count; keys below it are joined instead.
     """
-    level = F.floor(F.log2("n")).cast("int").alias("level")
-    levels = {r.level: r.words for r in counts.groupBy(level).agg(F.count("*").alias("words")).collect()}
+    level = F.floor(F.log2("m")).cast("int").alias("level")
+    levels = {r.level: r.keys for r in counts.groupBy(level).agg(F.count("*").alias("keys")).collect()}
     least, total = 64, 0
     for step in range(max(levels, default=0), -1, -1):
         total += levels.get(step, 0)
         if total > most:
             break
         least = step
-    found = counts.filter(F.col("n") >= F.lit(1 << min(least, 62))).select("key", "n").toArrow()
-    keys, amounts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    found = counts.filter(F.col("m") >= F.lit(1 << min(least, 62))).select("key", value).toArrow()
+    keys, values = found["key"].to_numpy().view(np.uint64), found[value].to_numpy()
     order = np.argsort(keys)
-    return keys[order], amounts[order]
+    return keys[order], values[order]
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray):
+    """The value of each of `asked`, 0 where it is not in `keys`, and whether it is."""
+    codes, distinct = pd.factorize(asked)
+    if not len(keys) or not len(distinct):
+        return np.zeros(len(asked)), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+    hit = keys[at] == distinct
+    return np.where(hit, values[at], 0.0)[codes], hit[codes]
+
+
+def _lists(keys: np.ndarray, owner: np.ndarray, many: int) -> pa.Array:
+    """The keys of each of `many` owners as a list."""
+    order = np.argsort(owner, kind="stable")
+    begins = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=many))]).astype(np.int32)
+    return pa.ListArray.from_arrays(begins, keys[order].astype(np.uint64).view(np.int64))
 
 
 def score_texts(
@@ -141,59 +200,67 @@ def score_texts(
     doc_id: str = "doc_id",
     text: str = "text",
     most_sent: int = 1 << 18,
+    most_grams: int = 1 << 21,
 ) -> DataFrame:
     """Score every row's whole text by a byte model and a word model of the rows in `train`.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     `score` is the log10 probability of the text's UTF-8 bytes and its end under context-tree
-    weighting of depth three (`contexts`); divided by the bytes it is a code length.
-    `base_score` sums log10((c + 0.1) / (N + 0.1 (V + 1))) over the lower-cased words and the
-    end token. Null and empty texts consist of the end alone. Without training rows all
-    bytes are equally unlikely and N and V are 0. Repeated rows and rows with equal or null
-    ids are scored one by one. An empty table gives an empty result.
-
-    Words of the highest counts, `most_sent` at most, are sent to the tasks; the others of a
-    text meet their counts in a join. Both together cover every word.
+    weighting over contexts of all depths up to five bytes (`contexts`); divided by the bytes
+    it is a code length. `base_score` sums log10((c + 0.1) / (N + 0.1 (V + 1))) over the
+    lower-cased words and the end token. Null and empty texts consist of the end alone.
+    Without training rows all bytes are equally unlikely and N and V are 0. Repeated rows and
+    rows with equal or null ids are scored one by one. An empty table gives an empty result.
+
+    Words and byte grams of the highest counts, `most_sent` and `most_grams` at most, are sent
+    to the tasks; the others of a text meet their values in a join. Both together cover all.
     """
     ship(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     body = F.col(text).cast("string").alias("text")
-    counts = store(corpus_counts(docs.filter(train).select(body)), "lm-counts")
+    taught = F.coalesce(train, F.lit(False)).alias("train")
+    counts = store(corpus_counts(docs.select(body, taught)), "lm-counts")
     vocabulary = counts.filter(F.col("kind") == WORD).drop("kind")
     size = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total = size.n or 0
     norm = float(np.log10(total + ADD * (size.v + 1)))
-    model = byte_model(counts.filter(F.col("kind") == GRAM))
+    grams = store(gram_scores(counts.filter(F.col("kind") == GRAM)), "lm-grams")
     ends = vocabulary.filter(F.col("key") == F.lit(END_WORD)).first()
     ends = ends.n if ends else 0
-    sent = context.broadcast((*model, *frequent_words(vocabulary, most_sent)))
+    sent = context.broadcast((frequent(vocabulary, "n", most_sent), frequent(grams, "value", most_grams)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, table, escaped, keys, amounts = sent.value
-        values = np.append(np.log10(amounts + ADD) - norm, 0.0)
-        keys = np.append(keys, np.uint64((1 << 64) - 1))
+        (keys, amounts), known = sent.value
+        values = np.log10(amounts + ADD) - norm
         for batch in batches:
             for first, end, data, offsets in runs(batch.column("text")):
-                score = _byte_scores(data, offsets, classes, table, escaped)
+                many = end - first
+                asked = C.grams(data, offsets)
+                gain, hit = _looked_up(*known, asked)
+                score, full = gain[len(data) :].copy(), np.diff(offsets) > 0
+                score[full] += np.add.reduceat(gain[: len(data)], offsets[:-1][full])
+                place = np.flatnonzero(~hit)
+                text_of = np.searchsorted(offsets, place, "right") - 1
+                text_of = np.where(place < len(data), text_of, place - len(data))
+                rare_grams = _lists(asked[place], text_of, many)
                 low = lower(data)
                 starts, stops, bounds = words(low, offsets)
                 word = hashes(low, starts, stops)
-                at = np.searchsorted(keys[:-1], word)
-                hit = keys[at] == word
-                owner = np.repeat(np.arange(end - first), np.diff(bounds))[hit]
-                base = np.bincount(owner, values[at[hit]], end - first)
-                found = np.bincount(owner, minlength=end - first)
-                begins = np.concatenate([[0], np.cumsum(~hit)])[bounds].astype(np.int32)
+                gain, hit = _looked_up(keys, values, word)
+                owner = np.repeat(np.arange(many), np.diff(bounds))
+                base = np.bincount(owner, gain, many)
+                found = np.bincount(owner[hit], minlength=many)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "row": batch.column("row").slice(first, end - first),
-                        "doc_id": batch.column("doc_id").slice(first, end - first),
+                        "row": batch.column("row").slice(first, many),
+                        "doc_id": batch.column("doc_id").slice(first, many),
                         "n_tokens": pa.array(np.diff(bounds) + 1, pa.int64()),
                         "n_known": pa.array(found + int(ends > 0), pa.int64()),
                         "base": pa.array(base + np.log10(ends + ADD) - norm, pa.float64()),
                         "score": pa.array(score, pa.float64()),
-                        "rare": pa.ListArray.from_arrays(begins, word[~hit].view(np.int64)),
+                        "rare_words": _lists(word[~hit], owner[~hit], many),
+                        "rare_grams": rare_grams,
                     }
                 )
 
@@ -203,43 +270,29 @@ def score_texts(
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = (
         f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, "
-        "rare array<long>"
+        "rare_words array<long>, rare_grams array<long>"
     )
     partial = store(rows.mapInArrow(scored, schema), "lm-scores")
-    rare = partial.select("row", F.explode("rare").alias("key")).join(vocabulary, "key", "left")
-    gain = F.log10(F.coalesce("n", F.lit(0)) + ADD) - F.lit(float(norm))
-    rare = rare.groupBy("row").agg(F.sum(gain).alias("gain"), F.count("n").alias("found"))
+    gain = (F.log10(F.col("n") + ADD) - F.lit(norm)).alias("value")
+    known = vocabulary.select(F.lit(WORD).alias("kind"), "key", gain).unionByName(
+        grams.select(F.lit(GRAM).alias("kind"), "key", "value")
+    )
+    rare = partial.select("row", F.lit(WORD).alias("kind"), F.explode("rare_words").alias("key"))
+    rare = rare.unionByName(
+        partial.select("row", F.lit(GRAM).alias("kind"), F.explode("rare_grams").alias("key"))
+    )
+    word = F.col("kind") == WORD
+    value = F.coalesce("value", F.lit(float(np.log10(ADD) - norm)))
+    rare = rare.join(known, ["kind", "key"], "left").groupBy("row").agg(
+        F.sum(F.when(word, value)).alias("gain"),
+        F.count(F.when(word, F.col("value"))).alias("found"),
+        F.sum(F.when(~word, F.col("value"))).alias("spelled"),
+    )
     return partial.join(rare, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("spelled", F.lit(0.0))).alias("score"),
     )
-
-
-def _byte_scores(
-    data: np.ndarray,
-    offsets: np.ndarray,
-    classes: np.ndarray,
-    table: np.ndarray,
-    escaped: np.ndarray,
-) -> np.ndarray:
-    """log10 probability of the bytes of each text and of its end."""
-    symbol, blank = classes[data], classes[C.START]
-    before = C.previous(symbol, offsets, 1, blank)
-    key = before.astype(np.uint32)
-    for distance in (2, 3):
-        key = key << np.uint32(6) | C.previous(symbol, offsets, distance, blank)
-    gain = table[key << np.uint32(6) | symbol]
-    spelled = np.flatnonzero(symbol == C.ESCAPE)
-    gain[spelled] += escaped[before[spelled], data[spelled]]
-    last = [C.tails(symbol, offsets, d, blank).astype(np.uint32) for d in (1, 2, 3)]
-    key = (last[0] << np.uint32(6) | last[1]) << np.uint32(6) | last[2]
-    score = table[key << np.uint32(6) | np.uint32(classes[C.END])].astype(np.float64)
-    if classes[C.END] == C.ESCAPE:
-        score += escaped[last[0], C.END]
-    full = np.diff(offsets) > 0
-    score[full] += np.add.reduceat(gain, offsets[:-1][full], dtype=np.float64)
-    return score

@@ -88,7 +88,7 @@ def test_base_score(spark, texts):
     apart = [r for r in rows if not fold(r.doc_id, 10)]
     bits = -sum(r.score for r in apart) / math.log10(2)
     size = sum(len(texts[r.doc_id].encode()) + 1 for r in apart)
-    assert bits / size < 4
+    assert bits / size < 3
 
 
 def test_language_model_of_odd_rows(odd, nothing):
@@ -103,67 +103,89 @@ def test_language_model_of_odd_rows(odd, nothing):
     assert score_texts(nothing, F.lit(True)).count() == 0
 
 
-def exact_tree(history, width):
-    """log2 P_w at the root of one bit's tree, straight from the definition (depth three)."""
+def exact_tree(samples, depth=0):
+    """log2 P_w of one bit's tree from (context, bit) pairs, straight from the definition."""
+    zeros, ones, own = 0, 0, 0.0
+    for _, bit in samples:
+        own += math.log2(((ones if bit else zeros) + 0.5) / (zeros + ones + 1))
+        zeros, ones = zeros + (not bit), ones + bit
+    if depth == contexts.DEPTH:
+        return own
+    inner = 0.0
+    for byte in {context[depth] for context, _ in samples}:
+        inner += exact_tree([s for s in samples if s[0][depth] == byte], depth + 1)
+    top = max(own, inner)
+    return top + math.log2(2 ** (own - top) + 2 ** (inner - top)) - 1
 
-    def kt(bits):
-        zeros, ones, total = 0, 0, 0.0
-        for bit in bits:
-            total += math.log2(((ones if bit else zeros) + 0.5) / (zeros + ones + 1))
-            zeros, ones = zeros + (not bit), ones + bit
-        return total
 
-    def weigh(samples, depth):
-        own = kt([bit for _, bit in samples])
-        if depth == 3:
-            return own
-        inner = sum(
-            weigh([s for s in samples if s[0][depth] == c], depth + 1) for c in range(width)
-        )
-        top = max(own, inner)
-        return top + math.log2(2 ** (own - top) + 2 ** (inner - top)) - 1
-
-    return weigh(history, 0)
-
-
-def test_context_tree_is_the_exact_mixture():
-    rng = np.random.default_rng(5)
-    sequence = [0, 0, 0, *rng.choice(4, 60, p=[0.5, 0.3, 0.1, 0.1]).tolist()]
-    samples = [
-        ((sequence[i - 1], sequence[i - 2], sequence[i - 3]), sequence[i])
-        for i in range(3, len(sequence))
+def byte_samples(texts):
+    """(the five bytes before, the last first; the byte) of all bytes and ends of texts."""
+    for text in texts:
+        whole = bytes([contexts.START] * contexts.DEPTH) + text + bytes([contexts.END])
+        for i in range(contexts.DEPTH, len(whole)):
+            yield tuple(whole[i - contexts.DEPTH : i][::-1]), whole[i]
+
+
+def test_context_tree_is_the_exact_mixture(spark):
+    taught = ["abracadabra", "abrakadabra!", "", "Абвгабвг", "a cabra 12 12 12", None, "bra\nbra\tbra"]
+    asked = ["abra", "", "cadabra 13", "абвг", "вг漢", "zzzz", None]
+    rows = [(i, t) for i, t in enumerate([*taught, *asked])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    samples = list(byte_samples([(t or "").encode() for t in taught]))
+    expected = {}
+    for i, text in rows[len(taught) :]:
+        total = 0.0
+        for context, byte in byte_samples([(text or "").encode()]):
+            for level in range(8):
+                own = [(c, b >> (7 - level) & 1) for c, b in samples if b >> (8 - level) == byte >> (8 - level)]
+                longer = [*own, (context, byte >> (7 - level) & 1)]
+                total += exact_tree(longer) - exact_tree(own)
+        expected[i] = total * math.log10(2)
+    # All grams sent to the tasks, some of them, and none.
+    for most in (1 << 21, 30, 0):
+        found = score_texts(frame, F.col("doc_id") < len(taught), most_grams=most).collect()
+        assert len(found) == len(rows)
+        for row in found:
+            if row.doc_id in expected:
+                assert row.score == pytest.approx(expected[row.doc_id], rel=1e-6)
+
+
+def test_trees_do_not_depend_on_the_cuts(spark, texts, monkeypatch):
+    data = np.frombuffer("".join(texts.values()).encode()[:30000], np.uint8)
+    keys, counts = np.unique(contexts.grams(data, np.array([0, len(data)])), return_counts=True)
+    batches = [
+        pa.RecordBatch.from_pydict({"key": k.view(np.int64), "n": n, "m": n})
+        for k, n in zip(np.array_split(keys, 37), np.array_split(counts, 37))
     ]
-    counts = np.zeros((4, 4, 4, 4), np.int64)
-    for context, symbol in samples:
-        counts[(*context, symbol)] += 1
-    table = contexts.fit(counts)
-    assert np.allclose((10.0**table).sum(-1), 1, atol=1e-5)
-    for context in ((0, 0, 0), (1, 0, 2), (3, 3, 3)):
-        for symbol in range(4):
-            expected = 0.0
-            for level in (0, 1):
-                prefix = symbol >> (2 - level)
-                own = [(c, s >> (1 - level) & 1) for c, s in samples if s >> (2 - level) == prefix]
-                longer = [*own, (context, symbol >> (1 - level) & 1)]
-                expected += exact_tree(longer, 4) - exact_tree(own, 4)
-            assert table[(*context, symbol)] / math.log10(2) == pytest.approx(expected, abs=1e-4)
-
-
-def test_byte_scores_follow_the_contexts():
-    classes = contexts.symbol_classes(np.bincount(list(b"abracadabra"), minlength=256))
-    table = np.log10(np.random.default_rng(1).random(64**4)).astype(np.float32)
-    escaped = np.log10(np.random.default_rng(2).random((64, 256))).astype(np.float32)
-    whole = [b"", b"ab", b"abracadabra\xc3\xa9"]
-    data = np.frombuffer(b"".join(whole), np.uint8)
-    offsets = np.cumsum([0, *map(len, whole)])
-    for text, got in zip(whole, lm._byte_scores(data, offsets, classes, table, escaped)):
-        symbols = [contexts.START] * 3 + list(text) + [contexts.END]
-        code, total = [int(classes[s]) for s in symbols], 0.0
-        for i in range(3, len(symbols)):
-            total += table[((code[i - 1] * 64 + code[i - 2]) * 64 + code[i - 3]) * 64 + code[i]]
-            if code[i] == contexts.ESCAPE:
-                total += escaped[code[i - 1], symbols[i]]
-        assert got == pytest.approx(total, rel=1e-5)
+    monkeypatch.setattr(lm, "CHUNK", 500)
+    parts = list(lm._subtrees(iter(batches)))
+    assert len(parts) > 5 and np.array_equal(np.concatenate([p[0] for p in parts]), keys)
+    whole = contexts.subtrees(keys, counts)
+    order = np.argsort(whole[0])
+    top = [column[order] for column in whole]
+    top = (top[0], *contexts.crown(*top))
+    together = contexts.log_probabilities(keys, counts, top)
+    apart = np.concatenate([contexts.log_probabilities(p[0], p[1], top) for p in parts])
+    assert np.allclose(together, apart)
+    # What may follow a context adds up to no more than one.
+    _, context = np.unique(keys >> np.uint64(8), return_inverse=True)
+    assert np.bincount(context, 10.0**together).max() <= 1 + 1e-9
+
+
+def test_a_minority_script_costs_little(spark, texts):
+    """A script of a small share of the training texts, against a model of it alone."""
+    letters = {chr(97 + i): chr(0x430 + i) for i in range(26)}
+    spelled = {i: "".join(letters.get(c, c) for c in t.lower()) for i, t in texts.items()}
+    few = [i for i in texts if i % 20 == 3]
+    test = [i for i in texts if i % 20 == 4][:40]
+    rows = [(i, t) for i, t in texts.items() if i % 20 not in (3, 4)]
+    rows += [(i, spelled[i]) for i in [*few, *test]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = []
+    for taught in (~F.col("doc_id").isin(test), F.col("doc_id").isin(few)):
+        scored = score_texts(frame.filter(taught | F.col("doc_id").isin(test)), taught)
+        bits.append(sum(r.score for r in scored.filter(F.col("doc_id").isin(test)).collect()))
+    assert bits[0] >= 1.1 * bits[1]
 
 
 # ---------------------------------------------------------------- pages
