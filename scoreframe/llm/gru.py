@@ -3,6 +3,9 @@
 A word enters as the embedding of the word itself, if it is in the vocabulary, next to the
 mean embedding of its hashed character trigrams. A window's logit is a linear function of
 its hidden states, averaged with weights that an attention layer gives them.
+
+The network is trained on windows. To score a text at every window, it runs once over the
+text's segments: a segment's windows share its hidden states, and each pools its own.
 """
 
 from __future__ import annotations
@@ -48,6 +51,23 @@ def windows(bounds: np.ndarray, width: int, stride: int):
     return first, np.minimum(many[owner], width), owner
 
 
+def segments(bounds: np.ndarray, width: int, most: int):
+    """Positions of the first word of every segment, its length, and its text.
+
+    Segments have `most` words at most, and every run of `width` words of a text lies in
+    exactly one; a shorter text is one segment.
+    """
+    many = np.diff(bounds)
+    reach = np.maximum(many - (width - 1), np.minimum(many, 1))
+    count = -(-reach // (most - width + 1))
+    each = -(-reach // np.maximum(count, 1))
+    owner, place = spread_out(count)
+    before = place * each[owner]
+    some = before < reach[owner]
+    owner, before = owner[some], before[some]
+    return bounds[:-1][owner] + before, np.minimum(each[owner] + width - 1, many[owner] - before), owner
+
+
 def initial(vocabulary: int, seed: int = 1) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
 
@@ -99,8 +119,8 @@ def _direction(gates: np.ndarray, ids: np.ndarray, mask, state: np.ndarray, orde
     return found, kept
 
 
-def forward(p: dict, inputs: np.ndarray, ids: np.ndarray, sizes: np.ndarray, keep: bool = False):
-    """The logit of each window; `ids` [window, step] are rows of `inputs`."""
+def _states(p: dict, inputs: np.ndarray, ids: np.ndarray, sizes: np.ndarray, keep: bool = False):
+    """Mask, what backward needs, hidden states, and the attention layer and its exponents."""
     steps = ids.shape[1]
     mask = None
     if len(sizes) and sizes.min() < steps:
@@ -113,11 +133,30 @@ def forward(p: dict, inputs: np.ndarray, ids: np.ndarray, sizes: np.ndarray, kee
     weight = (seen @ p["weigh"])[..., 0]
     if mask is not None:
         weight = np.where(mask.T, weight, np.float32(-1e9))
-    weight = np.exp(weight - weight.max(axis=0))
+    return mask, (kept0, kept1), hidden, seen, np.exp(weight - weight.max(axis=0))
+
+
+def forward(p: dict, inputs: np.ndarray, ids: np.ndarray, sizes: np.ndarray, keep: bool = False):
+    """The logit of each window; `ids` [window, step] are rows of `inputs`."""
+    mask, kept, hidden, seen, weight = _states(p, inputs, ids, sizes, keep)
     weight /= weight.sum(axis=0)
     pooled = np.einsum("tb,tbh->bh", weight, hidden)
     logit = (pooled @ p["out"])[:, 0] + p["base"][0]
-    return (logit, mask, (kept0, kept1), hidden, seen, weight, pooled) if keep else logit
+    return (logit, mask, kept, hidden, seen, weight, pooled) if keep else logit
+
+
+def highest(p: dict, inputs: np.ndarray, ids: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """The largest logit of all windows of `width` words of each segment, one at every word."""
+    _, _, hidden, _, weight = _states(p, inputs, ids, sizes)
+    steps, many = weight.shape
+    width = min(width, steps)
+    mass, total = np.zeros((steps + 1, many)), np.zeros((steps + 1, many))
+    np.cumsum(weight, axis=0, dtype=np.float64, out=mass[1:])
+    np.cumsum(weight * (hidden @ p["out"][:, 0]), axis=0, dtype=np.float64, out=total[1:])
+    whole = np.arange(steps - width + 1)[:, None] <= np.maximum(sizes - width, 0)
+    share = np.where(whole, mass[width:] - mass[:-width], 1.0)
+    logit = np.where(whole, (total[width:] - total[:-width]) / share, -np.inf)
+    return logit.max(axis=0) + p["base"][0]
 
 
 def gradients(p: dict, word, trigrams, char_sizes, ids, sizes, target):
@@ -197,8 +236,10 @@ def grid(codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int) ->
     return codes[first[:, None] + steps]
 
 
-def text_logits(model: dict, texts, width: int, stride: int) -> np.ndarray:
-    """The largest window logit of each text of an Arrow column; NaN for texts without words."""
+def text_logits(model: dict, texts, width: int, most: int) -> np.ndarray:
+    """The largest logit of all windows of each text of an Arrow column; NaN where there are
+    no words. Texts of more words than `most` are read in segments.
+    """
     p, vocabulary = model["parameters"], model["vocabulary"]
     best = np.full(len(texts), np.nan)
     for begin, end, data, offsets in runs(texts):
@@ -207,11 +248,13 @@ def text_logits(model: dict, texts, width: int, stride: int) -> np.ndarray:
             continue
         codes, unique, trigrams, char_sizes = distinct(data, starts, ends, value)
         inputs = embed(p, lookup(vocabulary, unique), trigrams, char_sizes)
-        first, sizes, owner = windows(bounds, width, stride)
-        logits = np.empty(len(first), np.float32)
-        for i in range(0, len(first), 1024):
-            part = slice(i, i + 1024)
-            logits[part] = forward(p, inputs, grid(codes, first[part], sizes[part], width), sizes[part])
+        first, sizes, owner = segments(bounds, width, most)
+        logits = np.empty(len(first))
+        order = np.argsort(sizes, kind="stable")
+        for i in range(0, len(first), 512):
+            part = order[i : i + 512]
+            ids = grid(codes, first[part], sizes[part], int(sizes[part].max()))
+            logits[part] = highest(p, inputs, ids, sizes[part], width)
         found = np.full(end - begin, -np.inf)
         np.maximum.at(found, owner, logits)
         has = np.diff(bounds) > 0

@@ -13,19 +13,17 @@ from scoreframe.llm import gru
 from scoreframe.llm.text import runs
 from scoreframe.session import ship
 
-WIDTH, STRIDE = 32, 24
+WIDTH, STRIDE = 32, 24  # of a window; the latter between those to train on
+SEGMENT = 128
 LEAST_ROUNDS, LEAST_STEPS = 6, 400
 PRIOR = 5  # texts of either class that a word is taken to be in beforehand
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, rows_per_class: int, windows_per_row: int
-) -> list[tuple[int, list[str]]]:
-    """(label, windows) of at most `rows_per_class` documents of each class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int) -> list[tuple[int, str]]:
+    """(label, text) of at most `rows_per_class` documents of each class, texts whole.
 
     `docs` has doc_id and text, `labels` doc_id and toxic. Documents are chosen by a hash of
-    their id among all labelled ones; of a text with more windows, `windows_per_row` evenly
-    spread over the whole of it.
+    their id among all labelled ones; of several rows of an id, the smallest text counts.
     """
     marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [
@@ -35,61 +33,38 @@ def labelled_sample(
     chosen = chosen[0].unionByName(chosen[1]).collect()
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in chosen], "doc_id long, toxic int")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label, parts = batch.column("toxic").to_pylist(), []
-            for _, _, data, offsets in runs(batch.column("text")):
-                low, starts, ends, bounds, _ = gru.tokens(data, offsets)
-                first, sizes, owner = gru.windows(bounds, WIDTH, STRIDE)
-                content, own = low.tobytes(), np.searchsorted(owner, np.arange(len(bounds)))
-                for i in range(len(bounds) - 1):
-                    many = own[i + 1] - own[i]
-                    step = np.arange(min(many, windows_per_row))
-                    picked = own[i] + (step * many // max(1, len(step)) if many else step)
-                    spans = [range(first[w], first[w] + sizes[w]) for w in picked]
-                    parts.append(
-                        [b" ".join(content[starts[k] : ends[k]] for k in s).decode() for s in spans]
-                    )
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "toxic": pa.array(label, pa.int32()),
-                    "windows": pa.array(parts, pa.list_(pa.string())),
-                }
-            )
-
-    found = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
-    found = found.mapInArrow(cut, "doc_id long, toxic int, windows array<string>").collect()
-    return [(r.toxic, r.windows) for r in sorted(found, key=lambda r: (r.doc_id, r.windows))]
+    found = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return [(r.toxic, r.text) for r in sorted(found.collect(), key=lambda r: r.doc_id)]
 
 
 def train(
-    sample: list[tuple[int, list[str]]],
+    sample: list[tuple[int, str | None]],
     vocabulary_size: int = 1 << 14,
     batch: int = 64,
     rate: float = 0.01,
     seed: int = 1,
 ) -> dict:
-    """Fit the network to labelled texts given as windows.
+    """Fit the network to labelled texts.
 
-    A label holds for a text, not for its windows: a text is represented by the window the
-    network finds most toxic, looked for again six times, and clean texts by another at
+    A label holds for a text, not for its windows: of those that begin at every 24th word of
+    the whole text, it is represented by the one the network finds most toxic, looked for again six times, and clean texts by another at
     random as well. There are six rounds, or as many as make 400 steps.
     In the second half of the rounds toxic texts in which nothing looks toxic are taken for
     mislabelled and left out. The word embedding starts from how much more often a word is
     in toxic texts; words are hidden at random, so that their characters count too. At the
-    end the largest logit of a text is mapped to a probability by logistic regression.
+    end the largest logit of a text, over windows at every word, is mapped to a probability
+    by logistic regression.
     """
     rng = np.random.default_rng(seed)
-    texts = [(label, w) for label, w in sample if w]
-    if not texts:
+    marks = np.array([label for label, _ in sample], np.float32)
+    column = pa.array([text for _, text in sample], pa.string())
+    numbered = _numbered(column)
+    if not numbered:
         nothing = np.zeros(0, np.uint64)
         return {"parameters": gru.initial(0), "vocabulary": nothing, "scale": (0.0, 0.0)}
-    target = np.array([label for label, _ in texts], np.float32)
-    column = pa.array([w for _, group in texts for w in group])
-    owner = np.repeat(np.arange(len(texts)), [len(w) for _, w in texts])
-    ids, sizes, unique, trigrams, char_sizes = _numbered(column)
+    ids, sizes, owner, unique, trigrams, char_sizes = numbered
+    has_words, owner = np.unique(owner, return_inverse=True)
+    target = marks[has_words]
     # In how many toxic and clean texts each word is.
     pairs = np.unique(np.repeat(owner, WIDTH) * len(unique) + ids.reshape(-1))
     pairs = pairs // len(unique), pairs % len(unique)
@@ -114,10 +89,10 @@ def train(
 
     def leading(logit: np.ndarray) -> np.ndarray:
         order = np.lexsort((-logit, owner))
-        return order[np.searchsorted(owner[order], np.arange(len(texts)))]
+        return order[np.searchsorted(owner[order], np.arange(len(target)))]
 
     clean = np.flatnonzero(target[owner] == 0)
-    rounds = max(LEAST_ROUNDS, -(-LEAST_STEPS * batch // len(texts)))
+    rounds = max(LEAST_ROUNDS, -(-LEAST_STEPS * batch // len(target)))
     logit = p["word"][place, 0][ids].max(axis=1)
     for turn in range(rounds):
         if turn and turn % (rounds // LEAST_ROUNDS) == 0:
@@ -126,7 +101,7 @@ def train(
         if 2 * turn >= rounds:
             picked = picked[_believed(logit[picked], target)]
         if len(clean):
-            picked = np.concatenate([picked, rng.choice(clean, min(len(clean), len(texts)) // 2)])
+            picked = np.concatenate([picked, rng.choice(clean, min(len(clean), len(target)) // 2)])
         picked = rng.permutation(picked)
         for start in range(0, len(picked), batch):
             part = picked[start : start + batch]
@@ -145,10 +120,10 @@ def train(
                 )
             )
         adam.rate *= 0.12 ** (1 / rounds)
-    logit = logits()
-    best = logit[leading(logit)]
+    model = {"parameters": p, "vocabulary": vocabulary}
+    best = gru.text_logits(model, column, WIDTH, SEGMENT)[has_words]
     used = _believed(best, target)
-    return {"parameters": p, "vocabulary": vocabulary, "scale": _scale(best[used], target[used])}
+    return model | {"scale": _scale(best[used], target[used])}
 
 
 def _believed(best: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -161,12 +136,16 @@ def _believed(best: np.ndarray, target: np.ndarray) -> np.ndarray:
     return believed
 
 
-def _numbered(windows: pa.Array) -> tuple[np.ndarray, ...]:
-    """Words of all windows by number, and of each distinct word its hash and trigrams."""
+def _numbered(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """The windows of all texts: words by number, length, text; and of each distinct word its
+    hash and trigrams. Nothing if there are no words.
+    """
     known: dict[int, int] = {}
-    ids, sizes, trigrams = [], [], []
-    for _, _, data, offsets in runs(windows):
+    ids, sizes, owners, trigrams = [], [], [], []
+    for begin, _, data, offsets in runs(texts):
         data, starts, ends, bounds, value = gru.tokens(data, offsets)
+        if not len(value):
+            continue
         codes, unique, grams, grams_each = gru.distinct(data, starts, ends, value)
         numbers = np.empty(len(unique), np.int32)
         parts = np.split(grams, np.cumsum(grams_each)[:-1])
@@ -175,11 +154,16 @@ def _numbered(windows: pa.Array) -> tuple[np.ndarray, ...]:
                 known[word] = len(known)
                 trigrams.append(part)
             numbers[place] = known[word]
-        sizes.append(np.diff(bounds))
-        ids.append(numbers[gru.grid(codes, bounds[:-1], sizes[-1], WIDTH)])
+        first, size, owner = gru.windows(bounds, WIDTH, STRIDE)
+        sizes.append(size)
+        owners.append(begin + owner)
+        ids.append(numbers[gru.grid(codes, first, size, WIDTH)])
+    if not known:
+        return ()
     return (
         np.concatenate(ids),
         np.concatenate(sizes),
+        np.concatenate(owners),
         np.fromiter(known, np.uint64, len(known)),
         np.concatenate(trigrams),
         np.array([len(part) for part in trigrams]),
@@ -200,16 +184,14 @@ def _scale(logit: np.ndarray, target: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def toxicity_model(
-    docs: DataFrame, labels: DataFrame, rows_per_class: int = 2000, windows_per_row: int = 64
-) -> dict:
-    return train(labelled_sample(docs, labels, rows_per_class, windows_per_row))
+def toxicity_model(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2000) -> dict:
+    return train(labelled_sample(docs, labels, rows_per_class))
 
 
 def scores(model: dict, texts: pa.Array) -> np.ndarray:
     """The probability that each text is toxic; 0 for texts without words."""
     slope, offset = model["scale"]
-    logit = gru.text_logits(model, texts, WIDTH, STRIDE)
+    logit = gru.text_logits(model, texts, WIDTH, SEGMENT)
     chance = 1 / (1 + np.exp(-np.clip(slope * logit + offset, -700, 700)))
     return np.where(np.isnan(logit), 0.0, chance)
 
@@ -221,15 +203,13 @@ def score_toxicity(
     doc_id: str = "doc_id",
     text: str = "text",
     rows_per_class: int = 2000,
-    windows_per_row: int = 64,
 ) -> DataFrame:
     """All columns of `docs` and toxicity, the probability that its whole text is toxic.
 
     The network learns from documents with a row in `labels` (doc_id, toxic) where
     `train_on` holds for the label's id, at most `rows_per_class` of each class. A text is
-    scored whole by windows of 32 words that overlap: one begins at every 24th word, the last
-    ends with the text, and the highest score counts (windows at every word take 24 times
-    as long and rank held-out documents no better, see README). A null text,
+    scored whole, by every window of 32 words, one at each word, and the highest score counts.
+    The recurrent states of a window are those of a segment of up to 128 words around it. A null text,
     an empty one or one without words scores 0. Repeated rows and rows of null id are scored
     like others. A null label teaches nothing, of several labels of a document the highest
     holds; without labels every text with words scores 0.5. A column named toxicity is
@@ -242,7 +222,7 @@ def score_toxicity(
     marks = labels.filter(train_on & F.col("toxic").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), "toxic"
     )
-    model = toxicity_model(rows, marks, rows_per_class, windows_per_row)
+    model = toxicity_model(rows, marks, rows_per_class)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -305,6 +305,17 @@ def test_windows_cover_every_word():
         assert covered == set(range(many)) and all(s <= 32 for s in size)
 
 
+def test_every_window_lies_in_one_segment():
+    for many in (0, 1, 31, 32, 33, 127, 128, 129, 225, 226, 1000, 98765):
+        first, size, _ = gru.segments(np.array([0, many]), 32, 128)
+        assert all(0 < s <= 128 for s in size)
+        if many < 32:
+            assert list(zip(first, size)) == [(0, many)] * (many > 0)
+        else:
+            begins = [f + i for f, s in zip(first, size) for i in range(s - 31)]
+            assert begins == list(range(many - 31))
+
+
 INSULTS = ["grumblefink", "snotwaddle", "nitwhistle"]
 
 
@@ -335,8 +346,8 @@ def test_toxicity_of_held_out_documents(spark):
     assert all(0 <= r.toxicity <= 1 for r in scored)
 
 
-def plain_logit(p, inputs):
-    """One window's logit, a step and a unit at a time."""
+def plain_logits(p, inputs, width):
+    """The logits of a segment's windows, a step and a unit at a time."""
     size = gru.HIDDEN
     sigmoid = lambda x: 1 / (1 + np.exp(-x))
     states = []
@@ -351,14 +362,16 @@ def plain_logit(p, inputs):
         states.append(found if d == 0 else found[::-1])
     both = [np.concatenate(pair) for pair in zip(*states)]
     weights = np.array([np.exp((np.tanh(h @ p["attend"]) @ p["weigh"])[0]) for h in both])
-    pooled = sum(w * h for w, h in zip(weights / weights.sum(), both))
-    return float((pooled @ p["out"])[0] + p["base"][0])
+    for begin in range(max(1, len(both) - width + 1)):
+        part = slice(begin, begin + width)
+        pooled = sum(w * h for w, h in zip(weights[part] / weights[part].sum(), both[part]))
+        yield float((pooled @ p["out"])[0] + p["base"][0])
 
 
 def test_scores_are_those_of_a_plain_network_over_all_windows():
-    model = toxicity.train([(r[2], [r[1]]) for r in toxic_rows(60, 5, 10, 30)])
+    model = toxicity.train([(r[2], r[1]) for r in toxic_rows(60, 5, 10, 30)])
     p, vocabulary = model["parameters"], model["vocabulary"]
-    texts = [r[1] for r in toxic_rows(12, 6, 1, 120)] + ["One", "", "  two\nWORDS "]
+    texts = [r[1] for r in toxic_rows(12, 6, 1, 400)] + ["One", "", "  two\nWORDS "]
     expected = []
     for text in texts:
         data = np.frombuffer(text.encode(), np.uint8)
@@ -376,10 +389,10 @@ def test_scores_are_those_of_a_plain_network_over_all_windows():
             known = place < len(vocabulary) and vocabulary[place] == hashed
             own = p["word"][place + 1 if known else 0]
             inputs.append(np.concatenate([own, p["char"][grams].mean(axis=0)]).astype(np.float64))
-        last = max(0, len(inputs) - toxicity.WIDTH)
-        begins = sorted({*range(0, last, toxicity.STRIDE), last})
-        expected.append(max(plain_logit(p, inputs[b : b + toxicity.WIDTH]) for b in begins))
-    found = gru.text_logits(model, pa.array(texts), toxicity.WIDTH, toxicity.STRIDE)
+        first, size, _ = gru.segments(np.array([0, len(inputs)]), toxicity.WIDTH, toxicity.SEGMENT)
+        parts = [inputs[f : f + n] for f, n in zip(first, size)]
+        expected.append(max(max(plain_logits(p, part, toxicity.WIDTH)) for part in parts))
+    found = gru.text_logits(model, pa.array(texts), toxicity.WIDTH, toxicity.SEGMENT)
     assert found == pytest.approx(expected, abs=1e-4, nan_ok=True)
 
 
@@ -396,7 +409,7 @@ def test_toxicity_of_odd_rows(odd, nothing, spark):
 
 
 def test_scores_do_not_depend_on_the_neighbours():
-    model = toxicity.train([(r[2], [r[1]]) for r in toxic_rows(60, 3, 10, 30)])
+    model = toxicity.train([(r[2], r[1]) for r in toxic_rows(60, 3, 10, 30)])
     values = [r[1] for r in toxic_rows(30, 4)]
     together = toxicity.scores(model, pa.array(values))
     alone = [toxicity.scores(model, pa.array([v]))[0] for v in values]
