@@ -251,8 +251,8 @@ def text_logits(model: dict, texts, width: int, most: int) -> np.ndarray:
         first, sizes, owner = segments(bounds, width, most)
         logits = np.empty(len(first))
         order = np.argsort(sizes, kind="stable")
-        for i in range(0, len(first), 512):
-            part = order[i : i + 512]
+        for i in range(0, len(first), 256):
+            part = order[i : i + 256]
             ids = grid(codes, first[part], sizes[part], int(sizes[part].max()))
             logits[part] = highest(p, inputs, ids, sizes[part], width)
         found = np.full(end - begin, -np.inf)
