@@ -7,15 +7,17 @@ is how a metric is switched off for the rows of a dataset that does not ask for
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import time
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scoreframe.functions import kernels
 
-CHECKED = pa.struct({"score": pa.float64(), "error": pa.string()})
+CHECKED = pa.struct({"score": pa.float64(), "error": pa.string(), "seconds": pa.float64()})
 
 
 def pair_udf(
@@ -44,23 +46,47 @@ def pair_udf(
 
 
 def checked_udf(score: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
-    """`pair_udf` with errors as values: struct(score, error), one of them NULL."""
+    """`pair_udf` with errors as values: struct(score, error, seconds), one of the first two
+    NULL; `seconds` is the time of this pair.
+    """
 
     def one(prediction: str | None, reference: str | None) -> dict[str, float | str] | None:
         if prediction is None or reference is None:
             return None
+        started = time.perf_counter()
         try:
-            return {"score": float(score(prediction, reference))}
+            found = {"score": float(score(prediction, reference))}
         except Exception as problem:
-            return {"error": f"{type(problem).__name__}: {problem}"}
+            found = {"error": f"{type(problem).__name__}: {problem}"}
+        return {**found, "seconds": time.perf_counter() - started}
 
-    @F.arrow_udf("struct<score: double, error: string>")
+    @F.arrow_udf("struct<score: double, error: string, seconds: double>")
     def scored(prediction: pa.Array, reference: pa.Array) -> pa.Array:
         return pa.array(map(one, prediction.to_pylist(), reference.to_pylist()), CHECKED)
 
     return scored
 
 
+def time_spent(weight: Column, known: Column, after: Column) -> Column:
+    """Seconds the task took to produce each row, as far as `after` needs them computed.
+
+    The wait for a batch is what its rows cost. Of it, `known` seconds were measured row by
+    row; the rest is shared out by `weight`, which must be positive.
+    """
+
+    @F.arrow_udf("double")
+    def seconds(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        started = time.perf_counter()
+        for weights, own, _ in batches:
+            waited = time.perf_counter() - started
+            share, own = weights.to_numpy(zero_copy_only=False), own.to_numpy(zero_copy_only=False)
+            rest = max(0.0, waited - own.sum())
+            yield pa.array(own + rest * share / np.sum(share, dtype=np.float64), pa.float64())
+            started = time.perf_counter()
+
+    return seconds(weight.cast("double"), known.cast("double"), after)
+
+
 def char_f1(prediction: Column, reference: Column) -> Column:
     """Similarity of the alphabetically sorted words, in whole percent.
 

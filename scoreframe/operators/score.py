@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.functions.arrow import checked_udf
+from scoreframe.functions.arrow import checked_udf, time_spent
 from scoreframe.functions.native import Layers, Text
 from scoreframe.functions.registry import Metric, list_metrics, metrics as resolve
 from scoreframe.session import ship
@@ -31,6 +31,7 @@ def score(
     prediction: str = "prediction",
     reference: str = "reference",
     errors: str | None = None,
+    seconds: str | None = None,
 ) -> DataFrame:
     """Add one double column per metric, named after it.
 
@@ -47,6 +48,8 @@ def score(
     """
     ship(pairs.sparkSession)
     chosen = resolve(metrics)
+    if seconds and not errors:
+        raise ValueError("times need a column for errors")
     names = [m.name for m in chosen]
     if len(set(names)) < len(names):
         raise ValueError("a metric may be given only once")
@@ -110,10 +113,27 @@ def score(
         return value.alias(m.name)
 
     found = [final(m) for m in chosen]
+    python: dict[str, Metric] = {}
     if errors:
         python = {n: m for n, m in {**plain, **hidden}.items() if m.function}
         found.append(_raised(python).alias(errors))
-    return scored.select(*[F.col(quoted(c)) for c in pairs.columns], *found)
+    whole = scored.select(*[F.col(quoted(c)) for c in pairs.columns], *found, *_measured(seconds, python))
+    if not seconds:
+        return whole
+    length = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in (prediction, reference))
+    many = F.array_size("metrics") if only_declared else F.lit(len(chosen))
+    weight = (length + 1) * F.greatest(many, F.lit(1))
+    after = F.hash(*[F.col(quoted(n)) for n in names], F.map_keys(F.col(quoted(errors))))
+    spent = time_spent(weight, F.col(quoted(seconds)), after)
+    return whole.withColumn(seconds, spent)
+
+
+def _measured(name: str | None, metrics: dict[str, Metric]) -> list[Column]:
+    """The time Python metrics took on a row, as column `name`; no column without a name."""
+    if not name:
+        return []
+    spent = [F.coalesce(F.col(quoted(c))["seconds"], F.lit(0.0)) for c in metrics]
+    return [sum(spent, F.lit(0.0)).alias(name)]
 
 
 def _raised(metrics: dict[str, Metric]) -> Column:

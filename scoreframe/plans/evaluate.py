@@ -29,6 +29,7 @@ from scoreframe.sources import datasets as D
 from scoreframe.sources import sinks
 
 ERRORS = "metric_errors"
+SECONDS = "__seconds"
 PACE = ("concurrency", "retries", "delay", "rounds", "small_bytes")
 
 
@@ -78,8 +79,8 @@ def evaluate(
     only the datasets it raises on, which are reported with its message; an error in a
     column of a metric counts as no score. Samples, predictions, scores and the summary are each written once
     below `output` and read back, so that nothing is parsed, generated or scored twice and
-    a lost executor costs its own tasks. The time of a dataset is that of its calls, added
-    up, and its share by samples of the time scoring took.
+    a lost executor costs its own tasks. The time of a dataset is that of its calls and that
+    of scoring its samples, both measured in the tasks and added up.
     """
     started = time.monotonic()
     ship(spark)
@@ -115,14 +116,16 @@ def evaluate(
     else:
         pairs = rule_predictions(asked, answer, **how).withColumn("model", F.lit(model))
 
-    scoring = time.monotonic()
     with _errors_as_null(spark):
-        scored = score(pairs, chosen, only_declared=metrics is None, errors=ERRORS).drop("prompt")
+        scored = score(
+            pairs, chosen, only_declared=metrics is None, errors=ERRORS, seconds=SECONDS
+        ).drop("prompt")
     if metrics is not None:
         scored = scored.drop("metrics")
     scored.write.mode("overwrite").parquet(f"{place}/scores")
     scores = spark.read.schema(scored.schema).parquet(f"{place}/scores")
-    scoring = time.monotonic() - scoring
+    spent = [scores.select(*S.group_keys(scores), F.col(SECONDS).alias("seconds"))]
+    scores = scores.drop(SECONDS)
 
     failures = D.error_rows(datasets, model)
     listed = valid.select(*D.source_keys(valid), F.lit(model).alias("model"))
@@ -133,7 +136,9 @@ def evaluate(
     listed = listed.join(failures, S.group_keys(listed), "left_anti")
 
     summary = S.summarize(scores, names, few_shot_count, listed)
-    summary = _timed(summary, calls, scoring)
+    if calls is not None:
+        spent.append(calls.select(*S.group_keys(calls), "seconds"))
+    summary = _timed(summary, spent)
     summary.write.mode("overwrite").parquet(f"{place}/summary")
     summary = spark.read.schema(summary.schema).parquet(f"{place}/summary")
     report = S.wide_summary(summary, names)
@@ -220,13 +225,13 @@ def _errors_as_null(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
-def _timed(summary: DataFrame, calls: DataFrame | None, scoring: float) -> DataFrame:
-    """Add `elapsed_time` per dataset."""
-    total = max(1, summary.agg(F.sum("num_samples")).first()[0] or 0)
-    share = F.col("num_samples") / total * scoring
-    if calls is None:
-        return summary.withColumn("elapsed_time", share)
-    keys = [k for k in S.group_keys(summary) if k in calls.columns]
-    spent = calls.groupBy(*keys).agg(F.sum("seconds").alias("spent"))
-    timed = summary.join(spent, keys, "left")
-    return timed.withColumn("elapsed_time", share + F.coalesce("spent", F.lit(0.0))).drop("spent")
+def _timed(summary: DataFrame, spent: Sequence[DataFrame]) -> DataFrame:
+    """Add `elapsed_time` per dataset: the sum of all `seconds` spent on its rows."""
+    for rows in spent:
+        keys = [k for k in S.group_keys(summary) if k in rows.columns]
+        total = rows.groupBy(*keys).agg(F.sum("seconds").alias("__seconds"))
+        summary = summary.join(total, keys, "left")
+        so_far = F.col("elapsed_time") if "elapsed_time" in summary.columns else F.lit(0.0)
+        summary = summary.withColumn("elapsed_time", so_far + F.coalesce("__seconds", F.lit(0.0)))
+        summary = summary.drop("__seconds")
+    return summary

@@ -3,8 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from scoreframe import evaluate
+from scoreframe import evaluate, register_metric, score
 
 
 def document(metrics, samples, shots=(), instruction="Answer."):
@@ -130,8 +131,6 @@ def test_one_file_uses_all_cores_and_a_second_call_resumes(spark, tmp_path):
 def test_errors_in_column_metrics_cost_only_their_dataset(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    from scoreframe import register_metric
-
     register_metric("inverse.size", lambda p, r: F.lit(1.0) / F.length(p), spark=spark)
     (tmp_path / "in").mkdir()
     for name, text in (("full", "x"), ("empty", "")):
@@ -192,8 +191,6 @@ def test_run_without_a_valid_dataset(spark, place):
 
 
 def test_a_failing_metric_costs_only_its_dataset(spark, place):
-    from scoreframe import register_metric
-
     def picky(prediction, reference):
         return 1 / len(prediction)
 
@@ -225,7 +222,7 @@ def test_another_answer_function_never_sees_the_answers_of_the_first(spark, plac
 
 
 def test_an_exception_in_a_metric_costs_only_its_dataset(spark, place):
-    from scoreframe import metric, register_metric, score
+    from scoreframe import metric
 
     def fussy(prediction, reference):
         if prediction == "four":
@@ -258,3 +255,44 @@ def test_an_exception_in_a_metric_costs_only_its_dataset(spark, place):
     assert [(r.composite, r.problems) for r in found][:2] == [(None, {"fussy": "LookupError: no four"}), (2.0, {})]
     with pytest.raises(Exception, match="no four"):
         score(pairs, ["fussy"]).collect()
+
+
+def test_time_is_that_of_the_dataset(spark, tmp_path):
+    def slow(prediction, reference):
+        import time
+
+        time.sleep(0.05 if reference.startswith("late") else 0.001)
+        return 1.0
+
+    register_metric("slow_or_not", slow, python=True, spark=spark)
+    (tmp_path / "in").mkdir()
+    for name, start in (("late", "late"), ("soon", "soon")):
+        samples = [(f"q{n}", f"{start} {n}") for n in range(80)]
+        (tmp_path / "in" / f"{name}.json").write_text(document(["slow_or_not"], samples))
+    run = evaluate(spark, str(tmp_path / "in"), "m", {"q": "late"}, str(tmp_path / "out"), partitions=4)
+    spent = {r.dataset: r.elapsed_time for r in run.report.collect()}
+    assert spent["late"] >= 80 * 0.05 and 80 * 0.001 <= spent["soon"] < 0.5 * spent["late"]
+    assert "__seconds" not in run.scores.columns
+
+
+def test_times_add_up_to_those_of_the_tasks(spark):
+    def task_of(prediction, reference):
+        import time
+
+        time.sleep(0.004)
+        return 1.0
+
+    register_metric("sleeper", task_of, python=True, spark=spark)
+    rows = [(n, "a" * (n % 7), "b") for n in range(600)]
+    pairs = spark.createDataFrame(rows, "sample_idx long, prediction string, reference string")
+    names = ["sleeper", "exact_match", "bleu"]
+    pairs = pairs.repartition(3).withColumn("task", F.spark_partition_id())
+    found = score(pairs, names, errors="failed", seconds="spent")
+    assert found.columns == [*pairs.columns, *names, "failed", "spent"]
+    spent = [r.spent for r in found.groupBy("task").agg(F.sum("spent").alias("spent")).collect()]
+    # 200 pairs of 4 ms are in a task, which does little else.
+    assert len(spent) == 3 and all(0.8 <= s < 1.6 for s in spent)
+    with pytest.raises(ValueError):
+        score(pairs, names, seconds="spent")
+    empty = score(pairs.filter("false"), ["exact_match"], errors="failed", seconds="spent")
+    assert empty.count() == 0
