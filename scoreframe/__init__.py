@@ -31,6 +31,7 @@ from scoreframe.sources.datasets import (
     read_datasets,
     valid_datasets,
 )
+from scoreframe.sources.ranges import read_sample_ranges
 from scoreframe.sources.sinks import write_results_csv, write_results_json, write_summary
 
 __all__ = [
@@ -62,6 +63,7 @@ __all__ = [
     "parse_responses",
     "pivot_scores",
     "read_datasets",
+    "read_sample_ranges",
     "register_metric",
     "remove_stored",
     "request_table",

@@ -34,11 +34,13 @@ def _files(spark: SparkSession, path: str | Sequence[str], pattern: str) -> Data
     files = spark.read.text(
         path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern
     )
-    return files.select(
-        _decoded("_metadata.file_path").alias("file_path"),
-        F.regexp_replace(_decoded("_metadata.file_name"), r"(?<=.)\.[^.]*\z", "").alias("dataset"),
-        F.try_validate_utf8("value").alias("raw"),
-    )
+    return files.select(*file_columns(), F.try_validate_utf8("value").alias("raw"))
+
+
+def file_columns() -> list[Column]:
+    """Location and name without suffix of the file a row was read from."""
+    name = F.regexp_replace(_decoded("_metadata.file_name"), r"(?<=.)\.[^.]*\z", "")
+    return [_decoded("_metadata.file_path").alias("file_path"), name.alias("dataset")]
 
 
 def _decoded(location: str) -> Column:

@@ -450,6 +450,17 @@ def read_samples(spark, folder):
     return rows.select("instruction", "sample_idx", "input", "reference")
 
 
+@query(
+    f"""WITH {Q.DOCUMENT_SAMPLES}
+    SELECT n.sample_idx, n.input, n.reference
+    FROM numbered n JOIN documents_made d ON n.dataset = d.dataset"""
+)
+def read_sample_ranges(spark, folder):
+    """The same samples, each file read by as many tasks as it has byte ranges."""
+    path = _stored_documents(spark, folder, D.dataset_documents(spark, folder))
+    return sf.read_sample_ranges(spark, path).select("sample_idx", "input", "reference")
+
+
 @query(
     f"""WITH {Q.DOCUMENT_SAMPLES}
     SELECT number % 6 AS kind, count(*) AS found FROM documents_made
