@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scoreframe.llm import prefixes as P
 from scoreframe.llm.bloom import chunks_for, repeat_filter, seen
-from scoreframe.llm.common import blocks, packed, sum_blocks, tidy, unpacked
+from scoreframe.llm.common import blocks, give_back, packed, sum_blocks, tidy, unpacked
 from scoreframe.llm.components import components
 from scoreframe.llm.text import runs
 from scoreframe.session import ship, store, store_bucketed
@@ -357,6 +357,8 @@ def jaccard_components(
     chance = float(counts.mean())
     order = context.broadcast(P.frequency_classes(counts))
     noise = chance + 3 * chance**0.5
+    del counts
+    give_back()
     table = store(prefix_table(rows, order, noise, percent, words), "prefixes")
 
     filled = table.filter("n > 0")

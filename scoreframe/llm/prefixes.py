@@ -10,6 +10,7 @@ import pyarrow as pa
 from scoreframe.llm.text import hashes, lower, mix, runs, shingles, words
 
 COUNTERS = 1 << 22
+PART = 1 << 16
 SCALE = 4  # classes of frequency per doubling
 MOST_MATCHES = 8
 VERIFY = 4.0  # cost of verifying a candidate, in list entries read
@@ -24,8 +25,12 @@ def text_shingles(
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
-    """A byte per counter: its count on a logarithmic scale."""
-    return np.minimum(np.round(SCALE * np.log2(1.0 + counts)), 255).astype(np.uint8)
+    """A byte per counter: its count on a logarithmic scale; made a part at a time."""
+    classes = np.empty(len(counts), np.uint8)
+    for begin in range(0, len(counts), PART):
+        part = slice(begin, begin + PART)
+        classes[part] = np.minimum(np.round(SCALE * np.log2(1.0 + counts[part])), 255)
+    return classes
 
 
 def sorted_sets(

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreframe.llm import gru
+from scoreframe.llm.common import give_back
 from scoreframe.llm.text import runs
 from scoreframe.session import ship
 
 WIDTH, STRIDE = 32, 24  # of a window; the latter between those to train on
 SEGMENT = 128
 LEAST_ROUNDS, LEAST_STEPS = 6, 400
+TEXTS = 256  # whose words are counted at a time
 PRIOR = 5  # texts of either class that a word is taken to be in beforehand
 
 
@@ -66,7 +68,13 @@ def train(
     has_words, owner = np.unique(owner, return_inverse=True)
     target = marks[has_words]
     # In how many toxic and clean texts each word is.
-    pairs = np.unique(np.repeat(owner, WIDTH) * len(unique) + ids.reshape(-1))
+    cuts = np.searchsorted(owner, np.arange(0, len(has_words) + TEXTS, TEXTS))
+    pairs = np.concatenate(
+        [
+            np.unique(np.repeat(owner[a:b], WIDTH) * len(unique) + ids[a:b].reshape(-1))
+            for a, b in zip(cuts[:-1], cuts[1:])
+        ]
+    )
     pairs = pairs // len(unique), pairs % len(unique)
     with_word = np.bincount(pairs[1], minlength=len(unique))
     toxic = np.bincount(pairs[1], target[pairs[0]], len(unique))
@@ -223,6 +231,7 @@ def score_toxicity(
         F.col("doc_id").cast("long").alias("doc_id"), "toxic"
     )
     model = toxicity_model(rows, marks, rows_per_class)
+    give_back()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
