@@ -23,6 +23,7 @@ NATIVE = (
     "length_ratio",
     "weighted_match",
 )
+PYTHON = ("rouge_l", "bleu", "char_f1", "fuzzy_match", "json_validity")
 
 
 @dataclass(frozen=True)
@@ -300,7 +301,7 @@ def rouge_l(spark, folder):
 def document_similarity(spark, folder):
     """All Python metrics over whole documents, whatever their length."""
     pairs = sf.spread(D.document_pairs(spark, folder), "sample_idx")
-    return _scored(pairs, "rouge_l", "bleu", "char_f1", keys=("dataset", "sample_idx"))
+    return _scored(pairs, *PYTHON, keys=("dataset", "sample_idx"))
 
 
 @query(
