@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.session import store
+from scoreframe.session import discard, store
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,10 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
         reached = both.join(labels, F.col("a") == F.col("node"))
         reached = reached.select(F.col("b").alias("node"), "label")
         near = reached.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
-        near = store(near, "labels")
+        near = store(near, "near-labels")
         root = near.select(F.col("node").alias("label"), F.col("label").alias("root"))
         jumped = near.join(root, "label").select("node", F.col("root").alias("label"))
-        old = labels.select("node", F.col("label").alias("old"))
-        labels = store(jumped, "labels")
-        if labels.join(old, "node").filter("label <> old").isEmpty():
+        last, labels = labels, store(jumped, "labels")
+        old = last.select("node", F.col("label").alias("old"))
+        done = labels.join(old, "node").filter("label <> old").isEmpty()
+        discard(near, last)
+        if done:
+            discard(both)
             return labels

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +16,13 @@ from scoreframe.llm.bloom import chunks_for, repeat_filter, seen
 from scoreframe.llm.common import blocks, give_back, packed, sum_blocks, tidy, unpacked
 from scoreframe.llm.components import components
 from scoreframe.llm.text import runs
-from scoreframe.session import ship, store, store_bucketed
+from scoreframe.session import discard, ship, shuffles_removed, store, store_bucketed
 
 BLOCK = 1 << 16
-SMALL = 16  # rows in a list whose pairs are formed one by one
+SMALL = 16  # rows in a list whose pairs are formed one by one in any case
+PAIRS = 32  # pairs formed for each row of the input, which longer lists may use up
+LEAST_PAIRS = 1 << 22  # formed at once, however few rows there are
+HELD = 1 << 26  # tokens of whole sets held at once, or a third of all tokens if that is more
 ROWS = 2048  # rows of a block where longer lists are compared block by block
 TOKENS = 1 << 20  # tokens of their whole sets, which bound a block as well
 PARTNERS = 64  # rows compared to the same row in one group
@@ -100,7 +105,9 @@ def shared_entries(table: DataFrame, single: DataFrame) -> DataFrame:
     likely = store(likely, "likely-entries")
     lists = likely.groupBy("token").agg(F.count("*").alias("rows"), F.min("row").alias("leader"))
     lists = store(lists.filter("rows > 1"), "lists")
-    return store(likely.join(lists, "token"), "shared-entries")
+    shared = store(likely.join(lists, "token"), "shared-entries")
+    discard(likely, lists)
+    return shared
 
 
 def fetch_sets(texts: DataFrame, wanted: DataFrame, order, words: int) -> DataFrame:
@@ -109,7 +116,8 @@ def fetch_sets(texts: DataFrame, wanted: DataFrame, order, words: int) -> DataFr
     They are stored in buckets by row, so that they stay where they are in later joins.
 
     Sets are made anew from the texts. A Bloom filter of the wanted signatures spares the
-    shuffle most of the others, and of equal sets each task sends one.
+    shuffle most of the others, and of equal sets each task sends one. No two rows in `wanted`
+    have equal sets.
     """
     size = wanted.count()
     chunks = chunks_for(size, 16, MOST_CHUNKS)
@@ -141,8 +149,9 @@ def fetch_sets(texts: DataFrame, wanted: DataFrame, order, words: int) -> DataFr
                     )
 
     sets = texts.mapInArrow(tidy(found), f"{SET}, tokens binary")
-    joined = wanted.join(sets, ["s1", "s2", "n"]).select("row", "n", "tokens")
-    return store_bucketed(joined.dropDuplicates(["row"]), "row", "sets")
+    keys = ["s1", "s2", "n"]
+    joined = wanted.join(sets, keys).dropDuplicates(keys)
+    return store_bucketed(joined.select("row", "n", "tokens"), "row", "sets")
 
 
 def _packed(tokens: np.ndarray) -> bytes:
@@ -156,12 +165,11 @@ def _values(tokens: bytes) -> np.ndarray:
 
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets are similar enough.
+    """Of the pairs (a, b), stored, those whose sets are similar enough, stored as well.
 
     Of each pair, the row with more pairs is the centre, and its set is sent once for up to
     `PARTNERS` of them; a task holds the sets of one centre and of one partner at a time.
     """
-    pairs = store(pairs, "asked-pairs")
     ends = pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b"))
     degrees = store(ends.groupBy("row").agg(F.count(F.lit(1)).alias("links")), "degrees")
     one = degrees.select(F.col("row").alias("a"), F.col("links").alias("links_a"))
@@ -195,7 +203,51 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             yield kept.select(["centre", "row"]).rename_columns(["a", "b"])
 
     sent = sent.select("centre", "part", "side", "row", "tokens")
-    return sent.mapInArrow(tidy(compared), "a long, b long")
+    links = store(sent.mapInArrow(tidy(compared), "a long, b long"), "links")
+    discard(degrees, known)
+    return links
+
+
+def _in_round(key, rounds: int, number: int):
+    return F.pmod(F.xxhash64(key, F.lit(rounds)), F.lit(rounds)) == number
+
+
+def linked_pairs(
+    texts: DataFrame,
+    pairs: DataFrame,
+    groups: DataFrame,
+    order,
+    percent: int,
+    words: int,
+    total: int,
+) -> DataFrame:
+    """`verified_pairs` of `pairs`, for which the whole sets of their rows are fetched.
+
+    Where these are a large share of the `total` tokens of all sets, the pairs are done in
+    rounds by their row `a`, and no more than one round's sets are on disk.
+    """
+
+    def ends(of: DataFrame) -> DataFrame:
+        rows = of.select(F.col("a").alias("row")).unionAll(of.select("b")).distinct()
+        return rows.join(groups, "row")
+
+    wanted = store(ends(pairs), "wanted")
+    amount = wanted.agg(F.sum("n")).first()[0] or 0
+    rounds = -(-amount // max(HELD, total // 3))
+    found = []
+    for number in range(rounds):
+        own = pairs
+        if rounds > 1:
+            own = store(pairs.filter(_in_round("a", rounds, number)), "round-pairs")
+            discard(wanted)
+            wanted = store(ends(own), "wanted")
+        sets = fetch_sets(texts, wanted, order, words)
+        found.append(verified_pairs(own, sets, percent))
+        discard(sets)
+        if rounds > 1:
+            discard(own)
+    discard(wanted)
+    return reduce(DataFrame.unionByName, found) if found else pairs
 
 
 def _similar_size(a: str, b: str, percent: int):
@@ -220,71 +272,139 @@ def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
     return pairs.filter("found >= asked").select("a", "b")
 
 
-def single_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from lists of at most `SMALL` rows: pairs with enough matches in such lists."""
-    small = shared.filter(F.col("rows") <= SMALL)
-    fields = ("row", "n", "need")
-    left = small.select("token", *[F.col(c).alias(f"{c}_a") for c in fields])
-    right = small.select("token", *[F.col(c).alias(f"{c}_b") for c in fields])
-    pairs = left.join(right, "token").filter(
-        (F.col("row_a") < F.col("row_b")) & _similar_size("n_a", "n_b", percent)
+def mixed_entries(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """(token, row, n, need, part, rows): the entries that can still tell of a link between
+    rows of different parts; `rows` is how many of a list are left. `shared` is discarded.
+
+    Lists within one part go. So do rows with fewer entries than they, or all they meet, ask
+    of a pair: tokens that a few texts have by chance then connect nothing.
+    """
+    known = shared.select("token", "row", "n", "need").join(parts, "row", "left")
+    parted = store(known.withColumn("part", F.coalesce("part", "row")), "parted")
+    discard(shared)
+    spans = parted.groupBy("token").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.min("need").alias("least")
     )
-    pairs = pairs.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b")).agg(
-        F.count("*").alias("found"), F.min(F.least("need_a", "need_b")).alias("asked")
+    spans = spans.filter("low <> high").select("token", "least")
+    mixed = store(parted.join(spans, "token"), "mixed")
+    discard(parted)
+    counts = mixed.groupBy("row").agg(
+        F.count(F.lit(1)).alias("held"), F.min(F.least("need", "least")).alias("asked")
     )
-    return pairs.filter("found >= asked").select("a", "b")
+    strong = counts.filter("held >= asked").select("row")
+    kept = store(mixed.drop("least").join(strong, "row", "left_semi"), "kept")
+    discard(mixed)
+    lists = kept.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+    left = store(kept.join(lists.filter("rows > 1"), "token"), "left-entries")
+    discard(kept)
+    return left
+
 
+def pair_plan(left: DataFrame, rows: int) -> tuple[int, int]:
+    """Up to which length the pairs of a list are formed, and in how many rounds.
 
-def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose rows are not in the same part yet."""
-    one = parts.select(F.col("row").alias("a"), F.col("part").alias("part_a"))
-    two = parts.select(F.col("row").alias("b"), F.col("part").alias("part_b"))
-    known = pairs.join(one, "a", "left").join(two, "b", "left")
-    same = F.coalesce("part_a", "a") == F.coalesce("part_b", "b")
-    return known.filter(~same).select("a", "b")
+    At least up to `SMALL`; beyond that as long as the pairs grow with the `rows` of the input.
+    """
+    size = F.col("rows").cast("double")
+    power = F.ceil(F.log2("rows")).cast("int").alias("power")
+    made = left.groupBy(power).agg(F.sum((size - 1) / 2).alias("pairs"))
+    most = max(LEAST_PAIRS, PAIRS * rows)
+    longest, total = SMALL, 0.0
+    for row in sorted(made.collect()):
+        if 1 << row.power > SMALL:
+            if total + row.pairs > PAIRS * rows:
+                break
+            longest = 1 << row.power
+        total += row.pairs
+    return longest, max(1, math.ceil(total / most))
+
+
+def single_pairs(left: DataFrame, percent: int, longest: int, rounds: int) -> DataFrame:
+    """(a, b) of different parts, stored, with enough matches in lists of at most `longest` rows."""
+    small = left.filter(F.col("rows") <= longest)
+    fields = ("row", "n", "need", "part")
+    one = small.select("token", *[F.col(c).alias(f"{c}_a") for c in fields])
+    two = small.select("token", *[F.col(c).alias(f"{c}_b") for c in fields])
+    found = []
+    for number in range(rounds):
+        own = one if rounds == 1 else one.filter(_in_round("row_a", rounds, number))
+        pairs = own.join(two, "token").filter(
+            (F.col("row_a") < F.col("row_b"))
+            & (F.col("part_a") != F.col("part_b"))
+            & _similar_size("n_a", "n_b", percent)
+        )
+        pairs = pairs.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b")).agg(
+            F.count("*").alias("found"), F.min(F.least("need_a", "need_b")).alias("asked")
+        )
+        found.append(store(pairs.filter("found >= asked").select("a", "b"), "single-pairs"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def block_links(
-    mixed: DataFrame, shared: DataFrame, sets: DataFrame, percent: int
-) -> DataFrame:
-    """(a, b): links between rows of different parts that meet in lists of over `SMALL` rows.
+    texts: DataFrame,
+    left: DataFrame,
+    longest: int,
+    groups: DataFrame,
+    order,
+    percent: int,
+    words: int,
+    total: int,
+) -> DataFrame | None:
+    """(a, b): links between rows of different parts that meet in lists of over `longest` rows.
 
     Rows that meet in such lists, over any number of steps, are a cloud, and a cloud of up
     to `ROWS` rows and `TOKENS` tokens of their sets is a block, whose sets are sent once.
     Larger clouds are dealt into several blocks, and all pairs of blocks that a list
     touches are compared. Each is one task's work, which counts the shared tokens of all
     its rows, compares whole sets where they suffice, and returns only links that join what
-    it had not joined before: rows in its result, not pairs.
+    it had not joined before: rows in its result, not pairs. Where blocks are sent very often,
+    the pairs of blocks are done in rounds. None if there are no such lists.
     """
+    mixed = left.filter(F.col("rows") > longest)
+    if mixed.isEmpty():
+        return None
     first = mixed.groupBy("token").agg(F.min("row").alias("a"))
     clouds = components(mixed.join(first, "token").select("a", F.col("row").alias("b")))
     homes = mixed.groupBy("row").agg(
         F.first("part").alias("part"), F.first("need").alias("need"), F.first("n").alias("n")
     )
     homes = homes.join(clouds.select(F.col("node").alias("row"), F.col("label").alias("cloud")), "row")
-    homes = store(homes, "clouds")
+    placed = homes = store(homes, "clouds")
     loads = homes.groupBy("cloud").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("load"))
     slots = F.ceil(F.greatest(F.col("held") / ROWS, F.col("load") / TOKENS))
-    homes = homes.drop("n").join(loads.select("cloud", slots.alias("slots")), "cloud")
+    homes = homes.join(loads.select("cloud", slots.alias("slots")), "cloud")
     slot = F.pmod(F.xxhash64("row"), F.col("slots"))
     homes = homes.withColumn("block", F.xxhash64("cloud", slot)).drop("cloud", "slots")
-    # All tokens a row shares with any other count, also those of small lists.
-    lists = shared.join(homes.select("row"), "row", "left_semi")
+    # All tokens a row shares with rows of other parts count, also those of small lists.
+    lists = left.join(homes.select("row"), "row", "left_semi")
     homes = homes.join(lists.groupBy("row").agg(F.collect_list("token").alias("list")), "row")
     homes = store(homes, "homes")
+    discard(placed, clouds)
     touched = mixed.select("row", "token").join(homes.select("row", "block"), "row")
     touched = store(touched.select("token", "block").distinct(), "touched")
     other = touched.select("token", F.col("block").alias("second"))
     met = touched.select("token", F.col("block").alias("first")).join(other, "token")
     met = store(met.filter("first <= second").select("first", "second").distinct(), "met")
+    wanted = store(homes.select("row").join(groups, "row"), "wanted")
+    sets = fetch_sets(texts, wanted, order, words)
     rows = store(homes.join(sets.select("row", "tokens"), "row"), "block-rows")
-    pair = F.xxhash64("first", "second").alias("pair")
-    side = ["row", "part", "need", "list", "tokens"]
-    one = met.join(rows, F.col("first") == F.col("block"))
-    two = met.filter("first <> second").join(rows, F.col("second") == F.col("block"))
-    both = one.select(pair, F.lit(0).alias("side"), *side).unionByName(
-        two.select(pair, F.lit(1).alias("side"), *side)
+    discard(wanted, sets)
+    loads = store(rows.groupBy("block").agg(F.sum("n").alias("load")), "loads")
+    sides = met.select(F.col("first").alias("block")).unionAll(
+        met.filter("first <> second").select("second")
     )
+    amount = sides.join(loads, "block").agg(F.sum("load")).first()[0] or 0
+    rounds = max(1, -(-amount // max(HELD, total // 3)))
+    pair = F.xxhash64("first", "second")
+    side = ["row", "part", "need", "list", "tokens"]
+
+    def sent(number: int) -> DataFrame:
+        own = met.filter(_in_round(pair, rounds, number))
+        one = own.join(rows, F.col("first") == F.col("block"))
+        two = own.filter("first <> second").join(rows, F.col("second") == F.col("block"))
+        return one.select(pair.alias("pair"), F.lit(0).alias("side"), *side).unionByName(
+            two.select(pair.alias("pair"), F.lit(1).alias("side"), *side)
+        )
 
     def compared(table: pa.Table) -> pa.Table:
         sides = table["side"].to_numpy()
@@ -320,7 +440,12 @@ def block_links(
             }
         )
 
-    return both.groupBy("pair").applyInArrow(compared, "a long, b long")
+    found = [
+        store(sent(n).groupBy("pair").applyInArrow(compared, "a long, b long"), "block-links")
+        for n in range(rounds)
+    ]
+    discard(homes, touched, met, rows, loads)
+    return reduce(DataFrame.unionByName, found)
 
 
 def jaccard_components(
@@ -343,10 +468,16 @@ def jaccard_components(
     shingles, 2^22 whatever the input. Every set asks its partners for as many shared prefix
     tokens as its estimated candidates make worthwhile and has a prefix so much longer; a
     pair must share the smaller number. Equal sets are one row from there on. Stars around
-    the first row of each list join large groups; only rows still in different components
-    are then compared pair by pair, in small lists as rows, in long ones block by block.
+    the first row of each list join groups of similar texts; only rows still in different
+    components are then compared pair by pair, in short lists as rows, in long ones block by
+    block. Stored tables and shuffle files are deleted as soon as nothing needs them.
     """
     ship(docs.sparkSession)
+    with shuffles_removed(docs.sparkSession):
+        return _components(docs, doc_id, text, percent, words)
+
+
+def _components(docs: DataFrame, doc_id: str, text: str, percent: int, words: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -365,30 +496,31 @@ def jaccard_components(
     sets_of = ["s1", "s2", "n"]
     groups = store(filled.groupBy(sets_of).agg(F.min("row").alias("row")), "set-groups")
     shared = shared_entries(filled, groups.select("row"))
+    prefixed, table = table, store(table.select("row", "doc_id", "n", "s1", "s2"), "signed-rows")
+    discard(prefixed)
+    size, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    bodies = rows.select("text")
     near = store(star_pairs(shared, percent), "star-pairs")
-    single = store(single_pairs(shared, percent), "single-pairs")
-    asked = near.unionByName(single)
-    wanted = asked.select(F.col("a").alias("row")).union(asked.select("b"))
-    wanted = wanted.union(shared.filter(F.col("rows") > SMALL).select("row")).distinct()
-    wanted = store(wanted.join(groups, "row"), "wanted")
-    sets = fetch_sets(rows.select("text"), wanted, order, words)
-
-    stars = store(verified_pairs(near, sets, percent), "star-links")
-    parts = components(stars).select(F.col("node").alias("row"), F.col("label").alias("part"))
-    large = shared.filter(F.col("rows") > SMALL).join(parts, "row", "left")
-    parted = store(large.withColumn("part", F.coalesce("part", "row")), "parted")
-    spans = parted.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    spans = store(spans.filter("low <> high").select("token"), "mixed-lists")
-    mixed = store(parted.join(spans, "token"), "mixed")
+    stars = linked_pairs(bodies, near, groups, order, percent, words, total)
+    labels = components(stars)
+    parts = labels.select(F.col("node").alias("row"), F.col("label").alias("part"))
+    left = mixed_entries(shared, parts)
+    longest, rounds = pair_plan(left, size)
+    single = single_pairs(left, percent, longest, rounds)
     links = stars.unionByName(
-        verified_pairs(apart(single, parts), sets, percent)
-    ).unionByName(block_links(mixed, shared, sets, percent))
+        linked_pairs(bodies, single, groups, order, percent, words, total)
+    )
+    met = block_links(bodies, left, longest, groups, order, percent, words, total)
+    links = links if met is None else links.unionByName(met)
+    discard(left, labels)
     found = components(links).select(F.col("node").alias("rep"), "label")
 
     members = table.select("row", "doc_id", "n", "s1", "s2").join(
         groups.withColumnRenamed("row", "rep"), sets_of, "left"
     )
     members = store(members.join(found, "rep", "left"), "members")
+    discard(table, groups)
     members = members.withColumn("label", F.coalesce("label", "rep", "row"))
     smallest = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     smallest = store(smallest, "smallest")

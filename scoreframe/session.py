@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+import weakref
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -61,7 +66,9 @@ def store_sized(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
     """`store`, and the path it wrote to, for `stored_bytes`."""
     path = shared_path(frame.sparkSession, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path), path
+    stored = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    _PLACES[stored] = path
+    return stored, path
 
 
 def store_bucketed(frame: DataFrame, key: str, name: str) -> DataFrame:
@@ -78,9 +85,36 @@ def store_bucketed(frame: DataFrame, key: str, name: str) -> DataFrame:
     dealt.bucketBy(buckets, key).saveAsTable(table)
     stored = spark.table(table)
     spark.sql(f"DROP TABLE {table}")
+    _PLACES[stored] = path
     return stored
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of `store` or `store_bucketed` that nothing reads any more."""
+    for frame in frames:
+        path = _PLACES.pop(frame, None)
+        if path is not None:
+            remove(frame.sparkSession, path)
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of each job are deleted at its end.
+
+    Else they stay until the driver happens to collect its garbage, those of all jobs of a
+    long chain at worst. For chains whose tables are stored, which read no shuffle twice.
+    """
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANED)
+        else:
+            spark.conf.set(CLEANED, before)
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of the files at `path`; their content is not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)

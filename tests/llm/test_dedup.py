@@ -1,6 +1,7 @@
 """Line dedup, exact dedup and the Jaccard join against plain Python."""
 
 import hashlib
+import pathlib
 import re
 from collections import defaultdict
 
@@ -198,3 +199,69 @@ def test_components_of_chains_and_stars(spark):
     found = {r.node: r.label for r in components(frame).collect()}
     assert found == {i: 0 for i in range(51)} | {100 + i: 100 for i in range(30)}
     assert components(frame.filter("false")).count() == 0
+
+
+def near_copies():
+    """Groups of 12 texts that differ in a word or two, and lone texts."""
+    import random
+
+    r = random.Random(8)
+    words = [f"v{i}" for i in range(30000)]
+    rows = []
+    for _ in range(6):
+        base = r.sample(words, 150)
+        for _ in range(12):
+            own = list(base)
+            own[r.randrange(len(own))] = r.choice(words)
+            rows.append((len(rows), " ".join(own)))
+        rows.append((len(rows), " ".join(r.sample(words, 150))))
+    return rows
+
+
+def test_jaccard_tables_go_and_joined_rows_form_no_pairs(spark, monkeypatch):
+    """Once a star has joined a group, its rows are not compared, and no step's table stays."""
+    made = {}
+
+    def counted(frame, name):
+        stored = store(frame, name)
+        made.setdefault(name, []).append(stored.count())
+        return stored
+
+    store = jaccard.store
+    monkeypatch.setattr(jaccard, "store", counted)
+    rows = near_copies()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir"), "scoreframe")
+    before = set(root.glob("*"))
+    assert got(frame) == by_force(rows, 85, 4)
+    assert sum(made["star-pairs"]) >= 60 and sum(made["single-pairs"]) == 0
+    left = {re.sub("-[0-9a-f]{32}$", "", path.name) for path in set(root.glob("*")) - before}
+    large = {"prefixes", "likely-entries", "shared-entries", "parted", "mixed", "kept", "sets"}
+    assert "members" in left and not left & (large | {"left-entries", "groups", "edges"})
+
+
+@pytest.mark.parametrize("held, pairs", [(3000, 0), (20000, 2)])
+def test_jaccard_components_in_rounds(spark, monkeypatch, held, pairs):
+    """Few sets, pairs and blocks at a time give what all at once give."""
+    monkeypatch.setattr(jaccard, "HELD", held)
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    monkeypatch.setattr(jaccard, "LEAST_PAIRS", 2000)
+    monkeypatch.setattr(jaccard, "SMALL", 9)
+    monkeypatch.setattr(jaccard, "ROWS", 16)
+    rows = variants()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(frame) == by_force(rows, 85, 4)
+
+
+def test_tokens_shared_by_chance_connect_nothing(spark):
+    """Rows with fewer entries than a pair of theirs needs are not compared."""
+    chance = [(7, row, 100, 4) for row in range(40)]
+    near = [(token, row, 100, 4) for token in range(20, 24) for row in (50, 51)]
+    short = [(30, 60, 2, 1), (30, 61, 100, 4)]
+    frame = spark.createDataFrame(chance + near + short, "token long, row long, n int, need int")
+    parts = spark.createDataFrame([], "row long, part long")
+    left = jaccard.mixed_entries(frame, parts)
+    assert {r.row for r in left.collect()} == {50, 51, 60, 61}
+    joined = spark.createDataFrame([(50, 50), (51, 50)], "row long, part long")
+    left = jaccard.mixed_entries(frame, joined)
+    assert {r.row for r in left.collect()} == {60, 61}
