@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns
 the columns of `documents`; the last returns the packed pieces. A table is written to the
-shared folder after every stage and read again, so a lost executor repeats one stage at most.
+shared folder after every stage and read again, so a lost executor repeats one stage at most;
+the table of the stage before then goes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from scoreframe.llm.jaccard import jaccard_components
 from scoreframe.llm.latent import find_contamination
 from scoreframe.llm.packing import pack
 from scoreframe.llm.toxicity import score_toxicity
-from scoreframe.session import store
+from scoreframe.session import discard, store
 
 TOXIC = 0.5
 
@@ -78,5 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages one after the other over `documents`."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        last, docs = docs, store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(last)
     return docs

@@ -1,5 +1,7 @@
 """The stages of the pipeline against plain Python, and the whole of it."""
 
+import pathlib
+
 import pytest
 
 import corpus_pipeline as P
@@ -95,3 +97,14 @@ def test_odd_rows_pass_every_stage(spark, folder, odd, nothing):
     assert P.STAGES[-1][1](spark, docs, folder).count() >= len(left)
     for _, stage in P.STAGES:
         assert stage(spark, nothing, folder).count() == 0
+
+
+def test_tables_of_earlier_stages_go(spark, folder, monkeypatch):
+    """Only the last stage's table is on disk after a run."""
+    monkeypatch.setattr(
+        P, "STAGES", [(f"step {n}", lambda spark, docs, folder: docs.filter("doc_id > 2")) for n in range(3)]
+    )
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir"), "scoreframe")
+    before = set(root.glob("*"))
+    assert P.run(spark, folder).count() > 0
+    assert [p.name.rsplit("-", 1)[0] for p in set(root.glob("*")) - before] == ["step-2"]
